@@ -353,15 +353,16 @@ def select_ranks(
     by: Sequence[str],
     order: Sequence[str],
     chunk: str,
-    ranks: Callable[[Column], Column],
+    ranks: Callable[[Column], Column] | DataFrame,
     weight: str | None = None,
 ) -> DataFrame:
     """The rows at given ranks (from 0) of each group, without sorting the group.
 
     ``chunk`` is a column that never decreases along ``order``. A histogram over
     the chunks locates each rank; only the chunks that hold one are sorted.
-    ``ranks`` maps the group size to an array of ranks. ``weight`` says how many
-    equal rows a row stands for. Result: group columns, ``rank``, order columns.
+    ``ranks`` maps the group size to an array of ranks, or is a table of group
+    columns and an array ``ranks``. ``weight`` says how many equal rows a row
+    stands for. Result: group columns, ``rank``, order columns.
     """
     by, order = list(by), list(order)
     rows = F.col(weight) if weight else F.lit(1)
@@ -373,10 +374,16 @@ def select_ranks(
         F.col("_rows"),
         F.sum("_rows").over(Window.partitionBy(*by)).alias("_n"),
     )
+    if isinstance(ranks, DataFrame):
+        asked = ranks.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("ranks").alias("_asked"))
+        group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
+        located = located.join(asked, group)
+    else:
+        located = located.withColumn("_asked", ranks(F.col("_n")))
     wanted = located.select(
         *[F.col(c).alias(f"_h_{c}") for c in [*by, chunk]], "_start",
         F.filter(
-            F.array_distinct(ranks(F.col("_n"))),
+            F.array_distinct("_asked"),
             lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_rows")),
         ).alias("_ranks"),
     ).where(F.size("_ranks") > 0)

@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.ordering import (
     CHUNK, MAX_ROWS_PER_TASK, SeriesLayout, cut_points, row_index, select_ranks, with_chunk,
@@ -21,6 +23,7 @@ from tidemark.operators.ordering import (
 DEFAULT_RATIOS = {"train": 0.6, "val": 0.2, "test": 0.2}
 DEFAULT_SEED = 42
 
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 HASH_PREFIX = 4  # hex digits: 65,536 equally likely chunks
 
 
@@ -39,17 +42,17 @@ def sizes(n: int, ratios: dict[str, float]) -> tuple[int, int]:
     return int(n * train), int(n * val)
 
 
-def _before(order: Sequence[str], values: Sequence) -> Column:
+def _before(order: Sequence[str], values: Sequence[Column]) -> Column:
     """Whether a row comes strictly before the row with these order values."""
     result = F.lit(False)
     for column, value in reversed(list(zip(order, values))):
-        result = (F.col(column) < F.lit(value)) | ((F.col(column) == F.lit(value)) & result)
+        result = (F.col(column) < value) | ((F.col(column) == value) & result)
     return result
 
 
 def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: Column | None = None,
-             total: int | None = None, max_rows: int | None = None) -> dict[int, tuple]:
-    """Order values of the rows at the given ranks; at most ``len(ranks)`` rows come back."""
+             total: int | None = None, max_rows: int | None = None) -> dict[int, tuple[Column, ...]]:
+    """Order values, as literals, of the rows at the given ranks; one row per rank comes back."""
     ranks = sorted({r for r in ranks if r >= 0})
     if not ranks:
         return {}
@@ -60,7 +63,13 @@ def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: C
         chunked = with_chunk(df, order[0], cut_points(df, order[0], chunks * 4 if chunks > 1 else 1))
     wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
     found = select_ranks(chunked, [], order, CHUNK, lambda n: wanted)
-    return {row["rank"]: tuple(row[c] for c in order) for row in found.collect()}
+    kinds = {c: df.schema[c].dataType for c in order}
+    # Times travel as text, so the driver's own time zone cannot shift them.
+    text = [F.col(c).cast("string") if isinstance(kinds[c], TIMES) else F.col(c) for c in order]
+    return {
+        row[0]: tuple(F.lit(value).cast(kinds[c]) for c, value in zip(order, row[1:]))
+        for row in found.select("rank", *text).collect()
+    }
 
 
 def _cut_tags(order: Sequence[str], cuts: list[tuple[tuple | None, str]], last: str) -> Column:
@@ -158,12 +167,9 @@ def tagged_parts(df: DataFrame, out: str = "dataset") -> dict[str, DataFrame]:
     return parts
 
 
-def _fold_starts(n: int | Column, k: int) -> list:
+def _fold_starts(n: int, k: int) -> list[int]:
     """First rank of each fold: sizes differ by at most one, larger folds first."""
-    if isinstance(n, int):
-        return [i * (n // k) + min(i, n % k) for i in range(k)]
-    size, extra = F.floor(n / k), n % k
-    return [F.lit(i) * size + F.least(F.lit(i), extra) for i in range(k)]
+    return [i * (n // k) + min(i, n % k) for i in range(k)]
 
 
 def kfold(
@@ -207,16 +213,32 @@ def stratified_kfold(
     by = names[0]
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
     slim = hashed.select(by, "_hash").withColumn(CHUNK, F.substring("_hash", 1, HASH_PREFIX))
-    found = select_ranks(
-        slim, [by], ["_hash"], CHUNK,
-        lambda n: F.array(*[s.cast("long") for s in _fold_starts(n, k)[1:]]),
+    # The surplus rows of a class go to the folds after those of the class before
+    # it, so that the folds as a whole also differ by at most one row.
+    earlier = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    classes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "shift", F.coalesce(F.sum("n").over(earlier), F.lit(0)) % k
+    )
+    fold_sizes = [
+        F.floor(F.col("n") / k) + F.when(F.pmod(F.lit(i) - F.col("shift"), F.lit(k)) < F.col("n") % k, 1).otherwise(0)
+        for i in range(k)
+    ]
+    starts, at = [], F.lit(0)
+    for size in fold_sizes[:-1]:
+        at = at + size
+        starts.append(at.cast("long"))
+    wanted = classes.select(by, F.array(*starts).alias("ranks"))
+    found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted)
+    passed = F.size(F.filter("ranks", lambda r: r <= F.col("rank")))
+    steps = found.withColumnRenamed(by, "_class").join(wanted, F.col("_class").eqNullSafe(F.col(by)))
+    # One row per class, holding at most k - 1 cuts.
+    cuts = steps.groupBy("_class").agg(F.collect_list(F.struct("_hash", passed.alias("fold"))).alias("_cuts"))
+    reached = F.transform(
+        F.filter("_cuts", lambda c: c["_hash"] <= F.col("_hash")), lambda c: c["fold"]
     )
-    # One row per class, holding at most k - 1 hashes.
-    cuts = found.groupBy(F.col(by).alias("_class")).agg(F.array_sort(F.collect_set("_hash")).alias("_cuts"))
-    fold = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<string>")), lambda c: c <= F.col("_hash")))
     return (
         hashed.join(cuts, F.col(by).eqNullSafe(F.col("_class")), "left")
-        .withColumn(out, fold.cast("int"))
+        .withColumn(out, F.coalesce(F.array_max(reached), F.lit(0)).cast("int"))
         .drop("_hash", "_cuts", "_class")
     )
 
@@ -257,8 +279,3 @@ def expanding_folds(
             first = first + F.when(_before(order, at[end]), 0).otherwise(1)
     inside = df.withColumn("_first", first.cast("int")).where(F.col("_first") < len(ends))
     return inside.withColumn(out, F.explode(F.sequence(F.col("_first"), F.lit(len(ends) - 1)))).drop("_first")
-
-
-def expanding_fold(df, order, end_values) -> DataFrame:
-    """One prefix as a filter on the order columns, which the scan can use."""
-    return df.where(_before(order, end_values))
