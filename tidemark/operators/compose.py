@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import measure, row_index, carry
+from tidemark.operators.ordering import carry, measure, row_index
 
 # "tile", "truncate" and "pad_start" belong to one family of rules,
 # "spread" and "pad_end" to the other; "broadcast" to both.
@@ -65,10 +65,14 @@ def align(
     method: str = "auto",
     family: str = "tile",
     prefix: str = "",
+    width: int | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Zip ``source`` columns to ``base`` by position, stretching as ``method`` says.
 
+    In the ``spread`` family a broadcast also stretches a single source column to
+    ``width`` columns (by default as many as the base has), named ``c_0``, ``c_1``, ...
+
     The two row counts are counted first; they decide the method. The join is an
     equi-join on the computed source position, split further by :func:`spread_join`
     when one source row serves very many base rows.
@@ -77,9 +81,14 @@ def align(
     chosen = infer_method(have, want, family) if method == "auto" else ("none" if have == want else method)
     left = row_index(base, [], base_order, "_row", layout=measure(base, [], base_order, max_rows))
     right = row_index(source, [], source_order, "_row", layout=measure(source, [], source_order, max_rows))
-    right = right.select(
-        F.col("_row").alias("_at"), *[F.col(c).alias(f"{prefix}{c}") for c in columns]
-    )
+    values = [F.col(c).alias(f"{prefix}{c}") for c in columns]
+    if chosen == "broadcast" and family == "spread":
+        width = width or len(base.columns)
+        if len(columns) not in (1, width):
+            raise ValueError(f"cannot broadcast {len(columns)} columns to {width}")
+        if len(columns) < width:
+            values = [F.col(columns[0]).alias(f"{prefix}{columns[0]}_{i}") for i in range(width)]
+    right = right.select(F.col("_row").alias("_at"), *values)
     placed = left.withColumn("_at", source_position(F.col("_row"), have, want, chosen))
     heavy = chosen in ("broadcast", "pad_start", "pad_end", "tile", "spread")
     # Enough copies of each repeated source row that no position serves too many rows.

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,13 +284,13 @@ def davies_bouldin(df: DataFrame, features: str, label: str) -> DataFrame:
     spread = rows.join(table, "cluster").groupBy("cluster").agg(
         F.avg(F.sqrt(_gap(F.col("x"), F.col("centre")))).alias("spread"), F.first("centre").alias("centre"))
     # Clusters against clusters: one row per cluster, the others as one array.
-    other = spread.agg(F.collect_list(F.struct("cluster", "spread", "centre")).alias("others"))
+    other = spread.agg(F.collect_list(F.struct("cluster", "spread", "centre")))
     distance = lambda o: F.sqrt(_gap(F.col("centre"), o["centre"]))
     similarity = F.transform(
         F.filter("others", lambda o: o["cluster"] != F.col("cluster")),
         lambda o: F.when(distance(o) > 0, (F.col("spread") + o["spread"]) / distance(o)).otherwise(F.lit(0.0)),
     )
-    worst = spread.join(F.broadcast(other)).select(F.array_max(similarity).alias("worst"))
+    worst = spread.withColumn("others", other.scalar()).select(F.array_max(similarity).alias("worst"))
     return worst.agg(F.avg("worst").alias("value")).where("value is not null").select(
         F.lit("davies_bouldin").alias("metric"), "value")
 
@@ -309,12 +309,12 @@ def silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
         F.avg(_square(F.col("x"))).alias("square"),
     )
     # One array of all clusters; a cluster table is small by nature.
-    clusters = table.agg(F.collect_list(F.struct("cluster", "rows", "centre", "square")).alias("clusters"))
+    clusters = table.agg(F.collect_list(F.struct("cluster", "rows", "centre", "square")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     distances = F.transform("clusters", lambda c: F.struct(
         c["cluster"].alias("cluster"), c["rows"].alias("rows"),
         (_square(F.col("x")) + c["square"] - 2 * dot(F.col("x"), c["centre"])).alias("d")))
-    measured = rows.join(F.broadcast(clusters)).select("cluster", distances.alias("ds"))
+    measured = rows.withColumn("clusters", clusters.scalar()).select("cluster", distances.alias("ds"))
     own = F.filter("ds", lambda d: d["cluster"] == F.col("cluster"))[0]
     rest = F.array_min(F.transform(F.filter("ds", lambda d: d["cluster"] != F.col("cluster")), lambda d: d["d"]))
     split = measured.select(own.alias("own"), rest.alias("b")).select(

@@ -436,7 +436,7 @@ def percentiles(
             sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_n"), same
         ).drop(*[f"_s_{c}" for c in by])
     else:
-        both = picked.join(F.broadcast(sizes))
+        both = picked.withColumn("_n", sizes.scalar())
     place = (F.col("_n") - 1) * F.col("probability")
     low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
     at_low, at_high = F.element_at("_at", low), F.element_at("_at", high)

@@ -67,8 +67,9 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), max_rows: int
         joined = stats.join(wide, same, "left").drop(*[f"_g{i}" for i in range(len(by))])
     else:
         at = lambda p: F.max(F.when(F.col("probability") == p, F.col("value")))
-        wide = quartiles.agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
-        joined = stats.join(F.broadcast(wide))
+        joined = stats.withColumns({
+            name: quartiles.agg(at(p)).scalar() for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
+        })
     names = ["mean", "std", "min", "max", "median", "q25", "q75"]
     return joined.select(*by, "n_samples", *[F.round(c, 6).alias(c) for c in names])
 
