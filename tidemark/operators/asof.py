@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from tidemark.operators.ordering import SeriesLayout, carry, measure
 
 # Key sets up to this size are broadcast to thin the feature side; checked first.
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_KEYS = 500_000
+# Day folder of an offline feature table; filtered on when a table has it.
+DATE = "event_date"
 
 
 def seconds(duration: timedelta | float | int) -> float:
@@ -55,6 +57,10 @@ def prune_features(
     kept = features.where(F.col(feature_time) <= time_literal(facts["hi"], kind))
     if ttl is not None:
         kept = kept.where(F.col(feature_time) >= time_literal(facts["lo"], kind) - interval(ttl))
+    if DATE in features.columns:
+        kept = kept.where(F.col(DATE) <= time_literal(facts["hi"], kind).cast("date"))
+        if ttl is not None:
+            kept = kept.where(F.col(DATE) >= (time_literal(facts["lo"], kind) - interval(ttl)).cast("date"))
     for key in keys:
         kept = kept.where(F.col(key).isNotNull())
     if facts["n"] <= MAX_BROADCAST_KEYS:

@@ -100,7 +100,7 @@ class FeatureStore:
         ]
         keys = [F.col(self.entities[e].key).cast(self.entities[e].column_type).alias(self.entities[e].key)
                 for e in view.entities]
-        extra = [c for c in view.tie if c not in view.schema]
+        extra = [c for c in (*view.tie, asof.DATE) if c not in view.schema and c in raw.columns]
         return raw.select(*keys, view.time, *extra, *columns)
 
     def resolve(self, references: Sequence[str]) -> dict[str, list[str]]:

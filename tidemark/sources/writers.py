@@ -8,15 +8,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import DATE
 from tidemark.operators.prep import FittedState
 from tidemark.session import cut_lineage
 
 
 def write_features(df: DataFrame, path: str, time: str = "event_timestamp", mode: str = "overwrite") -> None:
-    """Offline feature table, one folder per day, so a time range reads only its days."""
-    dated = df.withColumn("event_date", F.to_date(time))
-    dated.repartition("event_date", F.pmod(F.hash(*df.columns[:1]), F.lit(16))).write.mode(mode).partitionBy(
-        "event_date").parquet(path)
+    """Offline feature table, one folder per day, so a time range reads only its days.
+
+    The rebalance hint gathers a day's rows into few files and lets adaptive
+    execution split a day that is too large for one task.
+    """
+    dated = df.withColumn(DATE, F.to_date(time))
+    dated.hint("rebalance", DATE).write.mode(mode).partitionBy(DATE).parquet(path)
 
 
 def write_predictions(
