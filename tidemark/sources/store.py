@@ -227,6 +227,7 @@ class FeatureStore:
         input_len: int = 24,
         entity_path: str | None = None,
         targets: Sequence[str] = (),
+        time: str = EVENT_TIME,
     ) -> DataFrame:
         """One entry point: historical or online, series or rows."""
         if not view:
@@ -242,7 +243,7 @@ class FeatureStore:
         if mode == "historical":
             if not entity_path:
                 raise ValueError("historical rows need an entity table")
-            return self.historical_table(entity_path, references, key, targets=targets)
+            return self.historical_table(entity_path, references, key, time, targets)
         if mode != "online":
             raise ValueError(f"unknown mode: {mode}")
         if kind == "timeseries":

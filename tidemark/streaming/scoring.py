@@ -18,8 +18,9 @@ def last_windows(
 ) -> DataFrame:
     """Per entity the window of its last ``input_len`` rows, emitted whenever it changes.
 
-    State holds at most ``input_len`` rows per entity. Rows behind the watermark
-    are dropped; an entity without news for ``ttl_ms`` of event time is forgotten.
+    State holds at most ``input_len`` rows per entity, and the rows of a batch pass
+    through in pieces, so an entity with very many rows needs no more memory than
+    others. Rows behind the watermark are dropped; an entity without news for ``ttl_ms`` of event time is forgotten.
     """
     features = list(features)
     kind = rows.schema[key].dataType
@@ -46,14 +47,17 @@ def last_windows(
             return
         held: list[tuple] = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            held += [(int(a), float(t), list(s)) for a, t, s in zip(batch["_at"], batch["_tie"], batch["_step"])]
+            held += [
+                (int(a), float(t), [float(v) for v in s])
+                for a, t, s in zip(batch["_at"], batch["_tie"], batch["_step"])
+            ]
             held = sorted(held, key=lambda r: r[:2])[-input_len:]
         state.update(tuple(list(part) for part in zip(*held)))
         if ttl_ms is not None:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held[-1][0] // 1000) + ttl_ms)
         if len(held) == input_len:
             yield pd.DataFrame({
-                key: [group[0]], "window_end_micros": [held[-1][0]], "x": [[[float(v) for v in r[2]] for r in held]],
+                key: [group[0]], "window_end_micros": [held[-1][0]], "x": [[list(r[2]) for r in held]],
             })
 
     return stream.groupBy(key).applyInPandasWithState(
