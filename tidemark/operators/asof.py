@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import datetime, timedelta
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,14 +32,21 @@ def time_literal(value: datetime | str, kind: T.DataType) -> Column:
     return F.lit(str(value)).cast(kind)
 
 
-def prune_features(
-    features: DataFrame,
-    entities: DataFrame,
-    keys: Sequence[str],
-    entity_time: str,
-    feature_time: str,
-    ttl: timedelta | float | None = None,
-) -> DataFrame:
+@dataclass(frozen=True)
+class FeatureSide:
+    """The right side of a point-in-time join: a table and what to take from it."""
+
+    table: DataFrame
+    time: str
+    columns: Mapping[str, str]  # result name: source name
+    ttl: timedelta | float | None = None
+    tie: tuple[str, ...] = ()
+    matched_time: str | None = None
+
+
+def prune_sides(
+    sides: Sequence[FeatureSide], entities: DataFrame, keys: Sequence[str], entity_time: str
+) -> list[FeatureSide]:
     """Drop feature rows that cannot match any entity row.
 
     One small job over the entity frame gives its time range, which becomes a
@@ -46,85 +54,106 @@ def prune_features(
     A key set below :data:`MAX_BROADCAST_KEYS` also thins the features by a
     broadcast semi join before they are shuffled.
     """
-    kind = features.schema[feature_time].dataType
     facts = entities.agg(
         F.min(entity_time).cast("string").alias("lo"),
         F.max(entity_time).cast("string").alias("hi"),
         F.approx_count_distinct(F.struct(*keys)).alias("n"),
     ).first()
-    if facts["hi"] is None:
-        return features.where(F.lit(False))
-    kept = features.where(F.col(feature_time) <= time_literal(facts["hi"], kind))
-    if ttl is not None:
-        kept = kept.where(F.col(feature_time) >= time_literal(facts["lo"], kind) - interval(ttl))
-    if DATE in features.columns:
-        kept = kept.where(F.col(DATE) <= time_literal(facts["hi"], kind).cast("date"))
-        if ttl is not None:
-            kept = kept.where(F.col(DATE) >= (time_literal(facts["lo"], kind) - interval(ttl)).cast("date"))
-    for key in keys:
-        kept = kept.where(F.col(key).isNotNull())
-    if facts["n"] <= MAX_BROADCAST_KEYS:
-        kept = kept.join(F.broadcast(entities.select(*keys).distinct()), list(keys), "left_semi")
-    return kept
-
-
-def pit_join(
+    pruned = []
+    for side in sides:
+        rows, kind = side.table, side.table.schema[side.time].dataType
+        if facts["hi"] is None:
+            pruned.append(replace(side, table=rows.where(F.lit(False))))
+            continue
+        high = time_literal(facts["hi"], kind)
+        rows = rows.where(F.col(side.time) <= high)
+        if side.ttl is not None:
+            low = time_literal(facts["lo"], kind) - interval(side.ttl)
+            rows = rows.where(F.col(side.time) >= low)
+        if DATE in rows.columns:
+            rows = rows.where(F.col(DATE) <= high.cast("date"))
+            if side.ttl is not None:
+                rows = rows.where(F.col(DATE) >= low.cast("date"))
+        if facts["n"] <= MAX_BROADCAST_KEYS:
+            wanted = entities.select(*keys).distinct()
+            rows = rows.join(F.broadcast(wanted), list(keys), "left_semi")
+        pruned.append(replace(side, table=rows))
+    return pruned
+
+
+def pit_join_all(
     entities: DataFrame,
-    features: DataFrame,
+    sides: Sequence[FeatureSide],
     keys: Sequence[str],
     entity_time: str,
-    feature_time: str,
-    columns: Sequence[str] | dict[str, str],
-    ttl: timedelta | float | None = None,
-    tie: Sequence[str] = (),
-    matched_time: str | None = None,
     prune: bool = True,
     layout: SeriesLayout | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """For each entity row the latest feature row that is not newer and not older than ``ttl``.
+    """For each entity row the latest feature row of every side, not newer and not older than its ``ttl``.
 
     Both bounds are inclusive. Every entity row is kept; without a match the
     feature columns are null. A matched row gives its values as they are, nulls
     included. Among feature rows of one key and time the largest ``tie`` wins.
 
-    Both sides are stacked and sorted once per key: one shuffle, no range join.
+    Entities and all sides are stacked and sorted once per key: one shuffle for
+    any number of feature tables, and no range join.
     """
-    keys, tie = list(keys), list(tie)
-    columns = columns if isinstance(columns, dict) else {c: c for c in columns}
+    keys = list(keys)
     if prune:
-        features = prune_features(features, entities, keys, entity_time, feature_time, ttl)
+        sides = prune_sides(sides, entities, keys, entity_time)
     kind = entities.schema[entity_time].dataType
-    usable = features.where(F.col(feature_time).isNotNull())
-    for key in keys:
-        usable = usable.where(F.col(key).isNotNull())
-    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.struct(F.lit(0).alias("none"))
-    left = entities.select(
+    stacked = entities.select(
         *keys, F.col(entity_time).alias("_time"), F.lit(1).alias("_side"),
         F.struct(*[c for c in entities.columns if c not in keys]).alias("_entity"),
     )
-    right = usable.select(
-        *keys, F.col(feature_time).cast(kind).alias("_time"), F.lit(0).alias("_side"), rank.alias("_tie"),
-        F.struct(
-            F.col(feature_time).cast(kind).alias("_at"),
-            *[F.col(src).alias(f"v{i}") for i, src in enumerate(columns.values())],
-        ).alias("_feature"),
-    )
-    stacked = left.unionByName(right, allowMissingColumns=True)
-    order = ["_time", "_side", "_tie"]
+    order = ["_time", "_side"]
+    for n, side in enumerate(sides):
+        usable = side.table.where(F.col(side.time).isNotNull())
+        for key in keys:
+            usable = usable.where(F.col(key).isNotNull())
+        moment = F.col(side.time).cast(kind)
+        ties = [F.col(c).alias(f"_tie{n}_{i}") for i, c in enumerate(side.tie)]
+        order += [f"_tie{n}_{i}" for i in range(len(side.tie))]
+        values = [F.col(source).alias(f"v{i}") for i, source in enumerate(side.columns.values())]
+        rows = usable.select(
+            *keys, moment.alias("_time"), F.lit(0).alias("_side"), *ties,
+            F.struct(moment.alias("at"), *values).alias(f"_feature{n}"),
+        )
+        stacked = stacked.unionByName(rows, allowMissingColumns=True)
     if layout is None:
         layout = measure(stacked, keys, order, max_rows)
-    joined = carry(stacked, keys, order, {"_match": "_feature"}, layout=layout).where("_side = 1")
-    alive = F.col("_match").isNotNull()
-    if ttl is not None:
-        alive &= F.col("_match._at") >= F.col("_time") - interval(ttl)
-    values = [
-        F.when(alive, F.col(f"_match.v{i}")).alias(out) for i, out in enumerate(columns)
-    ]
-    if matched_time:
-        values.append(F.when(alive, F.col("_match._at")).alias(matched_time))
+    matches = {f"_match{n}": f"_feature{n}" for n in range(len(sides))}
+    joined = carry(stacked, keys, order, matches, layout=layout).where("_side = 1")
+    found = []
+    for n, side in enumerate(sides):
+        match = F.col(f"_match{n}")
+        alive = match.isNotNull()
+        if side.ttl is not None:
+            alive &= match["at"] >= F.col("_time") - interval(side.ttl)
+        found += [F.when(alive, match[f"v{i}"]).alias(out) for i, out in enumerate(side.columns)]
+        if side.matched_time:
+            found.append(F.when(alive, match["at"]).alias(side.matched_time))
     own = [c if c in keys else F.col(f"_entity.{c}").alias(c) for c in entities.columns]
-    return joined.select(*own, *values)
+    return joined.select(*own, *found)
+
+
+def pit_join(
+    entities: DataFrame,
+    features: DataFrame,
+    keys: Sequence[str],
+    entity_time: str,
+    feature_time: str,
+    columns: Sequence[str] | Mapping[str, str],
+    ttl: timedelta | float | None = None,
+    tie: Sequence[str] = (),
+    matched_time: str | None = None,
+    **options,
+) -> DataFrame:
+    """:func:`pit_join_all` with a single feature table."""
+    names = columns if isinstance(columns, Mapping) else {c: c for c in columns}
+    side = FeatureSide(features, feature_time, names, ttl, tuple(tie), matched_time)
+    return pit_join_all(entities, [side], keys, entity_time, **options)
 
 
 def time_grid(
@@ -159,8 +188,6 @@ def latest_grid(
 
 def resolve_time_point(time_point: datetime | str, now: datetime | None = None) -> datetime:
     """UTC wall time of ``time_point``; the word ``now`` means the current full hour."""
-    from datetime import timezone
-
     if time_point == "now":
         now = now or datetime.now(timezone.utc)
         return now.replace(minute=0, second=0, microsecond=0, tzinfo=None)

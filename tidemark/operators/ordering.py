@@ -12,7 +12,7 @@ neighbouring rows) travels as a small summary.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -24,6 +24,8 @@ from tidemark.session import cut_lineage
 
 # A series with more rows than this is processed in chunks.
 MAX_ROWS_PER_TASK = 4_000_000
+# Rows of a series of that length which the length estimate looks at.
+ROWS_IN_ESTIMATE = 40_000
 # Upper bound for what reaches the driver: series ids and cut points.
 # A series that is not among the MAX_LONG_SERIES longest holds less than
 # 1 / MAX_LONG_SERIES of the table, so the plain window is safe for it.
@@ -36,17 +38,27 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class SeriesLayout:
-    """Which series are long, and where their order axis is cut."""
+    """Which series are long, and where their order axis is cut.
+
+    ``by_position`` stands for long series whose axis has no usable cut points:
+    text, or one value that alone fills several chunks. They are cut every
+    ``rows`` rows after a distributed sort.
+    """
 
     keys: tuple[str, ...]
     long_series: tuple[tuple, ...] = ()
     cuts: tuple[float, ...] = ()
+    rows: int = MAX_ROWS_PER_TASK
+    by_position: bool = False
 
     @property
     def has_long_series(self) -> bool:
         return bool(self.long_series)
 
 
+NUMBER_LIKE = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
 def order_number(df: DataFrame, column: str) -> Column:
     """A double that never decreases along ``column``; used only to form chunks."""
     kind = df.schema[column].dataType
@@ -60,14 +72,17 @@ def order_number(df: DataFrame, column: str) -> Column:
     raise TypeError(f"cannot cut an order axis of type {kind.simpleString()}: {column}")
 
 
-def cut_points(df: DataFrame, column: str, chunks: int) -> tuple[float, ...]:
-    """Order-axis quantiles that divide ``df`` into about ``chunks`` equal parts."""
-    chunks = max(1, min(chunks, MAX_CHUNKS))
-    if chunks == 1:
-        return ()
+def quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Order-axis values that divide ``df`` into about ``parts`` equal parts, repeats included."""
+    parts = max(1, min(parts, MAX_CHUNKS))
+    if parts == 1:
+        return []
     numbers = df.select(order_number(df, column).alias("n")).where("n is not null and not isnan(n)")
-    probabilities = [i / chunks for i in range(1, chunks)]
-    return tuple(sorted(set(numbers.approxQuantile("n", probabilities, 1 / (4 * chunks)))))
+    return numbers.approxQuantile("n", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+
+
+def cut_points(df: DataFrame, column: str, parts: int) -> tuple[float, ...]:
+    return tuple(sorted(set(quantiles(df, column, parts))))
 
 
 def with_chunk(df: DataFrame, column: str, cuts: Sequence[float], out: str = CHUNK) -> DataFrame:
@@ -86,21 +101,32 @@ def with_chunk(df: DataFrame, column: str, cuts: Sequence[float], out: str = CHU
 def measure(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
 ) -> SeriesLayout:
-    """Find the long series of ``df`` with one partially aggregated count.
+    """Find the long series of ``df`` with one partially aggregated count of its keys.
 
-    Only the key column is read. The cut points need a second job, and only when
-    a long series exists. Measure once per table and pass the layout on.
+    The count looks at a fraction of the rows that still sees tens of thousands
+    of rows of every long series. An estimate is enough: the layout decides how
+    the work is divided, never what comes out. Only the key column is read; cut
+    points need a second job, and only when a long series exists. Measure once
+    per table and pass the layout on.
     """
     max_rows = max_rows or MAX_ROWS_PER_TASK
-    counts = df.groupBy(*keys).count().where(F.col("count") > max_rows)
+    share = min(1.0, ROWS_IN_ESTIMATE / max_rows)
+    seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
+    counts = seen.groupBy(*keys).count().where(F.col("count") > max_rows * share)
     long_rows = counts.orderBy(F.desc("count"), *keys).limit(MAX_LONG_SERIES).collect()
     if not long_rows:
         return SeriesLayout(tuple(keys))
     series = tuple(tuple(row[k] for k in keys) for row in long_rows)
-    layout = SeriesLayout(tuple(keys), series)
-    rows = sum(row["count"] for row in long_rows)
+    layout = SeriesLayout(tuple(keys), series, (), max_rows)
+    if not isinstance(df.schema[order[0]].dataType, NUMBER_LIKE):
+        return replace(layout, by_position=True)
+    rows = sum(row["count"] for row in long_rows) / share
     _, long_part = split_long(df, layout)
-    return SeriesLayout(tuple(keys), series, cut_points(long_part, order[0], -(-rows // max_rows) * 2))
+    found = quantiles(long_part, order[0], int(-(-rows // max_rows)) * 2)
+    # A value met at four neighbouring cuts fills more than a task by itself.
+    if any(a == b for a, b in zip(found, found[3:])):
+        return replace(layout, by_position=True)
+    return replace(layout, cuts=tuple(sorted(set(found))))
 
 
 def split_long(df: DataFrame, layout: SeriesLayout) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +151,14 @@ def split_long(df: DataFrame, layout: SeriesLayout) -> tuple[DataFrame, DataFram
     )
 
 
+def _chunked(long_part: DataFrame, order: Sequence[str], layout: SeriesLayout) -> DataFrame:
+    """Number the chunks of the long series, in order."""
+    if not layout.by_position:
+        return with_chunk(long_part, order[0], layout.cuts)
+    placed = sorted_index(long_part, [SERIES, *order], "_position")
+    return placed.withColumn(CHUNK, F.floor(F.col("_position") / layout.rows)).drop("_position")
+
+
 def _layout(df, keys, order, layout):
     return layout if layout is not None else measure(df, keys, order)
 
@@ -163,7 +197,7 @@ def row_index(
 
 
 def _long_index(long_part, order, layout, out, total):
-    chunked = with_chunk(long_part, order[0], layout.cuts)
+    chunked = _chunked(long_part, order, layout)
     counts = chunked.groupBy(SERIES, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(SERIES).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -187,8 +221,8 @@ def sorted_index(df: DataFrame, order: Sequence[str], out: str = "row_index") ->
     shuffle is needed.
     """
     fixed = cut_lineage(df.orderBy(*order))
-    part = F.shiftright(F.col("_position"), 33)
-    fixed = fixed.withColumn("_position", F.monotonically_increasing_id())
+    part = F.shiftright(F.col("_spot"), 33)
+    fixed = fixed.withColumn("_spot", F.monotonically_increasing_id())
     counts = fixed.groupBy(part.alias("_part")).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition.
@@ -196,8 +230,8 @@ def sorted_index(df: DataFrame, order: Sequence[str], out: str = "row_index") ->
     return (
         fixed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.col("_position").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_position", "_offset")
+        .withColumn(out, F.col("_offset") + F.col("_spot").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_part", "_spot", "_offset")
     )
 
 
@@ -232,7 +266,7 @@ def carry(
     if not layout.has_long_series:
         return within(df, keys)
     ordinary, long_part = split_long(df, layout)
-    chunked = with_chunk(long_part, order[0], layout.cuts)
+    chunked = _chunked(long_part, order, layout)
     position = F.struct(*order)
     edge = F.max_by if forward else F.min_by
     edges = chunked.groupBy(SERIES, CHUNK).agg(
@@ -335,7 +369,7 @@ def running_total(
     if not layout.has_long_series:
         return within(df, keys)
     ordinary, long_part = split_long(df, layout)
-    chunked = with_chunk(long_part, order[0], layout.cuts)
+    chunked = _chunked(long_part, order, layout)
     totals = chunked.groupBy(SERIES, CHUNK).agg(*[F.sum(s).alias(f"_t_{o}") for o, s in sums.items()])
     before = Window.partitionBy(SERIES).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -362,7 +396,9 @@ def select_ranks(
     the chunks locates each rank; only the chunks that hold one are sorted.
     ``ranks`` maps the group size to an array of ranks, or is a table of group
     columns and an array ``ranks``. ``weight`` says how many equal rows a row
-    stands for. Result: group columns, ``rank``, order columns.
+    stands for. Result: group columns, ``rank``, order columns, ``equal``, the
+    number of rows that are equal in the order columns, and ``offset``, the place
+    among those.
     """
     by, order = list(by), list(order)
     rows = F.col(weight) if weight else F.lit(1)
@@ -391,13 +427,18 @@ def select_ranks(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in [*by, chunk]]
     )
     held = df.join(wanted, same).drop(*[f"_h_{c}" for c in [*by, chunk]])
+    # Equal rows are merged before the sort.
+    merged = held.groupBy(*by, chunk, *order).agg(
+        F.sum(rows).alias("_weight"), F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"))
     earlier = _ordered([*by, chunk], order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_start") + F.coalesce(F.sum(rows).over(earlier), F.lit(0))
-    placed = held.select("*", first.alias("_first"), rows.alias("_weight"))
+    first = F.col("_start") + F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
+    placed = merged.withColumn("_first", first)
     inside = F.filter(
         "_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_weight"))
     )
-    return placed.select(*by, F.explode(inside).alias("rank"), *order)
+    return placed.select(
+        *by, F.explode(inside).alias("rank"), *order, "_first", F.col("_weight").alias("equal")
+    ).withColumn("offset", F.col("rank") - F.col("_first")).drop("_first")
 
 
 def percentiles(

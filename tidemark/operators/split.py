@@ -9,14 +9,15 @@ and a time split can be pushed down to the scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import (
-    CHUNK, MAX_ROWS_PER_TASK, SeriesLayout, cut_points, row_index, select_ranks, with_chunk,
+    CHUNK, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
+    with_chunk,
 )
 
 # Fixed values of the default split.
@@ -50,26 +51,59 @@ def _before(order: Sequence[str], values: Sequence[Column]) -> Column:
     return result
 
 
+def _literals(df: DataFrame, rows: DataFrame, numbers: Sequence[str], columns: Sequence[str]) -> list[tuple]:
+    """Driver copies of a few rows: the numbers, then the columns as typed literals."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+    # Times travel as text, so the driver's own time zone cannot shift them.
+    text = [F.col(c).cast("string") if isinstance(kinds[c], TIMES) else F.col(c) for c in columns]
+    n = len(numbers)
+    return [
+        (*row[:n], *[F.lit(value).cast(kinds[c]) for c, value in zip(columns, row[n:])])
+        for row in rows.select(*numbers, *text).collect()
+    ]
+
+
 def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: Column | None = None,
              total: int | None = None, max_rows: int | None = None) -> dict[int, tuple[Column, ...]]:
-    """Order values, as literals, of the rows at the given ranks; one row per rank comes back."""
+    """Order values, as literals, of the rows at the given ranks; one row per rank comes back.
+
+    The first order column is resolved alone, with equal values merged; what is
+    left among rows of one value is resolved by the other columns.
+    """
     ranks = sorted({r for r in ranks if r >= 0})
     if not ranks:
         return {}
+    limit = max_rows or MAX_ROWS_PER_TASK
+    head, rest = order[0], list(order[1:])
+    if chunk is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
+        # Text has no cut points: number the rows over a distributed sort.
+        numbered = sorted_index(df, order, "rank").where(F.col("rank").isin(ranks))
+        return {rank: tuple(values) for rank, *values in _literals(df, numbered, ["rank"], order)}
     if chunk is not None:
         chunked = df.withColumn(CHUNK, chunk)
     else:
-        chunks = -(-(total or 0) // (max_rows or MAX_ROWS_PER_TASK))
-        chunked = with_chunk(df, order[0], cut_points(df, order[0], chunks * 4 if chunks > 1 else 1))
+        parts = -(-(total or 0) // limit)
+        chunked = with_chunk(df, head, cut_points(df, head, parts * 4 if parts > 1 else 1))
     wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
-    found = select_ranks(chunked, [], order, CHUNK, lambda n: wanted)
-    kinds = {c: df.schema[c].dataType for c in order}
-    # Times travel as text, so the driver's own time zone cannot shift them.
-    text = [F.col(c).cast("string") if isinstance(kinds[c], TIMES) else F.col(c) for c in order]
-    return {
-        row[0]: tuple(F.lit(value).cast(kinds[c]) for c, value in zip(order, row[1:]))
-        for row in found.select("rank", *text).collect()
-    }
+    found = _literals(
+        df, select_ranks(chunked, [], [head], CHUNK, lambda n: wanted), ["rank", "offset", "equal"], [head])
+    if not rest:
+        return {rank: (value,) for rank, _, _, value in found}
+    if any(equal > limit for _, _, equal, _ in found):
+        out = {}
+        for rank, offset, equal, value in found:
+            same = df.where(F.col(head) == value).select(*rest)
+            out[rank] = (value, *_rows_at(same, rest, [offset], None, equal, max_rows)[offset])
+        return out
+    # Few rows share a wanted value: one job settles all ranks.
+    among = Window.partitionBy(head).orderBy(*rest)
+    asked = reduce(lambda a, b: a | b, [F.col(head) == value for _, _, _, value in found])
+    rank_of = F.coalesce(*[
+        F.when((F.col(head) == value) & (F.col("_at") == offset), F.lit(rank)) for rank, offset, _, value in found
+    ])
+    tied = df.where(asked).withColumn("_at", F.row_number().over(among) - 1).withColumn("rank", rank_of)
+    last = _literals(df, tied.where(F.col("rank").isNotNull()), ["rank"], order)
+    return {rank: tuple(values) for rank, *values in last}
 
 
 def _cut_tags(order: Sequence[str], cuts: list[tuple[tuple | None, str]], last: str) -> Column:

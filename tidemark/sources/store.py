@@ -120,12 +120,15 @@ class FeatureStore:
     def historical(
         self, entity_rows: DataFrame, references: Sequence[str], time: str = EVENT_TIME
     ) -> DataFrame:
-        """Entity rows with the features known at their time; one as-of join per view."""
-        out = entity_rows
+        """Entity rows with the features known at their time; one shuffle for all views of a key."""
+        by_key: dict[tuple[str, ...], list[asof.FeatureSide]] = {}
         for name, features in self.resolve(references).items():
             view = self.view(name)
-            out = asof.pit_join(
-                out, self.table(name), self.keys(view), time, view.time, features, view.ttl, view.tie)
+            side = asof.FeatureSide(self.table(name), view.time, {f: f for f in features}, view.ttl, view.tie)
+            by_key.setdefault(tuple(self.keys(view)), []).append(side)
+        out = entity_rows
+        for keys, sides in by_key.items():
+            out = asof.pit_join_all(out, sides, keys, time)
         return out
 
     def sequence_by_range(
