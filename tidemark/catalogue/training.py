@@ -32,10 +32,10 @@ def tagged_windows(spark, folder, input_len=8, output_len=2):
 
 def items(spark, folder):
     return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice",
-        F.col("l_returnflag").alias("flag"))
+        *ITEM_KEY, "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.col("l_returnflag").alias("flag"))
 
 
+ITEM_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 ITEM_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -60,7 +60,7 @@ def linear_forecast(spark, folder):
 def boosted_classifier(spark, folder):
     data = training.assemble(
         items(spark, folder).withColumn("late", (F.col("l_extendedprice") > 45000).cast("int")), ITEM_COLUMNS)
-    tagged = split.random_split(data, ["l_orderkey", "l_linenumber"])
+    tagged = split.random_split(data, ITEM_KEY)
     model = training.fit_outputs(tagged.where("dataset = 'train'"), [F.col("late")], "gbt_classifier", **BOOST)
     scored = model.transform(tagged.where("dataset = 'test'"), probabilities=True)
     scored = scored.select("late", F.col("prediction")[0].alias("p"))
@@ -114,7 +114,7 @@ def cross_validation(spark, folder):
     steps = [{"name": "normalize", "columns": ITEM_COLUMNS}]
     data = items(spark, folder).drop("flag")
     return rounded(training.cross_validate(
-        data, 3, ["l_orderkey", "l_linenumber"], ITEM_COLUMNS, "l_extendedprice", steps, "linear"), "value")
+        data, 3, ITEM_KEY, ITEM_COLUMNS, "l_extendedprice", steps, "linear"), "value")
 
 
 @query()
@@ -132,7 +132,7 @@ def parameter_search(spark, folder):
     with training.kept(data) as rows:
         _, _, tried = training.search(
             space, lambda setting: training.cross_validate(
-                rows, 2, ["l_orderkey", "l_linenumber"], ITEM_COLUMNS, "l_extendedprice", (), "linear", **setting),
+                rows, 2, ITEM_KEY, ITEM_COLUMNS, "l_extendedprice", (), "linear", **setting),
             "mae_mean", 3, fixed={"elasticNetParam": 0.0})
     rows = [(i, str(sorted(s.items())), float(v)) for i, (s, v) in enumerate(tried)]
     return spark.createDataFrame(rows, "trial int, setting string, mae_mean double")
@@ -176,3 +176,107 @@ def score_entities(spark, folder):
 def score_steps_ahead(spark, folder):
     return scoring.score_steps_ahead(
         events(spark, folder), naive_model(spark, folder), ["value"], ORDER, 12, 2, 6, ["user_id"])
+
+
+# --------------------------------------------------------------------------
+# Linear models with one input have a closed form, so SQL can check the whole
+# path: windows or folds, fit, scoring, metrics.
+
+LINE = """WITH e AS (SELECT user_id, ts, value AS x, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n,
+  lead(value, 1) OVER w AS y0, lead(value, 2) OVER w AS y1
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+{train}
+m AS (SELECT regr_slope(y0, x) AS b0, regr_intercept(y0, x) AS a0, regr_slope(y1, x) AS b1, regr_intercept(y1, x) AS a1 FROM t)
+"""
+FITTED = LINE.format(train="t AS (SELECT * FROM e WHERE r + 2 < n),")
+
+
+def next_values_model(spark, folder):
+    """Predict a user's next two values from the current one."""
+    frame = windows.supervised_windows(events(spark, folder), ["value"], ["value"], ORDER, 1, 2, ["user_id"])
+    return training.fit_forecaster(frame, 2, 1, "linear")
+
+
+@query(FITTED + """SELECT user_id, r // 2 AS window_index, s.step::INT AS step,
+  round(CASE WHEN s.step = 0 THEN a0 + b0 * x ELSE a1 + b1 * x END, 3) + 0.0 AS prediction
+FROM e, m, range(2) s(step) WHERE r % 2 = 0""")
+def line_windows(spark, folder):
+    frame = windows.inference_windows(events(spark, folder), ["value"], ORDER, 1, 2, ["user_id"])
+    scored = next_values_model(spark, folder).transform(training.window_features(frame))
+    cells = scored.select("user_id", "window_index", F.posexplode("prediction").alias("step", "prediction"))
+    return cells.withColumn("prediction", F.round("prediction", 3) + 0.0)
+
+
+@query(FITTED + """SELECT user_id, s.step::INT AS step, (CASE WHEN s.step = 0 THEN a0 + b0 * x ELSE a1 + b1 * x END)::FLOAT::DOUBLE AS prediction
+FROM e, m, range(2) s(step) WHERE r = n - 1""")
+def line_entities(spark, folder):
+    """One forecast per user from the last row, as 32-bit floats."""
+    scored = scoring.score_entities(
+        events(spark, folder), next_values_model(spark, folder), ["value"], ORDER, 1, "user_id")
+    return scored.select("user_id", F.posexplode("predictions").alias("step", "prediction")).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+
+
+@query(FITTED + """SELECT user_id, (2 * r + s.step)::INT AS step,
+  (CASE WHEN s.step = 0 THEN a0 + b0 * x ELSE a1 + b1 * x END)::FLOAT::DOUBLE AS prediction
+FROM e, m, range(2) s(step) WHERE r < 3""")
+def line_steps_ahead(spark, folder):
+    """Three blocks of two steps; each block starts one row later."""
+    scored = scoring.score_steps_ahead(
+        events(spark, folder), next_values_model(spark, folder), ["value"], ORDER, 1, 2, 6, ["user_id"])
+    return scored.select("user_id", F.posexplode("predictions").alias("step", "prediction")).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+
+
+@query(LINE.format(train="""p AS (SELECT *, n - 2 AS c FROM e WHERE r + 2 < n),
+t AS (SELECT * FROM p WHERE r < floor(c * 0.6::DOUBLE)),""") + """, s AS (SELECT y0, a0 + b0 * x AS p0, y1, a1 + b1 * x AS p1
+  FROM p, m WHERE r >= floor(c * 0.6::DOUBLE) + floor(c * 0.2::DOUBLE)),
+q AS (SELECT (avg(abs(y0 - p0)) + avg(abs(y1 - p1))) / 2 AS mae,
+  (avg((y0 - p0) ** 2) + avg((y1 - p1) ** 2)) / 2 AS mse,
+  sqrt((avg((y0 - p0) ** 2) + avg((y1 - p1) ** 2)) / 2) AS rmse,
+  1 - (avg((y0 - p0) ** 2) / var_pop(y0) + avg((y1 - p1) ** 2) / var_pop(y1)) / 2 AS r2,
+  (avg(abs(y0 - p0) / abs(y0)) + avg(abs(y1 - p1) / abs(y1))) * 50 AS mape,
+  (avg(abs(y0 - p0) / ((abs(y0) + abs(p0)) / 2)) + avg(abs(y1 - p1) / ((abs(y1) + abs(p1)) / 2))) * 50 AS smape FROM s)
+SELECT metric, round(value, 4) + 0.0 AS value FROM (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)""")
+def line_evaluation(spark, folder):
+    """Fit on the first 60 % of each user's windows, evaluate on the last 20 %."""
+    frame = tagged_windows(spark, folder, 1, 2)
+    model = training.fit_forecaster(frame, 2, 1, "linear", "dataset")
+    return scoring.evaluate(frame, model, 2, 1).withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query("""
+WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 3) + 0.0 AS prediction FROM lineitem, m
+""")
+def line_rows(spark, folder):
+    """Scaled input, fitted and scored row by row."""
+    data = items(spark, folder)
+    steps = [{"name": "normalize", "columns": ["l_quantity"]}]
+    state = prep.fit(data, steps)
+    ready = training.assemble(prep.apply(data, state, steps), ["l_quantity"])
+    model = training.fit_outputs(ready, [F.col("l_extendedprice")], "linear")
+    scored = scoring.score_rows(data, model, ["l_quantity"], state, steps)
+    return scored.select("l_orderkey", "l_linenumber", (F.round(F.col("prediction")[0], 3) + 0.0).alias("prediction"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|42')) - 1 AS r,
+                  count(*) OVER () AS n FROM lineitem),
+     f AS (SELECT r.*, CASE WHEN r < n // 3 + least(1, n % 3) THEN 0 WHEN r < 2 * (n // 3) + least(2, n % 3) THEN 1 ELSE 2 END AS fold FROM r),
+     k AS (SELECT i, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+           FROM f, range(3) t(i) WHERE f.fold <> i GROUP BY i),
+     s AS (SELECT i, l_extendedprice AS y, a + b * l_quantity AS p FROM f JOIN k ON f.fold = k.i),
+     q AS (SELECT i, avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse,
+                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / abs(y)) * 100 AS mape,
+                  avg(abs(y - p) / ((abs(y) + abs(p)) / 2)) * 100 AS smape FROM s GROUP BY i),
+     u AS (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)
+SELECT metric || '_mean' AS metric, round(avg(value), 2) + 0.0 AS value FROM u GROUP BY metric
+UNION ALL SELECT metric || '_std', round(stddev_pop(value), 2) + 0.0 FROM u GROUP BY metric
+""")
+def line_cross_validation(spark, folder):
+    """Three folds, each with its own scaling and line."""
+    data = table(spark, folder, "lineitem").select(*ITEM_KEY, "l_quantity", "l_extendedprice")
+    out = training.cross_validate(
+        data, 3, ITEM_KEY, ["l_quantity"], "l_extendedprice", [{"name": "normalize", "columns": ["l_quantity"]}], "linear")
+    return out.withColumn("value", F.round("value", 2) + 0.0)

@@ -29,7 +29,8 @@ HASH_PREFIX = 4  # hex digits: 65,536 equally likely chunks
 
 
 def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
-    """A reproducible random order; the columns must identify a row."""
+    """A reproducible random order. The columns should identify a row: rows that
+    agree in all of them always end up in the same part."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))
     return F.md5(text)
 

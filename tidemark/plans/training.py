@@ -16,7 +16,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, prep, split, windows
@@ -38,10 +38,10 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
-def in_threads(jobs: Sequence[Callable], threads: int = THREADS) -> list:
+def in_threads(spark: SparkSession, jobs: Sequence[Callable], threads: int = THREADS) -> list:
     """Submit Spark jobs together; the first failure is raised."""
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
 # --------------------------------------------------------------------------
@@ -108,7 +108,7 @@ def fit_outputs(
                 data = data.where(~F.col(validation))
             return learner(kind, **options).fit(data)
 
-        models = in_threads([lambda label=label: job(label) for label in labels], threads)
+        models = in_threads(df.sparkSession, [lambda label=label: job(label) for label in labels], threads)
     steps, targets = shape or (1, len(models))
     return OutputModels(models, steps, targets)
 
@@ -179,7 +179,7 @@ def staged_model(
 def fit_together(df: DataFrame, estimators: dict[str, Estimator], threads: int = THREADS) -> dict[str, Transformer]:
     """Fit several models on one table at the same time; any failure is raised."""
     with kept(df) as table:
-        fitted = in_threads([lambda e=e: e.fit(table) for e in estimators.values()], threads)
+        fitted = in_threads(df.sparkSession, [lambda e=e: e.fit(table) for e in estimators.values()], threads)
     return dict(zip(estimators, fitted))
 
 
