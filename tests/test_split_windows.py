@@ -117,7 +117,9 @@ def test_alignment_rules():
     ("auto", "tile", 1, [0] * 6), ("auto", "tile", 6, [0, 1, 2, 3, 4, 5]),
 ])
 @pytest.mark.parametrize("max_rows", [None, 2])
-def test_alignment(spark, method, family, have, want, max_rows):
+def test_alignment(spark, monkeypatch, method, family, have, want, max_rows):
+    if max_rows:
+        monkeypatch.setattr(compose, "MAX_BROADCAST_ROWS", 0)
     base = spark.range(6).select((F.col("id") * 10).alias("b"))
     source = spark.range(have).select(F.col("id").alias("s"))
     out = compose.align(base, source, ["b"], ["s"], ["s"], method, family, width=1, max_rows=max_rows)

@@ -165,7 +165,7 @@ def score_windows(spark, folder):
 def score_entities(spark, folder):
     """Online sequences of all users, gaps filled from history, one forecast each."""
     rows = shop(spark, folder).online_sequence(
-        ["viewed:value"], 12, 1, every_user(spark, folder), "user_id", "2024-01-30T00:00:00")
+        ["viewed:value"], 12, 1, every_user(spark, folder), "user_id", "2024-01-30T00:00:00", ordered=False)
     steps = [{"name": "fill_missing", "method": "mean", "columns": ["value"]}]
     state = prep.fit(events(spark, folder), steps)
     return scoring.score_entities(

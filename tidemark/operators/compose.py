@@ -16,6 +16,8 @@ from tidemark.operators.ordering import carry, measure, row_index
 
 # "tile", "truncate" and "pad_start" belong to one family of rules,
 # "spread" and "pad_end" to the other; "broadcast" to both.
+# Sources up to this many rows are broadcast; counted first.
+MAX_BROADCAST_ROWS = 500_000
 METHODS = ("broadcast", "tile", "spread", "truncate", "pad_start", "pad_end")
 
 
@@ -73,9 +75,10 @@ def align(
     In the ``spread`` family a broadcast also stretches a single source column to
     ``width`` columns (by default as many as the base has), named ``c_0``, ``c_1``, ...
 
-    The two row counts are counted first; they decide the method. The join is an
-    equi-join on the computed source position, split further by :func:`spread_join`
-    when one source row serves very many base rows.
+    The two row counts are counted first; they decide the method. A small source
+    is broadcast; otherwise the join is an equi-join on the computed source
+    position, split further by :func:`spread_join` when one source row serves very
+    many base rows.
     """
     want, have = base.count(), source.count()
     chosen = infer_method(have, want, family) if method == "auto" else ("none" if have == want else method)
@@ -90,6 +93,8 @@ def align(
             values = [F.col(columns[0]).alias(f"{prefix}{columns[0]}_{i}") for i in range(width)]
     right = right.select(F.col("_row").alias("_at"), *values)
     placed = left.withColumn("_at", source_position(F.col("_row"), have, want, chosen))
+    if have <= MAX_BROADCAST_ROWS:
+        return placed.join(F.broadcast(right), "_at").drop("_at", "_row")
     heavy = chosen in ("broadcast", "pad_start", "pad_end", "tile", "spread")
     # Enough copies of each repeated source row that no position serves too many rows.
     copies = -(-want // (max_rows or 1_000_000)) if heavy else 1

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordering import measure, running_total
+from tidemark.operators.ordering import measure_whole, running_total
 
 # The meaning of each clustering metric.
 EXPLANATIONS = {
@@ -190,9 +190,10 @@ def roc_auc(df: DataFrame, truth: str, score: str, max_rows: int | None = None)
     Rows collapse to one per score before anything is ordered.
     """
     positive = (F.col(truth).cast("double") > 0).cast("long")
-    scores = df.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    layout = measure(scores, [], ["score"], max_rows)
+    rows = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
+    layout = measure_whole(rows, "score", max_rows)
+    scores = rows.groupBy("score").agg(
+        F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
     ranked = running_total(scores, [], ["score"], {"below": "neg"}, layout)
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     area = ranked.agg(won.alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))

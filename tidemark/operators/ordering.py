@@ -31,6 +31,8 @@ ROWS_IN_ESTIMATE = 40_000
 # 1 / MAX_LONG_SERIES of the table, so the plain window is safe for it.
 MAX_LONG_SERIES = 10_000
 MAX_CHUNKS = 10_000
+# Tables of located ranks up to this many rows are broadcast; counted first.
+MAX_BROADCAST_RANKS = 500_000
 
 SERIES = "_series"
 CHUNK = "_chunk"
@@ -129,6 +131,15 @@ def measure(
     return replace(layout, cuts=tuple(sorted(set(found))))
 
 
+def measure_whole(df: DataFrame, column: str, max_rows: int | None = None) -> SeriesLayout:
+    """Layout of the whole table as one series along ``column``."""
+    max_rows = max_rows or MAX_ROWS_PER_TASK
+    n = df.count()
+    if n <= max_rows:
+        return SeriesLayout(())
+    return SeriesLayout((), ((),), cut_points(df, column, -(-n // max_rows) * 2), max_rows)
+
+
 def split_long(df: DataFrame, layout: SeriesLayout) -> tuple[DataFrame, DataFrame]:
     """Ordinary rows, and rows of long series tagged with a series number."""
     if not layout.keys:
@@ -254,13 +265,14 @@ def carry(
     """
     keys, order = list(keys), list(order)
     layout = _layout(df, keys, order, layout)
-    frame = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    nearest = F.last if forward else F.first
+    # Looking ahead means walking the reversed order: a frame that reaches to the
+    # end of the partition would be evaluated anew for every row.
+    along = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
 
     def within(part: DataFrame, by: list[str]) -> DataFrame:
-        window = _ordered(by, order).rowsBetween(*frame)
+        window = Window.partitionBy(*by).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
         return part.select(
-            "*", *[nearest(src, ignorenulls=True).over(window).alias(out) for out, src in columns.items()]
+            "*", *[F.last(src, ignorenulls=True).over(window).alias(out) for out, src in columns.items()]
         )
 
     if not layout.has_long_series:
@@ -273,12 +285,11 @@ def carry(
         *[edge(F.col(src), F.when(F.col(src).isNotNull(), position)).alias(f"_e{i}")
           for i, src in enumerate(columns.values())]
     )
-    others = Window.partitionBy(SERIES).orderBy(CHUNK)
-    others = (others.rowsBetween(Window.unboundedPreceding, -1) if forward
-              else others.rowsBetween(1, Window.unboundedFollowing))
+    chunk_order = F.col(CHUNK).asc() if forward else F.col(CHUNK).desc()
+    others = Window.partitionBy(SERIES).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         SERIES, CHUNK,
-        *[nearest(f"_e{i}", ignorenulls=True).over(others).alias(f"_c{i}") for i in range(len(columns))],
+        *[F.last(f"_e{i}", ignorenulls=True).over(others).alias(f"_c{i}") for i in range(len(columns))],
     )
     done = within(chunked, [SERIES, CHUNK]).join(carried, [SERIES, CHUNK])
     done = done.withColumns(
@@ -388,21 +399,21 @@ def select_ranks(
     order: Sequence[str],
     chunk: str,
     ranks: Callable[[Column], Column] | DataFrame,
-    weight: str | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """The rows at given ranks (from 0) of each group, without sorting the group.
 
     ``chunk`` is a column that never decreases along ``order``. A histogram over
-    the chunks locates each rank; only the chunks that hold one are sorted.
-    ``ranks`` maps the group size to an array of ranks, or is a table of group
-    columns and an array ``ranks``. ``weight`` says how many equal rows a row
-    stands for. Result: group columns, ``rank``, order columns, ``equal``, the
+    the chunks locates each rank; only the chunks that hold one are sorted, and
+    only their rows are shuffled. ``ranks`` maps the group size to an array of
+    ranks, or is a table of group columns and an array ``ranks``. ``groups``, the
+    counted number of groups, bounds the table of located ranks, which is then
+    broadcast. Result: group columns, ``rank``, order columns, ``equal``, the
     number of rows that are equal in the order columns, and ``offset``, the place
     among those.
     """
     by, order = list(by), list(order)
-    rows = F.col(weight) if weight else F.lit(1)
-    counts = df.groupBy(*by, chunk).agg(F.sum(rows).alias("_rows"))
+    counts = df.groupBy(*by, chunk).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     located = counts.select(
         *by, chunk,
@@ -426,10 +437,12 @@ def select_ranks(
     same = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in [*by, chunk]]
     )
+    if not by or (groups is not None and groups <= MAX_BROADCAST_RANKS):
+        wanted = F.broadcast(wanted)
     held = df.join(wanted, same).drop(*[f"_h_{c}" for c in [*by, chunk]])
     # Equal rows are merged before the sort.
     merged = held.groupBy(*by, chunk, *order).agg(
-        F.sum(rows).alias("_weight"), F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"))
+        F.count(F.lit(1)).alias("_weight"), F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"))
     earlier = _ordered([*by, chunk], order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_start") + F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
     placed = merged.withColumn("_first", first)
@@ -450,25 +463,24 @@ def percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles per group: group columns, ``probability``, ``value``.
 
-    Equal values are merged before any shuffle of rows, and a group larger than
-    one task is located through a histogram, so neither a frequent value nor a
-    large group ends up in one task.
+    Three light passes over the column: approximate quantiles cut it into chunks,
+    a histogram finds the chunks that hold the wanted ranks, and only the rows of
+    those are shuffled, equal values merged beforehand. Neither a frequent value
+    nor a large group ends up in one task.
     """
     by = list(by)
     values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
-    distinct = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    rows = df.agg(F.count(column)).first()[0]
-    chunks = -(-rows // (max_rows or MAX_ROWS_PER_TASK))
-    cuts = cut_points(values, "_v", chunks * 4 if chunks > 1 else 1)
-    chunked = with_chunk(distinct, "_v", cuts)
+    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    parts = -(-(known["rows"] or 0) // (max_rows or MAX_ROWS_PER_TASK))
+    chunked = with_chunk(values, "_v", cut_points(values, "_v", parts * 4 if parts > 1 else 1))
     spots = [float(p) for p in probabilities]
 
     def ranks(n: Column) -> Column:
         at = [(n - 1) * F.lit(p) for p in spots]
         return F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)])
 
-    found = select_ranks(chunked, by, ["_v"], CHUNK, ranks, weight="_w")
-    sizes = distinct.groupBy(*by).agg(F.sum("_w").alias("_n"))
+    found = select_ranks(chunked, by, ["_v"], CHUNK, ranks, known["groups"])
     picked = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))
     # One row per group on both sides.
     if by:

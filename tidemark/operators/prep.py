@@ -244,12 +244,13 @@ def _fit_classes(state: FittedState, parts: list[DataFrame]) -> None:
         # A dictionary too long for one task: index it over a distributed sort.
         indexed = sorted_index(distinct, ["column", "class"], "_at")
         start = indexed.groupBy("column").agg(F.min("_at").alias("_start"))
-        coded = indexed.join(F.broadcast(start), "column").withColumn("code", F.col("_at") - F.col("_start"))
+        coded = cut_lineage(
+            indexed.join(F.broadcast(start), "column").withColumn("code", F.col("_at") - F.col("_start")))
     else:
         window = Window.partitionBy("column").orderBy("class")
         coded = distinct.withColumn("code", F.row_number().over(window).cast("long") - 1)
     state.class_counts = counts
-    state.classes = cut_lineage(coded.select("column", "class", "code"))
+    state.classes = coded.select("column", "class", "code")
 
 
 # --------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import (
-    CHUNK, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
+    CHUNK, MAX_BROADCAST_RANKS, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
     with_chunk,
 )
 
@@ -25,7 +25,9 @@ DEFAULT_RATIOS = {"train": 0.6, "val": 0.2, "test": 0.2}
 DEFAULT_SEED = 42
 
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-HASH_PREFIX = 4  # hex digits: 65,536 equally likely chunks
+# Rows that one chunk of the random order should hold, and the finest division.
+ROWS_PER_HASH_CHUNK = 250_000
+MAX_HASH_DIGITS = 5
 
 
 def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
@@ -35,6 +37,14 @@ def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return F.md5(text)
 
 
+def hash_chunk(n: int) -> Column:
+    """The leading hex digits of the hash: equally likely chunks, as many as ``n`` rows need."""
+    digits = 1
+    while digits < MAX_HASH_DIGITS and n > ROWS_PER_HASH_CHUNK * 16**digits:
+        digits += 1
+    return F.substring("_hash", 1, digits)
+
+
 def sizes(n: int, ratios: dict[str, float]) -> tuple[int, int]:
     train, val, test = ratios["train"], ratios.get("val", 0.0), ratios["test"]
     if test <= 0:
@@ -159,7 +169,7 @@ def random_split(
     n = df.count()
     n_train, n_val = sizes(n, ratios)
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train, n_train + n_val], F.substring("_hash", 1, HASH_PREFIX))
+    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train, n_train + n_val], hash_chunk(n))
     cuts = [(at.get(n_train), "train"), (at.get(n_train + n_val), "val")]
     tagged = hashed.withColumn(out, _cut_tags(["_hash"], cuts, "test")).drop("_hash")
     return tagged if ratios.get("val", 0.0) else test_as_val(tagged, out)
@@ -181,7 +191,7 @@ def train_subset(df: DataFrame, ratio: float, order: Sequence[str] | None = None
         at = _rows_at(df.select(*order), order, [n_train], total=n)
         return df.where(_before(order, at[n_train]))
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train], F.substring("_hash", 1, HASH_PREFIX))
+    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train], hash_chunk(n))
     return hashed.where(_before(["_hash"], at[n_train])).drop("_hash")
 
 
@@ -222,7 +232,7 @@ def kfold(
     starts = _fold_starts(n, k)[1:]
     if shuffle:
         source = df.withColumn("_hash", shuffle_key(key, seed))
-        order, chunk = ["_hash"], F.substring("_hash", 1, HASH_PREFIX)
+        order, chunk = ["_hash"], hash_chunk(n)
     else:
         source, order, chunk = df, list(key), None
     at = _rows_at(source.select(*order), order, starts, chunk, total=n)
@@ -247,7 +257,7 @@ def stratified_kfold(
         raise ValueError("stratified folds need exactly one valid target column")
     by = names[0]
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    slim = hashed.select(by, "_hash").withColumn(CHUNK, F.substring("_hash", 1, HASH_PREFIX))
+    slim = hashed.select(by, "_hash").withColumn(CHUNK, hash_chunk(df.count()))
     # The surplus rows of a class go to the folds after those of the class before
     # it, so that the folds as a whole also differ by at most one row.
     earlier = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
@@ -263,7 +273,8 @@ def stratified_kfold(
         at = at + size
         starts.append(at.cast("long"))
     wanted = classes.select(by, F.array(*starts).alias("ranks"))
-    found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted)
+    n_classes = classes.count()
+    found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted, n_classes)
     passed = F.size(F.filter("ranks", lambda r: r <= F.col("rank")))
     steps = found.withColumnRenamed(by, "_class").join(wanted, F.col("_class").eqNullSafe(F.col(by)))
     # One row per class, holding at most k - 1 cuts.
@@ -271,6 +282,8 @@ def stratified_kfold(
     reached = F.transform(
         F.filter("_cuts", lambda c: c["_hash"] <= F.col("_hash")), lambda c: c["fold"]
     )
+    if n_classes <= MAX_BROADCAST_RANKS:
+        cuts = F.broadcast(cuts)
     return (
         hashed.join(cuts, F.col(by).eqNullSafe(F.col("_class")), "left")
         .withColumn(out, F.coalesce(F.array_max(reached), F.lit(0)).cast("int"))

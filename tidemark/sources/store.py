@@ -133,20 +133,25 @@ class FeatureStore:
 
     def sequence_by_range(
         self, references, start, end, step=timedelta(hours=1), ids=None, key: str = DEFAULT_KEY,
-        kind: str = "timestamp_ntz",
+        kind: str = "timestamp_ntz", ordered: bool = True,
     ) -> DataFrame:
-        """Features of every entity on the inclusive time grid, ordered by entity and time."""
+        """Features of every entity on the inclusive time grid, ordered by entity and time.
+
+        Jobs that order the rows themselves pass ``ordered=False`` and save a global sort.
+        """
         asof.parse_range(str(start), str(end))
         grid = asof.time_grid(self._ids(ids, key), start, end, step, EVENT_TIME, kind)
-        return self.historical(grid, references).orderBy(key, EVENT_TIME)
+        found = self.historical(grid, references)
+        return found.orderBy(key, EVENT_TIME) if ordered else found
 
     def latest_sequence(
         self, references, points, step_hours=1, ids=None, key: str = DEFAULT_KEY,
-        time_point: datetime | str = "now", kind: str = "timestamp_ntz",
+        time_point: datetime | str = "now", kind: str = "timestamp_ntz", ordered: bool = True,
     ) -> DataFrame:
         """The last ``points`` grid steps of every entity, ordered by entity and time."""
         grid = asof.latest_grid(self._ids(ids, key), time_point, points, step_hours, EVENT_TIME, kind)
-        return self.historical(grid, references).orderBy(key, EVENT_TIME)
+        found = self.historical(grid, references)
+        return found.orderBy(key, EVENT_TIME) if ordered else found
 
     def latest_sequence_of(self, references, points, entity_id=None, key: str = DEFAULT_KEY, **kw) -> DataFrame:
         """One entity's latest sequence; the first default id when none is given."""
@@ -198,14 +203,14 @@ class FeatureStore:
 
     def online_sequence(
         self, references, input_len=24, step_hours=1, ids=None, key: str = DEFAULT_KEY,
-        time_point: datetime | str = "now", end_date: datetime | str | None = None,
+        time_point: datetime | str = "now", end_date: datetime | str | None = None, ordered: bool = True,
     ) -> DataFrame:
         """Input window plus one day of history per entity.
 
         When nothing is known at ``time_point`` the sequence ends at ``end_date``.
         """
         points = input_len + 24 // step_hours
-        request = dict(points=points, step_hours=step_hours, ids=ids, key=key)
+        request = dict(points=points, step_hours=step_hours, ids=ids, key=key, ordered=ordered)
         found = self.latest_sequence(references, time_point=time_point, **request)
         names = [r.split(":")[1] for r in references]
         if end_date and found.where(F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()).isEmpty():
