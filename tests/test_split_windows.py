@@ -70,6 +70,21 @@ def test_tagged_parts(spark):
     assert [r["id"] for r in parts["val"].collect()] == [2]
 
 
+@pytest.mark.parametrize("rows", [300, 37])
+def test_chunked_random_orders_agree_with_sorting(spark, rows):
+    """The histogram way, forced by a small limit, gives the very same parts."""
+    df = spark.range(rows).withColumn("y", F.col("id") % 3).withColumn("name", F.format_string("n%05d", "id"))
+    shape = lambda out: sorted(map(tuple, out.collect()))
+    pairs = [
+        [split.random_split(df, ["id"], max_rows=m) for m in (None, 5)],
+        [split.kfold(df, 4, ["id"], max_rows=m) for m in (None, 5)],
+        [split.kfold(df, 4, ["name"], shuffle=False, max_rows=m) for m in (None, 5)],
+        [split.stratified_kfold(df, 5, "y", ["id"], max_rows=m) for m in (None, 5)],
+    ]
+    for plain, chunked in pairs:
+        assert shape(plain) == shape(chunked)
+
+
 def test_folds(spark):
     df = spark.range(23).withColumn("y", F.when(F.col("id") < 4, "rare").otherwise("common"))
     folds = split.kfold(df, 5, ["id"])

@@ -445,12 +445,16 @@ def select_ranks(
         F.count(F.lit(1)).alias("_weight"), F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"))
     earlier = _ordered([*by, chunk], order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_start") + F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
-    placed = merged.withColumn("_first", first)
-    inside = F.filter(
+    return _inside(merged.withColumn("_first", first), by, order)
+
+
+def _inside(placed: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows whose span of ranks, ``_first`` and ``_weight`` long, holds one of ``_ranks``."""
+    held = F.filter(
         "_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_weight"))
     )
     return placed.select(
-        *by, F.explode(inside).alias("rank"), *order, "_first", F.col("_weight").alias("equal")
+        *by, F.explode(held).alias("rank"), *order, "_first", F.col("_weight").alias("equal")
     ).withColumn("offset", F.col("rank") - F.col("_first")).drop("_first")
 
 
@@ -463,24 +467,35 @@ def percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles per group: group columns, ``probability``, ``value``.
 
-    Three light passes over the column: approximate quantiles cut it into chunks,
-    a histogram finds the chunks that hold the wanted ranks, and only the rows of
-    those are shuffled, equal values merged beforehand. Neither a frequent value
-    nor a large group ends up in one task.
+    Equal values are merged before they are shuffled. When no group can exceed one
+    task that is all; otherwise approximate quantiles cut the column into chunks, a
+    histogram finds the chunks that hold the wanted ranks, and only the rows of
+    those are shuffled. Neither a frequent value nor a large group ends up in one
+    task.
     """
     by = list(by)
     values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
-    parts = -(-(known["rows"] or 0) // (max_rows or MAX_ROWS_PER_TASK))
-    chunked = with_chunk(values, "_v", cut_points(values, "_v", parts * 4 if parts > 1 else 1))
     spots = [float(p) for p in probabilities]
+    limit = max_rows or MAX_ROWS_PER_TASK
 
     def ranks(n: Column) -> Column:
         at = [(n - 1) * F.lit(p) for p in spots]
         return F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)])
 
-    found = select_ranks(chunked, by, ["_v"], CHUNK, ranks, known["groups"])
+    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    total = known["rows"] or 0
+    if total <= limit:
+        merged = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_weight"))
+        whole = Window.partitionBy(*by)
+        earlier = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        found = _inside(merged.select(
+            "*", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_first"),
+            F.array_distinct(ranks(F.sum("_weight").over(whole))).alias("_ranks"),
+        ), by, ["_v"])
+    else:
+        cuts = cut_points(values, "_v", -(-total // limit) * 4)
+        found = select_ranks(with_chunk(values, "_v", cuts), by, ["_v"], CHUNK, ranks, known["groups"])
     picked = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))
     # One row per group on both sides.
     if by:

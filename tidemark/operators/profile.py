@@ -51,10 +51,13 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), max_rows: int
     number = F.col(value).cast("double")
     # NaN is a missing value here, as null is.
     clean = df.select(*by, F.when(~F.isnan(number), number).alias("_x"))
-    stats = clean.groupBy(*by).agg(
+    moments = [
         F.count(F.lit(1)).alias("n_samples"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
-    )
+    ]
+    names = ["mean", "std", "min", "max", "median", "q25", "q75"]
+    finish = lambda out: out.select(*by, "n_samples", *[F.round(c, 6).alias(c) for c in names])
+    stats = clean.groupBy(*by).agg(*moments)
     quartiles = percentiles(clean, by, "_x", [0.25, 0.5, 0.75], max_rows)
     # One row per group on both sides.
     if by:
@@ -70,8 +73,7 @@ def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), max_rows: int
         joined = stats.withColumns({
             name: quartiles.agg(at(p)).scalar() for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
         })
-    names = ["mean", "std", "min", "max", "median", "q25", "q75"]
-    return joined.select(*by, "n_samples", *[F.round(c, 6).alias(c) for c in names])
+    return finish(joined)
 
 
 def prediction_stats(df: DataFrame, predictions: str, by: Sequence[str] = ()) -> DataFrame:

@@ -85,6 +85,11 @@ def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: C
     if not ranks:
         return {}
     limit = max_rows or MAX_ROWS_PER_TASK
+    if total is not None and total <= limit:
+        # Small enough to be numbered by one task.
+        at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+        numbered = df.select(at.alias("rank"), *order).where(F.col("rank").isin(ranks))
+        return {rank: tuple(values) for rank, *values in _literals(df, numbered, ["rank"], order)}
     head, rest = order[0], list(order[1:])
     if chunk is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
         # Text has no cut points: number the rows over a distributed sort.
@@ -163,13 +168,14 @@ def random_split(
     ratios: dict[str, float] | None = None,
     seed: int = DEFAULT_SEED,
     out: str = "dataset",
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Exact-size split in a reproducible random order of the row key."""
     ratios = ratios or DEFAULT_RATIOS
     n = df.count()
     n_train, n_val = sizes(n, ratios)
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train, n_train + n_val], hash_chunk(n))
+    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train, n_train + n_val], hash_chunk(n), n, max_rows)
     cuts = [(at.get(n_train), "train"), (at.get(n_train + n_val), "val")]
     tagged = hashed.withColumn(out, _cut_tags(["_hash"], cuts, "test")).drop("_hash")
     return tagged if ratios.get("val", 0.0) else test_as_val(tagged, out)
@@ -191,7 +197,7 @@ def train_subset(df: DataFrame, ratio: float, order: Sequence[str] | None = None
         at = _rows_at(df.select(*order), order, [n_train], total=n)
         return df.where(_before(order, at[n_train]))
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train], hash_chunk(n))
+    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train], hash_chunk(n), n)
     return hashed.where(_before(["_hash"], at[n_train])).drop("_hash")
 
 
@@ -224,6 +230,7 @@ def kfold(
     seed: int = DEFAULT_SEED,
     shuffle: bool = True,
     out: str = "fold",
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Number the test fold of each row; without shuffling, folds are blocks in ``key`` order."""
     n = df.count()
@@ -235,7 +242,7 @@ def kfold(
         order, chunk = ["_hash"], hash_chunk(n)
     else:
         source, order, chunk = df, list(key), None
-    at = _rows_at(source.select(*order), order, starts, chunk, total=n)
+    at = _rows_at(source.select(*order), order, starts, chunk, n, max_rows)
     fold = F.lit(0)
     for start in starts:
         fold = fold + F.when(_before(order, at[start]), 0).otherwise(1)
@@ -249,6 +256,7 @@ def stratified_kfold(
     key: Sequence[str],
     seed: int = DEFAULT_SEED,
     out: str = "fold",
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Folds of near equal size within every class of the single target."""
     names = [target] if isinstance(target, str) else list(target)
@@ -257,7 +265,7 @@ def stratified_kfold(
         raise ValueError("stratified folds need exactly one valid target column")
     by = names[0]
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    slim = hashed.select(by, "_hash").withColumn(CHUNK, hash_chunk(df.count()))
+    n = df.count()
     # The surplus rows of a class go to the folds after those of the class before
     # it, so that the folds as a whole also differ by at most one row.
     earlier = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
@@ -274,6 +282,14 @@ def stratified_kfold(
         starts.append(at.cast("long"))
     wanted = classes.select(by, F.array(*starts).alias("ranks"))
     n_classes = classes.count()
+    if n <= (max_rows or MAX_ROWS_PER_TASK):
+        # No class is too large to be numbered by one task.
+        at = F.row_number().over(Window.partitionBy(by).orderBy("_hash")) - 1
+        per_class = wanted.select(F.col(by).alias("_class"), "ranks")
+        numbered = hashed.withColumn("_at", at).join(F.broadcast(per_class), F.col(by).eqNullSafe(F.col("_class")))
+        fold = F.size(F.filter("ranks", lambda r: r <= F.col("_at"))).cast("int")
+        return numbered.withColumn(out, fold).drop("_hash", "_at", "_class", "ranks")
+    slim = hashed.select(by, "_hash").withColumn(CHUNK, hash_chunk(n))
     found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted, n_classes)
     passed = F.size(F.filter("ranks", lambda r: r <= F.col("rank")))
     steps = found.withColumnRenamed(by, "_class").join(wanted, F.col("_class").eqNullSafe(F.col(by)))

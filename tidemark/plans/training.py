@@ -209,14 +209,14 @@ def cross_validate(
     """Mean and deviation of every metric over ``k`` random folds."""
     folded = (split.stratified_kfold(df, k, target, key, seed) if stratify
               else split.kfold(df, k, key, seed))
-    results = None
     with kept(folded) as table:
-        for i in range(k):
+        def job(i: int) -> list:
             tagged = table.withColumn("dataset", F.when(F.col("fold") == i, "test").otherwise("train")).drop("fold")
-            rows = evaluate_fold(tagged, features, target, steps, kind, **params).collect()  # one per metric
-            part = df.sparkSession.createDataFrame(rows, "metric string, value double")
-            results = part if results is None else results.unionByName(part)
-    return metrics.fold_summary(results)
+            return evaluate_fold(tagged, features, target, steps, kind, **params).collect()  # one row per metric
+
+        rows = in_threads(df.sparkSession, [lambda i=i: job(i) for i in range(k)])
+    per_fold = df.sparkSession.createDataFrame([r for part in rows for r in part], "metric string, value double")
+    return metrics.fold_summary(per_fold)
 
 
 def cross_validate_series(
@@ -226,21 +226,22 @@ def cross_validate_series(
 ) -> DataFrame:
     """Growing prefixes of time; each is windowed and split again by the ratios."""
     folds = split.expanding_folds(df, order, k, input_len, output_len)
-    results = None
-    for i in range(k):
+    train, val, _ = (ratios or split.DEFAULT_RATIOS).values()
+
+    def job(i: int) -> list:
         prefix = folds.where(F.col("fold") == i).drop("fold")
         frame = windows.supervised_windows(prefix, features, targets, order, input_len, output_len, keys)
-        train, val, _ = (ratios or split.DEFAULT_RATIOS).values()
         cut = F.floor(F.col("window_count") * train)
         cut_val = cut + F.floor(F.col("window_count") * val)
         tag = F.when(F.col("window_index") < cut, "train").when(F.col("window_index") < cut_val, "val").otherwise("test")
         with kept(frame.withColumn("dataset", tag)) as tagged:
             model = fit_forecaster(tagged, output_len, len(targets), kind, "dataset", **params)
             scored = model.transform(window_features(tagged.where("dataset = 'test'")))
-            errors = forecast_errors(scored, output_len, len(targets)).collect()  # one per metric
-        part = df.sparkSession.createDataFrame(errors, "metric string, value double")
-        results = part if results is None else results.unionByName(part)
-    return metrics.fold_summary(results)
+            return forecast_errors(scored, output_len, len(targets)).collect()  # one row per metric
+
+    rows = in_threads(df.sparkSession, [lambda i=i: job(i) for i in range(k)])
+    per_fold = df.sparkSession.createDataFrame([r for part in rows for r in part], "metric string, value double")
+    return metrics.fold_summary(per_fold)
 
 
 def forecast_errors(scored: DataFrame, steps: int, targets: int, aggregate: str | None = "mean") -> DataFrame:
