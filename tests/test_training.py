@@ -131,3 +131,12 @@ def test_search(spark):
         with pytest.raises(ValueError):
             training.search(**{**dict(space=space, evaluate=run, metric="mae_mean", trials=1), **bad})
     assert training.draw(space, random.Random(1)) == training.draw(space, random.Random(1))
+
+
+def test_named_stages(waves):
+    gaps = waves.withColumn("g", F.when(F.col("t") > 0, F.col("v")))
+    assert training.stage("imputer", ["g"], ["h"]).fit(gaps).transform(gaps).where("h IS NULL").isEmpty()
+    for kind, params in (("scaler", {}), ("pca", {"k": 1}), ("kmeans", {"k": 2})):
+        assert "out" in training.stage(kind, ["v", "w"], "out", **params).fit(waves).transform(waves).columns
+    with pytest.raises(ValueError):
+        training.stage("other", ["v"], "out")

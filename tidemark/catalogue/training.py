@@ -280,3 +280,64 @@ def line_cross_validation(spark, folder):
     out = training.cross_validate(
         data, 3, ITEM_KEY, ["l_quantity"], "l_extendedprice", [{"name": "normalize", "columns": ["l_quantity"]}], "linear")
     return out.withColumn("value", F.round("value", 2) + 0.0)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, value, row_number() OVER (ORDER BY ts, event_id) AS at FROM events),
+     f AS (SELECT i AS fold, least(1 + greatest(1, (n - 1 - 1) // 3) * (i + 1), n) AS last
+           FROM range(3) t(i), (SELECT count(*) AS n FROM events)),
+     p AS (SELECT fold, user_id, value AS x, lead(value) OVER w AS y, row_number() OVER w - 1 AS r,
+                  count(*) OVER (PARTITION BY fold, user_id) - 1 AS c
+           FROM e JOIN f ON e.at <= f.last WINDOW w AS (PARTITION BY fold, user_id ORDER BY ts, event_id)),
+     m AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p WHERE r < floor(c * 0.6::DOUBLE) AND r < c GROUP BY fold),
+     s AS (SELECT fold, y, a + b * x AS p FROM p JOIN m USING (fold)
+           WHERE r < c AND r >= floor(c * 0.6::DOUBLE) + floor(c * 0.2::DOUBLE)),
+     q AS (SELECT fold, avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse,
+                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / abs(y)) * 100 AS mape,
+                  avg(abs(y - p) / ((abs(y) + abs(p)) / 2)) * 100 AS smape FROM s GROUP BY fold),
+     u AS (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)
+SELECT metric || '_mean' AS metric, round(avg(value), 3) + 0.0 AS value FROM u GROUP BY metric
+UNION ALL SELECT metric || '_std', round(stddev_pop(value), 3) + 0.0 FROM u GROUP BY metric
+""")
+def line_cross_validation_in_time(spark, folder):
+    """Growing prefixes; in each, every user's next value from the current one."""
+    out = training.cross_validate_series(events(spark, folder), 3, ["value"], ["value"], ORDER, 1, 1, ["user_id"])
+    return out.withColumn("value", F.round("value", 3) + 0.0)
+
+
+@query("""
+WITH c AS (SELECT l_tax AS x, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+     t AS (SELECT x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM c
+           WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     b AS (SELECT x, sl / nl AS low, (s - sl) / (n - nl) AS high FROM t WHERE nl < n
+           ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax <= b.x THEN low ELSE high END, 3) AS prediction
+FROM lineitem, b
+""")
+def boosted_stump(spark, folder):
+    """One boosting round of one split: the best cut of the tax, and the mean price on each side."""
+    data = training.assemble(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_extendedprice"), ["l_tax"])
+    model = training.fit_outputs(data, [F.col("l_extendedprice")], "gbt", maxIter=1, maxDepth=1, seed=1)
+    scored = model.transform(data)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("prediction")[0], 3).alias("prediction"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1000 AS x, l_quantity + l_extendedprice / 1000 AS y FROM lineitem),
+     m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM p),
+     l AS (SELECT *, ((a + c) + sqrt((a - c) ** 2 + 4 * b * b)) / 2 AS top FROM m),
+     v AS (SELECT *, b / sqrt(b * b + (top - a) ** 2) AS v0, (top - a) / sqrt(b * b + (top - a) ** 2) AS v1 FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, round(abs((x - mx) * v0 + (y - my) * v1), 4) + 0.0 AS size_0,
+       round(abs((y - my) * v0 - (x - mx) * v1), 4) + 0.0 AS size_1
+FROM p, v
+""")
+def pca_two_columns(spark, folder):
+    """Two columns have a closed form; signs of the components are free, so sizes are compared."""
+    price = F.col("l_extendedprice") / 1000
+    data = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", price.alias("x"), (F.col("l_quantity") + price).alias("y"))
+    scored = training.stage("pca", ["x", "y"], "parts", k=2).fit(data).transform(data)
+    parts = vector_to_array("parts")
+    size = lambda i: (F.round(F.abs(parts[i]), 4) + 0.0).alias(f"size_{i}")
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", size(0), size(1))

@@ -160,6 +160,21 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 2, strategy: str = "
     ]).fit(df)
 
 
+def stage(kind: str, columns: Sequence[str], out: str | Sequence[str], **params) -> Pipeline:
+    """A feature stage by name, wired by column names: imputer, scaler, components or clusters."""
+    vector = VectorAssembler(inputCols=list(columns), outputCol=f"_{kind}_in")
+    if kind == "imputer":
+        return Pipeline(stages=[Imputer(inputCols=list(columns), outputCols=list(out), **params)])
+    if kind == "scaler":
+        return Pipeline(stages=[vector, StandardScaler(inputCol="_scaler_in", outputCol=out, **params)])
+    if kind == "pca":
+        centre = StandardScaler(inputCol="_pca_in", outputCol="_pca_c", withMean=True, withStd=False)
+        return Pipeline(stages=[vector, centre, PCA(inputCol="_pca_c", outputCol=out, **params)])
+    if kind == "kmeans":
+        return Pipeline(stages=[vector, KMeans(featuresCol="_kmeans_in", predictionCol=out, **{**KMEANS, **params})])
+    raise ValueError(f"unknown stage: {kind}")
+
+
 def staged_model(
     columns: Sequence[str], label: str, clusters: int = 3, components: int = 2, kind: str = "gbt", **params
 ) -> Pipeline:
