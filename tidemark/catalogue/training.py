@@ -88,7 +88,7 @@ def pca_feature(spark, folder):
 def cluster_as_feature(spark, folder):
     """Imputer, components and cluster id feed one boosted model."""
     data = items(spark, folder)
-    model = training.staged_model(ITEM_COLUMNS, "l_extendedprice", **BOOST).fit(data)
+    model = training.fit_stages(data, training.staged_model(ITEM_COLUMNS, "l_extendedprice", **BOOST))
     return scoring.score_stages(data, model).select(
         "l_orderkey", "l_linenumber", "cluster", F.round("prediction", 3).alias("prediction"))
 
@@ -235,7 +235,7 @@ q AS (SELECT (avg(abs(y0 - p0)) + avg(abs(y1 - p1))) / 2 AS mae,
   (avg((y0 - p0) ** 2) + avg((y1 - p1) ** 2)) / 2 AS mse,
   sqrt((avg((y0 - p0) ** 2) + avg((y1 - p1) ** 2)) / 2) AS rmse,
   1 - (avg((y0 - p0) ** 2) / var_pop(y0) + avg((y1 - p1) ** 2) / var_pop(y1)) / 2 AS r2,
-  (avg(abs(y0 - p0) / abs(y0)) + avg(abs(y1 - p1) / abs(y1))) * 50 AS mape,
+  (avg(abs(y0 - p0) / CASE WHEN abs(y0) > 0 THEN abs(y0) ELSE 1 END) + avg(abs(y1 - p1) / CASE WHEN abs(y1) > 0 THEN abs(y1) ELSE 1 END)) * 50 AS mape,
   (avg(abs(y0 - p0) / ((abs(y0) + abs(p0)) / 2)) + avg(abs(y1 - p1) / ((abs(y1) + abs(p1)) / 2))) * 50 AS smape FROM s)
 SELECT metric, round(value, 4) + 0.0 AS value FROM (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)""")
 def line_evaluation(spark, folder):
@@ -268,7 +268,7 @@ WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(l_orderkey || '|' || l_part
            FROM f, range(3) t(i) WHERE f.fold <> i GROUP BY i),
      s AS (SELECT i, l_extendedprice AS y, a + b * l_quantity AS p FROM f JOIN k ON f.fold = k.i),
      q AS (SELECT i, avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse,
-                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / abs(y)) * 100 AS mape,
+                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / CASE WHEN abs(y) > 0 THEN abs(y) ELSE 1 END) * 100 AS mape,
                   avg(abs(y - p) / ((abs(y) + abs(p)) / 2)) * 100 AS smape FROM s GROUP BY i),
      u AS (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)
 SELECT metric || '_mean' AS metric, round(avg(value), 2) + 0.0 AS value FROM u GROUP BY metric
@@ -293,7 +293,7 @@ WITH e AS (SELECT user_id, event_id, ts, value, row_number() OVER (ORDER BY ts,
      s AS (SELECT fold, y, a + b * x AS p FROM p JOIN m USING (fold)
            WHERE r < c AND r >= floor(c * 0.6::DOUBLE) + floor(c * 0.2::DOUBLE)),
      q AS (SELECT fold, avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse,
-                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / abs(y)) * 100 AS mape,
+                  1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p) / CASE WHEN abs(y) > 0 THEN abs(y) ELSE 1 END) * 100 AS mape,
                   avg(abs(y - p) / ((abs(y) + abs(p)) / 2)) * 100 AS smape FROM s GROUP BY fold),
      u AS (UNPIVOT q ON mae, mse, rmse, r2, mape, smape INTO NAME metric VALUE value)
 SELECT metric || '_mean' AS metric, round(avg(value), 3) + 0.0 AS value FROM u GROUP BY metric
@@ -337,7 +337,7 @@ def pca_two_columns(spark, folder):
     price = F.col("l_extendedprice") / 1000
     data = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", price.alias("x"), (F.col("l_quantity") + price).alias("y"))
-    scored = training.stage("pca", ["x", "y"], "parts", k=2).fit(data).transform(data)
+    scored = training.fit_stages(data.select("x", "y"), training.stage("pca", ["x", "y"], "parts", k=2)).transform(data)
     parts = vector_to_array("parts")
     size = lambda i: (F.round(F.abs(parts[i]), 4) + 0.0).alias(f"size_{i}")
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", size(0), size(1))

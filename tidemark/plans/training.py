@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
@@ -38,6 +38,17 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for a table that is read many times.
+
+    A job that passes over its rows again and again waits for the largest input
+    split every time; one shuffle of the few training columns removes that.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts)
+
+
 def in_threads(spark: SparkSession, jobs: Sequence[Callable], threads: int = THREADS) -> list:
     """Submit Spark jobs together; the first failure is raised."""
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
@@ -98,7 +109,9 @@ def fit_outputs(
     """
     labels = {f"_y{i}": y.cast("double") for i, y in enumerate(outputs)}
     extra = [validation] if validation else []
-    with kept(df.select(FEATURES, *extra, *[v.alias(k) for k, v in labels.items()])) as table:
+    rows = df.select(FEATURES, *extra, *[v.alias(k) for k, v in labels.items()])
+    # Boosting passes over the rows many times, a linear fit once or twice.
+    with kept(spread(rows) if kind.startswith("gbt") else rows) as table:
         def job(label: str):
             options = dict(params, labelCol=label)
             if validation and kind.startswith("gbt"):
@@ -146,18 +159,18 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_kmeans(df: DataFrame, features: str = FEATURES, out: str = "cluster", **params):
-    with kept(df.select(features)) as table:
+    with kept(spread(df.select(features))) as table:
         return KMeans(featuresCol=features, predictionCol=out, **{**KMEANS, **params}).fit(table)
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 2, strategy: str = "mean"):
     """Impute, centre and project; the centring is explicit because the projection has none."""
-    return Pipeline(stages=[
+    return fit_stages(df.select(*columns), Pipeline(stages=[
         Imputer(strategy=strategy, inputCols=list(columns), outputCols=[f"_i_{c}" for c in columns]),
         VectorAssembler(inputCols=[f"_i_{c}" for c in columns], outputCol="_v"),
         StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False),
         PCA(k=k, inputCol="_c", outputCol="pca"),
-    ]).fit(df)
+    ]))
 
 
 def stage(kind: str, columns: Sequence[str], out: str | Sequence[str], **params) -> Pipeline:
@@ -191,9 +204,15 @@ def staged_model(
     ])
 
 
+def fit_stages(df: DataFrame, stages: Pipeline) -> PipelineModel:
+    """Fit a pipeline of stages on evenly spread, kept rows."""
+    with kept(spread(df)) as table:
+        return stages.fit(table)
+
+
 def fit_together(df: DataFrame, estimators: dict[str, Estimator], threads: int = THREADS) -> dict[str, Transformer]:
     """Fit several models on one table at the same time; any failure is raised."""
-    with kept(df) as table:
+    with kept(spread(df)) as table:
         fitted = in_threads(df.sparkSession, [lambda e=e: e.fit(table) for e in estimators.values()], threads)
     return dict(zip(estimators, fitted))
 
@@ -224,7 +243,7 @@ def cross_validate(
     """Mean and deviation of every metric over ``k`` random folds."""
     folded = (split.stratified_kfold(df, k, target, key, seed) if stratify
               else split.kfold(df, k, key, seed))
-    with kept(folded) as table:
+    with kept(spread(folded)) as table:
         def job(i: int) -> list:
             tagged = table.withColumn("dataset", F.when(F.col("fold") == i, "test").otherwise("train")).drop("fold")
             return evaluate_fold(tagged, features, target, steps, kind, **params).collect()  # one row per metric
