@@ -92,6 +92,15 @@ def test_materialized_table_on_disk(spark, store, tmp_path):
     again.entities, again.views = store.entities, store.views
     got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id").collect()}
     assert got == {101: 600.0, 102: 800.0}
+    # A stream of feature rows continues the same table; its older rows replace nothing.
+    newer = spark.createDataFrame([(101, at(0), 640.0, 0), (102, at(9), 1.0, 1)], store.table("user_stats").schema.names[:2] + ["credit_score", "is_active"])
+    newer = newer.select("user_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
+                         F.col("credit_score").cast("float").alias("credit_score"), "is_active")
+    newer.write.parquet(str(tmp_path / "new"))
+    rows = spark.readStream.schema(newer.schema).parquet(str(tmp_path / "new"))
+    store.materialize_stream("user_stats", rows, str(tmp_path / "c")).awaitTermination()
+    got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id").collect()}
+    assert got == {101: 640.0, 102: 800.0}
 
 
 def test_range_checks(spark, store, stats):

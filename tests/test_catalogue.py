@@ -12,7 +12,10 @@ import __spark_entry__ as entry
 import check
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"parameter_search", "cross_validation", "cross_validation_in_time", "cluster_as_feature"}
+# Jobs without a SQL twin, covered by test_training.py.
+SLOW = {"parameter_search", "cross_validation", "cross_validation_in_time", "cluster_as_feature", "boosted_classifier",
+        "models_together", "boosted_forecast", "linear_forecast", "pca_feature", "score_rows", "score_windows",
+        "score_entities", "score_steps_ahead"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -1,6 +1,5 @@
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from tidemark.operators import features, prep
 from tidemark.sources import writers

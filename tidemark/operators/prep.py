@@ -168,9 +168,7 @@ def fit(
                 for c in columns:
                     averages.append((c, F.avg(c), _keep_fill(state, c, method)))
             elif method == "median":
-                for c in columns:
-                    rows = percentiles(work, [], c, [0.5], max_rows).collect()
-                    state.fills[c] = (method, rows[0]["value"] if rows else None)
+                state.fills.update(_fit_medians(work, columns, max_rows))
             else:
                 state.fills.update(_fit_modes(work, columns))
         elif name == "label_encoding":
@@ -214,6 +212,22 @@ def _keep_scale(state, column, method):
     return keep
 
 
+def _cells(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """Long form (column, value) of some columns, without nulls."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns
+    ])).alias("cell")
+    return df.select(cells).select("cell.*").where("value is not null")
+
+
+def _fit_medians(df: DataFrame, columns: Sequence[str], max_rows: int | None) -> dict[str, tuple[str, float | None]]:
+    found: dict[str, tuple[str, float | None]] = {c: ("median", None) for c in columns}
+    if columns:
+        for row in percentiles(_cells(df, columns, "double"), ["column"], "value", [0.5], max_rows).collect():
+            found[row["column"]] = ("median", row["value"])
+    return found
+
+
 def _fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, float | str]]:
     """Most frequent value per column, the smallest among equals, 0.0 without values."""
     found: dict[str, tuple[str, float | str]] = {c: ("mode", 0.0) for c in columns}
@@ -221,11 +235,8 @@ def _fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, fl
         group = [c for c in columns if _is_number(df, c) == numeric]
         if not group:
             continue
-        kind = "double" if numeric else "string"
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in group
-        ])).alias("cell")
-        counts = df.select(cells).select("cell.*").where("value is not null").groupBy("column", "value").count()
+        cells = _cells(df, group, "double" if numeric else "string")
+        counts = cells.groupBy("column", "value").count()
         best = counts.groupBy("column").agg(F.min(F.struct(-F.col("count"), "value")).alias("best"))
         for row in best.select("column", "best.value").collect():
             found[row["column"]] = ("mode", row["value"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof
 from tidemark.sources.readers import read_entities
+from tidemark.streaming.materialize import materialize_stream, read_latest
 
 EVENT_TIME = "event_timestamp"
 # Feature type names and what they are stored as.
@@ -165,24 +166,40 @@ class FeatureStore:
     # online -----------------------------------------------------------
 
     def materialize(self, name: str, start: datetime | str, end: datetime | str) -> DataFrame:
-        """Latest row per key within the inclusive range, kept as the view's latest table."""
+        """Latest row per key within the inclusive range, kept in the view's latest table."""
         view = self.view(name)
         asof.parse_range(str(start), str(end))
         latest = asof.latest_rows(
-            self.table(name), self.keys(view), view.time, list(view.schema), view.tie, start, end)
+            self.table(name), self.keys(view), view.time, self._stored(view), view.tie, start, end)
         if self.path:
-            target = f"{self.path}/latest/{name}"
-            latest.write.mode("overwrite").parquet(target)
-            latest = self.spark.read.parquet(target)
+            latest.write.mode("overwrite").parquet(f"{self._latest_path(name)}/batch=-1")
+            return self.latest(name)
         self._latest[name] = latest
         return latest
 
+    def materialize_stream(self, name: str, rows: DataFrame, checkpoint: str, available_now: bool = True):
+        """Keep the view's latest table current from a stream of its feature rows."""
+        view = self.view(name)
+        return materialize_stream(
+            rows, self._latest_path(name), checkpoint, self.keys(view), view.time, self._stored(view), view.tie,
+            available_now)
+
     def latest(self, name: str) -> DataFrame:
-        if name not in self._latest:
-            if not self.path:
-                raise ValueError(f"view {name} is not materialized")
-            self._latest[name] = self.spark.read.parquet(f"{self.path}/latest/{name}")
-        return self._latest[name]
+        """The newest stored row per key, whichever batch or stream wrote it."""
+        if name in self._latest:
+            return self._latest[name]
+        view = self.view(name)
+        return read_latest(
+            self.spark, self._latest_path(name), self.keys(view), view.time, self._stored(view), view.tie)
+
+    def _latest_path(self, name: str) -> str:
+        if not self.path:
+            raise ValueError(f"view {name} is not materialized and the store has no path")
+        return f"{self.path}/latest/{name}"
+
+    @staticmethod
+    def _stored(view: FeatureView) -> list[str]:
+        return list(dict.fromkeys([*view.tie, *view.schema]))
 
     def online(
         self, wanted: DataFrame, references: Sequence[str], as_of: datetime | str | None = None
