@@ -40,6 +40,7 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 0.75
+WHOLE = 0.95  # of a whole text to be a licence file
 _SENTENCE = r"\n|(?<=[.!?])\x20+"
 _WORD = "[a-z0-9]+"
 
@@ -112,7 +113,7 @@ def licence_notices(files: DataFrame, templates: dict[str, list[str]] | None = N
     short = F.size(F.filter(F.split(text, _SENTENCE, -1), lambda s: s.rlike("[A-Za-z0-9]"))) <= 3
     brief = F.when(F.char_length(text) <= 40 * longest, _words(text))
     whole = F.when(text.rlike(pattern) & short & F.col("brief").isNotNull(),
-                   best_template(F.col("brief"), templates, weights, unseen)["score"] >= threshold)
+                   best_template(F.col("brief"), templates, weights, unseen)["score"] >= WHOLE)
     frame = files.withColumn("brief", brief)
     others = [c for c in files.columns if c != "text"]
     none = F.array().cast("array<string>")

@@ -50,6 +50,7 @@ class LineRuns:
         self.scratch = Scratch(spark, "line-runs")
         self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = []
+        self.stale: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -71,8 +72,11 @@ class LineRuns:
     def add(self, lines: DataFrame) -> DataFrame:
         """Count a batch of (doc, k1, k2) whose docs are below all earlier ones.
 
-        Returns the batch's lines that were not settled before; lines of settled keys are repeats.
+        Returns the batch's lines that were not settled before; lines of settled keys are repeats. They are
+        to be read before the next batch, which removes runs that this one has merged.
         """
+        self.scratch.drop(*self.stale)
+        self.stale = []
         settled = self.settled()
         counts = lines.select(*KEY, "doc").distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"))
         fresh = lines
@@ -89,7 +93,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             older, self.levels[level] = self.levels[level], []
             whole = self.scratch.save(self.merged(older).sortWithinPartitions(*KEY), "run")
-            self.scratch.drop(*older)
+            self.stale += older
             self._put(whole, level + 1)
 
 
