@@ -77,10 +77,13 @@ def test_against_all_pairs(spark, max_rows):
 
 def test_materialize_and_lookup(spark, store):
     store.materialize("user_stats", "2024-01-01", "2024-12-31")
-    out = store.online(spark.createDataFrame([(101,), (102,), (999,)], "user_id long"),
-                       ["user_stats:credit_score", "user_stats:is_active"])
+    wanted = spark.createDataFrame([(101,), (102,), (999,)], "user_id long")
+    references = ["user_stats:credit_score", "user_stats:is_active"]
+    out = store.online(wanted, references, as_of=at())
     assert {r["user_id"]: (r["credit_score"], r["is_active"]) for r in out.collect()} == {
         101: (750.0, 1), 102: (800.0, 0), 999: (None, None)}
+    # Without a time the view's time to live counts from now, so old rows are expired.
+    assert {r["credit_score"] for r in store.online(wanted, references).collect()} == {None}
     late = store.online(spark.createDataFrame([(101,)], "user_id long"), ["user_stats:credit_score"], as_of=at(-30))
     assert late.first()["credit_score"] is None
 
@@ -90,7 +93,7 @@ def test_materialized_table_on_disk(spark, store, tmp_path):
     store.materialize("user_stats", str(at(6)), str(at(1, 12)))
     again = FeatureStore(spark, str(tmp_path))
     again.entities, again.views = store.entities, store.views
-    got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id").collect()}
+    got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id", at()).collect()}
     assert got == {101: 600.0, 102: 800.0}
     # A stream of feature rows continues the same table; its older rows replace nothing.
     newer = spark.createDataFrame([(101, at(0), 640.0, 0), (102, at(9), 1.0, 1)], store.table("user_stats").schema.names[:2] + ["credit_score", "is_active"])
@@ -99,10 +102,33 @@ def test_materialized_table_on_disk(spark, store, tmp_path):
     newer.write.parquet(str(tmp_path / "new"))
     rows = spark.readStream.schema(newer.schema).parquet(str(tmp_path / "new"))
     store.materialize_stream("user_stats", rows, str(tmp_path / "c")).awaitTermination()
-    got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id").collect()}
+    got = {r["user_id"]: r["credit_score"] for r in again.online_rows([101, 102], ["user_stats:credit_score"], "user_id", at()).collect()}
     assert got == {101: 640.0, 102: 800.0}
 
 
+def test_ranges_add_up(spark, store, tmp_path):
+    """A later range keeps the keys that only an earlier one has seen, in memory and on disk."""
+    for path in (None, str(tmp_path)):
+        store.path, store._latest = path, {}
+        store.materialize("user_stats", str(at(3)), str(at(2)))
+        store.materialize("user_stats", str(at(1)), str(at(0)))
+        got = {r["user_id"]: r["credit_score"] for r in store.latest("user_stats").collect()}
+        assert got == {101: 750.0, 102: 800.0}
+        store.materialize("user_stats", str(at(6)), str(at(4)))  # older rows replace nothing
+        assert {r["user_id"]: r["credit_score"] for r in store.latest("user_stats").collect()} == got
+    store.compact("user_stats")
+    assert {r["user_id"]: r["credit_score"] for r in store.latest("user_stats").collect()} == got
+    online = dict(view="user_stats", features=["credit_score"], kind="tabular", mode="online", key="user_id", ids=[101])
+    assert store.load(**online, time_point=str(at())).first()["credit_score"] == 750.0
+    assert store.load(**online).first()["credit_score"] is None
+
+
+def test_a_business_date_is_no_filter(spark):
+    entities = spark.createDataFrame([(1, at(2))], "k int, t timestamp_ntz")
+    features = spark.createDataFrame([(1, at(3), 5, at(0).date())], "k int, f timestamp_ntz, v int, event_date date")
+    assert asof.pit_join(entities, features, ["k"], "t", "f", ["v"]).first()["v"] == 5
+
+
 def test_range_checks(spark, store, stats):
     with pytest.raises(ValueError):
         store.materialize("user_stats", "2024-02-01", "2024-01-01")

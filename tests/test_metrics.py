@@ -80,7 +80,7 @@ def test_clusters(spark):
         "inertia", "n_clusters", "min_cluster_size", "max_cluster_size", "std_cluster_size"}
     texts = {r["metric"]: r["explanation"] for r in metrics.explain(
         spark.createDataFrame([("inertia", 1.0), ("other", 2.0)], "metric string, value double")).collect()}
-    assert texts["other"] == metrics.NO_EXPLANATION and texts["inertia"] == metrics.EXPLANATIONS["inertia"]
+    assert texts["other"] == metrics.NO_EXPLANATION and texts["inertia"] == "; ".join(metrics.EXPLANATIONS["inertia"])
 
 
 def test_lengths(spark):

@@ -129,7 +129,7 @@ def test_alignment_rules():
     ("auto", "tile", 3, [0, 1, 2, 0, 1, 2]), ("auto", "spread", 3, [0, 0, 1, 1, 2, 2]),
     ("auto", "tile", 4, [0, 0, 0, 1, 2, 3]), ("auto", "spread", 4, [0, 1, 2, 3, 3, 3]),
     ("spread", "spread", 4, [0, 1, 2, 3, 0, 1]), ("auto", "tile", 9, [0, 1, 2, 3, 4, 5]),
-    ("auto", "tile", 1, [0] * 6), ("auto", "tile", 6, [0, 1, 2, 3, 4, 5]),
+    ("auto", "tile", 1, [0] * 6), ("auto", "tile", 6, [0, 1, 2, 3, 4, 5]), ("pad_start", "tile", 8, [0, 1, 2, 3, 4, 5]),
 ])
 @pytest.mark.parametrize("max_rows", [None, 2])
 def test_alignment(spark, monkeypatch, method, family, have, want, max_rows):
@@ -147,6 +147,8 @@ def test_alignment_checks(spark):
         compose.align(base, source, ["id"], ["s"], ["s"], "other")
     with pytest.raises(ValueError):
         compose.align(base, source, ["id"], ["s"], ["s"], "tile")
+    with pytest.raises(ValueError):
+        compose.align(base, source, ["id"], ["s"], ["s"], "truncate")
     one = source.where("s = 0").withColumn("z", F.lit(7))
     wide = compose.align(base.withColumn("c", F.lit(1)), one, ["id"], ["s"], ["z"], family="spread")
     assert wide.columns == ["id", "c", "z_0", "z_1"] and wide.count() == 6
@@ -159,6 +161,11 @@ def test_composition(spark):
     out, origin = compose.compose(base, {"m": (spark.range(2).select(F.col("id").alias("v")), ["v"], ["v"])}, ["k"])
     assert origin == {"base": ["k"], "m": ["m_v"]}
     assert [r["m_v"] for r in out.orderBy("k").collect()] == [0, 1, 0, 1]
+    single = spark.range(1).select(F.col("id").alias("z"))
+    pair = spark.range(4).select(F.col("id").alias("a"), F.lit(1).alias("b"))
+    wide, origin = compose.compose(pair, {"p": (single, ["z"], ["z"]), "q": (single, ["z"], ["z"])}, ["a"], family="spread")
+    assert origin["p"] == ["p_z_0", "p_z_1"] and origin["q"] == ["q_z_0", "q_z_1"]
+    assert wide.columns == ["a", "b", *origin["p"], *origin["q"]]
     assert compose.restore_names(out, {"m_v": "v"}).columns == ["k", "v"]
 
 

@@ -33,37 +33,34 @@ def test_latest_table_matches_the_batch_twin(spark, rows, tmp_path):
     want = shape(asof.latest_rows(rows, ["k"], "t", ["n", "v"], ["n"]))
     latest = lambda: shape(materialize.read_latest(spark, out, ["k"], "t", ["n", "v"], ["n"]))
     assert latest() == want
-    # A full replay from the start writes the same folders again.
+    # A stream with a new checkpoint has folders of its own, also when it sees only other keys.
+    few = feed(spark, rows.where("k = 1").withColumn("k", F.lit(77).cast("long")), str(tmp_path / "more"), ["n >= 0"])
+    materialize.materialize_stream(few, out, str(tmp_path / "c3"), ["k"], "t", ["n", "v"], ["n"]).awaitTermination()
+    assert {r[0] for r in latest()} == {0, 1, 2, 3, 77}
+    want = latest()
     again = materialize.materialize_stream(stream, out, str(tmp_path / "c2"), ["k"], "t", ["n", "v"], ["n"])
     again.awaitTermination()
     assert latest() == want
-    materialize.compact(spark, out, str(tmp_path / "small"), ["k"], "t", ["n", "v"], ["n"])
-    assert shape(materialize.read_latest(spark, str(tmp_path / "small"), ["k"], "t", ["n", "v"], ["n"])) == want
+    materialize.compact(spark, out, ["k"], "t", ["n", "v"], ["n"])
+    assert latest() == want and len(list((tmp_path / "out").glob("batch=*"))) == 1
+    materialize.compact(spark, out, ["k"], "t", ["n", "v"], ["n"])
+    assert latest() == want
 
 
-def test_last_windows_and_scores(spark, rows, tmp_path):
-    stream = feed(spark, rows, str(tmp_path / "in"), ["n < 40", "n >= 40"])
-    frame = windows.supervised_windows(rows, ["v"], ["v"], ["t", "n"], 5, 1, ["k"])
+def test_windows_of_several_batches_and_their_scores(spark, rows, tmp_path):
+    # Batches out of order, one busy entity, and ties that differ only beyond 2**53.
+    busy = rows.unionByName(rows.select(F.lit(0).cast("long").alias("k"), "t", (F.col("n") + 2**53).alias("n"), (-F.col("v")).alias("v")))
+    parts = ["n >= 40 and n < 2e9", "n < 20", "n >= 20 and n < 40", "n >= 2e9 and n % 2 = 0", "n >= 2e9 and n % 2 = 1"]
+    stream = feed(spark, busy, str(tmp_path / "in"), parts)
+    frame = windows.supervised_windows(busy, ["v"], ["v"], ["t", "n"], 5, 1, ["k"])
     model = training.fit_forecaster(frame, 1, 1, "linear")
-    live = scoring.last_windows(stream, "k", "t", ["v"], 5, tie="n", ttl_ms=86_400_000)
-    scoring.score_stream(live, model, str(tmp_path / "out"), str(tmp_path / "c"), "k").awaitTermination()
-    newest = spark.read.parquet(str(tmp_path / "out")).groupBy("k").agg(F.max_by("predictions", "window_end_micros").alias("p"))
-    want = model.transform(training.window_features(windows.edge_window(rows, ["v"], ["t", "n"], 5, ["k"])))
-    got = {r["k"]: r["p"][0] for r in newest.collect()}
-    assert got == pytest.approx({r["k"]: r["prediction"][0] for r in want.collect()}, rel=1e-5)
-
-
-def test_late_rows_are_dropped(spark, rows, tmp_path):
-    late = rows.where("n < 12").withColumn("k", F.lit(99).cast("long"))
-    stream = feed(spark, rows.unionByName(late), str(tmp_path / "in"),
-                  ["n >= 60 and k < 99", "n >= 30 and n < 60", "k = 99"])
-    live = scoring.last_windows(stream, "k", "t", ["v"], 3, delay="5 minutes", tie="n")
-    seen = set()
-
-    def keep(batch, batch_id):
-        seen.update(r["k"] for r in batch.collect())
-
-    live.writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    # Key 99 appears only with rows from the first minutes, after the watermark had moved on.
-    assert seen == {0, 1, 2, 3}
+    path, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    scoring.score_stream(stream, model, path, out, str(tmp_path / "c"), "k", ["t", "n"], ["v"], 5).awaitTermination()
+    want = windows.edge_window(busy, ["v"], ["t", "n"], 5, ["k"])
+    assert shape(scoring.last_windows(spark, path, "k", ["t", "n"], ["v"], 5)) == shape(want)
+    newest = spark.read.parquet(out).groupBy("k").agg(F.max_by("predictions", F.struct("window_end", F.element_at(F.split("batch", "-"), -1).cast("int"))).alias("p"))
+    scored = {r["k"]: r["prediction"][0] for r in model.transform(training.window_features(want)).collect()}
+    assert {r["k"]: r["p"][0] for r in newest.collect()} == pytest.approx(scored, rel=1e-5)
+    again = feed(spark, rows.where("k = 1").withColumn("k", F.lit(50).cast("long")), str(tmp_path / "in2"), ["n >= 0"])
+    scoring.keep_newest(again, path, str(tmp_path / "c2"), "k", ["t", "n"], ["v"], 5).awaitTermination()
+    assert {r["k"] for r in scoring.last_windows(spark, path, "k", ["t", "n"], ["v"], 5).collect()} == {0, 1, 2, 3, 50}

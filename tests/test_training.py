@@ -58,7 +58,25 @@ def test_entities(waves, model):
     with pytest.raises(ValueError):
         scoring.score_entities(waves.where("k = 9"), model, ["v", "w"], ["t"], 6, "k", strict=True)
     holes = waves.withColumn("v", F.when(F.col("k") == 0, F.col("v")))
-    assert [r["k"] for r in scoring.score_entities(holes, model, ["v", "w"], ["t"], 6, "k").collect()] == [0]
+    kept = {r["k"]: r["predictions"] for r in scoring.score_entities(holes, model, ["v", "w"], ["t"], 6, "k").collect()}
+    assert kept[1] is None and kept[0] == [r["predictions"] for r in out if r["k"] == 0][0]
+
+
+def test_no_scored_row_vanishes_or_moves(spark, waves, model):
+    gaps = waves.withColumn("v", F.when(F.col("t") != 7, F.col("v")))
+    whole = {(r["k"], r["window_index"]): r["prediction"] for r in scoring.score_windows(waves, model, ["v", "w"], ["t"], 6, 2, ["k"]).collect()}
+    holed = {(r["k"], r["window_index"]): r["prediction"] for r in scoring.score_windows(gaps, model, ["v", "w"], ["t"], 6, 2, ["k"]).collect()}
+    assert holed.keys() == whole.keys()
+    # Windows 1 to 3 start at rows 2, 4 and 6 and read row 7.
+    assert all(holed[key] == (None if key[1] in (1, 2, 3) else whole[key]) for key in whole)
+    ahead = scoring.score_steps_ahead(gaps, model, ["v", "w"], ["t"], 6, 2, 10, ["k"], shift=2).collect()
+    for row in ahead:
+        assert row["blocks"] == 5
+        assert row["predictions"] == [*whole[row["k"], 0], *[None] * 6, *whole[row["k"], 4]]
+    line = training.fit_outputs(training.assemble(spark.range(20).select(F.col("id").cast("double").alias("x")), ["x"]), [F.col("x") * 2], "linear")
+    rows = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
+    scored = scoring.score_rows(rows, line, ["x"]).select("prediction").collect()
+    assert [r[0] and round(r[0][0], 6) for r in scored] == [2.0, None, None]
 
 
 def test_windows_and_steps_ahead(waves, model):

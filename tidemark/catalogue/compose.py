@@ -51,6 +51,31 @@ def align_pad_end(spark, folder):
     return aligned(spark, folder, "pad_end", "spread")
 
 
+@query("""
+WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r FROM supplier),
+     a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer)
+SELECT s_suppkey, c_custkey FROM b JOIN a USING (r)
+""")
+def align_pad_start_longer(spark, folder):
+    """A source that is longer than the base gives its first rows."""
+    return compose.align(
+        suppliers(spark, folder).select("s_suppkey"), customers(spark, folder), ["s_suppkey"], ["c_custkey"],
+        ["c_custkey"], "pad_start")
+
+
+@query("""
+SELECT c_custkey, c_nationkey, r_name AS p_r_name_0, r_name AS p_r_name_1, n_name AS q_n_name_0, n_name AS q_n_name_1
+FROM customer, (SELECT min(r_name) AS r_name FROM region), (SELECT max(n_name) AS n_name FROM nation)
+""")
+def compose_spread_wide(spark, folder):
+    """Single columns and rows stretched to the width and length of the base."""
+    base = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    low = table(spark, folder, "region").agg(F.min("r_name").alias("r_name"))
+    high = table(spark, folder, "nation").agg(F.max("n_name").alias("n_name"))
+    return compose.compose(base, {"p": (low, ["r_name"], ["r_name"]), "q": (high, ["n_name"], ["n_name"])},
+                           ["c_custkey"], family="spread")[0]
+
+
 @query("""
 WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r FROM supplier),
      a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer)
@@ -95,11 +120,11 @@ def compose_by_key(spark, folder):
 
 
 @query("""
-SELECT vec_id, embedding[1]::DOUBLE AS e_0, embedding[2]::DOUBLE AS e_1, embedding[3]::DOUBLE AS e_2 FROM embeddings
+SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e_{i}" for i in range(64)) + """ FROM embeddings
 """)
 def array_to_columns(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return vectors.select("vec_id", *compose.array_columns("e", 3, "e"))
+    return vectors.select("vec_id", *compose.array_columns("e", 64, "e"))
 
 
 @query("""

@@ -172,10 +172,10 @@ WITH c AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1),
      m AS (SELECT count(*)::DOUBLE AS n_clusters, min(n) AS min_cluster_size, max(n) AS max_cluster_size,
                   stddev_pop(n) AS std_cluster_size FROM a)
 SELECT metric, round(value, 6) + 0.0 AS value, CASE metric
-  WHEN 'n_clusters' THEN 'Number of cluster ids.'
-  WHEN 'min_cluster_size' THEN 'Rows in the smallest cluster.'
-  WHEN 'max_cluster_size' THEN 'Rows in the largest cluster.'
-  ELSE 'Standard deviation of the cluster sizes; shows imbalance.' END AS explanation
+  WHEN 'n_clusters' THEN 'largest id + 1; [0, n]; none'
+  WHEN 'min_cluster_size' THEN 'rows of the smallest cluster; [0, n]; none'
+  WHEN 'max_cluster_size' THEN 'rows of the largest cluster; [0, n]; none'
+  ELSE 'population deviation of cluster sizes; [0, n]; low' END AS explanation
 FROM (UNPIVOT m ON n_clusters, min_cluster_size, max_cluster_size, std_cluster_size INTO NAME metric VALUE value)
 """)
 def explained_metrics(spark, folder):
@@ -184,13 +184,16 @@ def explained_metrics(spark, folder):
 
 @query("""
 WITH x AS (SELECT unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS d FROM embeddings),
-     m AS (SELECT (d - 1)::INT AS output, avg(abs(y - y * 0.9::DOUBLE)) AS mae, avg((y - y * 0.9::DOUBLE) ** 2) AS mse FROM x GROUP BY d)
-SELECT output, metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT m ON mae, mse INTO NAME metric VALUE value)
+     p AS (SELECT d, y, y * 0.9::DOUBLE AS p, abs(y - y * 0.9::DOUBLE) AS miss FROM x),
+     m AS (SELECT (d - 1)::INT AS output, avg(miss) AS mae, avg(miss ** 2) AS mse,
+             1 - sum(miss ** 2) / (CASE WHEN var_pop(y) <> 0 THEN count(*) * var_pop(y) ELSE 1 END) AS r2,
+             100 * avg(miss / (CASE WHEN abs(y) > 0 THEN abs(y) ELSE 1 END)) AS mape,
+             100 * avg(CASE WHEN abs(y) + abs(p) <> 0 THEN miss / ((abs(y) + abs(p)) / 2) ELSE 0 END) AS smape FROM p GROUP BY d)
+SELECT output, metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT m ON mae, mse, r2, mape, smape INTO NAME metric VALUE value)
 """)
 def array_output_errors(spark, folder):
     """Array-valued outputs: one error per array position."""
     truth = F.col("embedding").cast("array<double>")
     scored = table(spark, folder, "embeddings").select(
         truth.alias("y"), F.transform(truth, lambda v: v * 0.9).alias("p"))
-    out = metrics.array_errors(scored, "y", "p").where(F.col("metric").isin("mae", "mse"))
-    return rounded(out, "value")
+    return rounded(metrics.array_errors(scored, "y", "p"), "value")

@@ -208,6 +208,11 @@ def imputer_most_frequent(spark, folder):
     return prep.impute(gappy_events(spark, folder).select("event_id", "value"), ["value"], "most_frequent")
 
 
+@query(GAPPY + "SELECT event_id, round(coalesce(value, (SELECT median(value) FROM e)), 6) + 0.0 AS value FROM e")
+def imputer_median(spark, folder):
+    return rounded(prep.impute(gappy_events(spark, folder).select("event_id", "value"), ["value"], "median"), "value")
+
+
 @query("SELECT l_discount, l_orderkey, l_quantity FROM lineitem")
 def select_sorted(spark, folder):
     return prep.select_columns(

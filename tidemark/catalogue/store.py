@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import asof
+from tidemark.session import scratch_path
 from tidemark.sources.store import FeatureStore, FeatureView
 
 VIEWED = FeatureView("viewed", ("user",), {"value": "float", "event_id": "int"}, ttl_days=2, time="ts",
@@ -167,3 +168,52 @@ def online_lookup(spark, folder):
     wanted = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
     out = store.online(wanted, ["viewed:value"], as_of="2024-01-31 00:00:00")
     return out.withColumn("value", F.round("value", 3).cast("double"))
+
+
+@query("""
+SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id,
+       round(arg_max(value, ts)::FLOAT, 3)::DOUBLE AS value
+FROM events WHERE event_type = 'view' AND (ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-10'
+  OR ts BETWEEN TIMESTAMP '2024-01-11' AND TIMESTAMP '2024-01-20') GROUP BY user_id
+""")
+def materialize_two_ranges(spark, folder):
+    """A later range keeps the users that only the earlier one has seen."""
+    store = shop(spark, folder)
+    store.path = scratch_path(spark, "store")
+    store.materialize("viewed", "2024-01-01 00:00:00", "2024-01-10 00:00:00")
+    store.materialize("viewed", "2024-01-11 00:00:00", "2024-01-20 00:00:00")
+    store.compact("viewed")
+    out = store.latest("viewed")
+    return out.select("user_id", "ts", "event_id", F.round("value", 3).cast("double").alias("value"))
+
+
+@query("""
+WITH l AS (SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value FROM events
+           WHERE event_type = 'view' AND ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'
+           GROUP BY user_id)
+SELECT u.user_id, round(CASE WHEN l.ts >= TIMESTAMP '2024-01-31' - INTERVAL 2 DAY THEN l.value END::FLOAT, 3)::DOUBLE AS value
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l USING (user_id)
+""")
+def load_online(spark, folder):
+    """The facade's online rows, with the view's time to live."""
+    store = shop(spark, folder)
+    store.materialize("viewed", "2024-01-01 00:00:00", "2024-01-31 00:00:00")
+    out = store.load("viewed", ["value"], kind="tabular", mode="online", key="user_id",
+                     ids=every_user(spark, folder), time_point="2024-01-31T00:00:00")
+    return out.withColumn("value", F.round("value", 3).cast("double"))
+
+
+@query("""
+WITH f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view')
+SELECT e.event_id, f.value AS view_value, strftime(f.ts::DATE + 40, '%Y-%m-%d') AS event_date
+FROM events e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.ts >= f.ts
+""")
+def pit_business_date(spark, folder):
+    """A feature called event_date is a feature, not the layout of the table."""
+    events = table(spark, folder, "events")
+    views = events.where("event_type = 'view'").select(
+        "user_id", F.col("ts").alias("view_ts"), "event_id", "value", F.date_add(F.to_date("ts"), 40).alias("event_date"))
+    return asof.pit_join(
+        events.select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "view_ts",
+        {"view_value": "value", "event_date": "event_date"}, tie=["event_id"],
+    ).select("event_id", "view_value", F.col("event_date").cast("string").alias("event_date"))

@@ -33,16 +33,31 @@ WITH e AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS r, count(
 SELECT user_id, (r - (n - 12))::INT AS step, value FROM e WHERE r >= n - 12 AND n >= 12
 """)
 def stream_last_window(spark, folder):
-    """The newest window each user had, kept as streaming state."""
-    path = scratch_path(spark, "windows")
-    windows = scoring.last_windows(event_stream(spark, folder), "user_id", "ts", ["value"], 12, tie="event_id")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    windows.writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
-    newest = spark.read.parquet(path).groupBy("user_id").agg(
-        F.max_by("x", F.struct("window_end_micros", "batch")).alias("x"))
-    steps = newest.select("user_id", F.posexplode("x").alias("step", "_values"))
+    """The newest window each user had."""
+    path, order = scratch_path(spark, "windows"), ["ts", "event_id"]
+    scoring.keep_newest(
+        event_stream(spark, folder), path, path + "-state", "user_id", order, ["value"], 12).awaitTermination()
+    steps = scoring.last_windows(spark, path, "user_id", order, ["value"], 12).select(
+        "user_id", F.posexplode("x").alias("step", "_values"))
     return steps.select("user_id", "step", F.col("_values")[0].alias("value"))
+
+
+@query("""
+SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value
+FROM events GROUP BY user_id
+""")
+def materialize_stream_in_parts(spark, folder):
+    """Two streams, each over several files in falling order of time, and a compaction between them."""
+    path, columns = scratch_path(spark, "parts"), ["event_id", "value"]
+    events = table(spark, folder, "events")
+    schema = events.schema
+    for name, part in (("odd", events.where("event_id % 2 = 1")), ("even", events.where("event_id % 2 = 0"))):
+        source = f"{path}-{name}"
+        for late in (False, True):
+            early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+            part.where(early if late else ~early).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        materialize.materialize_stream(
+            rows, path, f"{path}-{name}-state", ["user_id"], "ts", columns, ["event_id"]).awaitTermination()
+        materialize.compact(spark, path, ["user_id"], "ts", columns, ["event_id"])
+    return materialize.read_latest(spark, path, ["user_id"], "ts", columns, ["event_id"])

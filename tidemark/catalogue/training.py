@@ -24,10 +24,7 @@ def tagged_windows(spark, folder, input_len=8, output_len=2):
     """Windows per user, the earliest 60 % for training, the next 20 % to stop early."""
     frame = windows.supervised_windows(
         events(spark, folder), ["value"], ["value"], ORDER, input_len, output_len, ["user_id"])
-    n = F.col("window_count")
-    at = F.col("window_index")
-    tag = F.when(at < F.floor(n * 0.6), "train").when(at < F.floor(n * 0.6) + F.floor(n * 0.2), "val").otherwise("test")
-    return frame.withColumn("dataset", tag)
+    return split.tag_windows(frame)
 
 
 def items(spark, folder):
@@ -42,17 +39,15 @@ ITEM_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
 @query()
 def boosted_forecast(spark, folder):
     """Boosted trees on flat windows, one per step, evaluated on the last windows of each user."""
-    frame = tagged_windows(spark, folder)
-    with training.kept(frame) as data:
-        model = training.fit_forecaster(data, 2, 1, "gbt", "dataset", **BOOST)
+    frame = tagged_windows(spark, folder).persist()
+    model = training.fit_forecaster(frame, 2, 1, "gbt", "dataset", **BOOST)
     return rounded(scoring.evaluate(frame, model, 2, 1), "value")
 
 
 @query()
 def linear_forecast(spark, folder):
-    frame = tagged_windows(spark, folder)
-    with training.kept(frame) as data:
-        model = training.fit_forecaster(data, 2, 1, "linear", "dataset")
+    frame = tagged_windows(spark, folder).persist()
+    model = training.fit_forecaster(frame, 2, 1, "linear", "dataset")
     return rounded(scoring.evaluate(frame, model, 2, 1), "value")
 
 
@@ -228,6 +223,54 @@ def line_steps_ahead(spark, folder):
         "prediction", F.col("prediction").cast("double"))
 
 
+GAPS = FITTED.replace("FROM t)", "FROM t),\ng AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN x END AS gx FROM e)").replace(
+    "SELECT user_id, ts, value AS x", "SELECT user_id, ts, event_id, value AS x")
+
+
+def gapped(spark, folder):
+    """The events with every fifth value missing."""
+    return events(spark, folder).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+
+
+@query(GAPS + """SELECT user_id, r // 2 AS window_index, (a0 + b0 * gx)::FLOAT::DOUBLE AS step_0, (a1 + b1 * gx)::FLOAT::DOUBLE AS step_1
+FROM g, m WHERE r % 2 = 0""")
+def line_windows_gaps(spark, folder):
+    """A window with a missing value stays, with null predictions."""
+    scored = scoring.score_windows(gapped(spark, folder), next_values_model(spark, folder), ["value"], ORDER, 1, 2, ["user_id"])
+    return scored.select("user_id", "window_index", *[F.col("prediction")[i].cast("double").alias(f"step_{i}") for i in (0, 1)])
+
+
+@query(GAPS + """SELECT user_id, (a0 + b0 * gx)::FLOAT::DOUBLE AS step_0, (a1 + b1 * gx)::FLOAT::DOUBLE AS step_1 FROM g, m WHERE r = n - 1""")
+def line_entities_gaps(spark, folder):
+    """An entity whose last value is missing stays, with a null prediction."""
+    scored = scoring.score_entities(gapped(spark, folder), next_values_model(spark, folder), ["value"], ORDER, 1, "user_id")
+    return scored.select("user_id", *[F.col("predictions")[i].cast("double").alias(f"step_{i}") for i in (0, 1)])
+
+
+@query(GAPS + """SELECT user_id, (2 * r + s.step)::INT AS step,
+  (CASE WHEN s.step = 0 THEN a0 + b0 * gx ELSE a1 + b1 * gx END)::FLOAT::DOUBLE AS prediction
+FROM g, m, range(2) s(step) WHERE r < 3""")
+def line_steps_ahead_gaps(spark, folder):
+    """A block whose window has a missing value keeps its place."""
+    scored = scoring.score_steps_ahead(
+        gapped(spark, folder), next_values_model(spark, folder), ["value"], ORDER, 1, 2, 6, ["user_id"])
+    return scored.select("user_id", F.posexplode("predictions").alias("step", "prediction")).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+
+
+@query("""
+WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 <> 0 THEN round(a + b * l_quantity, 3) + 0.0 END AS prediction FROM lineitem, m
+""")
+def line_rows_gaps(spark, folder):
+    """A row with a missing value stays, with a null prediction."""
+    data = items(spark, folder)
+    model = training.fit_outputs(training.assemble(data, ["l_quantity"]), [F.col("l_extendedprice")], "linear")
+    holes = data.withColumn("l_quantity", F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity")))
+    scored = scoring.score_rows(holes, model, ["l_quantity"])
+    return scored.select("l_orderkey", "l_linenumber", (F.round(F.col("prediction")[0], 3) + 0.0).alias("prediction"))
+
+
 @query(LINE.format(train="""p AS (SELECT *, n - 2 AS c FROM e WHERE r + 2 < n),
 t AS (SELECT * FROM p WHERE r < floor(c * 0.6::DOUBLE)),""") + """, s AS (SELECT y0, a0 + b0 * x AS p0, y1, a1 + b1 * x AS p1
   FROM p, m WHERE r >= floor(c * 0.6::DOUBLE) + floor(c * 0.2::DOUBLE)),

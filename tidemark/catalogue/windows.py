@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
-from tidemark.operators import windows
+from tidemark.operators import split, windows
 
 ORDER = ["ts", "event_id"]
 
@@ -87,3 +87,17 @@ def flat_window(spark, folder):
     frame = windows.edge_window(events(spark, folder), ["value", "event_id"], ORDER, 6, ["user_id"])
     flat = frame.select("user_id", vector_to_array(windows.flat_vector()).alias("flat"))
     return flat.select("user_id", F.posexplode("flat").alias("position", "value"))
+
+
+@query("""
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r,
+                  count(*) OVER (PARTITION BY user_id) - 5 AS c FROM events)
+SELECT user_id, r AS window_index, CASE WHEN r < floor(c * 0.6::DOUBLE) THEN 'train'
+  WHEN r < floor(c * 0.6::DOUBLE) + floor(c * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS dataset
+FROM e WHERE r < c
+""")
+def windows_split_in_time(spark, folder):
+    """Windows of four rows and two following ones, split per user."""
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+    frame = windows.supervised_windows(events, ["value"], ["value"], ["ts", "event_id"], 4, 2, ["user_id"])
+    return split.tag_windows(frame).select("user_id", "window_index", "dataset")

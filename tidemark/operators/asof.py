@@ -42,6 +42,7 @@ class FeatureSide:
     ttl: timedelta | float | None = None
     tie: tuple[str, ...] = ()
     matched_time: str | None = None
+    day: str | None = None  # column of the UTC day of ``time``, if the table is laid out in day folders
 
 
 def prune_sides(
@@ -70,10 +71,11 @@ def prune_sides(
         if side.ttl is not None:
             low = time_literal(facts["lo"], kind) - interval(side.ttl)
             rows = rows.where(F.col(side.time) >= low)
-        if DATE in rows.columns:
-            rows = rows.where(F.col(DATE) <= high.cast("date"))
+        if side.day:
+            # One day more on both sides, for folders cut in another time zone.
+            rows = rows.where(F.col(side.day) <= F.date_add(high.cast("date"), 1))
             if side.ttl is not None:
-                rows = rows.where(F.col(DATE) >= low.cast("date"))
+                rows = rows.where(F.col(side.day) >= F.date_sub(low.cast("date"), 1))
         if facts["n"] <= MAX_BROADCAST_KEYS:
             wanted = entities.select(*keys).distinct()
             rows = rows.join(F.broadcast(wanted), list(keys), "left_semi")

@@ -38,7 +38,9 @@ def infer_method(have: int, want: int, family: str = "tile") -> str:
 
 def source_position(position: Column, have: int, want: int, method: str) -> Column:
     """Which source row goes to the given target position."""
-    if method in ("none", "truncate"):
+    if method == "truncate" and have < want:
+        raise ValueError(f"cannot truncate {have} rows to {want}")
+    if method in ("none", "truncate") or (method == "pad_start" and have >= want):
         return position
     if method == "broadcast":
         return F.lit(0).cast("long")
@@ -52,6 +54,7 @@ def source_position(position: Column, have: int, want: int, method: str) -> Colu
         run = have * times
         return F.when(position < run, F.floor(position / times)).otherwise(position - run).cast("long")
     if method == "pad_start":
+        # A longer source gives its first rows, a shorter one repeats its first row in front.
         return F.greatest(position - (want - have), F.lit(0)).cast("long")
     if method == "pad_end":
         return F.least(position, F.lit(have - 1)).cast("long")
@@ -132,8 +135,9 @@ def compose(
     """
     out, origin = base, {"base": list(base.columns)}
     for name, (table, order, columns) in sources.items():
-        out = align(out, table, base_order, order, columns, method, family, prefix=f"{name}_")
-        origin[name] = [f"{name}_{c}" for c in columns]
+        before = set(out.columns)
+        out = align(out, table, base_order, order, columns, method, family, prefix=f"{name}_", width=len(base.columns))
+        origin[name] = [c for c in out.columns if c not in before]
     return out, origin
 
 

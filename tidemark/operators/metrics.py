@@ -14,18 +14,18 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ordering import measure_whole, running_total
 
-# The meaning of each clustering metric.
+# What each clustering metric measures, the range of its values and which end is wanted.
 EXPLANATIONS = {
-    "inertia": "Sum of squared distances to the cluster centre; lower means tighter clusters.",
-    "silhouette_score": "Mean silhouette from -1 to 1; higher means better separated clusters.",
-    "calinski_harabasz": "Dispersion between clusters over dispersion within; higher is better.",
-    "davies_bouldin": "Mean similarity of each cluster to its most similar one; lower is better.",
-    "n_clusters": "Number of cluster ids.",
-    "min_cluster_size": "Rows in the smallest cluster.",
-    "max_cluster_size": "Rows in the largest cluster.",
-    "std_cluster_size": "Standard deviation of the cluster sizes; shows imbalance.",
+    "calinski_harabasz": ("between / within dispersion", "[0, inf)", "high"),
+    "davies_bouldin": ("mean over clusters of max (s_i + s_j) / d_ij", "[0, inf)", "low"),
+    "inertia": ("sum of squared distances to own centre", "[0, inf)", "low"),
+    "max_cluster_size": ("rows of the largest cluster", "[0, n]", "none"),
+    "min_cluster_size": ("rows of the smallest cluster", "[0, n]", "none"),
+    "n_clusters": ("largest id + 1", "[0, n]", "none"),
+    "silhouette_score": ("mean of (b - a) / max(a, b), squared distances", "[-1, 1]", "high"),
+    "std_cluster_size": ("population deviation of cluster sizes", "[0, n]", "low"),
 }
-NO_EXPLANATION = "No explanation available."
+NO_EXPLANATION = "unknown metric"
 
 # Cluster tables up to this many rows are broadcast; counted first.
 MAX_BROADCAST_CLUSTERS = 20_000
@@ -187,9 +187,16 @@ def classification_metrics(
 def roc_auc(df: DataFrame, truth: str, score: str, max_rows: int | None = None) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half. No row without two classes.
 
-    Rows collapse to one per score before anything is ordered.
+    The larger of the two labels is the positive one; a third label is an error. Rows without a label
+    are passed over. Rows collapse to one per score before anything is ordered.
     """
-    positive = (F.col(truth).cast("double") > 0).cast("long")
+    df = df.where(F.col(truth).isNotNull())
+    ends = df.agg(F.min(truth).alias("low"), F.max(truth).alias("high")).first()
+    if ends["high"] is None or ends["low"] == ends["high"]:
+        return df.sparkSession.createDataFrame([], "metric string, value double")
+    label, low, high = F.col(truth), F.lit(ends["low"]), F.lit(ends["high"])
+    third = F.raise_error(F.lit("more than two labels")).cast("long")
+    positive = F.when(label == high, 1).when(label == low, 0).otherwise(third).cast("long")
     rows = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
     layout = measure_whole(rows, "score", max_rows)
     scores = rows.groupBy("score").agg(
@@ -340,7 +347,7 @@ def cluster_metrics(df: DataFrame, features: str, label: str) -> DataFrame:
 
 
 def explain(metrics: DataFrame) -> DataFrame:
-    """Add a sentence saying what each metric means."""
-    texts = F.create_map(*[F.lit(t) for pair in EXPLANATIONS.items() for t in pair])
+    """Add what each metric measures, its range and the wanted end, as one text."""
+    texts = F.create_map(*[F.lit(t) for name, parts in EXPLANATIONS.items() for t in (name, "; ".join(parts))])
     return metrics.withColumn(
         "explanation", F.coalesce(F.try_element_at(texts, F.col("metric")), F.lit(NO_EXPLANATION)))

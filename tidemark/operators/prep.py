@@ -371,4 +371,13 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> Dat
     """Imputer step; ``most_frequent`` is the mode."""
     names = list(columns)
     kind = "mode" if strategy == "most_frequent" else strategy
+    if kind == "median":
+        # Spark's own imputer approximates; one row of exact medians is attached instead.
+        out = df
+        for name in names:
+            finite = df.select(F.nanvl(F.col(name).cast("double"), F.lit(None)).alias(name))
+            middle = percentiles(finite, [], name, [0.5]).select("value")
+            value = F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None)), middle.scalar())
+            out = out.withColumn(name, value.cast(df.schema[name].dataType))
+        return out
     return Imputer(strategy=kind, inputCols=names, outputCols=names).fit(df).transform(df)

@@ -343,3 +343,19 @@ def expanding_folds(
             first = first + F.when(_before(order, at[end]), 0).otherwise(1)
     inside = df.withColumn("_first", first.cast("int")).where(F.col("_first") < len(ends))
     return inside.withColumn(out, F.explode(F.sequence(F.col("_first"), F.lit(len(ends) - 1)))).drop("_first")
+
+
+def tag_windows(
+    frame: DataFrame, ratios: dict[str, float] | None = None, out: str = "dataset",
+    index: str = "window_index", count: str = "window_count",
+) -> DataFrame:
+    """Split the windows of every series in time: the first part trains, the next validates, the last tests.
+
+    Map-only, since a window knows its number and how many its series has. A series with too few windows
+    for a part leaves that part empty.
+    """
+    ratios = ratios or DEFAULT_RATIOS
+    sizes(1, ratios)
+    cut = F.floor(F.col(count) * F.lit(float(ratios["train"])))
+    cut_val = cut + F.floor(F.col(count) * F.lit(float(ratios.get("val", 0.0))))
+    return frame.withColumn(out, F.when(F.col(index) < cut, "train").when(F.col(index) < cut_val, "val").otherwise("test"))

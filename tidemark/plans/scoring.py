@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import finite_or_zero
 from tidemark.operators import metrics, prep, windows
-from tidemark.plans.training import OutputModels, assemble, forecast_errors, window_features
+from tidemark.plans.training import OutputModels, forecast_errors, predict_all, window_features
 
 
 def sanitize(predictions: str | Column) -> Column:
@@ -23,18 +23,22 @@ def score_rows(
     df: DataFrame, model: OutputModels, columns: Sequence[str], state=None, steps: Sequence[dict] = (),
     probabilities: bool = False,
 ) -> DataFrame:
-    """Apply the fitted preprocessing, then the model, row by row."""
+    """Apply the fitted preprocessing, then the model, row by row; a row with a missing value gets null."""
     ready = prep.apply(df, state, steps) if state else df
-    return model.transform(assemble(ready, columns), probabilities=probabilities)
+    flat = F.array(*[F.col(c).cast("double") for c in columns])
+    return predict_all(model, ready.withColumn("_flat", flat), probabilities=probabilities)
 
 
 def score_windows(
     df: DataFrame, model: OutputModels, features: Sequence[str], order: Sequence[str], input_len: int,
     output_len: int, keys: Sequence[str] = (), stride: int | None = None,
 ) -> DataFrame:
-    """Every window of every series; series that are too short are absent."""
+    """Every window of every series, with a null prediction where a value is missing.
+
+    Series that are too short are absent.
+    """
     frame = windows.inference_windows(df, features, order, input_len, output_len, keys, stride)
-    scored = model.transform(window_features(frame))
+    scored = predict_all(model, frame.withColumn("_flat", windows.flat("x")))
     return scored.select(*keys, "window_index", "window_end", sanitize("prediction").alias("prediction"))
 
 
@@ -44,11 +48,12 @@ def score_entities(
 ) -> DataFrame:
     """One forecast per entity from its last (or first) window, all entities in one job.
 
-    Entities without a full window are absent; with ``strict`` an empty result is an error.
+    Entities without a full window are absent, a window with a missing value gives null; with ``strict`` an empty result is an error.
     """
     ready = prep.apply(df, state, steps, order, [key]) if state else df
     frame = windows.edge_window(ready, features, order, input_len, [key], anchor)
-    out = model.transform(window_features(frame)).select(key, sanitize("prediction").alias("predictions"))
+    scored = predict_all(model, frame.withColumn("_flat", windows.flat("x")))
+    out = scored.select(key, sanitize("prediction").alias("predictions"))
     if strict and out.isEmpty():
         raise ValueError("no entity could be scored")
     return out
@@ -66,17 +71,21 @@ def score_steps_ahead(
     """Several forecast blocks per series, one after the other.
 
     Block ``b`` reads the window that starts ``b * shift`` rows into the series;
-    predictions are not fed back. Blocks without a full window are left out.
+    predictions are not fed back. Blocks without a full window are left out; a
+    block whose window has a missing value keeps its place and holds nulls.
     ``shift=output_len`` makes the blocks adjoin in time.
     """
     blocks = -(-steps_ahead // output_len)
     frame = windows.inference_windows(df, features, order, input_len, output_len, keys, shift)
-    scored = model.transform(window_features(frame.where(F.col("window_index") < blocks)))
+    frame = frame.where(F.col("window_index") < blocks).withColumn("_flat", windows.flat("x"))
+    scored = predict_all(model, frame)
+    empty = F.array_repeat(F.lit(None).cast("float"), len(model.models))
+    scored = scored.select(*keys, "window_index", F.coalesce(sanitize("prediction"), empty).alias("prediction"))
     # At most ``blocks`` rows per series are gathered.
     ordered = F.array_sort(F.collect_list(F.struct("window_index", "prediction")))
     return scored.groupBy(*keys).agg(ordered.alias("_blocks")).select(
         *keys, F.size("_blocks").alias("blocks"),
-        sanitize(F.flatten(F.transform("_blocks", lambda b: b["prediction"]))).alias("predictions"),
+        F.flatten(F.transform("_blocks", lambda b: b["prediction"])).alias("predictions"),
     )
 
 

@@ -131,8 +131,26 @@ def complete(df: DataFrame, value: str) -> DataFrame:
     return df.where(~F.exists(value, lambda v: v.isNull() | F.isnan(v)))
 
 
+def gap_free(features: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a flag that says whether ``_flat`` has no gap, and gaps replaced by 0.
+
+    A model can then be applied to every row, and the flag tells which predictions mean something.
+    """
+    whole = "_whole"
+    flagged = features.withColumn(whole, ~F.exists("_flat", lambda v: v.isNull() | F.isnan(v)))
+    filled = F.transform("_flat", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    return flagged.withColumn(FEATURES, array_to_vector(filled)).drop("_flat"), whole
+
+
+def predict_all(model: OutputModels, features: DataFrame, out: str = "prediction", probabilities: bool = False) -> DataFrame:
+    """Predictions for every row that has ``_flat``; a row with a gap in it gets null."""
+    ready, whole = gap_free(features)
+    scored = model.transform(ready, out, probabilities)
+    return scored.withColumn(out, F.when(F.col(whole), F.col(out))).drop(whole)
+
+
 def window_features(frame: DataFrame) -> DataFrame:
-    """Windows without missing values, flattened to the feature vector."""
+    """Windows without missing values, flattened to the feature vector; for training and evaluation."""
     return complete(frame.withColumn("_flat", windows.flat("x")), "_flat").withColumn(
         FEATURES, array_to_vector("_flat")).drop("_flat")
 
@@ -194,7 +212,7 @@ def staged_model(
     """Imputed columns, their components and their cluster id feed one model."""
     imputed = [f"_i_{c}" for c in columns]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(columns), outputCols=imputed),
+        Imputer(strategy="median", inputCols=list(columns), outputCols=imputed, relativeError=0.0),
         VectorAssembler(inputCols=imputed, outputCol="_v"),
         StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=True),
         PCA(k=components, inputCol="_c", outputCol="pca"),
@@ -260,15 +278,11 @@ def cross_validate_series(
 ) -> DataFrame:
     """Growing prefixes of time; each is windowed and split again by the ratios."""
     folds = split.expanding_folds(df, order, k, input_len, output_len)
-    train, val, _ = (ratios or split.DEFAULT_RATIOS).values()
 
     def job(i: int) -> list:
         prefix = folds.where(F.col("fold") == i).drop("fold")
         frame = windows.supervised_windows(prefix, features, targets, order, input_len, output_len, keys)
-        cut = F.floor(F.col("window_count") * train)
-        cut_val = cut + F.floor(F.col("window_count") * val)
-        tag = F.when(F.col("window_index") < cut, "train").when(F.col("window_index") < cut_val, "val").otherwise("test")
-        with kept(frame.withColumn("dataset", tag)) as tagged:
+        with kept(split.tag_windows(frame, ratios)) as tagged:
             model = fit_forecaster(tagged, output_len, len(targets), kind, "dataset", **params)
             scored = model.transform(window_features(tagged.where("dataset = 'test'")))
             return forecast_errors(scored, output_len, len(targets)).collect()  # one row per metric

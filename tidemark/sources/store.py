@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof
 from tidemark.sources.readers import read_entities
-from tidemark.streaming.materialize import materialize_stream, read_latest
+from tidemark.streaming.materialize import compact, materialize_stream, read_latest
 
 EVENT_TIME = "event_timestamp"
 # Feature type names and what they are stored as.
@@ -47,6 +47,7 @@ class FeatureView:
     ttl_days: float | None = None
     time: str = EVENT_TIME
     tie: tuple[str, ...] = ()
+    day: str | None = None  # column of day folders, as write_offline makes them
 
     @property
     def ttl(self) -> timedelta | None:
@@ -101,7 +102,7 @@ class FeatureStore:
         ]
         keys = [F.col(self.entities[e].key).cast(self.entities[e].column_type).alias(self.entities[e].key)
                 for e in view.entities]
-        extra = [c for c in (*view.tie, asof.DATE) if c not in view.schema and c in raw.columns]
+        extra = [c for c in (*view.tie, *([view.day] if view.day else [])) if c not in view.schema and c in raw.columns]
         return raw.select(*keys, view.time, *extra, *columns)
 
     def resolve(self, references: Sequence[str]) -> dict[str, list[str]]:
@@ -125,7 +126,7 @@ class FeatureStore:
         by_key: dict[tuple[str, ...], list[asof.FeatureSide]] = {}
         for name, features in self.resolve(references).items():
             view = self.view(name)
-            side = asof.FeatureSide(self.table(name), view.time, {f: f for f in features}, view.ttl, view.tie)
+            side = asof.FeatureSide(self.table(name), view.time, {f: f for f in features}, view.ttl, view.tie, day=view.day)
             by_key.setdefault(tuple(self.keys(view)), []).append(side)
         out = entity_rows
         for keys, sides in by_key.items():
@@ -166,17 +167,30 @@ class FeatureStore:
     # online -----------------------------------------------------------
 
     def materialize(self, name: str, start: datetime | str, end: datetime | str) -> DataFrame:
-        """Latest row per key within the inclusive range, kept in the view's latest table."""
+        """Latest row per key within the inclusive range, merged into the view's latest table.
+
+        Keys that earlier ranges or streams wrote stay. Every range has a folder of its own, so the same
+        range may be written again, and readers never meet a moment without data.
+        """
         view = self.view(name)
-        asof.parse_range(str(start), str(end))
-        latest = asof.latest_rows(
-            self.table(name), self.keys(view), view.time, self._stored(view), view.tie, start, end)
+        low, high = asof.parse_range(str(start), str(end))
+        keys, stored = self.keys(view), self._stored(view)
+        latest = asof.latest_rows(self.table(name), keys, view.time, stored, view.tie, start, end)
         if self.path:
-            latest.write.mode("overwrite").parquet(f"{self._latest_path(name)}/batch=-1")
+            run = f"range-{low:%Y%m%dT%H%M%S%f}-{high:%Y%m%dT%H%M%S%f}"
+            latest.write.mode("overwrite").parquet(f"{self._latest_path(name)}/batch={run}")
             return self.latest(name)
+        if name in self._latest:
+            both = self._latest[name].unionByName(latest)
+            latest = asof.latest_rows(both, keys, view.time, stored, view.tie)
         self._latest[name] = latest
         return latest
 
+    def compact(self, name: str) -> None:
+        """Fold all batches of the view's latest table into one; readers and running streams go on."""
+        view = self.view(name)
+        compact(self.spark, self._latest_path(name), self.keys(view), view.time, self._stored(view), view.tie)
+
     def materialize_stream(self, name: str, rows: DataFrame, checkpoint: str, available_now: bool = True):
         """Keep the view's latest table current from a stream of its feature rows."""
         view = self.view(name)
@@ -204,12 +218,15 @@ class FeatureStore:
     def online(
         self, wanted: DataFrame, references: Sequence[str], as_of: datetime | str | None = None
     ) -> DataFrame:
-        """Latest materialized values for a table of keys; unknown or expired keys give nulls."""
+        """Latest materialized values for a table of keys; unknown or expired keys give nulls.
+
+        Without ``as_of`` a view's time to live counts back from the current full hour.
+        """
         out = wanted
+        moment = asof.resolve_time_point("now" if as_of is None else str(as_of))
         for name, features in self.resolve(references).items():
             view = self.view(name)
-            out = asof.lookup(out, self.latest(name), self.keys(view), features, view.time, as_of,
-                              view.ttl if as_of is not None else None)
+            out = asof.lookup(out, self.latest(name), self.keys(view), features, view.time, moment, view.ttl)
         return out
 
     def online_rows(self, ids, references, key: str = DEFAULT_KEY, as_of=None) -> DataFrame:
@@ -273,7 +290,7 @@ class FeatureStore:
             raise ValueError(f"unknown mode: {mode}")
         if kind == "timeseries":
             return self.online_sequence(references, input_len, step_hours, ids, key, time_point or "now", end)
-        return self.online_rows(ids, references, key)
+        return self.online_rows(ids, references, key, time_point)
 
     def _ids(self, ids, key: str) -> DataFrame:
         """Entity ids as a table: given as one, or as a short list."""

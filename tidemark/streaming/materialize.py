@@ -1,14 +1,17 @@
 """Keeping the latest-value table current from a stream.
 
 Every micro-batch reduces its rows to one per key and writes them into its own
-folder ``batch=<id>``. Writing a batch again replaces the folder, and reading
-takes the newest row per key over all folders, so a replayed batch or a row that
-arrives late changes nothing. No batch has to rewrite the whole table; compaction
-folds old folders together when there are many.
+folder ``batch=<stream>-<number>``. Writing a batch again replaces the folder, a
+stream with a new checkpoint has folders of its own, and reading takes the newest
+row per key over all folders, so a replayed batch or a row that arrives late
+changes nothing. No batch has to rewrite the whole table; :func:`compact` folds
+the folders together in place.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +33,21 @@ def materialize_stream(
     """Start the job; with ``available_now`` it stops when the source is used up."""
     kept = list(dict.fromkeys([*tie, *columns]))
 
+    spark = rows.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = latest_rows(batch, keys, time, kept, tie)
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={stream_id(spark, checkpoint)}-{batch_id}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when it made the checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def read_latest(
     spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = ()
 ) -> DataFrame:
@@ -46,9 +56,19 @@ def read_latest(
 
 
 def compact(
-    spark: SparkSession, path: str, target: str, keys: Sequence[str], time: str, columns: Sequence[str],
-    tie: Sequence[str] = (),
+    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = ()
 ) -> None:
-    """Write the merged table as the first batch folder of a new path."""
+    """Fold the batch folders that exist now into one folder, then remove them.
+
+    Until the removal both hold the same newest rows, so readers see the same table at any moment, and a
+    batch that a stream writes meanwhile is kept.
+    """
     kept = list(dict.fromkeys([*tie, *columns]))
-    read_latest(spark, path, keys, time, kept, tie).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    old = [status.getPath() for status in files.listStatus(root) if status.isDirectory()]
+    rows = spark.read.option("basePath", path).parquet(*[folder.toString() for folder in old])
+    latest_rows(rows, keys, time, kept, tie).write.parquet(f"{path}/batch=merged-{uuid.uuid4().hex}")
+    for folder in old:
+        files.delete(folder, True)

@@ -1,81 +1,80 @@
-"""The last rows of every entity, kept as streaming state, and their scores."""
+"""The last rows of every entity, kept current from a stream, and their scores.
+
+Every micro-batch writes its newest ``input_len`` rows per entity into a folder of its own, named after the
+stream and the batch, so a replay writes the same folder again. The window of an entity is made from the
+newest rows over all folders: late rows take their place in it, and nothing is dropped for its time. A rank
+filter keeps ``input_len`` rows per entity in every task before the shuffle, so a busy entity stays cheap.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.operators.windows import edge_window
+from tidemark.streaming.materialize import stream_id
+
+
+def newest_rows(rows: DataFrame, key: str, order: Sequence[str], count: int) -> DataFrame:
+    """The last ``count`` rows of every entity."""
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= count).drop("_rank")
+
+
+def keep_newest(
+    rows: DataFrame, path: str, checkpoint: str, key: str, order: Sequence[str], features: Sequence[str],
+    input_len: int, available_now: bool = True,
+) -> StreamingQuery:
+    """Keep the newest rows of every entity below ``path``."""
+    return _start(rows, path, checkpoint, key, order, features, input_len, available_now, lambda batch, name: None)
 
 
 def last_windows(
-    rows: DataFrame, key: str, time: str, features: Sequence[str], input_len: int, delay: str = "1 hour",
-    ttl_ms: int | None = None, tie: str | None = None,
+    spark: SparkSession, path: str, key: str, order: Sequence[str], features: Sequence[str], input_len: int,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Per entity the window of its last ``input_len`` rows, emitted whenever it changes.
-
-    State holds at most ``input_len`` rows per entity, and the rows of a batch pass
-    through in pieces, so an entity with very many rows needs no more memory than
-    others. Rows behind the watermark are dropped; an entity without news for ``ttl_ms`` of event time is forgotten.
-    """
-    features = list(features)
-    kind = rows.schema[key].dataType
-    stream = rows.withColumn("_time", F.col(time).cast("timestamp"))
-    order = F.col(tie).cast("double") if tie else F.lit(0.0)
-    stream = stream.select(
-        key, "_time", F.unix_micros("_time").alias("_at"), order.alias("_tie"),
-        F.array(*[F.col(c).cast("double") for c in features]).alias("_step"),
-    ).withWatermark("_time", delay)
-    state_type = T.StructType([
-        T.StructField("at", T.ArrayType(T.LongType())),
-        T.StructField("tie", T.ArrayType(T.DoubleType())),
-        T.StructField("steps", T.ArrayType(T.ArrayType(T.DoubleType()))),
-    ])
-    out_type = T.StructType([
-        T.StructField(key, kind),
-        T.StructField("window_end_micros", T.LongType()),
-        T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType()))),
-    ])
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held: list[tuple] = list(zip(*state.get)) if state.exists else []
-        for batch in batches:
-            held += [
-                (int(a), float(t), [float(v) for v in s])
-                for a, t, s in zip(batch["_at"], batch["_tie"], batch["_step"])
-            ]
-            held = sorted(held, key=lambda r: r[:2])[-input_len:]
-        state.update(tuple(list(part) for part in zip(*held)))
-        if ttl_ms is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held[-1][0] // 1000) + ttl_ms)
-        if len(held) == input_len:
-            yield pd.DataFrame({
-                key: [group[0]], "window_end_micros": [held[-1][0]], "x": [[list(r[2]) for r in held]],
-            })
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, out_type, state_type, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    """The window of every entity (or of the ``wanted`` keys) over all batches written so far."""
+    rows = spark.read.parquet(path).drop("batch")
+    if wanted is not None:
+        rows = rows.join(wanted, key, "left_semi")
+    return edge_window(rows, features, order, input_len, [key])
 
 
 def score_stream(
-    windows: DataFrame, model, path: str, checkpoint: str, key: str, available_now: bool = True
+    rows: DataFrame, model, path: str, out: str, checkpoint: str, key: str, order: Sequence[str],
+    features: Sequence[str], input_len: int, available_now: bool = True,
 ) -> StreamingQuery:
-    """Score every changed window; one folder per batch, replaced when a batch is replayed."""
+    """Score the window of every entity that a batch touches; one folder of ``out`` per batch.
+
+    A window with a missing value gets a null prediction.
+    """
+    from tidemark.operators.windows import flat
     from tidemark.plans.scoring import sanitize
-    from tidemark.plans.training import window_features
+    from tidemark.plans.training import predict_all
+
+    spark = rows.sparkSession
+
+    def score(batch: DataFrame, name: str) -> None:
+        touched = batch.select(key).distinct()
+        frame = last_windows(spark, path, key, order, features, input_len, touched)
+        scored = predict_all(model, frame.withColumn("_flat", flat("x")))
+        scored.select(key, "window_end", sanitize("prediction").alias("predictions")).write.mode(
+            "overwrite").parquet(f"{out}/batch={name}")
+
+    return _start(rows, path, checkpoint, key, order, features, input_len, available_now, score)
+
+
+def _start(rows, path, checkpoint, key, order, features, input_len, available_now, then) -> StreamingQuery:
+    columns = list(dict.fromkeys([key, *order, *features]))
+    spark = rows.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = model.transform(window_features(batch))
-        scored.select(key, "window_end_micros", sanitize("prediction").alias("predictions")).write.mode(
-            "overwrite").parquet(f"{path}/batch={batch_id}")
+        name = f"{stream_id(spark, checkpoint)}-{batch_id}"
+        newest_rows(batch.select(*columns), key, order, input_len).write.mode("overwrite").parquet(f"{path}/batch={name}")
+        then(batch, name)
 
-    writer = windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
