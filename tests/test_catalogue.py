@@ -11,6 +11,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry
 import check
 
+from tidemark import catalogue
+
 FOLDER = "/root/testdata/sf0.001"
 # Jobs without a SQL twin, covered by test_training.py.
 SLOW = {"parameter_search", "cross_validation", "cross_validation_in_time", "cluster_as_feature", "boosted_classifier",
@@ -28,7 +30,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
 def test_query(spark, db, name):
     mine = entry.queries()[name](spark, FOLDER).toPandas()
     sql = entry.oracle_sql().get(name)

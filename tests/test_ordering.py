@@ -117,11 +117,11 @@ def test_text_order(series):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_measure_keeps_only_the_longest(spark, monkeypatch):
+def test_measure_keeps_every_long_series(spark, monkeypatch):
     df = spark.range(100).select((F.col("id") % 10).alias("k"), "id")
     monkeypatch.setattr(ordering, "MAX_LONG_SERIES", 3)
     layout = measure(df, ["k"], ["id"], 5)
-    assert len(layout.long_series) == 3
+    assert layout.table.count() == 10
     out = ordering.row_index(df, ["k"], ["id"], "at", layout=layout)
     assert out.groupBy("k").agg(F.countDistinct("at").alias("n")).where("n = 10").count() == 10
 
@@ -133,3 +133,16 @@ def test_layout_estimate_from_a_share_of_rows(spark):
     assert layout.long_series == ((0,),)
     out = ordering.row_index(df, ["k"], ["id"], "at", layout=layout).where("k = 0")
     assert out.agg(F.max("at"), F.countDistinct("at")).first()[:] == (299_999, 300_000)
+
+
+def test_many_long_series_are_kept_in_a_table(series, monkeypatch):
+    plain = frame(ordering.row_index(series, ["key"], ORDER, "at", "n"), ["id", "at", "n"])
+    monkeypatch.setattr(ordering, "MAX_LONG_SERIES", 1)
+    layout = measure(series, ["key"], ORDER, 60)
+    assert layout.has_long_series and layout.table is not None
+    got = frame(ordering.row_index(series, ["key"], ORDER, "at", "n", layout), ["id", "at", "n"])
+    assert got.values.tolist() == plain.values.tolist()
+    monkeypatch.setattr(ordering, "MAX_CHUNKS", 3)
+    assert measure(series.withColumn("t", F.col("id")), ["key"], ["t"], 60).by_position
+    whole = ordering.measure_whole(series, "t", 60)
+    assert whole.by_position

@@ -175,3 +175,17 @@ def test_predictions_on_their_rows(spark):
     out = compose.predictions_as_feature(rows, predictions, ["t"], 3, keys=["k"])
     got = [r["prediction"] for r in out.orderBy("k", "t").collect()]
     assert got == [1.0, 1.0, 1.0, 2.0, 2.0, 2.0] + [0.0] * 6
+
+
+def test_repeated_keys_stay_together_at_any_size(spark):
+    rows = spark.range(60).select((F.col("id") % 12).alias("id"), (F.col("id") % 3).alias("y"))
+    got = [{(r["id"], r["fold"]) for r in split.stratified_kfold(rows, 3, "y", ["id"], max_rows=m).collect()} for m in (None, 5)]
+    assert got[0] == got[1] and len(got[0]) == 12
+
+
+def test_windows_are_split_in_time(spark):
+    frame = spark.range(10).select(F.col("id").alias("window_index"), F.lit(10).alias("window_count"))
+    tags = [r["dataset"] for r in split.tag_windows(frame).orderBy("window_index").collect()]
+    assert tags == ["train"] * 6 + ["val"] * 2 + ["test"] * 2
+    with pytest.raises(ValueError):
+        split.tag_windows(frame, {"train": 1.0, "val": 0.0, "test": 0.0})

@@ -26,9 +26,8 @@ from tidemark.session import cut_lineage
 MAX_ROWS_PER_TASK = 4_000_000
 # Rows of a series of that length which the length estimate looks at.
 ROWS_IN_ESTIMATE = 40_000
-# Upper bound for what reaches the driver: series ids and cut points.
-# A series that is not among the MAX_LONG_SERIES longest holds less than
-# 1 / MAX_LONG_SERIES of the table, so the plain window is safe for it.
+# Upper bound for what reaches the driver: series ids and cut points. More long
+# series are kept in a table, and an axis that needs more cuts is cut by position.
 MAX_LONG_SERIES = 10_000
 MAX_CHUNKS = 10_000
 # Tables of located ranks up to this many rows are broadcast; counted first.
@@ -52,10 +51,11 @@ class SeriesLayout:
     cuts: tuple[float, ...] = ()
     rows: int = MAX_ROWS_PER_TASK
     by_position: bool = False
+    table: DataFrame | None = None  # keys and number of the long series, if they are many
 
     @property
     def has_long_series(self) -> bool:
-        return bool(self.long_series)
+        return bool(self.long_series) or self.table is not None
 
 
 NUMBER_LIKE = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -76,8 +76,7 @@ def order_number(df: DataFrame, column: str) -> Column:
 
 def quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
     """Order-axis values that divide ``df`` into about ``parts`` equal parts, repeats included."""
-    parts = max(1, min(parts, MAX_CHUNKS))
-    if parts == 1:
+    if parts <= 1:
         return []
     numbers = df.select(order_number(df, column).alias("n")).where("n is not null and not isnan(n)")
     return numbers.approxQuantile("n", [i / parts for i in range(1, parts)], 1 / (4 * parts))
@@ -115,16 +114,21 @@ def measure(
     share = min(1.0, ROWS_IN_ESTIMATE / max_rows)
     seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
     counts = seen.groupBy(*keys).count().where(F.col("count") > max_rows * share)
-    long_rows = counts.orderBy(F.desc("count"), *keys).limit(MAX_LONG_SERIES).collect()
+    long_rows = counts.limit(MAX_LONG_SERIES + 1).collect()
     if not long_rows:
         return SeriesLayout(tuple(keys))
-    series = tuple(tuple(row[k] for k in keys) for row in long_rows)
-    layout = SeriesLayout(tuple(keys), series, (), max_rows)
-    if not isinstance(df.schema[order[0]].dataType, NUMBER_LIKE):
+    if len(long_rows) > MAX_LONG_SERIES:
+        table = cut_lineage(counts.withColumn(SERIES, F.monotonically_increasing_id()))
+        seen_rows = table.agg(F.sum("count")).first()[0]
+        layout = SeriesLayout(tuple(keys), (), (), max_rows, table=table.drop("count"))
+    else:
+        seen_rows = sum(row["count"] for row in long_rows)
+        layout = SeriesLayout(tuple(keys), tuple(tuple(row[k] for k in keys) for row in long_rows), (), max_rows)
+    parts = int(-(-seen_rows / share // max_rows)) * 2
+    if parts > MAX_CHUNKS or not isinstance(df.schema[order[0]].dataType, NUMBER_LIKE):
         return replace(layout, by_position=True)
-    rows = sum(row["count"] for row in long_rows) / share
     _, long_part = split_long(df, layout)
-    found = quantiles(long_part, order[0], int(-(-rows // max_rows)) * 2)
+    found = quantiles(long_part, order[0], parts)
     # A value met at four neighbouring cuts fills more than a task by itself.
     if any(a == b for a, b in zip(found, found[3:])):
         return replace(layout, by_position=True)
@@ -137,25 +141,30 @@ def measure_whole(df: DataFrame, column: str, max_rows: int | None = None) -> Se
     n = df.count()
     if n <= max_rows:
         return SeriesLayout(())
-    return SeriesLayout((), ((),), cut_points(df, column, -(-n // max_rows) * 2), max_rows)
+    parts = -(-n // max_rows) * 2
+    if parts > MAX_CHUNKS:
+        return SeriesLayout((), ((),), (), max_rows, by_position=True)
+    return SeriesLayout((), ((),), cut_points(df, column, parts), max_rows)
 
 
 def split_long(df: DataFrame, layout: SeriesLayout) -> tuple[DataFrame, DataFrame]:
     """Ordinary rows, and rows of long series tagged with a series number."""
     if not layout.keys:
-        return df.where(F.lit(False)), df.withColumn(SERIES, F.lit(0))
-    schema = T.StructType(
-        [T.StructField(f"_k_{k}", df.schema[k].dataType) for k in layout.keys]
-        + [T.StructField(SERIES, T.IntegerType())]
-    )
-    ids = df.sparkSession.createDataFrame(
-        [(*key, i) for i, key in enumerate(layout.long_series)], schema
-    )
+        return df.where(F.lit(False)), df.withColumn(SERIES, F.lit(0).cast("long"))
+    if layout.table is not None:
+        ids = layout.table.withColumnsRenamed({k: f"_k_{k}" for k in layout.keys})
+    else:
+        schema = T.StructType(
+            [T.StructField(f"_k_{k}", df.schema[k].dataType) for k in layout.keys]
+            + [T.StructField(SERIES, T.LongType())]
+        )
+        # At most MAX_LONG_SERIES rows.
+        ids = F.broadcast(df.sparkSession.createDataFrame(
+            [(*key, i) for i, key in enumerate(layout.long_series)], schema))
     same = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in layout.keys]
     )
-    # The id table has at most MAX_LONG_SERIES rows.
-    tagged = df.join(F.broadcast(ids), same, "left").drop(*[f"_k_{k}" for k in layout.keys])
+    tagged = df.join(ids, same, "left").drop(*[f"_k_{k}" for k in layout.keys])
     return (
         tagged.where(F.col(SERIES).isNull()).drop(SERIES),
         tagged.where(F.col(SERIES).isNotNull()),
@@ -494,7 +503,7 @@ def percentiles(
             F.array_distinct(ranks(F.sum("_weight").over(whole))).alias("_ranks"),
         ), by, ["_v"])
     else:
-        cuts = cut_points(values, "_v", -(-total // limit) * 4)
+        cuts = cut_points(values, "_v", min(MAX_CHUNKS, -(-total // limit) * 4))
         found = select_ranks(with_chunk(values, "_v", cuts), by, ["_v"], CHUNK, ranks, known["groups"])
     picked = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))
     # One row per group on both sides.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import (
-    CHUNK, MAX_BROADCAST_RANKS, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
+    CHUNK, MAX_BROADCAST_RANKS, MAX_CHUNKS, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
     with_chunk,
 )
 
@@ -25,9 +25,8 @@ DEFAULT_RATIOS = {"train": 0.6, "val": 0.2, "test": 0.2}
 DEFAULT_SEED = 42
 
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-# Rows that one chunk of the random order should hold, and the finest division.
+# Rows that one chunk of the random order should hold.
 ROWS_PER_HASH_CHUNK = 250_000
-MAX_HASH_DIGITS = 5
 
 
 def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
@@ -40,7 +39,7 @@ def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
 def hash_chunk(n: int) -> Column:
     """The leading hex digits of the hash: equally likely chunks, as many as ``n`` rows need."""
     digits = 1
-    while digits < MAX_HASH_DIGITS and n > ROWS_PER_HASH_CHUNK * 16**digits:
+    while n > ROWS_PER_HASH_CHUNK * 16**digits:
         digits += 1
     return F.substring("_hash", 1, digits)
 
@@ -85,11 +84,6 @@ def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: C
     if not ranks:
         return {}
     limit = max_rows or MAX_ROWS_PER_TASK
-    if total is not None and total <= limit:
-        # Small enough to be numbered by one task.
-        at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-        numbered = df.select(at.alias("rank"), *order).where(F.col("rank").isin(ranks))
-        return {rank: tuple(values) for rank, *values in _literals(df, numbered, ["rank"], order)}
     head, rest = order[0], list(order[1:])
     if chunk is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
         # Text has no cut points: number the rows over a distributed sort.
@@ -99,7 +93,7 @@ def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: C
         chunked = df.withColumn(CHUNK, chunk)
     else:
         parts = -(-(total or 0) // limit)
-        chunked = with_chunk(df, head, cut_points(df, head, parts * 4 if parts > 1 else 1))
+        chunked = with_chunk(df, head, cut_points(df, head, min(MAX_CHUNKS, parts * 4) if parts > 1 else 1))
     wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
     found = _literals(
         df, select_ranks(chunked, [], [head], CHUNK, lambda n: wanted), ["rank", "offset", "equal"], [head])
@@ -282,13 +276,6 @@ def stratified_kfold(
         starts.append(at.cast("long"))
     wanted = classes.select(by, F.array(*starts).alias("ranks"))
     n_classes = classes.count()
-    if n <= (max_rows or MAX_ROWS_PER_TASK):
-        # No class is too large to be numbered by one task.
-        at = F.row_number().over(Window.partitionBy(by).orderBy("_hash")) - 1
-        per_class = wanted.select(F.col(by).alias("_class"), "ranks")
-        numbered = hashed.withColumn("_at", at).join(F.broadcast(per_class), F.col(by).eqNullSafe(F.col("_class")))
-        fold = F.size(F.filter("ranks", lambda r: r <= F.col("_at"))).cast("int")
-        return numbered.withColumn(out, fold).drop("_hash", "_at", "_class", "ranks")
     slim = hashed.select(by, "_hash").withColumn(CHUNK, hash_chunk(n))
     found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted, n_classes)
     passed = F.size(F.filter("ranks", lambda r: r <= F.col("rank")))
