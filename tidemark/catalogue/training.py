@@ -384,3 +384,71 @@ def pca_two_columns(spark, folder):
     parts = vector_to_array("parts")
     size = lambda i: (F.round(F.abs(parts[i]), 4) + 0.0).alias(f"size_{i}")
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", size(0), size(1))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_extendedprice AS y, (l_partkey % 3)::DOUBLE AS w FROM lineitem),
+     m AS (SELECT sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM p),
+     l AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS a FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, round(a + b * x, 2) + 0.0 AS prediction FROM p, l
+""")
+def line_weighted(spark, folder):
+    """Rows of weight 0, 1 and 2; the line has a closed form."""
+    data = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (F.col("l_partkey") % 3).cast("double").alias("w"))
+    ready = training.assemble(data, ["l_quantity"])
+    model = training.fit_outputs(ready, [F.col("l_extendedprice")], "linear", weight="w")
+    scored = model.transform(ready)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", (F.round(F.col("prediction")[0], 2) + 0.0).alias("prediction"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 4)::INT AS class FROM lineitem")
+def forest_classes(spark, folder):
+    """Four classes in four value ranges: one tree finds every row's class."""
+    data = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 4).alias("class"),
+        ((F.col("l_partkey") % 4) * 10 + F.col("l_linenumber") % 2).alias("x"))
+    ready = training.assemble(data, ["x"])
+    model = training.fit_outputs(ready, [F.col("class")], "forest_classifier", numTrees=1, maxDepth=3, bootstrap=False,
+                                 featureSubsetStrategy="all", seed=1)
+    scored = model.transform(ready)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.col("prediction")[0].cast("int").alias("class"))
+
+
+@query("""
+WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+             sum(l_extendedprice * l_quantity) / sum(l_quantity * l_quantity) AS o FROM lineitem),
+     e AS (SELECT avg((l_extendedprice - a - b * l_quantity) ** 2) AS with_a, avg((l_extendedprice - o * l_quantity) ** 2) AS without FROM lineitem, m)
+SELECT l_orderkey, l_linenumber, l_partkey, with_a <= without AS intercept,
+  round(CASE WHEN with_a <= without THEN a + b * l_quantity ELSE o * l_quantity END, 2) + 0.0 AS prediction FROM lineitem, m, e
+""")
+def search_intercept(spark, folder):
+    """Search over lines with and without an intercept, then train again with the better setting."""
+    data = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    ready = training.assemble(data, ["l_quantity"])
+
+    def fit(setting):
+        return training.fit_outputs(ready, [F.col("l_extendedprice")], "linear", **setting)
+
+    def evaluate(setting):
+        scored = fit(setting).transform(ready).withColumn("p", F.col("prediction")[0])
+        return scoring.evaluate_rows(scored, "l_extendedprice", "p")
+
+    space = {"fitIntercept": {"type": "categorical", "range": [True, False]}}
+    model, best, _ = training.search_and_fit(space, evaluate, fit, "mse", 6, threads=2)
+    scored = model.transform(ready)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.lit(best["fitIntercept"]).alias("intercept"),
+                         (F.round(F.col("prediction")[0], 2) + 0.0).alias("prediction"))
+
+
+@query("SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS cluster FROM embeddings")
+def kmeans_separated(spark, folder):
+    """Vectors far apart by label: every cluster is a label, named after its smallest id."""
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", "label", F.transform(F.col("embedding").cast("array<double>"), lambda v, i: v + F.when(
+            i == 0, 1000.0 * F.col("label")).otherwise(0.0)).alias("v"))
+    ready = vectors.select("vec_id", "label", training.array_to_vector("v").alias("features"))
+    labels = ready.select(F.countDistinct("label")).first()[0]
+    scored = training.fit_kmeans(ready, k=labels).transform(ready)
+    first = scored.groupBy("cluster").agg(F.min("vec_id").alias("first"))
+    return scored.join(first, "cluster").select("vec_id", F.col("first").alias("cluster"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -88,7 +88,8 @@ class OutputModels:
 
 
 def learner(kind: str, **params) -> Estimator:
-    kinds = {"gbt": GBTRegressor, "gbt_classifier": GBTClassifier, "linear": LinearRegression}
+    kinds = {"gbt": GBTRegressor, "gbt_classifier": GBTClassifier, "forest_classifier": RandomForestClassifier,
+             "linear": LinearRegression}
     if kind not in kinds:
         raise ValueError(f"unknown model kind: {kind}")
     return kinds[kind](featuresCol=FEATURES, **params)
@@ -101,17 +102,21 @@ def fit_outputs(
     shape: tuple[int, int] | None = None,
     validation: str | None = None,
     threads: int = THREADS,
+    weight: str | None = None,
     **params,
 ) -> OutputModels:
     """Fit one model per output on the ``features`` vector.
 
-    Rows flagged in ``validation`` stop boosting early instead of training it.
+    Rows flagged in ``validation`` stop boosting early instead of training it. ``weight`` names a column
+    of row weights. Boosting tells two classes apart; "forest_classifier" takes any number of them.
     """
     labels = {f"_y{i}": y.cast("double") for i, y in enumerate(outputs)}
-    extra = [validation] if validation else []
+    extra = [c for c in (validation, weight) if c]
+    if weight:
+        params = {**params, "weightCol": weight}
     rows = df.select(FEATURES, *extra, *[v.alias(k) for k, v in labels.items()])
     # Boosting passes over the rows many times, a linear fit once or twice.
-    with kept(spread(rows) if kind.startswith("gbt") else rows) as table:
+    with kept(spread(rows) if kind.startswith(("gbt", "forest")) else rows) as table:
         def job(label: str):
             options = dict(params, labelCol=label)
             if validation and kind.startswith("gbt"):
@@ -329,17 +334,37 @@ def search(
     fixed: dict | None = None,
     direction: str = "minimize",
     seed: int = SEED,
+    threads: int = 1,
 ) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """Seeded random search. ``evaluate`` gives (metric, value) rows; fixed values win."""
+    """Seeded random search. ``evaluate`` gives (metric, value) rows; fixed values win.
+
+    The settings are drawn first, so several ``threads`` try the same ones as one does.
+    """
     if not space:
         raise ValueError("the search space is empty")
-    rng, tried = random.Random(seed), []
-    for _ in range(trials):
-        setting = {**draw(space, rng), **(fixed or {})}
+    rng = random.Random(seed)
+    settings = [{**draw(space, rng), **(fixed or {})} for _ in range(trials)]
+
+    def trial(setting: dict) -> tuple[dict, float]:
         values = {r["metric"]: r["value"] for r in evaluate(setting).collect()}
         if metric not in values:
             raise ValueError(f"no metric {metric}, only {sorted(values)}")
-        tried.append((setting, values[metric]))
+        return setting, values[metric]
+
+    if threads > 1:
+        spark = SparkSession.getActiveSession()
+        tried = in_threads(spark, [lambda s=s: trial(s) for s in settings], threads)
+    else:
+        tried = [trial(setting) for setting in settings]
     pick = min if direction == "minimize" else max
     best = pick(tried, key=lambda t: t[1])
     return best[0], best[1], tried
+
+
+def search_and_fit(
+    space: dict[str, dict], evaluate: Callable[[dict], DataFrame], fit: Callable[[dict], OutputModels], metric: str,
+    trials: int, **options,
+) -> tuple[OutputModels, dict, float]:
+    """Search, then train once more with the best setting."""
+    best, value, _ = search(space, evaluate, metric, trials, **options)
+    return fit(best), best, value
