@@ -227,7 +227,7 @@ def _scan(frame: DataFrame, index: ItemIndex) -> DataFrame:
         known = sent.value
         for batch in batches:
             leaks = batch.column(batch.num_columns - 1)
-            for first, end, texts in text_blocks(batch, "__text", BLOCK_TEXT):
+            for first, end, texts in text_blocks(batch, "__text", BLOCK_TEXT, 4096):
                 found = leaks.slice(first, end - first).to_pylist()
                 for number, item, start, stop, edits in find_leaks(texts.to_pylist(), known):
                     found[number].append({"item_id": known.ids[item], "start": start, "end": stop, "edits": edits})

@@ -134,8 +134,11 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     """One row per row of (path, text, ...): other columns, path, own, score, licences and ``source_dir``.
 
     ``licences`` are the file's own, else those inherited; ``source_dir`` is where inherited ones come from.
+    Columns of these names in the input are replaced.
     """
     scratch = Scratch(files.sparkSession, "licences")
+    others = [c for c in files.columns if c not in ("path", "text", "own", "score", "licences", "source_dir")]
+    files = files.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"), "path", "text")
     own = scratch.save(licence_notices(files, templates, threshold).withColumn("dir", directory_of(F.col("path"))), "own")
     holds = (own.where((F.size("own") > 0) & (F.col("whole") | F.col("path").rlike(LICENCE_FILE)))
              .select("dir", F.explode("own").alias("licence")).groupBy("dir")
@@ -151,7 +154,6 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
         F.max(F.struct("level", "above", "dir_licences")).alias("n"))
     nearest = scratch.save(nearest.select("dir", F.col("n.above").alias("source_dir"), "n.dir_licences"), "nearest")
     joined = attach(own, nearest.withColumnRenamed("dir", "_dir"), (F.col("dir") == F.col("_dir")) & (F.size("own") == 0), "left")
-    others = [c for c in files.columns if c not in ("path", "text")]
     none = F.array().cast("array<string>")
-    return joined.select(*others, "path", "own", "score", F.when(F.size("own") > 0, F.col("own")).otherwise(
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in others], "path", "own", "score", F.when(F.size("own") > 0, F.col("own")).otherwise(
         F.coalesce("dir_licences", none)).alias("licences"), "source_dir")

@@ -1,7 +1,7 @@
 """Whole texts as NumPy arrays inside Arrow tasks, and the word definition shared by the operators.
 
-A task never holds more than ``BLOCK_BYTES`` of text at a time beside the Arrow batch itself, except for
-a single text that is longer than that.
+A task works on at most ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` texts at a time beside the Arrow batch
+itself, except for a single text that is longer than that.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 1 << 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 SPACE = np.zeros(256, bool)
@@ -35,14 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
-    """(first row, end row, texts) of consecutive rows with at most ``limit`` bytes of text; null is the empty text."""
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES,
+                rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, texts) of consecutive rows, limited in bytes and rows; null is the empty text."""
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(texts):
         used = ends[first - 1] if first else 0
-        end = max(first + 1, int(np.searchsorted(ends, used + limit, "right")))
+        end = min(first + rows, max(first + 1, int(np.searchsorted(ends, used + limit, "right"))), len(texts))
         yield first, end, texts.slice(first, end - first)
         first = end
 
