@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import SeriesLayout, row_frame
+from tidemark.operators.ordering import SeriesLayout, row_frame, row_index
 
 
 def _step(columns: Sequence[str]) -> Column:
@@ -37,11 +38,15 @@ def sliding_windows(
     Result: keys, ``window_index`` (row number of the window's first row divided
     by the stride), ``window_count`` of the series, ``window_end`` (order value
     of the last input row), ``x`` and, with targets, ``y`` as arrays of steps.
-    A series that is too short gives no window. Only rows that end a window keep
-    their arrays, so a stride above 1 never materialises the windows between.
+    A series that is too short gives no window. With a stride above 1 every row
+    goes only into the windows that contain it, so the windows between are never
+    made and a long series is spread over its windows.
     """
     keys, order = list(keys), list(order)
     needed = list(dict.fromkeys([*keys, *order, *features, *(targets or [])]))
+    if stride > 1:
+        return _strided(df.select(*needed), features, order, input_len, output_len if targets else 0, targets,
+                        keys, stride, layout)
 
     def build(window):
         out = [F.collect_list(_step(features)).over(window.rowsBetween(-(input_len - 1), 0)).alias("_x")]
@@ -66,6 +71,32 @@ def sliding_windows(
     )
 
 
+def _strided(df, features, order, input_len, output_len, targets, keys, stride, layout) -> DataFrame:
+    span = input_len + output_len
+    indexed = row_index(df, keys, order, "_row", layout=layout)
+    at = F.col("_row")
+    first = F.greatest(F.lit(0), F.ceil((at - (span - 1)) / stride)).cast("long")
+    last = F.floor(at / stride).cast("long")
+    # A stride above the span leaves rows that no window holds.
+    placed = indexed.where(first <= last).withColumn("window_index", F.explode(F.sequence(first, last)))
+    parts = [_step(features).alias("x"), F.col(order[0]).alias("end")]
+    parts += [_step(targets).alias("y")] if targets else []
+    steps = placed.groupBy(*keys, "window_index").agg(
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), *parts))).alias("_steps")).where(F.size("_steps") == span)
+    lengths = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    if keys:
+        counted = steps.join(lengths, same)
+    else:
+        counted = steps.withColumn("_rows", lengths.select("_rows").scalar())
+    values = lambda name, start, count: F.transform(
+        F.slice("_steps", start, count), lambda s: s[name]["v"]).alias(name)
+    return counted.select(
+        *keys, "window_index", (F.floor((F.col("_rows") - span) / stride) + 1).cast("long").alias("window_count"),
+        F.get("_steps", F.lit(input_len - 1))["end"].alias("window_end"), values("x", 1, input_len),
+        *([values("y", input_len + 1, output_len)] if targets else []))
+
+
 def supervised_windows(df, features, targets, order, input_len, output_len, keys=(), stride=1, **kw):
     """Training pairs: past features, future targets."""
     return sliding_windows(df, features, order, input_len, output_len, targets, keys, stride, **kw)
