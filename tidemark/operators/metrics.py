@@ -27,7 +27,7 @@ EXPLANATIONS = {
 }
 NO_EXPLANATION = "unknown metric"
 
-# Cluster tables up to this many rows are broadcast; counted first.
+# More clusters than this are not compared with one another; counted first.
 MAX_BROADCAST_CLUSTERS = 20_000
 
 
@@ -266,28 +266,27 @@ def cluster_dispersion(df: DataFrame, features: str, label: str) -> DataFrame:
     """Inertia about the cluster means and the Calinski-Harabasz ratio: one scan of the rows."""
     table = centroids(df, features, label)
     n, k = F.col("n"), F.col("k")
-    # One row per cluster from here on.
-    facts = table.agg(
-        F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within"),
-        F.collect_list(F.struct("rows", "centre")).alias("c"),
-    )
-    total = F.aggregate(
-        "c", F.transform(F.col("c")[0]["centre"], lambda x: F.lit(0.0)),
-        lambda acc, c: F.zip_with(acc, c["centre"], lambda a, x: a + x * c["rows"]),
-    )
-    facts = facts.withColumn("mean", F.transform(total, lambda x: x / F.col("n")))
-    between = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["rows"] * _gap(c["centre"], F.col("mean")))
+    mean = table.agg(vector_to_array(Summarizer.mean(array_to_vector("centre"), F.col("rows").cast("double"))))
+    apart = F.col("rows") * _gap(F.col("centre"), F.col("mean"))
+    facts = table.withColumn("mean", mean.scalar()).agg(
+        F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within"), F.sum(apart).alias("between"))
+    between = F.col("between")
     ratio = F.when(F.col("within") == 0, F.lit(1.0)).otherwise(
         (between * (n - k)) / (F.col("within") * (k - 1)))
     wide = facts.select(F.col("within").alias("inertia"), F.when(k > 1, ratio).alias("calinski_harabasz"))
     return wide.unpivot([], ["inertia", "calinski_harabasz"], "metric", "value").where("value is not null")
 
 
+def _few(clusters: DataFrame) -> DataFrame:
+    """The table, if its clusters may be compared with one another; else an error."""
+    if clusters.limit(MAX_BROADCAST_CLUSTERS + 1).count() > MAX_BROADCAST_CLUSTERS:
+        raise ValueError(f"more than {MAX_BROADCAST_CLUSTERS} clusters cannot be compared with one another")
+    return clusters
+
+
 def davies_bouldin(df: DataFrame, features: str, label: str) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / centre distance."""
-    table = centroids(df, features, label).select("cluster", "centre")
-    if table.count() <= MAX_BROADCAST_CLUSTERS:
-        table = F.broadcast(table)
+    table = F.broadcast(_few(centroids(df, features, label).select("cluster", "centre")))
     rows = df.select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x"))
     spread = rows.join(table, "cluster").groupBy("cluster").agg(
         F.avg(F.sqrt(_gap(F.col("x"), F.col("centre")))).alias("spread"), F.first("centre").alias("centre"))
@@ -316,8 +315,7 @@ def silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
         vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("centre"),
         F.avg(_square(F.col("x"))).alias("square"),
     )
-    # One array of all clusters; a cluster table is small by nature.
-    clusters = table.agg(F.collect_list(F.struct("cluster", "rows", "centre", "square")))
+    clusters = _few(table).agg(F.collect_list(F.struct("cluster", "rows", "centre", "square")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     distances = F.transform("clusters", lambda c: F.struct(
         c["cluster"].alias("cluster"), c["rows"].alias("rows"),

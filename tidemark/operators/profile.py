@@ -31,17 +31,18 @@ def data_quality(df: DataFrame) -> DataFrame:
 def cluster_distribution(df: DataFrame, label: str) -> DataFrame:
     """Per cluster the size and share; the totals are repeated on every row."""
     counts = df.groupBy(F.col(label).cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("rows"))
-    everything = Window.partitionBy(F.lit(0))  # one row per cluster
-    over = lambda f: f.over(everything)
-    return counts.select(
+    totals = counts.agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min("rows").alias("low"), F.max("rows").alias("high"),
+        F.stddev_pop("rows").alias("std")))
+    return counts.withColumn("all", totals.scalar()).select(
         "cluster", "rows",
-        F.round(F.col("rows") / over(F.sum("rows")) * 100, 2).alias("percentage"),
-        over(F.count(F.lit(1))).alias("n_clusters"),
-        over(F.sum("rows")).alias("n_samples"),
-        over(F.min("rows")).alias("min_cluster_size"),
-        over(F.max("rows")).alias("max_cluster_size"),
-        F.round(over(F.stddev_pop("rows")), 2).alias("std_cluster_size"),
-        F.round(over(F.min("rows")) / over(F.max("rows")), 4).alias("balance_ratio"),
+        F.round(F.col("rows") / F.col("all.rows") * 100, 2).alias("percentage"),
+        F.col("all.n").alias("n_clusters"),
+        F.col("all.rows").alias("n_samples"),
+        F.col("all.low").alias("min_cluster_size"),
+        F.col("all.high").alias("max_cluster_size"),
+        F.round("all.std", 2).alias("std_cluster_size"),
+        F.round(F.col("all.low") / F.col("all.high"), 4).alias("balance_ratio"),
     )
 
 
