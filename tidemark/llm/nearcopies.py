@@ -8,11 +8,10 @@ of the text already hold. Two texts agree in a register with a probability equal
 
 Equal texts are merged first, so a group of copies costs one signature's worth of rows however large it
 is. Registers are grouped into bands; texts that agree in a band share a bucket. In a bucket all texts are
-compared with a few leaders, which are then done; texts that have fallen into one class need no further
-comparison, and the rest of the bucket goes on with four times as many leaders until every link is
-settled. So a bucket of near-copies costs one comparison a text, never all pairs, and no candidate is left
-out. Comparisons are exact. They are dealt out by leader in chunks, so a leader with very many partners
-is split over many tasks.
+compared with its leader, and the links give first classes. Then texts outside a bucket's largest class are
+compared with all texts of the bucket that are in other classes. So a bucket of near-copies costs about one
+comparison a text, no candidate is left out, and no pair but a link is ever a row. Comparisons are exact. They
+are dealt out in chunks and blocks of bounded size, so a large bucket is split over many tasks.
 
 Texts with fewer than five words are one shingle; a text without words (or null) is a class of its own.
 """
@@ -33,6 +32,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 CHUNK = 64
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20  # of a bucket that one task holds
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,11 +55,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
         hashes = mix(hashes * _GOLD + words[i: i + len(hashes)])
     inside = owner[: len(hashes)] == owner[size - 1:] if len(hashes) else np.zeros(0, bool)
     texts, values = owner[: len(hashes)][inside], hashes[inside]
-    for i in np.flatnonzero(short):
-        value = np.zeros(1, np.uint64)
-        for word in words[first[i]: first[i] + per_text[i]]:
-            value = mix(value * _GOLD + word)
-        texts, values = np.append(texts, i), np.append(values, value)
+    few = np.flatnonzero(short)
+    whole = np.zeros(len(few), np.uint64)
+    for i in range(size - 1):
+        longer = per_text[few] > i
+        whole[longer] = mix(whole[longer] * _GOLD + words[first[few[longer]] + i])
+    texts, values = np.concatenate((texts, few)), np.concatenate((values, whole))
     # The hash mixed with the text number is unique to the pair, so one sort finds the counts.
     _, at, counts = np.unique(mix(values ^ mix(texts.astype(np.uint64))), return_index=True, return_counts=True)
     return texts[at], values[at], counts
@@ -157,13 +158,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             for first, end, texts in text_blocks(batch, "text"):
                 part = batch.slice(first, end - first)
                 names, roles = part.column(0).to_pylist(), part.column(1).to_numpy()
-                owner, values, weights = shingles(*as_bytes(texts))
-                order = np.lexsort((values, owner))
-                owner, values, weights = owner[order], values[order], weights[order]
-                edges = np.searchsorted(owner, np.arange(len(texts) + 1))
                 keep = np.zeros(len(texts), bool)
-                for i in range(len(texts)):
-                    mine = (values[edges[i]: edges[i + 1]], weights[edges[i]: edges[i + 1]])
+                for i, mine in enumerate(_sets(texts)):
                     if roles[i] == 0:
                         leader, against = names[i], (mine[0].copy(), mine[1].copy())
                     elif names[i] == leader:
@@ -236,34 +232,99 @@ def _texts_of(rows: DataFrame, slim: DataFrame, members: DataFrame, scratch: Scr
     return scratch.save(picked.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
+def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links (leader, node) between texts of a bucket that are in different classes.
+
+    Texts outside a bucket's largest class are compared with all texts of the bucket. These are dealt out in
+    blocks of bounded size, each with its own task, which the texts outside pass through one by one; only
+    links come out.
+    """
+    sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    per_class = sized.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    buckets = per_class.groupBy("bucket").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("classes"))
+    # In a bucket of two the leader has met the other text already.
+    open_buckets = buckets.where("classes > 1 and n > 2").select(
+        "bucket", F.col("top.label").alias("largest"),
+        F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    still = members.join(scratch.save(open_buckets, "open"), "bucket")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    held = still.select("bucket", own.alias("block"), F.lit(0).alias("role"), "node", "label")
+    passing = still.where("label != largest").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label")
+    rows = (held.unionByName(passing).join(texts, "node").select("bucket", "block", "role", "node", "label", "text")
+            .repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block, index = None, [], None
+        for batch in batches:
+            for first, end, texts in text_blocks(batch, "text"):
+                part = batch.slice(first, end - first)
+                buckets, blocks, roles = (part.column(i).to_numpy() for i in range(3))
+                nodes, labels = part.column(3).to_pylist(), part.column(4).to_pylist()
+                sets = _sets(texts)
+                found = []
+                for i, mine in enumerate(sets):
+                    if (buckets[i], blocks[i]) != place:
+                        place, block, index = (buckets[i], blocks[i]), [], None
+                    if roles[i] == 0:
+                        block.append((nodes[i], labels[i], mine[0].copy(), mine[1].copy()))
+                        continue
+                    index = _inverted(block) if index is None else index
+                    for j in _likely(mine, index, len(block), threshold):
+                        node, label, *other = block[j]
+                        if label != labels[i] and similarity(tuple(other), mine) >= threshold:
+                            found.append((node, nodes[i]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)],
+                                                 names=["leader", "node"])
+
+    return rows.mapInArrow(compare, "leader binary, node binary")
+
+
+def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles and their counts of each text."""
+    owner, values, weights = shingles(*as_bytes(texts))
+    order = np.lexsort((values, owner))
+    owner, values, weights = owner[order], values[order], weights[order]
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [(values[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _inverted(block: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, text number and share of the text's weight, sorted by shingle."""
+    values = np.concatenate([b[2] for b in block])
+    owner = np.repeat(np.arange(len(block)), [len(b[2]) for b in block])
+    share = np.concatenate([b[3] / b[3].sum() for b in block])
+    order = np.argsort(values, kind="stable")
+    return values[order], owner[order], share[order]
+
+
+def _likely(mine: tuple[np.ndarray, np.ndarray], index: tuple, count: int, threshold: float) -> np.ndarray:
+    """Texts of the block that may be similar enough: the probability Jaccard is at most the share of either
+    text's weight that lies on common shingles."""
+    values, owner, share = index
+    low, high = np.searchsorted(values, mine[0], "left"), np.searchsorted(values, mine[0], "right")
+    hits = high - low
+    entry = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+    theirs = np.bincount(owner[entry], share[entry], count)
+    ours = np.bincount(owner[entry], np.repeat(mine[1] / mine[1].sum(), hits), count)
+    return np.flatnonzero(np.minimum(theirs, ours) >= threshold - 1e-9)
+
+
 def _link(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Classes of the texts that share buckets (node, label); a text without a link may be absent."""
-    labels, leaders_per_bucket = None, 1
-    while True:
-        salt = F.pmod(F.xxhash64("node"), F.lit(leaders_per_bucket))
-        found = members.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("leader")).select("bucket", "leader")
-        found = scratch.save(found, "leaders")
-        if labels is None:
-            pairs = members.join(found, "bucket").where("node != leader")
-        else:
-            own = found.join(labels.withColumnRenamed("label", "leader_label"), found.leader == labels.node, "left").select(
-                "bucket", "leader", F.coalesce("leader_label", "leader").alias("leader_label"))
-            pairs = (members.join(own, "bucket").where("label != leader_label and node != leader"))
-        pairs = scratch.save(pairs.select("leader", "node").distinct(), "pairs")
-        links = scratch.save(_verified(pairs, texts, threshold), "links")
-        older, labels = labels, components(links, scratch, labels)
-        scratch.drop(pairs, links, *([older] if older is not None else []))
-        # A leader has been compared with its whole bucket; buckets that hold one class are settled.
-        rest = members.drop("label").join(found, (members.bucket == found.bucket) & (members.node == found.leader), "left_anti")
-        rest = scratch.save(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
-        open_buckets = (rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                        .where("low != high").select("bucket"))
-        left = scratch.save(rest.join(scratch.save(open_buckets, "open"), "bucket"), "members")
-        scratch.drop(members, rest, found)
-        members = left
-        if not members.take(1):
-            return labels
-        leaders_per_bucket *= 4
+    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+    pairs = members.join(scratch.save(leaders, "leaders"), "bucket").where("node != leader").select("leader", "node")
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    first = scratch.save(_verified(pairs, texts, threshold), "links")
+    labels = components(first, scratch)
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    named = scratch.save(named, "named")
+    more = scratch.save(_settle(named, texts, threshold, scratch).distinct(), "links")
+    if more.take(1):
+        labels = components(more, scratch, labels)
+    scratch.drop(pairs, first, named, more)
+    return labels
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
