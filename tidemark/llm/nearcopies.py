@@ -227,13 +227,14 @@ def _texts_of(rows: DataFrame, slim: DataFrame, members: DataFrame, scratch: Scr
     chosen = (slim.join(members.select("node").distinct(), "node").groupBy("node")
               .agg(F.min("doc_id").alias("first")))
     chosen = scratch.save(chosen, "chosen").withColumnRenamed("node", "chosen_node")
-    picked = rows.join(chosen, (F.col("node") == F.col("chosen_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    # The same plan at every size: texts are shuffled by their key.
+    picked = rows.join(chosen.hint("merge"), (F.col("node") == F.col("chosen_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     # Only rows that agree in id and text are left to merge.
     return scratch.save(picked.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Links (leader, node) between texts of a bucket that are in different classes.
+    """Links (leader, node) between the labels of classes whose texts share a bucket.
 
     Texts outside a bucket's largest class are compared with all texts of the bucket. These are dealt out in
     blocks of bounded size, each with its own task, which the texts outside pass through one by one; only
@@ -261,20 +262,23 @@ def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scr
             for first, end, texts in text_blocks(batch, "text"):
                 part = batch.slice(first, end - first)
                 buckets, blocks, roles = (part.column(i).to_numpy() for i in range(3))
-                nodes, labels = part.column(3).to_pylist(), part.column(4).to_pylist()
+                labels = part.column(4).to_pylist()
                 sets = _sets(texts)
                 found = []
                 for i, mine in enumerate(sets):
                     if (buckets[i], blocks[i]) != place:
                         place, block, index = (buckets[i], blocks[i]), [], None
                     if roles[i] == 0:
-                        block.append((nodes[i], labels[i], mine[0].copy(), mine[1].copy()))
+                        block.append((labels[i], mine[0].copy(), mine[1].copy()))
                         continue
                     index = _inverted(block) if index is None else index
+                    met = {labels[i]}
                     for j in _likely(mine, index, len(block), threshold):
-                        node, label, *other = block[j]
-                        if label != labels[i] and similarity(tuple(other), mine) >= threshold:
-                            found.append((node, nodes[i]))
+                        label, *other = block[j]
+                        # One link to a class is enough; the class is the link's other end.
+                        if label not in met and similarity(tuple(other), mine) >= threshold:
+                            met.add(label)
+                            found.append((label, labels[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)],
                                                  names=["leader", "node"])
 
@@ -292,9 +296,9 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _inverted(block: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle, text number and share of the text's weight, sorted by shingle."""
-    values = np.concatenate([b[2] for b in block])
-    owner = np.repeat(np.arange(len(block)), [len(b[2]) for b in block])
-    share = np.concatenate([b[3] / b[3].sum() for b in block])
+    values = np.concatenate([b[1] for b in block])
+    owner = np.repeat(np.arange(len(block)), [len(b[1]) for b in block])
+    share = np.concatenate([b[2] / b[2].sum() for b in block])
     order = np.argsort(values, kind="stable")
     return values[order], owner[order], share[order]
 
