@@ -207,6 +207,26 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert {r["class_id"] for r in nearcopies.near_classes(frame_of(spark, texts)).collect()} == set(naive_classes(texts)) == {0}
 
 
+def test_a_bucket_of_few_long_texts(spark, monkeypatch):
+    # 2.4 MB each, so the bucket has two blocks; the hash leaves one of them empty.
+    rng = random.Random(1)
+    base = [f"{rng.randrange(10 ** 9):09d}" for _ in range(240_000)]
+    texts = []
+    for _ in range(3):
+        changed = list(base)
+        for i in range(0, len(base), 20):
+            changed[i] = f"{rng.randrange(10 ** 9):09d}"
+            base[i] = f"{rng.randrange(10 ** 9):09d}"
+        texts.append(" ".join(changed))
+    monkeypatch.setattr(nearcopies, "_band_rows", lambda frame: frame.select("node", F.lit(1).cast("long").alias("bucket")))
+    shared = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in ((shared[0], shared[1]), (shared[0], shared[2]), (shared[1], shared[2]))]
+    assert all(0.55 < x < 0.65 for x in alike)
+    for threshold, classes in ((0.8, 3), (0.5, 1)):
+        found = nearcopies.near_classes(frame_of(spark, texts), threshold=threshold).collect()
+        assert len(found) == 3 and len({r["class_id"] for r in found}) == classes
+
+
 def test_near_copies_of_nothing_and_of_equal_rows(spark):
     assert nearcopies.near_classes(frame_of(spark, ["a"]).limit(0)).count() == 0
     same = frame_of(spark, ["one two three four five six"] * 4 + [None, None]).withColumn("doc_id", F.lit(5).cast("long"))

@@ -271,6 +271,8 @@ def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scr
                     if roles[i] == 0:
                         block.append((labels[i], mine[0].copy(), mine[1].copy()))
                         continue
+                    if not block:  # few long texts: the hash may leave a block without any
+                        continue
                     index = _inverted(block) if index is None else index
                     met = {labels[i]}
                     for j in _likely(mine, index, len(block), threshold):
