@@ -199,6 +199,37 @@ def test_the_word_bound_loses_no_notice(spark):
         assert bool(found[str(i)]) == (round(best, 9) >= licences.THRESHOLD), (text, best)
 
 
+GNU_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {name} as published by
+# the Free Software Foundation, either version {version} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful."""
+
+
+def test_headers_over_line_ends_and_their_neighbours(spark):
+    cases = {
+        GNU_HEADER.format(name="General Public License", version="3"): ["GPL-3.0"],
+        GNU_HEADER.format(name="General Public License", version="2"): ["GPL-2.0"],
+        GNU_HEADER.format(name="Affero General Public License", version="3"): ["AGPL-3.0"],
+        GNU_HEADER.format(name="Lesser General Public License", version="2.1"): ["LGPL-2.1"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nmore": ["GPL-3.0"], "GNU GENERAL PUBLIC LICENSE": ["GPL"],
+        "MIT License\n\nCopyright (c) someone": ["MIT"], "Apache License": ["Apache"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+        "provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "Licensed under CC0 1.0": ["CC0-1.0"],
+        "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR MIT\ncode": ["GPL-2.0", "MIT"],
+        "a line of prose without an end\nReleased under the MIT License.": ["MIT"], "permission to use a zebra, any copies": [],
+    }
+    texts = list(cases) + [f"moon {i} walks by the sea" for i in range(200)]
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    found = {int(r["path"]): r["own"] for r in licences.licence_notices(frame).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert found[i] == want, (text, found[i])
+
+
 # -- quality ---------------------------------------------------------------
 
 def test_base_counts(spark):

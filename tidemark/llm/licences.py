@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine to notice templates, and inheritance from the nearest directory.
 
-Every file is cut into sentences (at line ends, and at spaces behind . ! ?). A sentence whose TF-IDF cosine
-to a template reaches ``threshold`` is that licence's notice; the best template counts. A file that as a whole
+Every file is cut into sentences (at blank lines, and at white space behind . ! ?). A sentence whose TF-IDF cosine
+to a template reaches ``threshold`` is that licence's notice; the best template counts. A sentence over several
+lines that reaches it with none is tried line by line. An SPDX line names its licences itself. A name without a
+version goes where the file names one with it. A file that as a whole
 matches a template, or has a licence file's name, is a licence file: its licences hold for its directory. A
 file without a notice of its own takes the licences of the nearest directory above it that has any.
 
@@ -14,8 +16,10 @@ Null and empty texts have no notice; a null path has no directory and inherits n
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,25 +27,67 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.small import attach
 
-# Notices by licence identifier.
+# Notices by licence identifier, a sentence each. A name without a version stands for notices that
+# state none.
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published "
+        "by the Free Software Foundation, either version {} of the License, or (at your option) any later version")
+
+
+def _gnu(name: str, version: str, date: str) -> list[str]:
+    return [_GNU.format(name, version), _GNU.format(name, version).replace("program", "library"),
+            f"This work is licensed under the GNU {name}, version {version}",
+            f"You should have received a copy of the GNU {name} version {version} along with this program",
+            f"Licensed under the GNU {name} v{version}", f"GNU {name} Version {version}, {date}"]
+
+
+def _creative(kind: str, long: str, version: str) -> list[str]:
+    return [f"Licensed under CC {kind} {version}", f"This work is licensed under a Creative Commons {long} {version} International License",
+            f"Creative Commons {long} {version} International"]
+
+
+_KINDS = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike",
+          "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+          "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES = {
+    "AGPL": ["GNU Affero General Public License"],
+    "AGPL-3.0": _gnu("Affero General Public License", "3", "19 November 2007"),
+    "Apache": ["Apache License"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0",
-                   "you may not use this file except in compliance with the License"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3"],
-    "MIT": ["Released under the MIT License",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
+                   "you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted",
+                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met"],
+    **{f"CC-{kind}-{version}": _creative(kind, long, version) for kind, long in _KINDS.items() for version in ("3.0", "4.0")},
+    "CC0-1.0": ["Licensed under CC0 1.0", "CC0 1.0 Universal",
+                "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "GPL": ["GNU General Public License"],
+    "GPL-2.0": _gnu("General Public License", "2", "June 1991"),
+    "GPL-3.0": _gnu("General Public License", "3", "29 June 2007"),
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+            "Released under the ISC License", "ISC License"],
+    "LGPL": ["GNU Lesser General Public License"],
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "February 1999"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "29 June 2007"),
+    "MIT": ["Released under the MIT License", "MIT License",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+            "to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+                "Mozilla Public License Version 2.0"],
 }
+SPDX = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+_SPDX_NAME = r"[A-Za-z0-9.-]+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 0.75
 WHOLE = 0.95  # of a whole text to be a licence file
 _SENTENCE = r"\n|(?<=[.!?])\x20+"
+_WRAPPED = r"(?<=[.!?])\s+|\n[^A-Za-z0-9\n]*\n\s*"  # a sentence may run over line ends
+_SLOTS = 4096
 _WORD = "[a-z0-9]+"
 
 
@@ -82,47 +128,90 @@ def needed_words(templates: dict[str, list[str]], weights: dict[str, float], thr
     return sorted(out)
 
 
+def _slots(templates: dict[str, list[str]], weights: dict[str, float]) -> Column:
+    """Words by the remainder of their CRC: idf, and what one occurrence adds to the cosine with each template."""
+    listed = template_words(templates)
+    lengths = [math.sqrt(sum((c * weights[w]) ** 2 for w, c in counts.items())) for _, counts in listed]
+    slots: list[list[dict]] = [[] for _ in range(_SLOTS)]
+    for word in sorted({w for _, counts in listed for w in counts}):
+        adds = [counts.get(word, 0) * weights[word] ** 2 / length for (_, counts), length in zip(listed, lengths, strict=True)]
+        slots[zlib.crc32(word.encode()) % _SLOTS].append({"word": word, "idf": weights[word], "adds": adds})
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<word:string,idf:double,adds:array<double>>>>")
+
+
 def best_template(words: Column, templates: dict[str, list[str]], weights: dict[str, float], unseen: float) -> Column:
     """(score, licence) of the template nearest to the words; ties go to the later name."""
-    idf = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    tf = lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double")
-    norm = F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), lambda a, w: a + F.pow(
-        tf(w) * F.coalesce(F.try_element_at(idf, w), F.lit(unseen)), F.lit(2))))
-    scores = []
-    for name, counts in template_words(templates):
-        length = math.sqrt(sum((c * weights[w]) ** 2 for w, c in counts.items()))
-        dot = F.lit(0.0)
-        for w, c in counts.items():
-            dot = dot + tf(F.lit(w)) * F.lit(c * weights[w] ** 2)
-        scores.append(F.struct(F.round(dot / (norm * length), 9).alias("score"), F.lit(name).alias("licence")))
-    return F.array_max(F.array(*scores))
+    slots, names = _slots(templates, weights), [name for name, _ in template_words(templates)]
+
+    def step(state: Column, word: Column) -> Column:
+        held = F.filter(F.get(slots, F.pmod(F.crc32(word), F.lit(_SLOTS)).cast("int")),
+                        lambda x: x["word"] == word)
+        known = F.get(held, F.lit(0))
+        again = F.when(state["last"] == word, state["times"]).otherwise(F.lit(0))
+        return F.struct(
+            word.alias("last"), (again + 1).alias("times"),
+            # The square of a count grows by 2 n + 1 with its next occurrence.
+            (state["square"] + (2 * again + 1) * F.pow(F.coalesce(known["idf"], F.lit(unseen)), F.lit(2.0))).alias("square"),
+            F.when(F.size(held) > 0, F.zip_with(state["dots"], known["adds"], lambda a, b: a + b)).otherwise(state["dots"]).alias("dots"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("times"), F.lit(0.0).alias("square"),
+                     F.array_repeat(F.lit(0.0), len(names)).alias("dots"))
+    listed = F.array(*[F.lit(n) for n in names])
+    return F.aggregate(F.array_sort(words), start, step, lambda state: F.array_max(F.zip_with(
+        state["dots"], listed, lambda dot, name: F.struct(F.round(dot / F.sqrt(state["square"]), 9).alias("score"), name.alias("licence")))))
+
+
+def _holding(words: list[str]) -> str:
+    """Pattern of a text that holds one of the words; grouped by first letter, which spares most comparisons."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(re.escape(word[1:]))
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(groups.items())) + r")(?![a-z0-9])"
+
+
+def spdx_names(text: Column) -> Column:
+    """Licence identifiers of the SPDX lines, without their -only, -or-later and +."""
+    said = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), " "), r"\bWITH\s+[A-Za-z0-9.-]+", " ")
+    names = F.regexp_extract_all(F.regexp_replace(said, r"-only\b|-or-later\b", ""), F.lit(_SPDX_NAME), F.lit(0))
+    return F.filter(names, lambda n: ~n.isin("AND", "OR") & n.rlike("[A-Za-z]"))
+
+
+def versioned(names: Column) -> Column:
+    """The names without those that lack a version where another one has it."""
+    return F.filter(names, lambda n: ~(n.isin("AGPL", "Apache", "GPL", "LGPL") & F.exists(
+        names, lambda m: m.startswith(F.concat(n, F.lit("-"))))))
 
 
 def licence_notices(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """files without text, with ``own``: licences found, and ``whole``: whether all of the text is one notice."""
     templates = TEMPLATES if templates is None else templates
     weights, unseen = word_weights(files, templates)
-    needed = needed_words(templates, weights, threshold)
-    pattern = r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, needed)) + r")(?![a-z0-9])"
+    pattern = _holding(needed_words(templates, weights, threshold))
     text = F.coalesce(F.col("text"), F.lit(""))
-    likely = F.filter(F.split(text, _SENTENCE, -1), lambda s: s.rlike(pattern))
-    best = F.transform(likely, lambda s: best_template(_words(s), templates, weights, unseen))
-    found = F.filter(best, lambda b: b["score"] >= threshold)
+
+    def notices(parts: Column) -> Column:
+        best = F.transform(F.filter(parts, lambda s: s.rlike(pattern)), lambda s: best_template(_words(s), templates, weights, unseen))
+        return F.filter(best, lambda b: b["score"] >= threshold)
+
+    # Line by line only where the lines as one sentence are no notice.
+    joined = F.filter(F.split(text, _WRAPPED, -1), lambda s: s.rlike(pattern))
+    found = F.flatten(F.transform(joined, lambda s: F.transform(F.array(notices(F.array(s))), lambda n: F.when(
+        (F.size(n) > 0) | ~s.contains("\n"), n).otherwise(notices(F.split(s, _SENTENCE, -1))))[0]))
+    said = F.transform(spdx_names(text), lambda n: F.struct(F.lit(1.0).alias("score"), n.alias("licence")))
     # A text of very many words is no notice, whatever its sentences are.
     longest = max(sum(words.values()) for _, words in template_words(templates))
     short = F.size(F.filter(F.split(text, _SENTENCE, -1), lambda s: s.rlike("[A-Za-z0-9]"))) <= 3
-    brief = F.when(F.char_length(text) <= 40 * longest, _words(text))
-    whole = F.when(text.rlike(pattern) & short & F.col("brief").isNotNull(),
-                   best_template(F.col("brief"), templates, weights, unseen)["score"] >= WHOLE)
-    frame = files.withColumn("brief", brief)
+    whole = F.when(short & (F.char_length(text) <= 40 * longest), best_template(_words(text), templates, weights, unseen)["score"] >= WHOLE)
+    likely = text.rlike(pattern) | text.contains("SPDX-License-Identifier")
+    frame = files.withColumn("notice", F.when(likely, F.struct(
+        F.concat(found, said).alias("found"), F.coalesce(whole, F.lit(False)).alias("whole"))))
     others = [c for c in files.columns if c != "text"]
-    none = F.array().cast("array<string>")
+    names = F.array_sort(F.array_distinct(F.transform("notice.found", lambda b: b["licence"])))
     return frame.select(
         *others,
-        F.when(text.rlike(pattern), F.array_sort(F.array_distinct(F.transform(found, lambda b: b["licence"])))).otherwise(none).alias("own"),
-        F.when(text.rlike(pattern), F.coalesce(F.array_max(F.transform(found, lambda b: b["score"])), F.lit(0.0)))
-        .otherwise(F.lit(0.0)).alias("score"),
-        F.coalesce(whole, F.lit(False)).alias("whole"))
+        F.coalesce(versioned(names), F.array().cast("array<string>")).alias("own"),
+        F.coalesce(F.array_max(F.transform("notice.found", lambda b: b["score"])), F.lit(0.0)).alias("score"),
+        F.coalesce("notice.whole", F.lit(False)).alias("whole"))
 
 
 def directory_of(path: Column) -> Column:
