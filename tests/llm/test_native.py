@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import licences, lines, mixing, quality, secrets, sharding
+from tidemark.llm import licences, lines, mixing, quality, queries, secrets, sharding
 from tidemark.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, score double, spans string"
@@ -230,6 +230,40 @@ def test_headers_over_line_ends_and_their_neighbours(spark):
         assert found[i] == want, (text, found[i])
 
 
+def test_full_texts_are_licence_files_and_hold(spark):
+    full = {name: texts[0] for name, texts in licences.full_texts().items()}
+    assert {"MIT", "ISC", "BSD-2-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "Apache-2.0"} <= set(full)
+    files = [(f"{name}/terms", text.replace("<year>", "2031").replace("<copyright holders>", "Nobody Ever")) for name, text in full.items()]
+    files += [(f"{name}/src/code", "a line of code") for name in full]
+    files += [("mixed/sub/x", "nothing"), ("mixed/a", "prose\nReleased under the MIT License."), ("mixed/b", "word " * 40 + "\nLicensed under CC BY 4.0.")]
+    frame = spark.createDataFrame(files + [(f"far/{i}", f"moon {i} walks") for i in range(100)], "path string, text string")
+    got = {r["path"]: r for r in licences.scan_licences(frame).collect()}
+    for name in full:
+        assert got[f"{name}/terms"]["own"] == [name]
+        assert (got[f"{name}/src/code"]["licences"], got[f"{name}/src/code"]["source_dir"]) == ([name], name)
+    assert got["mixed/sub/x"]["licences"] == ["MIT"] and got["mixed/b"]["own"] == ["CC-BY-4.0"]
+
+
+def test_the_query_inherits_as_brute_force_does(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    # The table's notices are whole lines.
+    notices = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+               "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    own, holds = {}, defaultdict(set)
+    for r in rows:
+        lines = [line for line in (r["text"] or "").split("\n") if line in notices]
+        own[r["doc_id"]] = sorted({notices[line] for line in lines})
+        size = len(re.findall("[a-z0-9]+", (r["text"] or "").lower()))
+        if lines and sum(len(re.findall("[a-z0-9]+", line.lower())) for line in lines) >= size / 2:
+            holds[r["source"], r["lang"]] |= set(own[r["doc_id"]])
+    want = {r["doc_id"]: ",".join(own[r["doc_id"]] or sorted(holds.get((r["source"], r["lang"]), []))) for r in rows}
+    found = queries.op6_license_scans(spark, folder).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == want
+    inherited = [r for r in found if r["source_dir"]]
+    assert len(inherited) == sum(bool(want[i]) and not own[i] for i in want) > 0
+
+
 # -- quality ---------------------------------------------------------------
 
 def test_base_counts(spark):

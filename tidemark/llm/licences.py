@@ -3,9 +3,12 @@
 Every file is cut into sentences (at blank lines, and at white space behind . ! ?). A sentence whose TF-IDF cosine
 to a template reaches ``threshold`` is that licence's notice; the best template counts. A sentence over several
 lines that reaches it with none is tried line by line. An SPDX line names its licences itself. A name without a
-version goes where the file names one with it. A file that as a whole
-matches a template, or has a licence file's name, is a licence file: its licences hold for its directory. A
-file without a notice of its own takes the licences of the nearest directory above it that has any.
+version goes where the file names one with it. A file whose TF-IDF
+cosine as a whole to a full licence text reaches ``WHOLE`` has that licence alone, however long it is.
+
+A directory's licence holders are its files with a full licence text, and those with a notice and a licence
+file's name. Where it has neither, they are the files of which notices make up ``MOSTLY`` of the words or more.
+A file without a notice of its own takes the licences of the nearest directory above it that has any.
 
 Document frequencies of the templates' words are counted over all files; other words weigh like a word never
 seen. Most sentences need no cosine: by Cauchy-Schwarz a sentence that reaches the threshold must hold one of
@@ -20,6 +23,7 @@ import json
 import math
 import re
 import zlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +88,22 @@ SPDX = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
 _SPDX_NAME = r"[A-Za-z0-9.-]+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 0.75
-WHOLE = 0.95  # of a whole text to be a licence file
+WHOLE = 0.9  # of a whole file to a full licence text
+MOSTLY = 0.5
+COMMON = 4.0  # idf of words in a twentieth of the files
 _SENTENCE = r"\n|(?<=[.!?])\x20+"
 _WRAPPED = r"(?<=[.!?])\s+|\n[^A-Za-z0-9\n]*\n\s*"  # a sentence may run over line ends
 _SLOTS = 4096
 _WORD = "[a-z0-9]+"
 
 
+def full_texts() -> dict[str, list[str]]:
+    """Full licence texts by identifier. AGPL-3.0 is the text of GPL-3.0 under its own name, from which it differs in a section."""
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = re.sub(r"(?i)\bGNU general public", "GNU Affero General Public", texts["GPL-3.0"])
+    return {name: [text] for name, text in sorted(texts.items())}
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
@@ -104,11 +117,20 @@ def template_words(templates: dict[str, list[str]]) -> list[tuple[str, dict[str,
     return out
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.crc32(word), F.lit(_SLOTS)).cast("int")
+
+
 def word_weights(files: DataFrame, templates: dict[str, list[str]]) -> tuple[dict[str, float], float]:
     """idf of each template word over all files, and of a word never seen."""
     vocabulary = sorted({w for _, words in template_words(templates) for w in words})
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    held = files.select(F.explode(F.array_intersect(_words(F.coalesce(F.col("text"), F.lit(""))), listed)).alias("word"))
+    slots: list[list[str]] = [[] for _ in range(_SLOTS)]
+    for word in vocabulary:
+        slots[zlib.crc32(word.encode()) % _SLOTS].append(word)
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<string>>")
+    listed = F.filter(F.array_distinct(_words(F.coalesce(F.col("text"), F.lit("")))),
+                      lambda w: F.array_contains(F.get(table, _slot(w)), w))
+    held = files.select(F.explode(listed).alias("word"))
     seen = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # at most the vocabulary
     n = files.count()
     idf = lambda df: math.log((1 + n) / (1 + df)) + 1
@@ -116,10 +138,11 @@ def word_weights(files: DataFrame, templates: dict[str, list[str]]) -> tuple[dic
 
 
 def needed_words(templates: dict[str, list[str]], weights: dict[str, float], threshold: float) -> list[str]:
-    """Words of which a matching sentence must hold at least one."""
+    """Words of which a matching sentence must hold at least one; any are, so words of many files are left out first."""
     out = set()
     for _, words in template_words(templates):
         squares = sorted(((count * weights[w]) ** 2, w) for w, count in words.items())
+        squares.sort(key=lambda x: weights[x[1]] > COMMON)
         left, bound = 0.0, threshold ** 2 * sum(s for s, _ in squares) * (1 - 1e-9)
         for square, word in squares:
             left += square
@@ -144,7 +167,7 @@ def best_template(words: Column, templates: dict[str, list[str]], weights: dict[
     slots, names = _slots(templates, weights), [name for name, _ in template_words(templates)]
 
     def step(state: Column, word: Column) -> Column:
-        held = F.filter(F.get(slots, F.pmod(F.crc32(word), F.lit(_SLOTS)).cast("int")),
+        held = F.filter(F.get(slots, _slot(word)),
                         lambda x: x["word"] == word)
         known = F.get(held, F.lit(0))
         again = F.when(state["last"] == word, state["times"]).otherwise(F.lit(0))
@@ -183,35 +206,40 @@ def versioned(names: Column) -> Column:
 
 
 def licence_notices(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """files without text, with ``own``: licences found, and ``whole``: whether all of the text is one notice."""
-    templates = TEMPLATES if templates is None else templates
-    weights, unseen = word_weights(files, templates)
-    pattern = _holding(needed_words(templates, weights, threshold))
+    """files without text, with ``own``: licences found, ``whole``: whether the text is a full licence text, and
+    ``mostly``: whether notices make up most of its words."""
+    templates, full = TEMPLATES if templates is None else templates, full_texts()
+    weights, unseen = word_weights(files, {f"{kind}{name}": notices for kind, some in enumerate((templates, full)) for name, notices in some.items()})
+    pattern, full_pattern = _holding(needed_words(templates, weights, threshold)), _holding(needed_words(full, weights, WHOLE))
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def notices(parts: Column) -> Column:
-        best = F.transform(F.filter(parts, lambda s: s.rlike(pattern)), lambda s: best_template(_words(s), templates, weights, unseen))
-        return F.filter(best, lambda b: b["score"] >= threshold)
+        def judged(s: Column) -> Column:
+            return F.transform(F.array(best_template(_words(s), templates, weights, unseen)), lambda b: F.struct(
+                b["score"].alias("score"), b["licence"].alias("licence"), F.size(_words(s)).alias("words")))[0]
+
+        return F.filter(F.transform(F.filter(parts, lambda s: s.rlike(pattern)), judged), lambda b: b["score"] >= threshold)
 
     # Line by line only where the lines as one sentence are no notice.
     joined = F.filter(F.split(text, _WRAPPED, -1), lambda s: s.rlike(pattern))
     found = F.flatten(F.transform(joined, lambda s: F.transform(F.array(notices(F.array(s))), lambda n: F.when(
         (F.size(n) > 0) | ~s.contains("\n"), n).otherwise(notices(F.split(s, _SENTENCE, -1))))[0]))
-    said = F.transform(spdx_names(text), lambda n: F.struct(F.lit(1.0).alias("score"), n.alias("licence")))
-    # A text of very many words is no notice, whatever its sentences are.
-    longest = max(sum(words.values()) for _, words in template_words(templates))
-    short = F.size(F.filter(F.split(text, _SENTENCE, -1), lambda s: s.rlike("[A-Za-z0-9]"))) <= 3
-    whole = F.when(short & (F.char_length(text) <= 40 * longest), best_template(_words(text), templates, weights, unseen)["score"] >= WHOLE)
+    said = F.transform(spdx_names(text), lambda n: F.struct(
+        F.lit(1.0).alias("score"), n.alias("licence"), (3 + F.size(_words(n))).alias("words")))
+    whole = F.when(text.rlike(full_pattern), F.get(F.filter(
+        F.array(best_template(_words(text), full, weights, unseen)), lambda b: b["score"] >= WHOLE), F.lit(0)))
     likely = text.rlike(pattern) | text.contains("SPDX-License-Identifier")
-    frame = files.withColumn("notice", F.when(likely, F.struct(
-        F.concat(found, said).alias("found"), F.coalesce(whole, F.lit(False)).alias("whole"))))
+    frame = files.withColumns({
+        "full": whole, "found": F.when(likely, F.concat(found, said)), "size": F.when(likely, F.size(_words(text)))})
     others = [c for c in files.columns if c != "text"]
-    names = F.array_sort(F.array_distinct(F.transform("notice.found", lambda b: b["licence"])))
+    names = versioned(F.array_sort(F.array_distinct(F.transform("found", lambda b: b["licence"]))))
+    held = F.aggregate("found", F.lit(0), lambda a, b: a + b["words"])
     return frame.select(
         *others,
-        F.coalesce(versioned(names), F.array().cast("array<string>")).alias("own"),
-        F.coalesce(F.array_max(F.transform("notice.found", lambda b: b["score"])), F.lit(0.0)).alias("score"),
-        F.coalesce("notice.whole", F.lit(False)).alias("whole"))
+        F.when(F.col("full").isNotNull(), F.array("full.licence")).otherwise(F.coalesce(names, F.array().cast("array<string>"))).alias("own"),
+        F.coalesce("full.score", F.array_max(F.transform("found", lambda b: b["score"])), F.lit(0.0)).alias("score"),
+        F.col("full").isNotNull().alias("whole"),
+        F.coalesce((held > 0) & (held >= MOSTLY * F.col("size")), F.lit(False)).alias("mostly"))
 
 
 def directory_of(path: Column) -> Column:
@@ -229,9 +257,11 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     others = [c for c in files.columns if c not in ("path", "text", "own", "score", "licences", "source_dir")]
     files = files.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"), "path", "text")
     own = scratch.save(licence_notices(files, templates, threshold).withColumn("dir", directory_of(F.col("path"))), "own")
-    holds = (own.where((F.size("own") > 0) & (F.col("whole") | F.col("path").rlike(LICENCE_FILE)))
-             .select("dir", F.explode("own").alias("licence")).groupBy("dir")
-             .agg(F.array_sort(F.collect_set("licence")).alias("dir_licences")))
+    # Files that are a licence or are named so come before those that mostly are notices.
+    sure = F.col("whole") | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    holds = (own.where((F.size("own") > 0) & (sure | F.col("mostly"))).select("dir", sure.alias("sure"), F.explode("own").alias("licence"))
+             .groupBy("dir", "sure").agg(F.array_sort(F.collect_set("licence")).alias("dir_licences"))
+             .groupBy("dir").agg(F.max_by("dir_licences", "sure").alias("dir_licences")))
     holds = scratch.save(holds.withColumnRenamed("dir", "above"), "holds")
     # Each directory looks up all directories above it once, however many files it has.
     bare = own.where(F.size("own") == 0).select("dir").distinct()
