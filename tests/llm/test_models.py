@@ -105,6 +105,17 @@ def test_languages_are_learned_and_edges_defined(spark):
 
 # -- toxicity --------------------------------------------------------------
 
+def test_every_label_is_learned(spark, monkeypatch):
+    rows = [(f"{name} {i} words", f"l{name:03d}") for name in range(300) for i in range(1 + name % 3)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    given, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda x, y, names, **options: given.append(y) or train(x, y, names, **options))
+    model = language.fit_languages(frame, epochs=1)
+    assert model.languages == [f"l{name:03d}" for name in range(300)]
+    assert Counter(given[0].tolist()) == {name: 1 + name % 3 for name in range(300)}
+    assert language.predict_languages(frame, model).where("lang_pred = 'und'").count() == 0
+
+
 def toxic_rows(rng, n):
     plain, bad = [f"word{i}" for i in range(40)], ["vileness", "hateful", "scummy"]
     rows = []

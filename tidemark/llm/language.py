@@ -8,11 +8,12 @@ document's probabilities are the means over its letter bytes.
 The gates use the piecewise linear sigmoid and the candidate state x / (1 + |x|), which cost a few
 nanoseconds a byte where exp and tanh would take most of the run time. Training is plain
 backpropagation through time in NumPy on a bounded sample: at most ``docs_per_language`` documents of
-each language and ``windows_per_doc`` windows of each, spread evenly over the whole text.
+each language, ``SAMPLE_DOCS`` in all, and ``windows_per_doc`` windows of each, spread evenly over the whole text.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from tidemark.llm.text import as_bytes, text_blocks
 WINDOW = 128
 HIDDEN = 8
 UNKNOWN = "und"
+SAMPLE_DOCS = 102_400  # that the driver learns from, of all languages together
 
 _ONE = np.float32(1)
 _LETTER = np.zeros(256, np.float32)
@@ -118,7 +120,7 @@ def document_probabilities(model: LanguageModel, data: np.ndarray, offsets: np.n
     rows, owner = windows_of(data, offsets)
     total = np.zeros((len(offsets) - 1, len(model.languages)))
     letters = np.zeros(len(offsets) - 1)
-    size = max(64, min(4096, 2_500_000 // (WINDOW * len(model.languages))))
+    size = max(1, min(4096, 2_500_000 // (WINDOW * len(model.languages))))
     for at in range(0, len(rows), size):
         part = rows[at: at + size]
         mask = _LETTER[part]
@@ -193,19 +195,21 @@ def _gradients(model: LanguageModel, rows: np.ndarray, labels: np.ndarray) -> li
 
 
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400,
-                  windows_per_doc: int = 2, max_languages: int = 256, **options) -> LanguageModel:
+                  windows_per_doc: int = 2, **options) -> LanguageModel:
     """Learn from the given rows; rows with a null text or label are passed over.
 
     The sample is at most ``docs_per_language`` documents of each language, picked by a hash of the text
-    so that reruns agree, with ``windows_per_doc`` windows spread over each text. No labelled row gives a
+    so that reruns agree, with ``windows_per_doc`` windows spread over each text. Every label is learned; with
+    more than ``SAMPLE_DOCS / docs_per_language`` of them each gets fewer documents. No labelled row gives a
     model without languages, under which every text is unknown.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-              .limit(max_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * docs_per_language / n))])
+    per = min(docs_per_language, max(1, SAMPLE_DOCS // len(counts)))
+    hoped = max(1.5 * per, 24.0)  # enough that no language is left without a row by chance
+    share = F.from_json(F.lit(json.dumps({k: min(1.0, hoped / n) for k, n in counts.items()})), "map<string,double>")
     chance = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     size = F.greatest(F.octet_length("text"), F.lit(1))
     # Windows are cut in Spark, so only they travel to the driver; they start at even steps through the bytes.
@@ -215,15 +219,18 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", docs_
     sample = (labelled.where(chance < F.try_element_at(share, F.col("lang")))
               .select("lang", chance.alias("chance"), F.encode("text", "UTF-8").alias("bytes"), starts.alias("starts"))
               .select("lang", "chance", F.transform("starts", lambda s: F.substring("bytes", s + 1, F.lit(WINDOW))).alias("parts"))
-              .orderBy("chance", "parts").limit(2 * docs_per_language * len(counts)).collect())
+              .orderBy("chance", "parts").limit(max(2 * per, 48) * len(counts)).collect())
     languages, seen = sorted(counts), dict.fromkeys(counts, 0)
+    place = {name: i for i, name in enumerate(languages)}
     rows, labels = [], []
     for r in sample:
         seen[r["lang"]] += 1
-        if seen[r["lang"]] <= docs_per_language:
+        if seen[r["lang"]] <= per:
             for part in r["parts"]:
                 rows.append(np.frombuffer(bytes(part).ljust(WINDOW, b"\0"), np.uint8))
-                labels.append(languages.index(r["lang"]))
+                labels.append(place[r["lang"]])
+    # Memory of a step is rows times languages.
+    options.setdefault("batch", max(1, min(256, 256 * 256 // len(languages))))
     return train(np.array(rows), np.array(labels), languages, **options)
 
 
