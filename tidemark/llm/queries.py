@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, leaks, licences, lines, mixing, nearcopies, quality, secrets, sharding, toxicity
+from tidemark.llm import (
+    bpe, clusters, language, leaks, licences, lines, mixing, nearcopies, quality, ranking, secrets, sharding, toxicity)
 from tidemark.llm.small import attach
 from tidemark.operators.ordering import sorted_index
 
@@ -218,3 +220,63 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.with_copies(mix.rows, mix)
     return taken.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
                         (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{ranking.TERM}') AS t FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{ranking.TERM}')) AS term FROM benchmark),
+s AS (SELECT count(*) AS big_n, sum(len(t))::BIGINT AS big_l FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, big_n),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM r WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10""")
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return ranking.rank_documents(documents(spark, folder), items, 10)
+
+
+@query()
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe.Tokenizer.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode_texts(documents(spark, folder), tokenizer, keep=["doc_id"])
+    return bpe.decode_ids(encoded, tokenizer).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, min([distance, cluster]) AS best FROM (
+    SELECT vec_id, cluster, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS distance FROM p JOIN c{r} c USING (j) GROUP BY vec_id, cluster)
+  GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT cluster, j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT best[2] AS cluster, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS x
+    FROM a{r} JOIN p USING (vec_id) GROUP BY ALL) m USING (cluster, j))""")
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM v),
+c0 AS MATERIALIZED (SELECT cluster, x, j FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR)) - 1 AS cluster
+  FROM v QUALIFY cluster < {k}) USING (vec_id)),{",".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(best[1]) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h ON cluster = best[2]"""
+
+
+@query(_clusters_sql())
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    assigned, centroids = clusters.cluster_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    # At most eight centroids.
+    return assigned.join(F.broadcast(centroids.select("cluster", "cluster_inertia", "inertia", digest)), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
