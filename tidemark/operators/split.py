@@ -1,14 +1,14 @@
 """Splits and folds.
 
-A split is decided by a few exact cut values, not by numbering every row: a
-histogram finds the chunks that hold the wanted ranks, and only those are
-sorted. The result is a plain predicate, so tagging a table is a map-only pass,
-and a time split can be pushed down to the scan.
+A split is decided by a few exact cut values, not by numbering every row. One job counts the rows and
+summarises the order axis, which brackets every cut between two close values; a second one counts the
+rows between the brackets and the values inside them, which settles all cuts exactly. The result is a
+plain predicate, so tagging a table is a map-only pass, and a time split can be pushed down to the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import (
-    CHUNK, MAX_BROADCAST_RANKS, MAX_CHUNKS, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, cut_points, row_index, select_ranks, sorted_index,
-    with_chunk,
+    CHUNK, MAX_BROADCAST_RANKS, MAX_ROWS_PER_TASK, NUMBER_LIKE, SeriesLayout, order_number, prefix_sum, row_index, select_ranks,
+    sorted_index,
 )
 
 # Fixed values of the default split.
@@ -25,6 +25,8 @@ DEFAULT_RATIOS = {"train": 0.6, "val": 0.2, "test": 0.2}
 DEFAULT_SEED = 42
 
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+# The summary of an order axis is off by at most one row in so many.
+ACCURACY = 100_000
 # Rows that one chunk of the random order should hold.
 ROWS_PER_HASH_CHUNK = 250_000
 
@@ -36,6 +38,11 @@ def shuffle_key(columns: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return F.md5(text)
 
 
+def hash_number(column: str = "_hash") -> Column:
+    """The leading 48 bits of the hash."""
+    return F.conv(F.substring(column, 1, 12), 16, 10).cast("double")
+
+
 def hash_chunk(n: int) -> Column:
     """The leading hex digits of the hash: equally likely chunks, as many as ``n`` rows need."""
     digits = 1
@@ -73,47 +80,122 @@ def _literals(df: DataFrame, rows: DataFrame, numbers: Sequence[str], columns: S
     ]
 
 
-def _rows_at(df: DataFrame, order: Sequence[str], ranks: Sequence[int], chunk: Column | None = None,
-             total: int | None = None, max_rows: int | None = None) -> dict[int, tuple[Column, ...]]:
-    """Order values, as literals, of the rows at the given ranks; one row per rank comes back.
-
-    The first order column is resolved alone, with equal values merged; what is
-    left among rows of one value is resolved by the other columns.
+def _brackets(spots: Sequence[float], accuracy: int) -> list[float]:
+    """Two positions around each wanted one that the summary's error cannot reach past."""
+    return [p for spot in spots for p in (max(0.0, spot - 3 / accuracy), min(1.0, spot + 3 / accuracy))]
+
+
+def _merged(ends: Sequence[float], positions: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals in order; a bracket at the edge of the axis is open."""
+    pairs = sorted(
+        (float("-inf") if p <= 0 else a, float("inf") if q >= 1 else b)
+        for a, b, p, q in zip(ends[::2], ends[1::2], positions[::2], positions[1::2]))
+    out = [pairs[0]]
+    for low, high in pairs[1:]:
+        if low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _region(at: Column, intervals: Sequence[tuple[float, float]]) -> Column:
+    """2 i + 1 inside interval i, 2 i between it and the one before."""
+    region = F.lit(2 * len(intervals))
+    for i, (low, high) in reversed(list(enumerate(intervals))):
+        region = F.when(at < low, 2 * i).when(at <= high, 2 * i + 1).otherwise(region)
+    return region
+
+
+def _narrowed(rows: DataFrame, intervals: list[tuple[float, float]], ranks: Sequence[int], accuracy: int) -> list[tuple[float, float]]:
+    """Closer brackets inside the given ones, from the summary of every interval by itself."""
+    counts = {r["_region"]: r["count"] for r in rows.groupBy(_region(F.col("_at"), intervals).alias("_region")).count().collect()}
+    below, asked = 0, []
+    for region in range(2 * len(intervals) + 1):
+        n = counts.get(region, 0)
+        if region % 2:
+            asked.append(_brackets([(r - below) / n for r in ranks if below <= r < below + n], accuracy))
+        below += n
+    if sum(map(len, asked)) < 2 * len(ranks):
+        return intervals  # a rank outside; the caller looks elsewhere
+    inside = lambda low, high: F.when((F.col("_at") >= low) & (F.col("_at") <= high), F.col("_at"))
+    found = rows.agg(*[F.percentile_approx(inside(*pair), spots or [0.5], accuracy) for pair, spots in zip(intervals, asked)]).first()
+    out = []
+    for (low, high), spots, ends in zip(intervals, asked, found):
+        if spots:
+            out += [(max(a, low), min(b, high)) for a, b in _merged(ends, spots)]
+    return out
+
+
+def _cuts_of(
+    df: DataFrame, order: Sequence[str], ranks_of: Callable[[int], list[int]], guesses: Sequence[float],
+    number: Column | None = None, max_rows: int | None = None,
+) -> tuple[list[int], dict[int, tuple[Column, ...]]]:
+    """The wanted ranks, and the order values, as literals, of the rows at those ranks that exist.
+
+    ``ranks_of`` gives the ranks for a number of rows, ``guesses`` say where on the axis they will about
+    be. ``number`` is a number that never decreases along the first order column, if that is text.
+    The first column is resolved alone; where several rows share a wanted value the others decide.
     """
-    ranks = sorted({r for r in ranks if r >= 0})
-    if not ranks:
-        return {}
-    limit = max_rows or MAX_ROWS_PER_TASK
+    limit, accuracy = max_rows or MAX_ROWS_PER_TASK, ACCURACY
     head, rest = order[0], list(order[1:])
-    if chunk is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
-        # Text has no cut points: number the rows over a distributed sort.
-        numbered = sorted_index(df, order, "rank").where(F.col("rank").isin(ranks))
-        return {rank: tuple(values) for rank, *values in _literals(df, numbered, ["rank"], order)}
-    if chunk is not None:
-        chunked = df.withColumn(CHUNK, chunk)
-    else:
-        parts = -(-(total or 0) // limit)
-        chunked = with_chunk(df, head, cut_points(df, head, min(MAX_CHUNKS, parts * 4) if parts > 1 else 1))
-    wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
-    found = _literals(
-        df, select_ranks(chunked, [], [head], CHUNK, lambda n: wanted), ["rank", "offset", "equal"], [head])
-    if not rest:
-        return {rank: (value,) for rank, _, _, value in found}
-    if any(equal > limit for _, _, equal, _ in found):
-        out = {}
-        for rank, offset, equal, value in found:
+    if number is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
+        # Text has no summary: number the rows over a distributed sort.
+        ranks = ranks_of(df.count())
+        numbered = sorted_index(df.select(*order), order, "rank").where(F.col("rank").isin(ranks))
+        return ranks, {rank: tuple(values) for rank, *values in _literals(df, numbered, ["rank"], order)}
+    rows = df.select(*order, (order_number(df, head) if number is None else number).cast("double").alias("_at"))
+    spots = _brackets(guesses, accuracy)
+    n, ends = rows.agg(F.count(F.lit(1)), F.percentile_approx("_at", spots, accuracy)).first()
+    ranks = ranks_of(n)
+    wanted = sorted({r for r in ranks if 0 <= r < n})
+    if not wanted:
+        return ranks, {}
+    intervals, wider = _merged(ends, spots), 1
+    while True:
+        # So many rows may lie inside the brackets; more than a task should sort are bracketed again.
+        share = 8 * wider / accuracy
+        while n * share * len(intervals) > limit and share > 8 / accuracy ** 3:
+            intervals, share = _narrowed(rows, intervals, wanted, accuracy), share * 8 / accuracy
+        found = _inside_brackets(df, rows, head, intervals, wanted)
+        if len(found) == len(wanted):
+            break
+        # The guesses were off: the true positions are known now.
+        wider *= 4
+        spots = _brackets([r / n for r in wanted], max(2, accuracy // wider))
+        intervals = _merged(rows.agg(F.percentile_approx("_at", spots, accuracy)).first()[0], spots)
+    out = {rank: (value,) for rank, _, _, value in found}
+    tied = [f for f in found if f[2] > 1] if rest else []
+    if any(equal > limit for _, _, equal, _ in tied):
+        for rank, offset, equal, value in tied:
             same = df.where(F.col(head) == value).select(*rest)
-            out[rank] = (value, *_rows_at(same, rest, [offset], None, equal, max_rows)[offset])
-        return out
-    # Few rows share a wanted value: one job settles all ranks.
-    among = Window.partitionBy(head).orderBy(*rest)
-    asked = reduce(lambda a, b: a | b, [F.col(head) == value for _, _, _, value in found])
-    rank_of = F.coalesce(*[
-        F.when((F.col(head) == value) & (F.col("_at") == offset), F.lit(rank)) for rank, offset, _, value in found
-    ])
-    tied = df.where(asked).withColumn("_at", F.row_number().over(among) - 1).withColumn("rank", rank_of)
-    last = _literals(df, tied.where(F.col("rank").isNotNull()), ["rank"], order)
-    return {rank: tuple(values) for rank, *values in last}
+            _, at = _cuts_of(same, rest, lambda _, offset=offset: [offset], [offset / equal], None, max_rows)
+            out[rank] = (value, *at[offset])
+    elif tied:
+        # Few rows share a wanted value: one job settles all ranks.
+        among = Window.partitionBy(head).orderBy(*rest)
+        asked = reduce(lambda a, b: a | b, [F.col(head) == value for _, _, _, value in tied])
+        rank_of = F.coalesce(*[
+            F.when((F.col(head) == value) & (F.col("_at") == offset), F.lit(rank)) for rank, offset, _, value in tied
+        ])
+        held = df.where(asked).withColumn("_at", F.row_number().over(among) - 1).withColumn("rank", rank_of)
+        for rank, *values in _literals(df, held.where(F.col("rank").isNotNull()), ["rank"], order):
+            out[rank] = tuple(values)
+    return ranks, out
+
+
+def _inside_brackets(df: DataFrame, rows: DataFrame, head: str, intervals: list[tuple[float, float]],
+                     wanted: Sequence[int]) -> list[tuple]:
+    """(rank, offset among the rows of that value, their number, value) of the ranks inside the intervals."""
+    region = _region(F.col("_at"), intervals)
+    cells = rows.groupBy(region.alias("_region"), F.when(region % 2 == 1, F.col(head)).alias(head)).agg(F.count(F.lit(1)).alias("equal"))
+    before = Window.orderBy("_region", head).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("equal").over(before), F.lit(0))
+    placed = cells.withColumn("_first", first).where(F.col("_region") % 2 == 1)
+    held = F.filter(F.array(*[F.lit(r).cast("long") for r in wanted]),
+                    lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("equal")))
+    picked = placed.withColumn("rank", F.explode(held)).withColumn("offset", F.col("rank") - F.col("_first"))
+    return _literals(df, picked, ["rank", "offset", "equal"], [head])
 
 
 def _cut_tags(order: Sequence[str], cuts: list[tuple[tuple | None, str]], last: str) -> Column:
@@ -123,6 +205,17 @@ def _cut_tags(order: Sequence[str], cuts: list[tuple[tuple | None, str]], last:
     return tag
 
 
+def _split_tags(rows: DataFrame, order: Sequence[str], ratios: dict[str, float], number: Column | None,
+                max_rows: int | None) -> Column:
+    def ranks(n: int) -> list[int]:
+        n_train, n_val = sizes(n, ratios)
+        return [n_train, n_train + n_val]
+
+    train, val = float(ratios["train"]), float(ratios.get("val", 0.0))
+    (first, second), at = _cuts_of(rows, order, ranks, [train, min(1.0, train + val)], number, max_rows)
+    return _cut_tags(order, [(at.get(first), "train"), (at.get(second), "val")], "test")
+
+
 def chronological_split(
     df: DataFrame,
     order: Sequence[str],
@@ -147,12 +240,7 @@ def chronological_split(
                .when(F.col("_row") < train + val, "val").otherwise("test"))
         tagged = indexed.withColumn(out, tag).drop("_row", "_rows")
     else:
-        n = df.count()
-        n_train, n_val = sizes(n, ratios)
-        at = _rows_at(df.select(*order), order, [n_train, n_train + n_val], total=n, max_rows=max_rows)
-        tagged = df.withColumn(
-            out, _cut_tags(order, [(at.get(n_train), "train"), (at.get(n_train + n_val), "val")], "test")
-        )
+        tagged = df.withColumn(out, _split_tags(df.select(*order), order, ratios, None, max_rows))
     return tagged if ratios.get("val", 0.0) else test_as_val(tagged, out)
 
 
@@ -166,12 +254,9 @@ def random_split(
 ) -> DataFrame:
     """Exact-size split in a reproducible random order of the row key."""
     ratios = ratios or DEFAULT_RATIOS
-    n = df.count()
-    n_train, n_val = sizes(n, ratios)
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train, n_train + n_val], hash_chunk(n), n, max_rows)
-    cuts = [(at.get(n_train), "train"), (at.get(n_train + n_val), "val")]
-    tagged = hashed.withColumn(out, _cut_tags(["_hash"], cuts, "test")).drop("_hash")
+    tags = _split_tags(hashed.select("_hash"), ["_hash"], ratios, hash_number(), max_rows)
+    tagged = hashed.withColumn(out, tags).drop("_hash")
     return tagged if ratios.get("val", 0.0) else test_as_val(tagged, out)
 
 
@@ -181,18 +266,20 @@ def train_subset(df: DataFrame, ratio: float, order: Sequence[str] | None = None
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"invalid train ratio: {ratio}")
     parts = {"train": ratio, "val": 0.0, "test": 1.0 - ratio}
-    n = df.count()
-    if n == 0:
-        raise ValueError("the table is empty")
-    n_train, _ = sizes(n, parts)
-    if n_train <= 0:
-        raise ValueError("the training subset is empty")
+
+    def ranks(n: int) -> list[int]:
+        if n == 0:
+            raise ValueError("the table is empty")
+        if int(n * ratio) <= 0:
+            raise ValueError("the training subset is empty")
+        return [sizes(n, parts)[0]]
+
     if order:
-        at = _rows_at(df.select(*order), order, [n_train], total=n)
-        return df.where(_before(order, at[n_train]))
+        (cut,), at = _cuts_of(df.select(*order), order, ranks, [ratio])
+        return df.where(_before(order, at[cut]))
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    at = _rows_at(hashed.select("_hash"), ["_hash"], [n_train], hash_chunk(n), n)
-    return hashed.where(_before(["_hash"], at[n_train])).drop("_hash")
+    (cut,), at = _cuts_of(hashed.select("_hash"), ["_hash"], ranks, [ratio], hash_number())
+    return hashed.where(_before(["_hash"], at[cut])).drop("_hash")
 
 
 def test_as_val(df: DataFrame, out: str = "dataset") -> DataFrame:
@@ -227,16 +314,16 @@ def kfold(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Number the test fold of each row; without shuffling, folds are blocks in ``key`` order."""
-    n = df.count()
-    if not 2 <= k <= n:
-        raise ValueError(f"cannot make {k} folds of {n} rows")
-    starts = _fold_starts(n, k)[1:]
+    def ranks(n: int) -> list[int]:
+        if not 2 <= k <= n:
+            raise ValueError(f"cannot make {k} folds of {n} rows")
+        return _fold_starts(n, k)[1:]
+
     if shuffle:
-        source = df.withColumn("_hash", shuffle_key(key, seed))
-        order, chunk = ["_hash"], hash_chunk(n)
+        source, order, number = df.withColumn("_hash", shuffle_key(key, seed)), ["_hash"], hash_number()
     else:
-        source, order, chunk = df, list(key), None
-    at = _rows_at(source.select(*order), order, starts, chunk, n, max_rows)
+        source, order, number = df, list(key), None
+    starts, at = _cuts_of(source.select(*order), order, ranks, [i / k for i in range(1, k)], number, max_rows)
     fold = F.lit(0)
     for start in starts:
         fold = fold + F.when(_before(order, at[start]), 0).otherwise(1)
@@ -262,10 +349,8 @@ def stratified_kfold(
     n = df.count()
     # The surplus rows of a class go to the folds after those of the class before
     # it, so that the folds as a whole also differ by at most one row.
-    earlier = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    classes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "shift", F.coalesce(F.sum("n").over(earlier), F.lit(0)) % k
-    )
+    classes = prefix_sum(df.groupBy(by).agg(F.count(F.lit(1)).alias("n")), [by], "n", "shift").withColumn(
+        "shift", F.col("shift") % k)
     fold_sizes = [
         F.floor(F.col("n") / k) + F.when(F.pmod(F.lit(i) - F.col("shift"), F.lit(k)) < F.col("n") % k, 1).otherwise(0)
         for i in range(k)
@@ -311,6 +396,15 @@ def expanding_ends(n: int, k: int, input_len: int, output_len: int) -> list[int]
     return ends[: ends.index(n) + 1] if n in ends else ends
 
 
+def expanding_prefixes(
+    df: DataFrame, order: Sequence[str], k: int, input_len: int, output_len: int, max_rows: int | None = None,
+) -> list[Column]:
+    """The growing prefixes as conditions on a row; a prefix that holds the whole table is true."""
+    ends, at = _cuts_of(df, order, lambda n: expanding_ends(n, k, input_len, output_len),
+                        [(i + 1) / k for i in range(k)], max_rows=max_rows)
+    return [_before(order, at[end]) if end in at else F.lit(True) for end in ends]
+
+
 def expanding_folds(
     df: DataFrame,
     order: Sequence[str],
@@ -320,16 +414,13 @@ def expanding_folds(
     out: str = "fold",
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Long form of the growing prefixes: fold ``i`` holds the earliest ``end_i`` rows."""
-    n = df.count()
-    ends = expanding_ends(n, k, input_len, output_len)
-    at = _rows_at(df.select(*order), order, [e for e in ends if e < n], total=n, max_rows=max_rows)
-    first = F.lit(0)
-    for end in ends:
-        if end < n:
-            first = first + F.when(_before(order, at[end]), 0).otherwise(1)
-    inside = df.withColumn("_first", first.cast("int")).where(F.col("_first") < len(ends))
-    return inside.withColumn(out, F.explode(F.sequence(F.col("_first"), F.lit(len(ends) - 1)))).drop("_first")
+    """Long form of the growing prefixes: fold ``i`` holds the earliest ``end_i`` rows.
+
+    The rows are multiplied by the folds that hold them; :func:`expanding_prefixes` gives plain conditions.
+    """
+    inside = expanding_prefixes(df, order, k, input_len, output_len, max_rows)
+    numbers = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]), lambda i: i.isNotNull())
+    return df.withColumn(out, F.explode(numbers))
 
 
 def tag_windows(

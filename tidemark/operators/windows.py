@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import SeriesLayout, row_frame, row_index
+from tidemark.operators.ordering import SeriesLayout, row_index
 
 
 def _step(columns: Sequence[str]) -> Column:
@@ -17,8 +16,8 @@ def _step(columns: Sequence[str]) -> Column:
     return F.struct(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
 
 
-def _values(collected: str) -> Column:
-    return F.transform(collected, lambda step: step["v"])
+# A block holds at most so many windows, values of windows and rows.
+BLOCK_WINDOWS, BLOCK_VALUES, BLOCK_ROWS = 1024, 250_000, 16_384
 
 
 def sliding_windows(
@@ -38,63 +37,73 @@ def sliding_windows(
     Result: keys, ``window_index`` (row number of the window's first row divided
     by the stride), ``window_count`` of the series, ``window_end`` (order value
     of the last input row), ``x`` and, with targets, ``y`` as arrays of steps.
-    A series that is too short gives no window. With a stride above 1 every row
-    goes only into the windows that contain it, so the windows between are never
-    made and a long series is spread over its windows.
+    A series that is too short gives no window.
+
+    Rows are numbered first, which tells how many windows there are. Then every row is gathered once into
+    the block of windows it belongs to, and again into the next block where the windows reach over its end;
+    a window is a slice of its block. So a long series is spread over its blocks, rows that no window holds
+    are never gathered, and nothing is counted over rows that already carry windows. ``block_rows`` sets
+    the number of windows in a block.
     """
     keys, order = list(keys), list(order)
     needed = list(dict.fromkeys([*keys, *order, *features, *(targets or [])]))
-    if stride > 1:
-        return _strided(df.select(*needed), features, order, input_len, output_len if targets else 0, targets,
-                        keys, stride, layout)
-
-    def build(window):
-        out = [F.collect_list(_step(features)).over(window.rowsBetween(-(input_len - 1), 0)).alias("_x")]
-        if targets:
-            out.append(F.collect_list(_step(targets)).over(window.rowsBetween(1, output_len)).alias("_y"))
-        return out
-
-    framed = row_frame(
-        df.select(*needed), keys, order, input_len - 1, output_len if targets else 0, build,
-        layout=layout, index="_row", total="_rows", block_rows=block_rows,
-    )
-    first = F.col("_row") - (input_len - 1)
-    last_first = F.col("_rows") - input_len - (output_len if targets else 0)
-    kept = framed.where((first >= 0) & (first <= last_first) & (first % stride == 0))
-    return kept.select(
-        *keys,
-        F.floor(first / stride).cast("long").alias("window_index"),
-        (F.floor(last_first / stride) + 1).cast("long").alias("window_count"),
-        F.col(order[0]).alias("window_end"),
-        _values("_x").alias("x"),
-        *([_values("_y").alias("y")] if targets else []),
-    )
-
+    span = input_len + (output_len if targets else 0)
+    values = span * (len(features) + len(targets or []))
+    per = block_rows or max(1, min(BLOCK_WINDOWS, BLOCK_VALUES // values, BLOCK_ROWS // min(stride, span)))
+    at, windows = F.col("_row"), F.floor((F.col("_rows") - span) / stride).cast("long") + 1
+    indexed = row_index(df.select(*needed), keys, order, "_row", "_rows", layout).withColumn("_windows", windows)
+    used = (F.col("_windows") > 0) & (at < (F.col("_windows") - 1) * stride + span)
+    if stride > span:
+        used &= F.pmod(at, F.lit(stride)) < span  # the rows between two windows
+    first = F.greatest(F.lit(0), F.ceil((at - (per - 1) * stride - span + 1) / (per * stride))).cast("long")
+    last = F.least(F.floor(at / (per * stride)), F.floor((F.col("_windows") - 1) / per)).cast("long")
+    placed = indexed.where(used).withColumn("_block", F.explode(F.sequence(first, last)))
+    parts = [_step(features).alias("x"), F.col(order[0]).alias("end")] + ([_step(targets).alias("y")] if targets else [])
+    blocks = placed.groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), *parts))).alias("_steps"), F.max("_windows").alias("_windows"))
+    begin = F.col("_block") * per
+    numbers = F.sequence(F.lit(0).cast("long"), F.least(F.lit(per), F.col("_windows") - begin) - 1)
+    made = blocks.select(*keys, F.col("_windows").alias("window_count"), F.explode(
+        F.transform(numbers, lambda j: _slice(j, min(stride, span), input_len, output_len if targets else 0, begin + j))).alias("_w"))
+    return made.select(*keys, "_w.window_index", "window_count", "_w.window_end", "_w.x", *(["_w.y"] if targets else []))
+
+
+def _slice(number: Column, step: int, input_len: int, output_len: int, index: Column) -> Column:
+    """Window ``number`` of the rows gathered in ``_steps``, in which windows begin every ``step`` rows."""
+    start = (number * step).cast("int")
+    values = lambda name, skip, count: F.transform(
+        F.slice("_steps", start + skip + 1, F.lit(count)), lambda s: s[name]["v"]).alias(name)
+    return F.struct(
+        index.alias("window_index"), F.get("_steps", start + input_len - 1)["end"].alias("window_end"),
+        values("x", 0, input_len), *([values("y", input_len, output_len)] if output_len else []))
+
+
+def first_windows(
+    df: DataFrame,
+    features: Sequence[str],
+    order: Sequence[str],
+    input_len: int,
+    count: int,
+    shift: int = 1,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """The first ``count`` windows of every series, ``shift`` rows apart: keys, window_index, window_end, x.
 
-def _strided(df, features, order, input_len, output_len, targets, keys, stride, layout) -> DataFrame:
-    span = input_len + output_len
-    indexed = row_index(df, keys, order, "_row", layout=layout)
-    at = F.col("_row")
-    first = F.greatest(F.lit(0), F.ceil((at - (span - 1)) / stride)).cast("long")
-    last = F.floor(at / stride).cast("long")
-    # A stride above the span leaves rows that no window holds.
-    placed = indexed.where(first <= last).withColumn("window_index", F.explode(F.sequence(first, last)))
-    parts = [_step(features).alias("x"), F.col(order[0]).alias("end")]
-    parts += [_step(targets).alias("y")] if targets else []
-    steps = placed.groupBy(*keys, "window_index").agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), *parts))).alias("_steps")).where(F.size("_steps") == span)
-    lengths = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
-    if keys:
-        counted = steps.join(lengths, same)
-    else:
-        counted = steps.withColumn("_rows", lengths.select("_rows").scalar())
-    values = lambda name, start, count: F.transform(
-        F.slice("_steps", start, count), lambda s: s[name]["v"]).alias(name)
-    return counted.select(
-        *keys, "window_index", (F.floor((F.col("_rows") - span) / stride) + 1).cast("long").alias("window_count"),
-        F.get("_steps", F.lit(input_len - 1))["end"].alias("window_end"), values("x", 1, input_len),
-        *([values("y", input_len + 1, output_len)] if targets else []))
+    Only the rows that these windows reach are shuffled; a rank filter keeps them in every task.
+    """
+    keys = list(keys)
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    held = ranked.where(F.col("_rank") <= (count - 1) * shift + input_len)
+    if shift > input_len:
+        held = held.where(F.pmod(F.col("_rank") - 1, F.lit(shift)) < input_len)
+    step = min(shift, input_len)
+    steps = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_rank").alias("at"), _step(features).alias("x"), F.col(order[0]).alias("end")))).alias("_steps"))
+    whole = F.least(F.lit(count), F.floor((F.size("_steps") - input_len) / step) + 1).cast("long")
+    numbers = F.sequence(F.lit(0).cast("long"), whole - 1)
+    made = steps.where(F.size("_steps") >= input_len).select(*keys, F.explode(
+        F.transform(numbers, lambda j: _slice(j, step, input_len, 0, j))).alias("_w"))
+    return made.select(*keys, "_w.*")
 
 
 def supervised_windows(df, features, targets, order, input_len, output_len, keys=(), stride=1, **kw):

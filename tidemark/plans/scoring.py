@@ -76,9 +76,8 @@ def score_steps_ahead(
     ``shift=output_len`` makes the blocks adjoin in time.
     """
     blocks = -(-steps_ahead // output_len)
-    frame = windows.inference_windows(df, features, order, input_len, output_len, keys, shift)
-    frame = frame.where(F.col("window_index") < blocks).withColumn("_flat", windows.flat("x"))
-    scored = predict_all(model, frame)
+    frame = windows.first_windows(df, features, order, input_len, blocks, shift, keys)
+    scored = predict_all(model, frame.withColumn("_flat", windows.flat("x")))
     empty = F.array_repeat(F.lit(None).cast("float"), len(model.models))
     scored = scored.select(*keys, "window_index", F.coalesce(sanitize("prediction"), empty).alias("prediction"))
     # At most ``blocks`` rows per series are gathered.

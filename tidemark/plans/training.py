@@ -8,7 +8,9 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -26,6 +28,9 @@ FEATURES = "features"
 KMEANS = {"k": 8, "maxIter": 300, "tol": 1e-4, "seed": 42}
 SEED = 42
 THREADS = 4
+MAX_CLASSES = 1000
+# A closed-form fit sums the products of so many columns at most.
+MAX_GRAM_COLUMNS = 40
 
 
 @contextmanager
@@ -59,11 +64,40 @@ def in_threads(spark: SparkSession, jobs: Sequence[Callable], threads: int = THR
 # supervised models, one per output
 
 
+@dataclass
+class BoostedClasses:
+    """Boosting for any number of classes: a model per class tells it from all others.
+
+    The probability of a class is its model's, divided by the sum over all classes; the prediction is the
+    likeliest class, the first of equally likely ones.
+    """
+
+    models: list[Transformer]
+    classes: list[float]
+
+    @property
+    def numFeatures(self) -> int:  # noqa: N802 - as Spark's models call it
+        return self.models[0].numFeatures
+
+    def add(self, df: DataFrame, name: str, chances: str) -> DataFrame:
+        """Add the prediction and the array of class probabilities."""
+        scored, own = df, []
+        for i, model in enumerate(self.models):
+            raw, probability, label = f"_raw_{name}_{i}", f"_own_{name}_{i}", f"_label_{name}_{i}"
+            view = model.copy().setPredictionCol(label).setRawPredictionCol(raw).setProbabilityCol(probability)
+            scored = view.transform(scored).withColumn(probability, vector_to_array(probability)[1]).drop(raw, label)
+            own.append(probability)
+        total = sum((F.col(c) for c in own[1:]), F.col(own[0]))
+        scored = scored.withColumn(chances, F.array(*[F.col(c) / total for c in own])).drop(*own)
+        best = F.array_position(chances, F.array_max(chances)).cast("int")
+        return scored.withColumn(name, F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), best))
+
+
 @dataclass
 class OutputModels:
     """One fitted model per output; ``steps`` and ``targets`` describe their order."""
 
-    models: list[Transformer]
+    models: list[Transformer | BoostedClasses]
     steps: int = 1
     targets: int = 1
 
@@ -71,18 +105,35 @@ class OutputModels:
     def width(self) -> int:
         return self.models[0].numFeatures
 
+    def class_counts(self) -> list[int]:
+        """Number of classes of each output, 0 for a number."""
+        return [len(m.classes) if isinstance(m, BoostedClasses) else m.numClasses if m.hasParam("probabilityCol") else 0
+                for m in self.models]
+
     def transform(self, df: DataFrame, out: str = "prediction", probabilities: bool = False) -> DataFrame:
-        """Add the predictions as one array, step after step, targets in order."""
+        """Add the predictions as one array, step after step, targets in order.
+
+        With ``probabilities`` a classifier's entry is the probability of its second class; if any output has
+        more than two classes, every entry is the array of its class probabilities.
+        """
+        counts = self.class_counts()
+        if probabilities and 0 in counts and max(counts) > 0:
+            raise ValueError("probabilities need classifiers for all outputs")
         scored, names = df, []
         for i, model in enumerate(self.models):
-            name, scratch = f"_p{i}", [f"_raw{i}", f"_prob{i}"]
-            view = model.copy().setPredictionCol(name)
-            if model.hasParam("probabilityCol"):
-                view = view.setRawPredictionCol(scratch[0]).setProbabilityCol(scratch[1])
-            scored = view.transform(scored)
-            if probabilities and scratch[1] in scored.columns:
-                scored = scored.withColumn(name, vector_to_array(scratch[1])[1])
-            scored = scored.drop(*scratch)
+            name, raw, chances = f"_p{i}", f"_raw{i}", f"_prob{i}"
+            if isinstance(model, BoostedClasses):
+                scored = model.add(scored, name, chances)
+            else:
+                view = model.copy().setPredictionCol(name)
+                if counts[i]:
+                    view = view.setRawPredictionCol(raw).setProbabilityCol(chances)
+                scored = view.transform(scored)
+                if counts[i]:
+                    scored = scored.withColumn(chances, vector_to_array(chances))
+            if probabilities and counts[i]:
+                scored = scored.withColumn(name, F.col(chances) if max(counts) > 2 else F.get(chances, F.lit(1)))
+            scored = scored.drop(raw, chances)
             names.append(name)
         return scored.withColumn(out, F.array(*names)).drop(*names)
 
@@ -108,7 +159,8 @@ def fit_outputs(
     """Fit one model per output on the ``features`` vector.
 
     Rows flagged in ``validation`` stop boosting early instead of training it. ``weight`` names a column
-    of row weights. Boosting tells two classes apart; "forest_classifier" takes any number of them.
+    of row weights. A boosted classifier whose labels are not 0 and 1 gets a model per class, all fitted on
+    the same kept rows; more than ``MAX_CLASSES`` classes are an error.
     """
     labels = {f"_y{i}": y.cast("double") for i, y in enumerate(outputs)}
     extra = [c for c in (validation, weight) if c]
@@ -117,39 +169,56 @@ def fit_outputs(
     rows = df.select(FEATURES, *extra, *[v.alias(k) for k, v in labels.items()])
     # Boosting passes over the rows many times, a linear fit once or twice.
     with kept(spread(rows) if kind.startswith(("gbt", "forest")) else rows) as table:
-        def job(label: str):
+        def job(label: str, one: float | None):
             options = dict(params, labelCol=label)
             if validation and kind.startswith("gbt"):
                 options["validationIndicatorCol"] = validation
             data = table.where(F.col(label).isNotNull())
             if validation and not kind.startswith("gbt"):
                 data = data.where(~F.col(validation))
+            if one is not None:
+                data = data.withColumn(label, (F.col(label) == one).cast("double"))
             return learner(kind, **options).fit(data)
 
-        models = in_threads(df.sparkSession, [lambda label=label: job(label) for label in labels], threads)
+        classes = {label: _classes(table, label) if kind == "gbt_classifier" else [] for label in labels}
+        jobs = [(label, one) for label in labels for one in (classes[label] or [None])]
+        fitted = iter(in_threads(df.sparkSession, [lambda j=j: job(*j) for j in jobs], threads))
+        models = [BoostedClasses([next(fitted) for _ in classes[label]], classes[label]) if classes[label] else next(fitted)
+                  for label in labels]
     steps, targets = shape or (1, len(models))
     return OutputModels(models, steps, targets)
 
 
+def _classes(table: DataFrame, label: str) -> list[float]:
+    """The classes in order, if they are not just 0 and 1."""
+    found = sorted(r[0] for r in table.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return [] if set(found) <= {0.0, 1.0} else found
+
+
 def complete(df: DataFrame, value: str) -> DataFrame:
     """Rows whose array has no null and no NaN."""
     return df.where(~F.exists(value, lambda v: v.isNull() | F.isnan(v)))
 
 
-def gap_free(features: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a flag that says whether ``_flat`` has no gap, and gaps replaced by 0.
+def gap_free(features: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """The rows with a flag that says whether ``_flat`` has ``width`` values and no gap, and gaps replaced by 0.
 
-    A model can then be applied to every row, and the flag tells which predictions mean something.
+    A model can then be applied to every row, and the flag tells which predictions mean something. Filters
+    may be pushed below the model, so it must bear arrays of any length.
     """
     whole = "_whole"
-    flagged = features.withColumn(whole, ~F.exists("_flat", lambda v: v.isNull() | F.isnan(v)))
-    filled = F.transform("_flat", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    fits = F.coalesce(F.size("_flat") == width, F.lit(False))
+    flagged = features.withColumn(whole, fits & ~F.exists("_flat", lambda v: v.isNull() | F.isnan(v)))
+    filled = F.when(fits, F.transform("_flat", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))).otherwise(
+        F.array_repeat(F.lit(0.0), width))
     return flagged.withColumn(FEATURES, array_to_vector(filled)).drop("_flat"), whole
 
 
 def predict_all(model: OutputModels, features: DataFrame, out: str = "prediction", probabilities: bool = False) -> DataFrame:
     """Predictions for every row that has ``_flat``; a row with a gap in it gets null."""
-    ready, whole = gap_free(features)
+    ready, whole = gap_free(features, model.width)
     scored = model.transform(ready, out, probabilities)
     return scored.withColumn(out, F.when(F.col(whole), F.col(out))).drop(whole)
 
@@ -259,13 +328,79 @@ def evaluate_fold(
     return metrics.forecast_metrics(scored, [("y", "p")])
 
 
+def _plain_line(kind: str, width: int, target: str, steps: Sequence[dict], params: dict) -> bool:
+    """Whether the fit is least squares whose predictions the steps do not change.
+
+    Scaling inputs changes nothing about a line with an intercept.
+    """
+    scaled = all(s["name"] == "normalize" and target not in s["columns"] for s in steps)
+    return (kind == "linear" and set(params) <= {"fitIntercept"} and width < MAX_GRAM_COLUMNS
+            and (not steps or scaled and params.get("fitIntercept", True)))
+
+
+def moments(rows: DataFrame, width: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Per ``fold`` the number of rows, the means and the covariances of the values of ``x`` and of ``y``."""
+    columns = [F.col("x")[i] for i in range(width)] + [F.col("y")]
+    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    # One row per fold reaches the driver.
+    found = rows.where("y is not null").groupBy("fold").agg(
+        F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).collect()
+    out = {}
+    for fold, n, *values in found:
+        spread_of = np.zeros((width + 1, width + 1))
+        for (i, j), value in zip(pairs, values[width + 1:], strict=True):
+            spread_of[i, j] = spread_of[j, i] = value
+        out[fold] = float(n), np.array(values[: width + 1]), spread_of
+    return out
+
+
+def pooled(parts: Sequence[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Moments of several sets of rows together."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[0] * (p[2] + np.outer(p[1] - mean, p[1] - mean)) for p in parts) / n
+
+
+def solve_line(moment: tuple[float, np.ndarray, np.ndarray], intercept: bool = True) -> tuple[float, list[float]]:
+    """Intercept and coefficients of least squares; inputs that say nothing new get the smallest coefficients."""
+    _, mean, spread_of = moment
+    if not intercept:
+        spread_of = spread_of + np.outer(mean, mean)
+    scale = np.sqrt(np.diag(spread_of)[:-1])
+    scale[scale == 0] = 1
+    gram = spread_of[:-1, :-1] / np.outer(scale, scale)
+    weights = np.linalg.lstsq(gram, spread_of[:-1, -1] / scale, rcond=1e-12)[0] / scale
+    return (float(mean[-1] - mean[:-1] @ weights) if intercept else 0.0), [float(w) for w in weights]
+
+
+def line_errors(rows: DataFrame, lines: dict[int, tuple[float, list[float]]]) -> DataFrame:
+    """Forecast metrics per ``fold`` of each fold's line on its rows, in one scan: metric, value."""
+    table = F.create_map(*[c for fold, (start, weights) in lines.items() for c in (
+        F.lit(fold), F.array(F.lit(start), *[F.lit(w) for w in weights]))])
+    line = F.element_at(table, F.col("fold"))
+    products = F.zip_with("x", F.slice(line, 2, F.size("x")), lambda x, w: x * w)
+    scored = rows.select("fold", "y", (line[0] + F.aggregate(products, F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return metrics.forecast_metrics(scored, [("y", "p")], by=["fold"]).select("metric", "value")
+
+
 def cross_validate(
     df: DataFrame, k: int, key: Sequence[str], features: Sequence[str], target: str,
     steps: Sequence[dict] = (), kind: str = "gbt", seed: int = SEED, stratify: bool = False, **params,
 ) -> DataFrame:
-    """Mean and deviation of every metric over ``k`` random folds."""
+    """Mean and deviation of every metric over ``k`` random folds.
+
+    Least squares needs one scan for all fits, the moments of every fold, from which those of all other
+    folds together follow, and one for all errors. Other models are fitted fold by fold.
+    """
     folded = (split.stratified_kfold(df, k, target, key, seed) if stratify
               else split.kfold(df, k, key, seed))
+    if _plain_line(kind, len(features), target, steps, params):
+        x = F.array(*[F.col(c).cast("double") for c in features])
+        rows = complete(folded.select("fold", x.alias("x"), F.col(target).cast("double").alias("y")), "x")
+        held = moments(rows, len(features))
+        lines = {i: solve_line(pooled([m for j, m in held.items() if j != i]), params.get("fitIntercept", True))
+                 for i in range(k)}
+        return metrics.fold_summary(line_errors(rows, lines))
     with kept(spread(folded)) as table:
         def job(i: int) -> list:
             tagged = table.withColumn("dataset", F.when(F.col("fold") == i, "test").otherwise("train")).drop("fold")
@@ -281,20 +416,44 @@ def cross_validate_series(
     input_len: int, output_len: int, keys: Sequence[str] = (), ratios: dict | None = None,
     kind: str = "linear", **params,
 ) -> DataFrame:
-    """Growing prefixes of time; each is windowed and split again by the ratios."""
-    folds = split.expanding_folds(df, order, k, input_len, output_len)
-
-    def job(i: int) -> list:
-        prefix = folds.where(F.col("fold") == i).drop("fold")
-        frame = windows.supervised_windows(prefix, features, targets, order, input_len, output_len, keys)
-        with kept(split.tag_windows(frame, ratios)) as tagged:
-            model = fit_forecaster(tagged, output_len, len(targets), kind, "dataset", **params)
-            scored = model.transform(window_features(tagged.where("dataset = 'test'")))
-            return forecast_errors(scored, output_len, len(targets)).collect()  # one row per metric
-
-    rows = in_threads(df.sparkSession, [lambda i=i: job(i) for i in range(k)])
-    per_fold = df.sparkSession.createDataFrame([r for part in rows for r in part], "metric string, value double")
-    return metrics.fold_summary(per_fold)
+    """Growing prefixes of time; each is windowed and split again by the ratios.
+
+    The windows of a prefix are those windows of the whole table that end inside it, so they are made once:
+    a series needs only the number of its rows in each prefix. Least squares with a single output takes
+    one scan for all fits and one for all errors.
+    """
+    span = input_len + output_len
+    prefixes = split.expanding_prefixes(df, order, k, input_len, output_len)
+    frame = windows.supervised_windows(df, features, targets, order, input_len, output_len, keys)
+    held = F.array(*[F.count(F.when(inside, F.lit(1))) for inside in prefixes])
+    if keys:
+        names = [F.col(c).alias(f"_k_{c}") for c in keys]
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+        frame = frame.join(df.groupBy(*names).agg(held.alias("_held")), same).drop(*[f"_k_{c}" for c in keys])
+    else:
+        frame = frame.withColumn("_held", F.array(*[F.lit(n) for n in df.agg(held).first()[0]]))
+    in_fold = lambda i: F.col("window_index") <= F.get("_held", i) - span
+    count = lambda i: F.get("_held", i) - span + 1
+    with kept(frame) as made:
+        if output_len * len(targets) == 1 and _plain_line(kind, len(features) * input_len, "", (), params):
+            cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(prefixes) - 1)), lambda i: F.struct(
+                i.alias("fold"), count(i).alias("window_count"))), lambda c: F.col("window_index") < c["window_count"])
+            rows = made.select("window_index", windows.flat("x").alias("x"), F.col("y")[0][0].alias("y"), F.explode(cells).alias("c"))
+            rows = split.tag_windows(complete(rows.select("c.*", "window_index", "x", "y"), "x"), ratios)
+            lines = {i: solve_line(m, params.get("fitIntercept", True)) for i, m in moments(
+                rows.where("dataset = 'train'"), len(features) * input_len).items()}
+            # The kept windows go when this block ends, so the few errors are brought here first.
+            found = line_errors(rows.where("dataset = 'test'"), lines).collect()
+        else:
+            def job(i: int) -> list:
+                prefix = made.where(in_fold(F.lit(i))).withColumn("window_count", count(F.lit(i)))
+                tagged = split.tag_windows(prefix, ratios)
+                model = fit_forecaster(tagged, output_len, len(targets), kind, "dataset", **params)
+                scored = model.transform(window_features(tagged.where("dataset = 'test'")))
+                return forecast_errors(scored, output_len, len(targets)).collect()  # one row per metric
+
+            found = [r for part in in_threads(df.sparkSession, [lambda i=i: job(i) for i in range(len(prefixes))]) for r in part]
+    return metrics.fold_summary(df.sparkSession.createDataFrame(found, "metric string, value double"))
 
 
 def forecast_errors(scored: DataFrame, steps: int, targets: int, aggregate: str | None = "mean") -> DataFrame:
