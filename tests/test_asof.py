@@ -179,3 +179,30 @@ def test_shipped_views(spark):
     assert store.view("etth1_features").schema["hour_sin"] == "float" and len(store.view("etth1_features").schema) == 11
     with pytest.raises(ValueError):
         views.register(store, views.FRAUD, "", "somewhere")
+
+
+def test_a_bucketed_view_stays_where_it_is(spark, tmp_path):
+    import uuid
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    from tidemark.sources.writers import write_bucketed
+
+    name = f"bucketed_{uuid.uuid4().hex}"
+    rows = spark.range(600).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"), F.timestamp_seconds(F.col("id") * 100).alias("t"))
+    write_bucketed(rows, name, ["k"], "t", 4, str(tmp_path / "b"))
+    entities = rows.select("k", F.col("t").alias("at"), F.col("n").alias("row")).where("n % 5 = 0")
+    side = lambda buckets: asof.FeatureSide(spark.table(name), "t", {"v": "n"}, 3000.0, ("n",), buckets=buckets)
+    with_buckets = asof.pit_join_all(entities, [side(4), side(4)], ["k"], "at", prune=False)
+    plan = StringIO()
+    with redirect_stdout(plan):
+        with_buckets.explain()
+    scan = plan.getvalue().split("Union")[1]
+    assert "SelectedBucketsCount" in scan and "Exchange" not in scan.split("\n", 3)[3].split("FileScan")[1]
+    assert plan.getvalue().count("Exchange hashpartitioning(k") == 1
+    plain = asof.pit_join_all(entities, [side(None), side(None)], ["k"], "at")
+    assert sorted(map(tuple, with_buckets.collect())) == sorted(map(tuple, plain.collect()))
+    # A long series is still cut into chunks.
+    chunked = asof.pit_join_all(entities, [side(4)], ["k"], "at", max_rows=50)
+    assert sorted(map(tuple, chunked.collect())) == sorted(
+        tuple(r) for r in asof.pit_join_all(entities, [side(None)], ["k"], "at").collect())

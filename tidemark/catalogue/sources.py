@@ -76,6 +76,28 @@ def stored_view(spark, folder):
     return out.select("row_id", F.round("value", 3).cast("double").alias("value"))
 
 
+@query("""
+WITH f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view'),
+     m AS (SELECT e.event_id AS row_id, e.ts, f.ts AS seen, f.value FROM events e ASOF LEFT JOIN f
+           ON e.user_id = f.user_id AND e.ts >= f.ts)
+SELECT row_id, round(CASE WHEN seen >= ts - INTERVAL 2 DAY THEN value END::FLOAT, 3)::DOUBLE AS value FROM m
+""")
+def bucketed_view(spark, folder):
+    """A view over a table in buckets of the user: the join shuffles the entity rows only."""
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "bucketed")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("event_timestamp"), "event_id", "value")
+    writers.write_bucketed(views, name, ["user_id"], buckets=16, path=path)
+    store = FeatureStore(spark)
+    store.register_entity("user", "user_id", "int")
+    store.register_view(FeatureView("bucketed", ("user",), {"value": "float"}, f"table://{name}", ttl_days=2,
+                                    tie=("event_id",), buckets=16))
+    rows = events.select(F.col("event_id").alias("row_id"), "user_id", F.col("ts").alias("event_timestamp"))
+    out = store.historical(rows, ["bucketed:value"])
+    return out.select("row_id", F.round("value", 3).cast("double").alias("value"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 6) + 0.0 AS prediction FROM lineitem")
 def prediction_table(spark, folder):
     items = table(spark, folder, "lineitem").withColumn("prediction", F.col("l_quantity") * 2)

@@ -43,6 +43,7 @@ class FeatureSide:
     tie: tuple[str, ...] = ()
     matched_time: str | None = None
     day: str | None = None  # column of the UTC day of ``time``, if the table is laid out in day folders
+    buckets: int | None = None  # number of buckets of the keys, if the table is stored in such
 
 
 def prune_sides(
@@ -99,9 +100,11 @@ def pit_join_all(
     included. Among feature rows of one key and time the largest ``tie`` wins.
 
     Entities and all sides are stacked and sorted once per key: one shuffle for
-    any number of feature tables, and no range join.
+    any number of feature tables, and no range join. If all sides are stored in the same number of
+    buckets of the keys, only the entities are shuffled, into the same buckets.
     """
     keys = list(keys)
+    buckets = {side.buckets for side in sides}
     if prune:
         sides = prune_sides(sides, entities, keys, entity_time)
     kind = entities.schema[entity_time].dataType
@@ -109,6 +112,8 @@ def pit_join_all(
         *keys, F.col(entity_time).alias("_time"), F.lit(1).alias("_side"),
         F.struct(*[c for c in entities.columns if c not in keys]).alias("_entity"),
     )
+    if len(buckets) == 1 and None not in buckets:
+        stacked = stacked.repartition(buckets.pop(), *keys)
     order = ["_time", "_side"]
     for n, side in enumerate(sides):
         usable = side.table.where(F.col(side.time).isNotNull())

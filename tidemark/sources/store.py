@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof
 from tidemark.sources.readers import read_entities
-from tidemark.streaming.materialize import compact, materialize_stream, read_latest
+from tidemark.streaming.materialize import compact, latest_table, materialize_stream, read_latest
 
 EVENT_TIME = "event_timestamp"
 # Feature type names and what they are stored as.
@@ -47,7 +47,8 @@ class FeatureView:
     ttl_days: float | None = None
     time: str = EVENT_TIME
     tie: tuple[str, ...] = ()
-    day: str | None = None  # column of day folders, as write_offline makes them
+    day: str | None = None  # column of day folders, as write_features makes them
+    buckets: int | None = None  # buckets of the keys, as write_bucketed makes them
 
     @property
     def ttl(self) -> timedelta | None:
@@ -126,7 +127,8 @@ class FeatureStore:
         by_key: dict[tuple[str, ...], list[asof.FeatureSide]] = {}
         for name, features in self.resolve(references).items():
             view = self.view(name)
-            side = asof.FeatureSide(self.table(name), view.time, {f: f for f in features}, view.ttl, view.tie, day=view.day)
+            side = asof.FeatureSide(self.table(name), view.time, {f: f for f in features}, view.ttl, view.tie, day=view.day,
+                                    buckets=view.buckets)
             by_key.setdefault(tuple(self.keys(view)), []).append(side)
         out = entity_rows
         for keys, sides in by_key.items():
@@ -169,16 +171,15 @@ class FeatureStore:
     def materialize(self, name: str, start: datetime | str, end: datetime | str) -> DataFrame:
         """Latest row per key within the inclusive range, merged into the view's latest table.
 
-        Keys that earlier ranges or streams wrote stay. Every range has a folder of its own, so the same
-        range may be written again, and readers never meet a moment without data.
+        Keys that earlier ranges or streams wrote stay. The rows are added as a run of their own, so a
+        range may be written again (its rows win over equally old ones), and readers always find a whole table.
         """
         view = self.view(name)
-        low, high = asof.parse_range(str(start), str(end))
+        asof.parse_range(str(start), str(end))
         keys, stored = self.keys(view), self._stored(view)
         latest = asof.latest_rows(self.table(name), keys, view.time, stored, view.tie, start, end)
         if self.path:
-            run = f"range-{low:%Y%m%dT%H%M%S%f}-{high:%Y%m%dT%H%M%S%f}"
-            latest.write.mode("overwrite").parquet(f"{self._latest_path(name)}/batch={run}")
+            latest_table(self.spark, self._latest_path(name), keys, view.time, stored, view.tie).append(latest)
             return self.latest(name)
         if name in self._latest:
             both = self._latest[name].unionByName(latest)
@@ -187,7 +188,7 @@ class FeatureStore:
         return latest
 
     def compact(self, name: str) -> None:
-        """Fold all batches of the view's latest table into one; readers and running streams go on."""
+        """Merge all runs of the view's latest table into one; readers and running streams go on."""
         view = self.view(name)
         compact(self.spark, self._latest_path(name), self.keys(view), view.time, self._stored(view), view.tie)
 
@@ -198,13 +199,16 @@ class FeatureStore:
             rows, self._latest_path(name), checkpoint, self.keys(view), view.time, self._stored(view), view.tie,
             available_now)
 
-    def latest(self, name: str) -> DataFrame:
-        """The newest stored row per key, whichever batch or stream wrote it."""
+    def latest(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """The newest stored row per key, whichever batch or stream wrote it.
+
+        With a table of ``wanted`` keys only the files of their buckets are read.
+        """
         if name in self._latest:
             return self._latest[name]
         view = self.view(name)
         return read_latest(
-            self.spark, self._latest_path(name), self.keys(view), view.time, self._stored(view), view.tie)
+            self.spark, self._latest_path(name), self.keys(view), view.time, self._stored(view), view.tie, wanted)
 
     def _latest_path(self, name: str) -> str:
         if not self.path:
@@ -226,7 +230,7 @@ class FeatureStore:
         moment = asof.resolve_time_point("now" if as_of is None else str(as_of))
         for name, features in self.resolve(references).items():
             view = self.view(name)
-            out = asof.lookup(out, self.latest(name), self.keys(view), features, view.time, moment, view.ttl)
+            out = asof.lookup(out, self.latest(name, out), self.keys(view), features, view.time, moment, view.ttl)
         return out
 
     def online_rows(self, ids, references, key: str = DEFAULT_KEY, as_of=None) -> DataFrame:

@@ -23,6 +23,19 @@ def write_features(df: DataFrame, path: str, time: str = "event_timestamp", mode
     dated.hint("rebalance", DATE).write.mode(mode).partitionBy(DATE).parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, table: str, keys: Sequence[str], time: str = "event_timestamp", buckets: int = 64,
+    path: str | None = None, mode: str = "overwrite",
+) -> None:
+    """Offline feature table in the catalog, bucketed by key and sorted by time within a bucket.
+
+    Point-in-time joins read it bucket by bucket and leave it where it is. One task writes a bucket, so there
+    should be enough of them for each to stay at a few hundred MB.
+    """
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys, time)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_predictions(
     scored: DataFrame, path: str, columns: Sequence[str] = (), prediction: str = "prediction",
     form: str = "csv", mode: str = "overwrite",

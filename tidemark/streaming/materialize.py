@@ -1,23 +1,28 @@
 """Keeping the latest-value table current from a stream.
 
-Every micro-batch reduces its rows to one per key and writes them into its own
-folder ``batch=<stream>-<number>``. Writing a batch again replaces the folder, a
-stream with a new checkpoint has folders of its own, and reading takes the newest
-row per key over all folders, so a replayed batch or a row that arrives late
-changes nothing. No batch has to rewrite the whole table; :func:`compact` folds
-the folders together in place.
+Every micro-batch reduces its rows to one per key and appends them to a :class:`RunTable` under the stream's
+name and the batch's number, so a batch that Spark repeats is not added twice, a row that arrives late does
+not replace a newer one, and what a reader has to open does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.asof import latest_rows
+from tidemark.sources.runs import SEQUENCE, RunTable
+
+
+def latest_table(
+    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = (), **options,
+) -> RunTable:
+    """The newest row per key; of rows that agree in time and ``tie`` the one that was added last."""
+    kept = list(dict.fromkeys([*tie, *columns]))
+    return RunTable(spark, path, keys, lambda rows: latest_rows(rows, keys, time, [*kept, SEQUENCE], [*tie, SEQUENCE]), **options)
 
 
 def materialize_stream(
@@ -29,15 +34,14 @@ def materialize_stream(
     columns: Sequence[str],
     tie: Sequence[str] = (),
     available_now: bool = True,
+    **options,
 ) -> StreamingQuery:
     """Start the job; with ``available_now`` it stops when the source is used up."""
-    kept = list(dict.fromkeys([*tie, *columns]))
-
     spark = rows.sparkSession
+    table = latest_table(spark, path, keys, time, columns, tie, **options)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_rows(batch, keys, time, kept, tie)
-        newest.write.mode("overwrite").parquet(f"{path}/batch={stream_id(spark, checkpoint)}-{batch_id}")
+        table.append(batch, stream_id(spark, checkpoint), batch_id)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -49,26 +53,16 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def read_latest(
-    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = ()
+    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = (),
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """The newest row per key over all batches written so far."""
-    return latest_rows(spark.read.parquet(path), keys, time, columns, tie)
+    """The newest row per key over all batches written so far, or of the ``wanted`` keys."""
+    found = latest_table(spark, path, keys, time, columns, tie).read(wanted)
+    return found.select(*keys, time, *[c for c in columns if c != time])
 
 
 def compact(
-    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = ()
+    spark: SparkSession, path: str, keys: Sequence[str], time: str, columns: Sequence[str], tie: Sequence[str] = (), **options,
 ) -> None:
-    """Fold the batch folders that exist now into one folder, then remove them.
-
-    Until the removal both hold the same newest rows, so readers see the same table at any moment, and a
-    batch that a stream writes meanwhile is kept.
-    """
-    kept = list(dict.fromkeys([*tie, *columns]))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(conf)
-    old = [status.getPath() for status in files.listStatus(root) if status.isDirectory()]
-    rows = spark.read.option("basePath", path).parquet(*[folder.toString() for folder in old])
-    latest_rows(rows, keys, time, kept, tie).write.parquet(f"{path}/batch=merged-{uuid.uuid4().hex}")
-    for folder in old:
-        files.delete(folder, True)
+    """Merge all that was written into one run. Readers that were planned before still find their files."""
+    latest_table(spark, path, keys, time, columns, tie, **options).compact()
