@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.text import BLOCK_BYTES, as_bytes, mix, text_blocks
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 CACHE_BYTES = 64  # longest piece that is remembered
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -130,16 +131,22 @@ class PerfectHash:
 
 
 class Merged(dict):
-    """Ids of pieces that are no token themselves, merged when first asked for."""
+    """Ids of pieces that are no token themselves, as 32-bit numbers, merged when first asked for.
+
+    Two generations of half of ``CACHE_PIECES`` each are kept, so that pieces in use outlive the others.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
-    def __missing__(self, piece: bytes) -> list[int]:
-        ids = merge(piece, self.ranks)
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece, self.ranks)).tobytes()
         if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= CACHE_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -227,8 +234,10 @@ class Tokenizer:
     def encode_block(self, texts: list[str], data: np.ndarray, merged: Merged,
                      find) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
-        pieces = [find(_NEWER.sub(_SYMBOL, t) if not t.isascii() and max(t).encode()[0] >= _NEWER_LEAD else t)
-                  for t in texts]
+        if (data >= _NEWER_LEAD).any():
+            pieces = [find(_NEWER.sub(_SYMBOL, t)) for t in texts]
+        else:
+            pieces = [find(t) for t in texts]
         counts = np.array([len(p) for p in pieces], np.int64)
         chars = np.fromiter(map(len, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
         del pieces
@@ -246,9 +255,9 @@ class Tokenizer:
         raw = data.tobytes()
         parts = [merged[raw[a:b]] for a, b in zip(starts[lost].tolist(), borders[lost + 1].tolist(), strict=True)]
         width = np.ones(len(ids), np.int64)
-        width[lost] = np.fromiter(map(len, parts), np.int64, len(parts))
+        width[lost] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         out = np.repeat(ids, width)
-        out[out < 0] = np.fromiter(chain.from_iterable(parts), np.int32)
+        out[out < 0] = np.frombuffer(b"".join(parts), np.int32)
         return out, np.add.reduceat(np.append(width, 0), np.cumsum(counts) - counts) * (counts > 0)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
