@@ -14,11 +14,6 @@ import check
 from tidemark import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-# Jobs without a SQL twin, covered by test_training.py.
-SLOW = {"parameter_search", "cross_validation", "cross_validation_in_time", "cluster_as_feature", "boosted_classifier",
-        "models_together", "boosted_forecast", "linear_forecast", "pca_feature", "score_rows", "score_windows",
-        "score_entities", "score_steps_ahead"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -30,7 +25,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, db, name):
     mine = entry.queries()[name](spark, FOLDER).toPandas()
     sql = entry.oracle_sql().get(name)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, profile
 
@@ -45,13 +46,12 @@ def test_classification_by_hand(spark):
     assert "roc_auc" not in got
 
 
-@pytest.mark.parametrize("max_rows", [None, 10])
-def test_auc_against_all_pairs(spark, max_rows):
+def test_auc_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     y, s = rng.integers(0, 2, 200), rng.integers(0, 60, 200) / 60
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
     won = sum((a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]) / ((y == 1).sum() * (y == 0).sum())
-    assert values(metrics.roc_auc(df, "y", "s", max_rows))["roc_auc"] == pytest.approx(won)
+    assert values(metrics.roc_auc(df, "y", "s"))["roc_auc"] == pytest.approx(won)
     assert metrics.roc_auc(df.where("y = 1"), "y", "s").count() == 0
 
 
@@ -94,3 +94,48 @@ def test_stats_ignore_missing_values(spark):
     rows = {r["k"]: r for r in profile.value_stats(df, "v", ["k"]).collect()}
     assert rows["a"]["n_samples"] == 4 and rows["a"]["median"] == 2.5 and rows["a"]["std"] == 1.5 and rows["a"]["q25"] == 1.75
     assert rows["b"]["n_samples"] == 1 and rows["b"]["mean"] is None and rows["b"]["median"] is None
+
+
+@pytest.mark.parametrize("shape", ["apart", "together", "equal"])
+def test_cluster_search_equals_all_against_all(spark, monkeypatch, shape):
+    """Small blocks and pieces, many clusters, some of one row, some with the same centre."""
+    monkeypatch.setattr(metrics, "BLOCK_CLUSTERS", 4)
+    monkeypatch.setattr(metrics, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(metrics, "CENTRE_BYTES", 700)
+    rng = np.random.default_rng(8)
+    far = {"apart": 60.0, "together": 1.0, "equal": 0.0}[shape]
+    labels = np.concatenate([np.arange(40), rng.integers(0, 37, 260)])
+    x = rng.normal(size=(40, 3))[labels] * far + rng.normal(size=(300, 3)) * (shape != "equal")
+    df = spark.createDataFrame([(i, [float(v) for v in a], f"c{c}") for i, (a, c) in enumerate(zip(x, labels))], "id int, x array<double>, c string")
+    extra = df.unionByName(spark.createDataFrame([(999, None, "c1")], df.schema))
+    names = np.unique(labels)
+    centres = np.stack([x[labels == c].mean(0) for c in names])
+    spread = np.array([np.sqrt(((x[labels == c] - m) ** 2).sum(1)).mean() for c, m in zip(names, centres)])
+    gap = np.sqrt(((centres[:, None] - centres) ** 2).sum(-1))
+    both = np.divide(spread[:, None] + spread, gap, out=np.zeros_like(gap), where=gap > 0)
+    np.fill_diagonal(both, -1)
+    if shape != "equal":  # there rounding decides which centres coincide
+        assert values(metrics.davies_bouldin(extra, "x", "c"))["davies_bouldin"] == pytest.approx(both.max(1).mean())
+
+    def naive(power, chosen):
+        out = []
+        for i in chosen:
+            d = np.sqrt(((x - x[i]) ** 2).sum(1)) ** power
+            own = (labels == labels[i])
+            a = d[own].sum() / (own.sum() - 1) if own.sum() > 1 else None
+            b = min(d[labels == c].mean() for c in names if c != labels[i])
+            out.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+        return np.mean(out)
+
+    got = values(metrics.silhouette(extra, "x", "c"))["silhouette_score"]
+    assert got == pytest.approx(naive(2, range(300)), abs=1e-9 if shape != "equal" else 2)
+    monkeypatch.setattr(metrics, "QUERY_ROWS", 7)
+    some = values(metrics.euclidean_silhouette(extra, "x", "c", F.col("id") % 9 == 0))["silhouette_score"]
+    assert some == pytest.approx(naive(1, range(0, 300, 9)), abs=1e-9)
+
+
+def test_no_other_cluster_no_silhouette(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 3) for i in range(5)], "id int, x array<double>, c int")
+    assert metrics.euclidean_silhouette(df, "x", "c", F.col("id") % 2 == 0).count() == 0
+    assert metrics.euclidean_silhouette(df, "x", "c", F.lit(False)).count() == 0
+    assert metrics.silhouette(df.where("id < 0"), "x", "c").count() == 0

@@ -96,15 +96,14 @@ def test_running_total(series, which):
     assert got == pdf.sort_values("id")["below"].tolist()
 
 
-@pytest.mark.parametrize("max_rows", [None, 40])
-def test_percentiles(series, max_rows):
+def test_percentiles(series):
     spots = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = ordering.percentiles(series, ["key"], "value", spots, max_rows).toPandas()
+    got = ordering.percentiles(series, ["key"], "value", spots).toPandas()
     pdf = series.toPandas()
     for key, group in pdf.groupby(pdf["key"].fillna(-1)):
         mine = got[got["key"].fillna(-1) == key].sort_values("probability")["value"].tolist()
         assert mine == pytest.approx([group["value"].quantile(p) for p in spots])
-    whole = ordering.percentiles(series, [], "t", spots, max_rows).orderBy("probability").toPandas()
+    whole = ordering.percentiles(series, [], "t", spots).orderBy("probability").toPandas()
     assert whole["value"].tolist() == pytest.approx([pdf["t"].quantile(p) for p in spots])
 
 
@@ -144,5 +143,19 @@ def test_many_long_series_are_kept_in_a_table(series, monkeypatch):
     assert got.values.tolist() == plain.values.tolist()
     monkeypatch.setattr(ordering, "MAX_CHUNKS", 3)
     assert measure(series.withColumn("t", F.col("id")), ["key"], ["t"], 60).by_position
-    whole = ordering.measure_whole(series, "t", 60)
-    assert whole.by_position
+
+
+def test_prefix_sums_need_no_task_with_all_rows(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("c"), (F.col("id") % 5).alias("n")).repartition(7)
+    out = ordering.prefix_sum(rows, ["c"], "n", "before")
+    plan = StringIO()
+    with redirect_stdout(plan):
+        out.explain("formatted")
+    assert "SinglePartition" not in plan.getvalue()
+    pdf = out.toPandas().sort_values("c")
+    assert pdf["before"].tolist() == (pdf["n"].cumsum() - pdf["n"]).tolist()
+    assert ordering.prefix_sum(rows.limit(0), ["c"], "n", "before").count() == 0
+    assert ordering.prefix_sum(rows.limit(3).select("c", (F.col("n") * 0.5).alias("n")), ["c"], "n", "before").count() == 3

@@ -189,3 +189,53 @@ def test_windows_are_split_in_time(spark):
     assert tags == ["train"] * 6 + ["val"] * 2 + ["test"] * 2
     with pytest.raises(ValueError):
         split.tag_windows(frame, {"train": 1.0, "val": 0.0, "test": 0.0})
+
+
+@pytest.mark.parametrize("accuracy", [10, 100])
+@pytest.mark.parametrize("kind", ["spread", "ties", "skewed"])
+def test_cuts_equal_a_sort_however_coarse_the_summary(spark, monkeypatch, accuracy, kind):
+    monkeypatch.setattr(split, "ACCURACY", accuracy)
+    at = {"spread": F.col("id") * 7 % 1009, "ties": F.col("id") % 5, "skewed": F.when(F.col("id") % 3 > 0, 50).otherwise(F.col("id"))}[kind]
+    df = spark.range(700).select(at.cast("double").alias("t"), (F.col("id") * 31 % 701).alias("u"), "id").repartition(5)
+    order = [r["id"] for r in sorted(df.collect(), key=lambda r: (r["t"], r["u"]))]
+    for wrong in (False, True):
+        ranks, cuts = split._cuts_of(df, ["t", "u"], lambda n: [0, 99, 350, 351, 699, 700], [0.9 if wrong else 0.5] * 2, max_rows=40)
+        assert ranks == [0, 99, 350, 351, 699, 700] and set(cuts) == {0, 99, 350, 351, 699}
+        for rank, values in cuts.items():
+            before = {r["id"] for r in df.where(split._before(["t", "u"], values)).collect()}
+            assert before == set(order[:rank]), rank
+
+
+def test_two_jobs_are_enough(spark, hourly):
+    tracker, group = spark.sparkContext.statusTracker(), "cuts"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        split._cuts_of(hourly, ["date"], lambda n: [n // 2], [0.5])
+        # Two queries; adaptive execution runs every shuffle stage of them as a job of its own.
+        assert len(tracker.getJobIdsForGroup(group)) <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("per", [None, 1, 3, 16])
+@pytest.mark.parametrize("stride, input_len, output_len", [(1, 4, 2), (3, 4, 2), (2, 1, 1), (9, 4, 2), (6, 4, 2)])
+def test_windows_are_slices_of_blocks(spark, per, stride, input_len, output_len):
+    rows = [(k, t, float(100 * k + t)) for k, n in ((1, 40), (2, 5), (3, 6), (4, 13)) for t in range(n)] + [(None, t, float(t)) for t in range(9)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").repartition(3)
+    frame = windows.sliding_windows(df, ["v"], ["t"], input_len, output_len, ["v", "t"], ["k"], stride, block_rows=per)
+    got = {(r["k"], r["window_index"]): (r["window_count"], r["window_end"], r["x"], r["y"]) for r in frame.collect()}
+    want, span = {}, input_len + output_len
+    for k in (1, 2, 3, 4, None):
+        mine = sorted((t, v) for key, t, v in rows if key == k)
+        starts = list(range(0, len(mine) - span + 1, stride))
+        for i, s in enumerate(starts):
+            x, y = mine[s: s + input_len], mine[s + input_len: s + span]
+            want[k, i] = (len(starts), x[-1][0], [[v] for _, v in x], [[v, float(t)] for t, v in y])
+    assert got == want
+    alone = windows.sliding_windows(df.where("k = 1"), ["v"], ["t"], input_len, stride=stride, block_rows=per)
+    assert alone.count() == len(range(0, 40 - input_len + 1, stride)) and "y" not in alone.columns
+    for count in (1, 3):
+        first = windows.first_windows(df, ["v"], ["t"], input_len, count, stride, ["k"])
+        assert {(r["k"], r["window_index"]): r["x"] for r in first.collect()} == {
+            (r["k"], r["window_index"]): r["x"] for r in windows.sliding_windows(
+                df, ["v"], ["t"], input_len, keys=["k"], stride=stride).where(F.col("window_index") < count).collect()}

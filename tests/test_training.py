@@ -92,6 +92,57 @@ def test_windows_and_steps_ahead(waves, model):
         assert row["predictions"] == by_two[(row["k"], 0)] + by_two[(row["k"], 1)]
 
 
+@pytest.mark.parametrize("stride", [1, 2])
+def test_predictions_bear_filters_and_explodes(waves, model, stride):
+    """Spark may push what follows below the model, which must then not meet windows that are cut off."""
+    out = scoring.score_windows(waves, model, ["v", "w"], ["t"], 6, 2, ["k"], stride)
+    plain = {(r["k"], r["window_index"]): r["prediction"] for r in out.collect()}
+    cells = out.select("k", "window_index", F.posexplode("prediction").alias("step", "p")).collect()
+    assert {(r["k"], r["window_index"], r["step"]): r["p"] for r in cells} == {
+        (*key, i): p for key, values in plain.items() for i, p in enumerate(values)}
+    big = out.where(F.size("prediction") > 0).where(F.col("prediction")[0] > 3).collect()
+    assert {(r["k"], r["window_index"]) for r in big} == {key for key, p in plain.items() if p[0] > 3} and 0 < len(big) < len(plain)
+    odd = waves.withColumn("_flat", F.when(F.col("t") % 2 == 0, F.array_repeat(F.col("v"), 12)).when(F.col("t") % 3 == 0, F.array("v")))
+    kept = training.predict_all(model, odd).collect()
+    assert len(kept) == waves.count() and all((r["prediction"] is None) == (r["t"] % 2 == 1) for r in kept)
+
+
+def test_boosting_of_several_classes(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 4).alias("y"), ((F.col("id") % 4) * 10 + F.col("id") % 3).cast("double").alias("x"))
+    rows = rows.withColumn("y", F.element_at(F.array(*[F.lit(v) for v in (7.0, -2.0, 3.5, 9.0)]), (F.col("y") + 1).cast("int")))
+    ready = training.assemble(rows, ["x"])
+    model = training.fit_outputs(ready, [F.col("y"), (F.col("y") > 4).cast("int")], "gbt_classifier", maxIter=3, maxDepth=3, seed=1)
+    assert model.class_counts() == [4, 2] and model.width == 1
+    scored = model.transform(model.transform(ready), "chances", probabilities=True).collect()
+    for r in scored:
+        assert r["prediction"][0] == r["y"] and r["prediction"][1] == float(r["y"] > 4)
+        assert len(r["chances"][0]) == 4 and sum(r["chances"][0]) == pytest.approx(1) and sum(r["chances"][1]) == pytest.approx(1)
+    # Rows flagged for validation and row weights reach every model.
+    flagged = ready.withColumn("val", F.col("id") % 5 == 0).withColumn("w", F.lit(2.0))
+    again = training.fit_outputs(flagged, [F.col("y")], "gbt_classifier", validation="val", weight="w", maxIter=3, maxDepth=3, seed=1)
+    assert all(r["prediction"][0] == r["y"] for r in again.transform(ready).collect())
+    one = training.fit_outputs(ready, [(F.col("y") > 4).cast("int")], "gbt_classifier", maxIter=2, seed=1)
+    assert 0 <= one.transform(ready, probabilities=True).first()["prediction"][0] <= 1
+    mixed = training.OutputModels([one.models[0], training.fit_outputs(ready, [F.col("y")], "linear").models[0]])
+    with pytest.raises(ValueError):
+        mixed.transform(ready, probabilities=True)
+
+
+def test_lines_of_all_folds_equal_fits_fold_by_fold(spark, waves, monkeypatch):
+    data = waves.where("k < 9").withColumn("y", F.col("v") * 2 - F.col("w") + F.col("t") % 3)
+    data = data.withColumns({"v": F.when(F.col("t") % 11 > 0, F.col("v")), "c": F.lit(4.0), "v2": F.col("v") * 3,
+                             "y": F.when(F.col("t") % 13 > 0, F.col("y"))})
+    steps = [{"name": "normalize", "columns": ["v", "w"]}]
+    runs = [lambda: training.cross_validate(data, 3, ["k", "t"], ["v", "w", "c", "v2"], "y", steps, "linear"),
+            lambda: training.cross_validate(data, 2, ["k", "t"], ["v", "w"], "y", (), "linear", fitIntercept=False),
+            lambda: training.cross_validate_series(waves, 3, ["v", "w"], ["v"], ["t", "k"], 4, 1, ["k"]),
+            lambda: training.cross_validate_series(waves.where("k = 0"), 2, ["v"], ["v"], ["t"], 5, 1)]
+    fast = [values(run()) for run in runs]
+    monkeypatch.setattr(training, "MAX_GRAM_COLUMNS", 0)
+    for got, run in zip(fast, runs, strict=True):
+        assert got == pytest.approx(values(run()), rel=1e-6, abs=1e-9)
+
+
 def test_window_choice(model):
     assert scoring.needs_windows(model, ["v", "w"], 6)
     assert not scoring.needs_windows(model, list("abcdefghijkl"), 6)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.operators.ordering import measure_whole, running_total
+from tidemark.operators.ordering import prefix_sum
+from tidemark.session import cut_lineage
 
 # What each clustering metric measures, the range of its values and which end is wanted.
 EXPLANATIONS = {
@@ -27,8 +31,9 @@ EXPLANATIONS = {
 }
 NO_EXPLANATION = "unknown metric"
 
-# More clusters than this are not compared with one another; counted first.
-MAX_BROADCAST_CLUSTERS = 20_000
+# Centres that a task holds at a time, also the largest table of centres that is broadcast to a join.
+CENTRE_BYTES = 32 << 20
+BLOCK_CLUSTERS, BLOCK_VECTORS, QUERY_ROWS = 256, 1024, 2048
 
 
 # --------------------------------------------------------------------------
@@ -184,7 +189,7 @@ def classification_metrics(
     return out.unionByName(roc_auc(df, truth, predicted)) if probabilities else out
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, max_rows: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half. No row without two classes.
 
     The larger of the two labels is the positive one; a third label is an error. Rows without a label
@@ -198,10 +203,9 @@ def roc_auc(df: DataFrame, truth: str, score: str, max_rows: int | None = None)
     third = F.raise_error(F.lit("more than two labels")).cast("long")
     positive = F.when(label == high, 1).when(label == low, 0).otherwise(third).cast("long")
     rows = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
-    layout = measure_whole(rows, "score", max_rows)
     scores = rows.groupBy("score").agg(
         F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
-    ranked = running_total(scores, [], ["score"], {"below": "neg"}, layout)
+    ranked = prefix_sum(scores, ["score"], "neg", "below")
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     area = ranked.agg(won.alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return area.where("p > 0 and n > 0").select(
@@ -277,59 +281,189 @@ def cluster_dispersion(df: DataFrame, features: str, label: str) -> DataFrame:
     return wide.unpivot([], ["inertia", "calinski_harabasz"], "metric", "value").where("value is not null")
 
 
-def _few(clusters: DataFrame) -> DataFrame:
-    """The table, if its clusters may be compared with one another; else an error."""
-    if clusters.limit(MAX_BROADCAST_CLUSTERS + 1).count() > MAX_BROADCAST_CLUSTERS:
-        raise ValueError(f"more than {MAX_BROADCAST_CLUSTERS} clusters cannot be compared with one another")
-    return clusters
+def _numbered(clusters: DataFrame) -> DataFrame:
+    """The clusters, kept in the shared folder, with a ``number`` each."""
+    return cut_lineage(clusters).withColumn("number", F.monotonically_increasing_id())
+
+
+def _beside(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Every row with its own cluster; a hot cluster is split by Spark's skew handling if the join is shuffled."""
+    size = clusters.agg(F.sum(8 * F.size("centre") + 64)).first()[0] or 0
+    return rows.join(F.broadcast(clusters) if size <= CENTRE_BYTES else clusters.hint("merge"), "cluster")
+
+
+def _pieces(clusters: DataFrame, columns: Sequence[str]) -> Iterator[list[np.ndarray]]:
+    """number, centre and other columns of all clusters, ordered by the length of the centre, in pieces of bounded size."""
+    ordered = clusters.withColumn("_length", _square(F.col("centre"))).orderBy("_length", "number").select("number", "centre", *columns)
+    held, size = [], 0
+    for r in ordered.toLocalIterator():
+        held.append(tuple(r))
+        size += 8 * len(r[1]) + 64
+        if size >= CENTRE_BYTES:
+            yield [np.array(c, np.int64 if i == 0 else float) for i, c in enumerate(zip(*held))]
+            held, size = [], 0
+    if held:
+        yield [np.array(c, np.int64 if i == 0 else float) for i, c in enumerate(zip(*held))]
+
+
+def _search(frame: DataFrame, piece: list[np.ndarray], values: Callable, bound: Callable) -> DataFrame:
+    """Lower ``best`` of every row (number, x, best, ...) by the piece's clusters other than its own.
+
+    ``values(squared distances, row columns, cluster columns)`` are compared; a block of clusters is passed over
+    for the rows whose ``best`` is at or below ``bound(least distance, row columns, cluster columns)``, where the
+    distance is at least the difference of the lengths.
+    """
+    numbers, centres, *others = piece
+    names = frame.columns
+    length = np.sqrt((centres * centres).sum(axis=1))
+    blocks = [slice(at, at + BLOCK_CLUSTERS) for at in range(0, len(numbers), BLOCK_CLUSTERS)]
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_VECTORS):
+                batch = whole.slice(at, BLOCK_VECTORS)
+                own = batch.column(0).to_numpy()
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                best = batch.column(2).to_numpy(zero_copy_only=False).copy()
+                rest = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
+                squares = (x * x).sum(axis=1)
+                size = np.sqrt(squares)
+                least = np.stack([np.maximum(0, np.maximum(length[b].min() - size, size - length[b].max())) for b in blocks])
+                for i in np.argsort(least.sum(axis=1), kind="stable"):
+                    block, theirs = blocks[i], [o[blocks[i]] for o in others]
+                    # A little slack for rounding.
+                    open_rows = np.flatnonzero(best > bound(least[i] * (1 - 1e-9), rest, theirs) - 1e-12)
+                    if not len(open_rows):
+                        continue
+                    mine = [r[open_rows] for r in rest]
+                    apart = squares[open_rows, None] + length[block] ** 2 - 2 * x[open_rows] @ centres[block].T
+                    close = np.nonzero(apart <= 1e-9 * (squares[open_rows, None] + length[block] ** 2))
+                    gap = x[open_rows[close[0]]] - centres[block][close[1]]
+                    apart[close] = (gap * gap).sum(axis=1)
+                    found = values(apart, mine, theirs)
+                    found[own[open_rows, None] == numbers[block]] = np.inf
+                    best[open_rows] = np.minimum(best[open_rows], found.min(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best), *batch.columns[3:]],
+                                                 names=names)
+
+    return frame.mapInArrow(lower, frame.schema)
 
 
 def davies_bouldin(df: DataFrame, features: str, label: str) -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / centre distance."""
-    table = F.broadcast(_few(centroids(df, features, label).select("cluster", "centre")))
+    """Mean over clusters of the worst (spread + spread) / centre distance.
+
+    Clusters are compared in blocks, nearest lengths first; a block that cannot hold a worse one is passed over.
+    """
+    table = centroids(df, features, label).select("cluster", "centre")
     rows = df.select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x"))
-    spread = rows.join(table, "cluster").groupBy("cluster").agg(
-        F.avg(F.sqrt(_gap(F.col("x"), F.col("centre")))).alias("spread"), F.first("centre").alias("centre"))
-    # Clusters against clusters: one row per cluster, the others as one array.
-    other = spread.agg(F.collect_list(F.struct("cluster", "spread", "centre")))
-    distance = lambda o: F.sqrt(_gap(F.col("centre"), o["centre"]))
-    similarity = F.transform(
-        F.filter("others", lambda o: o["cluster"] != F.col("cluster")),
-        lambda o: F.when(distance(o) > 0, (F.col("spread") + o["spread"]) / distance(o)).otherwise(F.lit(0.0)),
-    )
-    worst = spread.withColumn("others", other.scalar()).select(F.array_max(similarity).alias("worst"))
-    return worst.agg(F.avg("worst").alias("value")).where("value is not null").select(
+    spread = _numbered(_beside(rows, cut_lineage(table)).groupBy("cluster").agg(
+        F.avg(F.sqrt(_gap(F.col("x"), F.col("centre")))).alias("spread"), F.first("centre").alias("centre")))
+    frame = spread.select("number", F.col("centre").alias("x"), F.lit(float("inf")).alias("best"), "spread")
+
+    def similarity(apart, mine, theirs):
+        distance = np.sqrt(np.maximum(apart, 0))
+        both = mine[0][:, None] + theirs[0]
+        return -np.divide(both, distance, out=np.zeros_like(both), where=distance > 0)
+
+    def most(least, mine, theirs):
+        both = mine[0] + theirs[0].max()
+        return -np.divide(both, least, out=np.full_like(both, np.inf), where=least > 0)
+
+    for piece in _pieces(spread, ["spread"]):
+        frame = _search(frame, piece, similarity, most)
+    return frame.where(F.col("best") < float("inf")).agg(F.avg(-F.col("best")).alias("value")).where("value is not null").select(
         F.lit("davies_bouldin").alias("metric"), "value")
 
 
 def silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
     """Mean silhouette with squared Euclidean distance, linear in the number of rows.
 
-    The mean squared distance of a row to a cluster follows from the cluster's
-    mean vector and mean square, so no pair of rows is ever formed. The plain
-    Euclidean silhouette has no such form and would need all pairs.
+    The mean squared distance of a row to a cluster is its distance to the cluster's mean vector plus the
+    cluster's variance, so no pair of rows is ever formed, and the nearest other cluster is found by lengths.
     """
-    rows = df.select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x"))
-    table = rows.groupBy("cluster").agg(
+    rows = df.select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x")).where("x is not null")
+    table = _numbered(rows.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("rows"),
         vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("centre"),
         F.avg(_square(F.col("x"))).alias("square"),
-    )
-    clusters = _few(table).agg(F.collect_list(F.struct("cluster", "rows", "centre", "square")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    distances = F.transform("clusters", lambda c: F.struct(
-        c["cluster"].alias("cluster"), c["rows"].alias("rows"),
-        (_square(F.col("x")) + c["square"] - 2 * dot(F.col("x"), c["centre"])).alias("d")))
-    measured = rows.withColumn("clusters", clusters.scalar()).select("cluster", distances.alias("ds"))
-    own = F.filter("ds", lambda d: d["cluster"] == F.col("cluster"))[0]
-    rest = F.array_min(F.transform(F.filter("ds", lambda d: d["cluster"] != F.col("cluster")), lambda d: d["d"]))
-    split = measured.select(own.alias("own"), rest.alias("b")).select(
-        F.col("own.rows").alias("n"), (F.col("own.d") * F.col("own.rows") / (F.col("own.rows") - 1)).alias("a"), "b")
-    value = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return split.agg(F.avg(value).alias("value"), F.count("b").alias("_n")).where("_n > 0").select(
+    ))
+    dot = F.aggregate(F.zip_with("x", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    own = (_square(F.col("x")) + F.col("square") - 2 * dot) * F.col("rows") / (F.col("rows") - 1)
+    frame = _beside(rows, table).select("number", "x", F.lit(float("inf")).alias("best"), "rows", F.when(F.col("rows") > 1, own).alias("a"))
+    variance = F.greatest(F.col("square") - _square(F.col("centre")), F.lit(0.0)).alias("variance")
+    for piece in _pieces(table.select("number", "centre", variance), ["variance"]):
+        frame = _search(frame, piece, lambda apart, mine, theirs: apart + theirs[0],
+                        lambda least, mine, theirs: least * least + theirs[0].min())
+    return _mean_silhouette(frame.select("rows", "a", F.when(F.col("best") < float("inf"), F.col("best")).alias("b")))
+
+
+def _mean_silhouette(rows: DataFrame) -> DataFrame:
+    """From the size of a row's cluster, its mean distance ``a`` to that and ``b`` to the nearest other one."""
+    ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    value = F.when(F.col("rows") <= 1, F.lit(0.0)).otherwise(ratio)
+    return rows.agg(F.avg(value).alias("value"), F.count("b").alias("_n")).where("_n > 0").select(
         F.lit("silhouette_score").alias("metric"), "value")
 
 
+def euclidean_silhouette(df: DataFrame, features: str, label: str, chosen: Column) -> DataFrame:
+    """Mean silhouette, with plain Euclidean distance, of the ``chosen`` rows against all rows.
+
+    Plain distances have no closed form, so every chosen row meets every row: blocks of ``QUERY_ROWS`` chosen
+    rows go to all tasks, which add up distances per chosen row and cluster. Choose a share of the rows that is
+    worth that work, such as the ids divisible by a hundred.
+    """
+    rows = df.select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x")).where("x is not null")
+    parts, held, first = [], [], 0
+    for r in df.where(chosen).select(F.col(label).alias("cluster"), F.col(features).cast("array<double>").alias("x")).where(
+            "x is not null").toLocalIterator():
+        held.append((r["cluster"], r["x"]))
+        if len(held) == QUERY_ROWS:
+            parts.append(_distance_sums(rows, held, first))
+            first, held = first + QUERY_ROWS, []
+    if held or not parts:
+        parts.append(_distance_sums(rows, held, first))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("query", "cluster", "own").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    per = sums.groupBy("query").agg(
+        F.max(F.when(F.col("own"), F.col("n"))).alias("rows"),
+        F.max(F.when(F.col("own") & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~F.col("own"), F.col("total") / F.col("n"))).alias("b"))
+    return _mean_silhouette(per)
+
+
+def _distance_sums(rows: DataFrame, queries: list[tuple], first: int) -> DataFrame:
+    """query, cluster, own (whether it is the query's), n and total: distances of the queries to all rows."""
+    labels = [q[0] for q in queries]
+    points = np.array([q[1] for q in queries], float).reshape(len(queries), -1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(points) else 0, BLOCK_VECTORS):
+                batch = whole.slice(at, BLOCK_VECTORS)
+                code = batch.column(0).dictionary_encode("encode")
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                apart = (x * x).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2 * x @ points.T
+                distance = np.sqrt(np.maximum(apart, 0))
+                # What is nearly zero is measured without the loss of digits.
+                for i, j in zip(*np.nonzero(apart <= 1e-9 * (points * points).sum(axis=1))):
+                    distance[i, j] = np.sqrt(((x[i] - points[j]) ** 2).sum())
+                place = code.indices.to_numpy(zero_copy_only=False)
+                for i, name in enumerate(code.dictionary.to_pylist()):
+                    inside = place == i
+                    n, total = held.get(name, (0, 0.0))
+                    held[name] = n + int(inside.sum()), total + distance[inside].sum(axis=0)
+        for name, (n, total) in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(first, first + len(labels))), pa.array([name] * len(labels), kind),
+                 pa.array([label == name for label in labels]), pa.array(np.full(len(labels), n)), pa.array(total)],
+                names=["query", "cluster", "own", "n", "total"])
+
+    schema = T.StructType([T.StructField("query", T.LongType()), rows.schema["cluster"], T.StructField("own", T.BooleanType()),
+                           T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
+    kind = to_arrow_type(rows.schema["cluster"].dataType)
+    return rows.mapInArrow(sums, schema)
+
+
 def spark_silhouette(df: DataFrame, features: str, label: str) -> float:
     """The same number from Spark ML, as a cross-check."""
     return ClusteringEvaluator(predictionCol=label, featuresCol="_v").evaluate(

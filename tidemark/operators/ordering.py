@@ -135,18 +135,6 @@ def measure(
     return replace(layout, cuts=tuple(sorted(set(found))))
 
 
-def measure_whole(df: DataFrame, column: str, max_rows: int | None = None) -> SeriesLayout:
-    """Layout of the whole table as one series along ``column``."""
-    max_rows = max_rows or MAX_ROWS_PER_TASK
-    n = df.count()
-    if n <= max_rows:
-        return SeriesLayout(())
-    parts = -(-n // max_rows) * 2
-    if parts > MAX_CHUNKS:
-        return SeriesLayout((), ((),), (), max_rows, by_position=True)
-    return SeriesLayout((), ((),), cut_points(df, column, parts), max_rows)
-
-
 def split_long(df: DataFrame, layout: SeriesLayout) -> tuple[DataFrame, DataFrame]:
     """Ordinary rows, and rows of long series tagged with a series number."""
     if not layout.keys:
@@ -488,57 +476,58 @@ def _inside(placed: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     ).withColumn("offset", F.col("rank") - F.col("_first")).drop("_first")
 
 
-def percentiles(
-    df: DataFrame,
-    by: Sequence[str],
-    column: str,
-    probabilities: Sequence[float],
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Exact interpolated percentiles per group: group columns, ``probability``, ``value``.
+def merged_values(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """One row per group and value, as numbers, in order: group columns, ``_v``, ``_rows`` and ``_before``.
 
-    Equal values are merged before they are shuffled. When no group can exceed one
-    task that is all; otherwise approximate quantiles cut the column into chunks, a
-    histogram finds the chunks that hold the wanted ranks, and only the rows of
-    those are shuffled. Neither a frequent value nor a large group ends up in one
-    task.
+    ``_rows`` counts the rows of that value, ``_before`` those of all smaller groups and values. Nulls are a row
+    of their own that nothing counts as a value. Equal values are merged before they are shuffled, and the
+    running count is spread over range partitions, so neither a frequent value nor a large group ends up in
+    one task. Counts, moments, extremes and quantiles all follow from this table, that is from one scan.
     """
     by = list(by)
-    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
-    spots = [float(p) for p in probabilities]
-    limit = max_rows or MAX_ROWS_PER_TASK
-
-    def ranks(n: Column) -> Column:
-        at = [(n - 1) * F.lit(p) for p in spots]
-        return F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)])
-
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    known = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
-    total = known["rows"] or 0
-    if total <= limit:
-        merged = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_weight"))
-        whole = Window.partitionBy(*by)
-        earlier = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-        found = _inside(merged.select(
-            "*", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_first"),
-            F.array_distinct(ranks(F.sum("_weight").over(whole))).alias("_ranks"),
-        ), by, ["_v"])
-    else:
-        cuts = cut_points(values, "_v", min(MAX_CHUNKS, -(-total // limit) * 4))
-        found = select_ranks(with_chunk(values, "_v", cuts), by, ["_v"], CHUNK, ranks, known["groups"])
-    picked = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))
-    # One row per group on both sides.
-    if by:
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by])
-        both = picked.join(
-            sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_n"), same
-        ).drop(*[f"_s_{c}" for c in by])
-    else:
-        both = picked.withColumn("_n", sizes.scalar())
-    place = (F.col("_n") - 1) * F.col("probability")
-    low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
-    at_low, at_high = F.element_at("_at", low), F.element_at("_at", high)
-    return (
-        both.select("*", F.explode(F.array(*[F.lit(p) for p in spots])).alias("probability"))
-        .select(*by, "probability", (at_low + (at_high - at_low) * (place - low)).alias("value"))
-    )
+    counts = df.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
+    held = counts.withColumn("_held", F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_rows")))
+    return prefix_sum(held, [*by, "_v"], "_held", "_before").drop("_held")
+
+
+def value_groups(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of :func:`merged_values` one row per group: its columns, ``_all`` rows, ``_n`` values, ``_first`` (the rows
+    before them), ``_mean``, ``_low`` and ``_high``."""
+    weight = F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(F.lit(0))
+    return values.groupBy(*by).agg(
+        F.sum("_rows").alias("_all"), F.sum(weight).alias("_n"), F.min("_before").alias("_first"),
+        (F.sum(F.col("_v") * F.col("_rows")) / F.nullif(F.sum(weight), F.lit(0))).alias("_mean"),
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+
+
+def beside_groups(values: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every merged value with the facts of its group."""
+    if not by:
+        facts = [c for c in groups.columns]
+        return values.withColumn("_g", groups.select(F.struct(*facts)).scalar()).select(
+            "*", *[F.col("_g")[c].alias(c) for c in facts]).drop("_g")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by])
+    return values.join(groups.withColumnsRenamed({c: f"_s_{c}" for c in by}), same).drop(*[f"_s_{c}" for c in by])
+
+
+def quantile_of(probability: float) -> Column:
+    """Aggregate over the merged values of a group: the interpolated percentile, null without values."""
+    place = (F.first("_n") - 1) * F.lit(probability)
+    rank = (F.col("_n") - 1) * F.lit(probability)
+    begin = F.col("_before") - F.col("_first")
+
+    def at(r: Column) -> Column:
+        return F.max(F.when(F.col("_v").isNotNull() & (begin <= r) & (r < begin + F.col("_rows")), F.col("_v")))
+
+    low, high = at(F.floor(rank)), at(F.ceil(rank))
+    return low + (high - low) * (place - F.floor(place))
+
+
+def percentiles(df: DataFrame, by: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact interpolated percentiles per group that has values: group columns, ``probability``, ``value``."""
+    by, spots = list(by), [float(p) for p in probabilities]
+    values = merged_values(df.where(F.col(column).isNotNull()), by, column)
+    wide = beside_groups(values, value_groups(values, by), by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *[quantile_of(p).alias(f"_q{i}") for i, p in enumerate(spots)])
+    cells = F.array(*[F.struct(F.lit(p).alias("probability"), F.col(f"_q{i}").alias("value")) for i, p in enumerate(spots)])
+    return wide.where("_n > 0").select(*by, F.explode(cells).alias("_c")).select(*by, "_c.*")

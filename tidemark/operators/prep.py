@@ -139,7 +139,6 @@ def fit(
     steps: Sequence[dict],
     order: Sequence[str] = (),
     keys: Sequence[str] = (),
-    max_rows: int | None = None,
 ) -> FittedState:
     """Learn fills, classes and scales; ``order`` is needed only by directional fills."""
     state, work = FittedState(), train
@@ -168,7 +167,7 @@ def fit(
                 for c in columns:
                     averages.append((c, F.avg(c), _keep_fill(state, c, method)))
             elif method == "median":
-                state.fills.update(_fit_medians(work, columns, max_rows))
+                state.fills.update(_fit_medians(work, columns))
             else:
                 state.fills.update(_fit_modes(work, columns))
         elif name == "label_encoding":
@@ -220,10 +219,10 @@ def _cells(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return df.select(cells).select("cell.*").where("value is not null")
 
 
-def _fit_medians(df: DataFrame, columns: Sequence[str], max_rows: int | None) -> dict[str, tuple[str, float | None]]:
+def _fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, float | None]]:
     found: dict[str, tuple[str, float | None]] = {c: ("median", None) for c in columns}
     if columns:
-        for row in percentiles(_cells(df, columns, "double"), ["column"], "value", [0.5], max_rows).collect():
+        for row in percentiles(_cells(df, columns, "double"), ["column"], "value", [0.5]).collect():
             found[row["column"]] = ("median", row["value"])
     return found
 

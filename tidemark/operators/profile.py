@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import percentiles
+from tidemark.operators.ordering import beside_groups, merged_values, quantile_of, value_groups
 
 
 def data_quality(df: DataFrame) -> DataFrame:
@@ -46,35 +46,27 @@ def cluster_distribution(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def value_stats(df: DataFrame, value: str, by: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
-    """Count, moments, range and exact quartiles per group; nulls count as samples only."""
+def value_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count, moments, range and exact quartiles per group; nulls count as samples only.
+
+    Everything follows from the merged values, so the table is read once, with and without groups.
+    """
     by = list(by)
     number = F.col(value).cast("double")
     # NaN is a missing value here, as null is.
     clean = df.select(*by, F.when(~F.isnan(number), number).alias("_x"))
-    moments = [
-        F.count(F.lit(1)).alias("n_samples"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"),
-    ]
+    values = merged_values(clean, by, "_x")
+    beside = beside_groups(values, value_groups(values, by), by)
+    gap = F.col("_v") - F.col("_mean")
+    stats = beside.groupBy(*by).agg(
+        F.first("_all").alias("n_samples"), F.first("_mean").alias("mean"),
+        F.sqrt(F.sum(F.col("_rows") * gap * gap) / F.first("_n")).alias("std"),
+        F.first("_low").alias("min"), F.first("_high").alias("max"), quantile_of(0.5).alias("median"),
+        quantile_of(0.25).alias("q25"), quantile_of(0.75).alias("q75"))
+    if not by:
+        stats = stats.withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("long")))
     names = ["mean", "std", "min", "max", "median", "q25", "q75"]
-    finish = lambda out: out.select(*by, "n_samples", *[F.round(c, 6).alias(c) for c in names])
-    stats = clean.groupBy(*by).agg(*moments)
-    quartiles = percentiles(clean, by, "_x", [0.25, 0.5, 0.75], max_rows)
-    # One row per group on both sides.
-    if by:
-        wide = quartiles.groupBy(*by).pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("value"))
-        wide = wide.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
-                           F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q75"))
-        same = F.lit(True)
-        for i, c in enumerate(by):
-            same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-        joined = stats.join(wide, same, "left").drop(*[f"_g{i}" for i in range(len(by))])
-    else:
-        at = lambda p: F.max(F.when(F.col("probability") == p, F.col("value")))
-        joined = stats.withColumns({
-            name: quartiles.agg(at(p)).scalar() for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
-        })
-    return finish(joined)
+    return stats.select(*by, "n_samples", *[F.round(c, 6).alias(c) for c in names])
 
 
 def prediction_stats(df: DataFrame, predictions: str, by: Sequence[str] = ()) -> DataFrame:

@@ -154,15 +154,15 @@ def _cuts_of(
     intervals, wider = _merged(ends, spots), 1
     while True:
         # So many rows may lie inside the brackets; more than a task should sort are bracketed again.
-        share = 8 * wider / accuracy
-        while n * share * len(intervals) > limit and share > 8 / accuracy ** 3:
-            intervals, share = _narrowed(rows, intervals, wanted, accuracy), share * 8 / accuracy
+        inside = n * 8 / accuracy * len(intervals)
+        while wider == 1 and inside > limit and len(wanted) < inside:
+            intervals, inside = _narrowed(rows, intervals, wanted, accuracy), inside * min(0.1, 8 / accuracy)
         found = _inside_brackets(df, rows, head, intervals, wanted)
         if len(found) == len(wanted):
             break
-        # The guesses were off: the true positions are known now.
+        # The guesses were off: the true positions are known now. Wider brackets end with the whole axis.
         wider *= 4
-        spots = _brackets([r / n for r in wanted], max(2, accuracy // wider))
+        spots = _brackets([r / n for r in wanted], max(2, 4 * accuracy // wider))
         intervals = _merged(rows.agg(F.percentile_approx("_at", spots, accuracy)).first()[0], spots)
     out = {rank: (value,) for rank, _, _, value in found}
     tied = [f for f in found if f[2] > 1] if rest else []
