@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, rounded, table
-from tidemark.operators import features
+from tidemark.operators import asof, features
 from tidemark.operators.features import Lag, Rolling
 
 ORDER = ["ts", "event_id"]
@@ -89,14 +89,14 @@ def sensor_bundle(spark, folder):
 @query("""
 SELECT event_id, lag(value, 24) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag24,
        CASE WHEN count(value) OVER w = 12 THEN round(avg(value) OVER w, 6) + 0.0 END AS value_roll12_mean,
-       round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_sin,
-       round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS dow_cos
+       round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_cos,
+       round(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS dow_sin, round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS dow_cos
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
 """)
 def hourly_load_bundle(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
     out = features.hourly_load_features(events, ["value"], "ts", ["user_id"], ["event_id"])
-    names = ["value_roll12_mean", "hour_sin", "dow_cos"]
+    names = ["value_roll12_mean", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
     return rounded(out.select("event_id", "value_lag24", *names), *names)
 
 
@@ -165,4 +165,6 @@ def station_clean(spark, folder):
 
 @query("SELECT min(ts) AS first_time, max(ts) AS last_time FROM events")
 def event_time_range(spark, folder):
-    return table(spark, folder, "events").agg(F.min("ts").alias("first_time"), F.max("ts").alias("last_time"))
+    events = table(spark, folder, "events")
+    kind = events.schema["ts"].dataType.simpleString()
+    return spark.createDataFrame([asof.time_range(events, "ts")], f"first_time {kind}, last_time {kind}")

@@ -166,6 +166,21 @@ def silhouette_squared(spark, folder):
     return rounded(metrics.silhouette(vectors(spark, folder), "embedding", "label"), "value")
 
 
+@query("""
+WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+     p AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+           FROM x a JOIN x b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1, 2, 3),
+     s AS (SELECT vec_id, max(total / n) FILTER (label = other) AS a, min(total / n) FILTER (label <> other) AS b
+           FROM p GROUP BY 1)
+SELECT 'silhouette_score' AS metric, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS value
+FROM s
+""")
+def silhouette_euclidean(spark, folder):
+    """Plain distances of the vectors whose id is divisible by a hundred to all vectors."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return rounded(metrics.euclidean_silhouette(vectors, "embedding", "label", F.col("vec_id") % 100 == 0), "value")
+
+
 @query("""
 WITH c AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1),
      a AS (SELECT coalesce(n, 0) AS n FROM range((SELECT max(label) + 1 FROM c)) r(i) LEFT JOIN c ON c.label = i),

@@ -31,7 +31,7 @@ def cluster_distribution(spark, folder):
     return profile.cluster_distribution(table(spark, folder, "embeddings"), "label")
 
 
-STATS = """count(*) AS n_samples, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std,
+STATS = """count(*) AS n_samples, round(avg(v)::DECIMAL(30, 12), 6)::DOUBLE + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std,
  round(min(v), 6) + 0.0 AS min, round(max(v), 6) + 0.0 AS max, round(quantile_cont(v, 0.5), 6) + 0.0 AS median,
  round(quantile_cont(v, 0.25), 6) + 0.0 AS q25, round(quantile_cont(v, 0.75), 6) + 0.0 AS q75"""
 NAMES = ["mean", "std", "min", "max", "median", "q25", "q75"]

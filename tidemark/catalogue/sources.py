@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue.registry import query, rounded, table
 from tidemark.operators import features, metrics, prep
 from tidemark.session import scratch_path
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, views, writers
 from tidemark.sources.store import FeatureStore, FeatureView
 
 
@@ -28,6 +28,28 @@ def csv_series(spark, folder):
     return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
+@query("""
+SELECT 'whole' AS file, count(*) AS rows FROM customer UNION ALL SELECT 'without rows', 0 UNION ALL SELECT 'absent', -1 UNION ALL SELECT 'no time', -2
+""")
+def csv_edges(spark, folder):
+    """A file, one without rows, an absent one, and a series whose time column is missing."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    path = scratch_path(spark, "edges")
+    customers.write.option("header", True).csv(f"{path}/whole.csv")
+    customers.where("c_custkey is null").write.option("header", True).csv(f"{path}/none.csv")
+
+    def rows(name, kind="tabular"):
+        try:
+            return readers.read_source(spark, f"{path}/{name}.csv", kind, schema="c_custkey long, c_name string").count()
+        except FileNotFoundError:
+            return -1
+        except ValueError:
+            return -2
+
+    found = [("whole", rows("whole")), ("without rows", rows("none")), ("absent", rows("absent")), ("no time", rows("whole", "timeseries"))]
+    return spark.createDataFrame(found, "file string, rows long")
+
+
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
 def entity_table(spark, folder):
     return readers.read_entities(spark, f"{folder}/orders.parquet", "o_orderkey", "o_orderdate", ["o_totalprice"])
@@ -76,6 +98,28 @@ def stored_view(spark, folder):
     return out.select("row_id", F.round("value", 3).cast("double").alias("value"))
 
 
+@query("""
+WITH f AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase'),
+     m AS (SELECT e.event_id AS row_id, e.ts, f.ts AS seen, f.value FROM events e ASOF LEFT JOIN f
+           ON e.user_id = f.user_id AND e.ts >= f.ts)
+SELECT row_id, round(CASE WHEN seen >= ts - INTERVAL 30 DAY THEN value END::FLOAT, 3)::DOUBLE AS amount,
+       round(CASE WHEN seen >= ts - INTERVAL 30 DAY THEN value / 100 END::FLOAT, 4)::DOUBLE AS risk_score FROM m
+""")
+def shipped_view(spark, folder):
+    """The shipped payments view over a stored table, with the view's own time to live."""
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "payments")
+    writers.write_features(events.where("event_type = 'purchase'").select(
+        "user_id", F.col("ts").alias("event_timestamp"), F.col("value").alias("amount"), (F.col("value") / 10).alias("tx_count_30m"),
+        (F.col("value") / 100).alias("risk_score")), path)
+    store = FeatureStore(spark)
+    views.register(store, views.FRAUD, "user_id", path)
+    rows = events.select(F.col("event_id").alias("row_id"), "user_id", F.col("ts").alias("event_timestamp"))
+    out = store.historical(rows, ["fraud_view:amount", "fraud_view:risk_score"])
+    return out.select("row_id", F.round("amount", 3).cast("double").alias("amount"),
+                      F.round("risk_score", 4).cast("double").alias("risk_score"))
+
+
 @query("""
 WITH f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view'),
      m AS (SELECT e.event_id AS row_id, e.ts, f.ts AS seen, f.value FROM events e ASOF LEFT JOIN f

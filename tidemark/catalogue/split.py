@@ -49,6 +49,18 @@ def split_test_as_val(spark, folder):
     return split.chronological_split(events(spark, folder), ORDER, parts).select("event_id", "dataset")
 
 
+@query("""
+WITH t AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS part FROM events)
+SELECT * FROM t UNION ALL SELECT event_id, 'val' FROM t WHERE part = 'test'
+""")
+def split_pretagged(spark, folder):
+    """Parts by an existing tag; without rows for validation the test rows serve as such."""
+    tagged = events(spark, folder).withColumn("dataset", F.when(F.col("event_id") % 4 == 0, "test").otherwise("train"))
+    parts = split.tagged_parts(tagged)
+    frames = [rows.select("event_id", F.lit(name).alias("part")) for name, rows in parts.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 @query("""
 WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '|42')) AS r, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, CASE WHEN r <= floor(n * 0.6::DOUBLE) THEN 'train'

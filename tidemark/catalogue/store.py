@@ -217,3 +217,16 @@ def pit_business_date(spark, folder):
         events.select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "view_ts",
         {"view_value": "value", "event_date": "event_date"}, tie=["event_id"],
     ).select("event_id", "view_value", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query("""
+SELECT user_id, count(*) AS events FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 22:00:00' AND TIMESTAMP '2024-01-20 12:30:00' GROUP BY user_id
+""")
+def events_in_date_range(spark, folder):
+    """An ISO range with offsets becomes UTC bounds, both inclusive."""
+    low, high = asof.parse_range("2024-01-06T00:00:00+02:00", "2024-01-20T12:30:00Z")
+    events = table(spark, folder, "events")
+    kind = events.schema["ts"].dataType
+    inside = F.col("ts").between(asof.time_literal(low, kind), asof.time_literal(high, kind))
+    return events.where(inside).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))

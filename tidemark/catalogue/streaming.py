@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
+from tidemark.catalogue.training import FITTED, next_values_model
 from tidemark.session import scratch_path
 from tidemark.streaming import materialize, scoring
 
@@ -61,3 +62,20 @@ def materialize_stream_in_parts(spark, folder):
             rows, path, f"{path}-{name}-state", ["user_id"], "ts", columns, ["event_id"]).awaitTermination()
         materialize.compact(spark, path, ["user_id"], "ts", columns, ["event_id"])
     return materialize.read_latest(spark, path, ["user_id"], "ts", columns, ["event_id"])
+
+
+@query(FITTED + """SELECT user_id, ts AS window_end, s.step::INT AS step,
+  (CASE WHEN s.step = 0 THEN a0 + b0 * x ELSE a1 + b1 * x END)::FLOAT::DOUBLE AS prediction
+FROM e, m, range(2) s(step) WHERE r = n - 1""")
+def score_stream(spark, folder):
+    """Two late halves of the events as a stream; every user's score after the last batch that touched it."""
+    path, events = scratch_path(spark, "scores"), table(spark, folder, "events")
+    schema = events.schema
+    for part in ("event_id % 2 = 1", "event_id % 2 = 0"):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    model = next_values_model(spark, folder)
+    scoring.score_stream(rows, model, path, f"{path}-out", f"{path}-state", "user_id", ["ts", "event_id"], ["value"], 1).awaitTermination()
+    cells = scoring.newest_scores(spark, f"{path}-out", "user_id").select(
+        "user_id", "window_end", F.posexplode("predictions").alias("step", "prediction"))
+    return cells.withColumn("prediction", F.col("prediction").cast("double"))

@@ -1,4 +1,4 @@
-"""Training and scoring jobs. Fitted models have no SQL twin; tests check their properties."""
+"""Training and scoring jobs. Models without a closed form have no SQL twin; tests check their properties."""
 
 from __future__ import annotations
 
@@ -415,6 +415,103 @@ def forest_classes(spark, folder):
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.col("prediction")[0].cast("int").alias("class"))
 
 
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS base FROM lineitem),
+     d AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN (base + 1) % 3 ELSE base END AS c FROM p),
+     g AS (SELECT k, l_linenumber AS x, count(*) AS n, sum(CASE WHEN c = k THEN 1 ELSE -1 END) AS s FROM d, range(3) t(k) GROUP BY ALL),
+     t AS (SELECT k, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY k) AS n, sum(s) OVER (PARTITION BY k) AS s FROM g
+           WINDOW w AS (PARTITION BY k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     b AS (SELECT k, x, sl / nl AS low, (s - sl) / (n - nl) AS high FROM t WHERE nl < n
+           QUALIFY row_number() OVER (PARTITION BY k ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC) = 1),
+     w AS (SELECT list(struct_pack(x := x, low := low, high := high) ORDER BY k) AS b FROM b),
+     q AS (SELECT l_orderkey, l_linenumber, l_partkey,
+             list_transform(b, lambda s: 1 / (1 + exp(-2 * CASE WHEN l_linenumber <= s.x THEN s.low ELSE s.high END))) AS p FROM d, w)
+SELECT l_orderkey, l_linenumber, l_partkey, (list_position(p, list_max(p)) - 1)::INT AS class,
+       round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, round(p[3] / list_sum(p), 6) AS p2 FROM q
+""")
+def boosted_classes(spark, folder):
+    """Three classes by boosting: a stump per class against the others, probabilities that add up to one."""
+    base = F.when(F.col("l_linenumber") <= 2, 0).when(F.col("l_linenumber") <= 4, 1).otherwise(2)
+    data = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 7 == 0, (base + 1) % 3).otherwise(base).alias("class"))
+    ready = training.assemble(data, ["l_linenumber"])
+    model = training.fit_outputs(ready, [F.col("class")], "gbt_classifier", maxIter=1, maxDepth=1, seed=1)
+    scored = model.transform(model.transform(ready, "class"), "chances", probabilities=True)
+    chances = F.col("chances")[0]
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.col("class")[0].cast("int").alias("class"),
+                         *[F.round(chances[k], 6).alias(f"p{k}") for k in range(3)])
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber >= 4 AS late, l_extendedprice + CASE WHEN l_linenumber >= 4 THEN 1e7 ELSE 0 END AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, round(avg(y) OVER (PARTITION BY late), 2) AS prediction, count(*) OVER (PARTITION BY late) AS cluster_rows FROM p
+""")
+def cluster_feature_means(spark, folder):
+    """Rows in two groups far apart: imputed columns, component and cluster id tell the groups, so a stump gives their means."""
+    late = F.col("l_linenumber") >= 4
+    data = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") + F.when(late, 1000.0).otherwise(0.0)).alias("a"),
+        (F.col("l_tax") - F.when(late, 1000.0).otherwise(0.0)).alias("b"),
+        (F.col("l_extendedprice") + F.when(late, 1e7).otherwise(0.0)).alias("y"))
+    model = training.fit_stages(data, training.staged_model(["a", "b"], "y", clusters=2, components=1, maxIter=1, maxDepth=1, seed=1))
+    scored = scoring.score_stages(data, model)
+    sizes = scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_rows"))
+    return scored.join(sizes, "cluster").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 2).alias("prediction"), "cluster_rows")
+
+
+@query("""
+WITH c AS (SELECT l_tax AS x, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+     t AS (SELECT x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM c
+           WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     b AS (SELECT x, sl / nl AS low, (s - sl) / (n - nl) AS high FROM t WHERE nl < n
+           ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1),
+     m AS (SELECT regr_slope(l_extendedprice, l_tax) AS slope, regr_intercept(l_extendedprice, l_tax) AS start FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax <= b.x THEN low ELSE high END, 2) AS stump,
+       round(start + slope * l_tax, 2) AS line FROM lineitem, b, m
+""")
+def line_and_stump_together(spark, folder):
+    """Two models fitted at the same time on one kept table, predictions side by side."""
+    data = training.assemble(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_extendedprice"), ["l_tax"])
+    label = {"labelCol": "l_extendedprice", "featuresCol": "features"}
+    fitted = training.fit_together(data, {
+        "stump": GBTRegressor(predictionCol="stump", maxIter=1, maxDepth=1, seed=1, **label),
+        "line": LinearRegression(predictionCol="line", **label)})
+    out = data
+    for model in fitted.values():
+        out = model.transform(out)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("stump", 2).alias("stump"), F.round("line", 2).alias("line"))
+
+
+@query(FITTED + """SELECT user_id, s.step::INT AS step, (CASE WHEN s.step = 0 THEN a0 + b0 * x ELSE a1 + b1 * x END)::FLOAT::DOUBLE AS prediction
+FROM e, m, range(2) s(step) WHERE r = n - 1 AND user_id = (SELECT min(user_id) FROM events)""")
+def line_first_entity(spark, folder):
+    """Of several users that are asked for, only the first is scored."""
+    rows = events(spark, folder)
+    ids = [r[0] for r in rows.select("user_id").distinct().orderBy("user_id").limit(3).collect()]
+    scored = scoring.score_first_entity(rows, next_values_model(spark, folder), ["value"], ORDER, 1, "user_id", ids)
+    return scored.select("user_id", F.posexplode("predictions").alias("step", "prediction")).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+
+
+@query("SELECT user_id, count(*) - 3 + 1 AS by_windows, count(*) AS by_rows FROM events GROUP BY user_id HAVING count(*) >= 3")
+def window_or_row_model(spark, folder):
+    """The model's width tells whether it takes windows of the columns or single rows; both are then scored so."""
+    rows = events(spark, folder)
+    frame = windows.supervised_windows(rows, ["value"], ["value"], ORDER, 3, 1, ["user_id"])
+    wide = training.fit_forecaster(frame, 1, 1, "linear")
+    narrow = training.fit_outputs(training.assemble(rows, ["value"]), [F.col("value") * 2], "linear")
+
+    def score(model):
+        if scoring.needs_windows(model, ["value"], 3):
+            return scoring.score_windows(rows, model, ["value"], ORDER, 3, 1, ["user_id"], 1)
+        return scoring.score_rows(rows, model, ["value"])
+
+    by_rows, by_windows = (score(m).where("prediction[0] is not null").groupBy("user_id").count() for m in (narrow, wide))
+    return by_rows.withColumnRenamed("count", "by_rows").join(by_windows.withColumnRenamed("count", "by_windows"), "user_id")
+
+
 @query("""
 WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
              sum(l_extendedprice * l_quantity) / sum(l_quantity * l_quantity) AS o FROM lineitem),

@@ -59,11 +59,28 @@ def windows_grouped(spark, folder):
 
 
 @query(NUMBERED + """, s AS (SELECT user_id, r AS first, r // 4 AS window_index FROM e WHERE r % 4 = 0 AND r + 12 + 4 <= n)
-SELECT s.user_id, s.window_index, (e.r - s.first - 12)::INT AS step, e.value
-FROM s JOIN e ON e.user_id = s.user_id AND e.r >= s.first + 12 AND e.r < s.first + 16""")
+SELECT s.user_id, s.window_index, CASE WHEN e.r < s.first + 12 THEN 'x' ELSE 'y' END AS part, ((e.r - s.first) % 12)::INT AS step, e.value
+FROM s JOIN e ON e.user_id = s.user_id AND e.r >= s.first AND e.r < s.first + 16""")
 def windows_with_targets(spark, folder):
     frame = windows.evaluation_windows(events(spark, folder), ["value"], ORDER, 12, 4, ["user_id"])
-    return cells(frame, "y", "user_id", "window_index").drop("feature")
+    parts = [cells(frame, p, "user_id", "window_index").withColumn("part", F.lit(p)) for p in "xy"]
+    return parts[0].unionByName(parts[1]).drop("feature")
+
+
+@query(NUMBERED + """SELECT user_id, count(*) AS windows FROM e WHERE r + 60 <= n GROUP BY user_id""")
+def windows_of_long_series(spark, folder):
+    """Users with fewer than sixty events have no window, and no row stands for them."""
+    frame = windows.supervised_windows(events(spark, folder), ["value"], ["value"], ORDER, 50, 10, ["user_id"])
+    return frame.groupBy("user_id").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query(NUMBERED + """, s AS (SELECT user_id, r AS first, r // 9 AS window_index FROM e WHERE r % 9 = 0 AND r + 4 <= n)
+SELECT s.user_id, s.window_index, (e.r - s.first)::INT AS step, e.value
+FROM s JOIN e ON e.user_id = s.user_id AND e.r >= s.first AND e.r < s.first + 4""")
+def windows_far_apart(spark, folder):
+    """A stride above the window: the rows between belong to no window."""
+    frame = windows.sliding_windows(events(spark, folder), ["value"], ORDER, 4, keys=["user_id"], stride=9)
+    return cells(frame, "x", "user_id", "window_index").drop("feature")
 
 
 @query(NUMBERED + """SELECT user_id, max(ts) OVER (PARTITION BY user_id) AS window_end, (r - (n - 12))::INT AS step, value

@@ -433,7 +433,7 @@ def euclidean_silhouette(df: DataFrame, features: str, label: str, chosen: Colum
 def _distance_sums(rows: DataFrame, queries: list[tuple], first: int) -> DataFrame:
     """query, cluster, own (whether it is the query's), n and total: distances of the queries to all rows."""
     labels = [q[0] for q in queries]
-    points = np.array([q[1] for q in queries], float).reshape(len(queries), -1)
+    points = np.array([q[1] for q in queries], float).reshape(len(queries), -1) if queries else np.zeros((0, 1))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
