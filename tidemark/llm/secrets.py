@@ -55,6 +55,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values: Column, merge, block: int = 64) -> Column:
+    """For each of an array's numbers what ``merge`` makes of 0 and all numbers before it.
+
+    An array is copied whenever it gets one element more, so sums are taken within blocks, over the blocks'
+    totals, and put together; that keeps a text with very many matches near linear.
+    """
+    def run(xs):
+        return F.aggregate(
+            xs, F.struct(F.array().cast("array<bigint>").alias("sums"), F.lit(0).cast("long").alias("total")),
+            lambda acc, x: F.struct(F.array_append(acc["sums"], acc["total"]).alias("sums"), merge(acc["total"], x).alias("total")))
+
+    def whole(xs):
+        blocks = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))).otherwise(
+            F.array().cast("array<int>"))
+        return let(F.transform(blocks, lambda b: run(F.slice(xs, b * block + 1, F.lit(block)))), lambda parts: let(
+            run(F.transform(parts, lambda p: p["total"])), lambda begins: F.flatten(F.transform(
+                parts, lambda p, k: F.transform(p["sums"], lambda s: merge(F.get(begins["sums"], k), s))))))
+
+    return let(values, whole)
+
+
 def matches(text: Column, pattern: str, rank: int, kind: str, wanted, group: int = 0) -> Column:
     """Spans of the pattern's matches for which ``wanted`` holds of the given group.
 
@@ -63,24 +84,36 @@ def matches(text: Column, pattern: str, rank: int, kind: str, wanted, group: int
     none = F.array().cast(_SPANS)
     parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
                      F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def spans_of(p):
-        def step(acc, i):
-            place = F.struct((acc["at"] + F.char_length(F.get(p["pieces"], i))).alias("begin"),
-                             F.char_length(F.get(p["found"], i)).alias("length"))
-            return let(place, lambda at: F.struct(
-                (at["begin"] + at["length"]).alias("at"),
-                F.when(wanted(F.get(p["values"], i)), F.array_append(
-                    acc["spans"], _span(rank, kind, at["begin"], at["begin"] + at["length"])))
-                .otherwise(acc["spans"]).alias("spans")))
-
-        places = F.when(F.size(p["found"]) > 0, F.sequence(F.lit(0), F.size(p["found"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, step, lambda a: a["spans"])
+        steps = F.transform(p["found"], lambda m, i: (F.char_length(F.get(p["pieces"], i)) + F.char_length(m)).cast("long"))
+        placed = let(scan(steps, lambda a, x: a + x), lambda before: F.transform(p["found"], lambda m, i: F.struct(
+            (F.get(before, i) + F.char_length(F.get(p["pieces"], i))).alias("begin"), F.char_length(m).alias("length"),
+            F.get(p["values"], i).alias("value"))))
+        return F.transform(F.filter(placed, lambda m: wanted(m["value"])),
+                           lambda m: _span(rank, kind, m["begin"], m["begin"] + m["length"]))
 
     return F.when(text.rlike(pattern), let(parts, spans_of)).otherwise(none)
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans``, which do not overlap one another, that overlap none of ``others``.
+
+    In the order of their starts, a span overlaps an earlier other one if the furthest end so far lies beyond its
+    start, and a later one only if that comes next.
+    """
+    tag = lambda mine: lambda s: F.struct(s["start"].alias("start"), F.lit(mine).alias("mine"), s["end"].alias("end"), s.alias("span"))
+
+    def clear(line):
+        reach = scan(F.transform(line, lambda s: F.when(s["mine"], F.lit(0).cast("long")).otherwise(s["end"])), F.greatest)
+        free = lambda s, i, ends: (F.get(ends, i) <= s["start"]) & F.coalesce(
+            F.get(line, i + 1)["mine"] | (F.get(line, i + 1)["start"] >= s["end"]), F.lit(True))
+        return let(reach, lambda ends: F.transform(F.filter(line, lambda s, i: s["mine"] & free(s, i, ends)), lambda s: s["span"]))
+
+    both = F.sort_array(F.concat(F.transform(spans, tag(True)), F.transform(others, tag(False))))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(both, clear)).otherwise(spans)
+
+
 def known_spans(text: Column, kind: str) -> Column:
     pattern, group, least = FORMS[kind]
     rank = list(FORMS).index(kind)
@@ -143,8 +176,8 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     frame = frame.withColumn("_base", F.sort_array(F.concat(*[known_spans(F.col("_t"), kind) for kind in FORMS])))
     random = matches(F.col("_t"), CANDIDATE, len(FORMS), ENTROPY, is_random)
     frame = frame.withColumn("_random", random)
-    clear = F.filter("_random", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return frame.select(*names, F.col("_base").alias("base"), F.sort_array(F.concat("_base", clear)).alias("spans"))
+    spans = F.sort_array(F.concat("_base", apart(F.col("_random"), F.col("_base"))))
+    return frame.select(*names, F.col("_base").alias("base"), spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
