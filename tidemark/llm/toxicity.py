@@ -2,12 +2,15 @@
 
 Features are the distinct words of the whole text (runs of letters, ASCII letters lower-cased). The model is
 a logistic regression. For every labelled text that mentions an identity term, a counterfactual is made by
-swapping the term for another one of the same kind, and training penalises the squared difference of the
-two scores, so a group's name cannot become evidence merely because attacks mention it often.
+swapping the term for another one of the same kind and language, and training penalises the squared
+difference of the two scores, so a group's name cannot become evidence merely because attacks mention it
+often. The text's own words say which terms it mentions; its language is never asked. ``pairs`` of the model
+counts the counterfactuals; without a mention in the sample there are none, and the model is the plain regression.
 
 Word counts for the choice of features cover all labelled rows; the regression itself is fitted in NumPy
 on at most ``max_rows`` labelled rows, picked by a hash of the text, and at most ``max_words`` features.
-Null and empty texts have no words and get the score of the bias alone.
+Rows of the sample that agree in text and label are learned once. Null and empty texts have no words and
+get the score of the bias alone; a score equal to the threshold counts as toxic.
 """
 
 from __future__ import annotations
@@ -23,13 +26,36 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.text import as_bytes, run_hashes, runs, text_blocks
 
-# Terms that may be swapped for one another.
+# By language and kind, the terms that may be swapped for one another.
 IDENTITY_TERMS = {
-    "gender": ["woman", "man", "female", "male", "girl", "boy", "women", "men"],
-    "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"],
-    "origin": ["black", "white", "asian", "african", "european", "latino", "arab", "immigrant"],
-    "orientation": ["gay", "lesbian", "bisexual", "transgender", "straight", "queer"],
-    "ability": ["deaf", "blind", "disabled", "autistic"],
+    "en": {
+        "gender": ["woman", "man", "female", "male", "girl", "boy", "women", "men"],
+        "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"],
+        "origin": ["black", "white", "asian", "african", "european", "latino", "arab", "immigrant"],
+        "orientation": ["gay", "lesbian", "bisexual", "transgender", "straight", "queer"],
+        "ability": ["deaf", "blind", "disabled", "autistic"],
+    },
+    "de": {
+        "gender": ["frau", "mann", "mädchen", "junge", "frauen", "männer"],
+        "religion": ["muslim", "christ", "jude", "hindu", "buddhist", "katholik", "atheist"],
+        "origin": ["schwarzer", "weißer", "asiate", "afrikaner", "europäer", "araber", "einwanderer"],
+        "orientation": ["schwul", "lesbisch", "bisexuell", "hetero"],
+        "ability": ["gehörlos", "blind", "behindert", "autistisch"],
+    },
+    "es": {
+        "gender": ["mujer", "hombre", "niña", "niño", "mujeres", "hombres"],
+        "religion": ["musulmán", "cristiano", "judío", "hindú", "budista", "católico", "ateo"],
+        "origin": ["negro", "blanco", "asiático", "africano", "europeo", "latino", "árabe", "inmigrante"],
+        "orientation": ["gay", "lesbiana", "bisexual", "heterosexual"],
+        "ability": ["sordo", "ciego", "discapacitado", "autista"],
+    },
+    "fr": {
+        "gender": ["femme", "homme", "fille", "garçon", "femmes", "hommes"],
+        "religion": ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "catholique", "athée"],
+        "origin": ["noir", "blanc", "asiatique", "africain", "européen", "arabe", "immigré"],
+        "orientation": ["gay", "lesbienne", "bisexuel", "hétérosexuel"],
+        "ability": ["sourd", "aveugle", "handicapé", "autiste"],
+    },
 }
 MAX_WORDS = 2048
 MAX_ROWS = 20_000
@@ -45,6 +71,7 @@ class ToxicityModel:
     hashes: np.ndarray   # sorted word hashes
     weights: np.ndarray
     bias: float
+    pairs: int = 0       # counterfactual sentences that were learned from
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +109,11 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label",
-                 identity_terms: dict[str, list[str]] | None = None, fairness: float = 5.0,
+                 identity_terms: dict[str, dict[str, list[str]]] | None = None, fairness: float = 5.0,
                  max_words: int = MAX_WORDS, max_rows: int = MAX_ROWS, min_docs: int = 3, seed: int = 3) -> ToxicityModel:
     """Learn from rows whose label is 0 or 1; other rows are passed over. No rows give the score 0.5 to all."""
     terms = IDENTITY_TERMS if identity_terms is None else identity_terms
-    groups = [_hash_words(group).view(np.int64).tolist() for group in terms.values()]
+    groups = [_hash_words(group).view(np.int64).tolist() for kinds in terms.values() for group in kinds.values()]
     rows = (labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
             .where("label in (0, 1)"))
     rows = Scratch(labelled.sparkSession, "toxicity").save(rows, "labelled")  # read three times
@@ -128,7 +155,7 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label",
 
     sample = (rows.withColumn("pick", F.xxhash64("text", F.lit(seed))).select("text", "label", "pick")
               .where(F.pmod("pick", F.lit(1 << 20)) < F.lit(min(1.0, 1.2 * max_rows / n) * (1 << 20)))
-              .mapInArrow(encode, "label int, pick long, words array<int>")
+              .mapInArrow(encode, "label int, pick long, words array<int>").distinct()
               .orderBy("pick", "label", "words").limit(max_rows).collect())
     place = {int(h): i for i, h in enumerate(hashes.view(np.int64))}
     return _train(hashes, [r["words"] for r in sample], np.array([r["label"] for r in sample], float),
@@ -138,7 +165,11 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label",
 def _train(hashes: np.ndarray, words: list[list[int]], labels: np.ndarray, groups: list[list[int]],
            scale: np.ndarray, fairness: float, seed: int, steps: int = 400, rate: float = 0.1, ridge: float = 2e-5) -> ToxicityModel:
     rng = np.random.default_rng(seed)
-    kind = {w: [x for x in group if x != w] for group in groups for w in group}
+    # A term that several languages share may become any of their terms of its kinds.
+    kind: dict[int, list[int]] = {}
+    for group in groups:
+        for w in group:
+            kind[w] = sorted({*kind.get(w, []), *(x for x in group if x != w)})
     swapped, base = [], []
     for i, row in enumerate(words):
         mentions = [w for w in row if kind.get(w)]
@@ -172,7 +203,7 @@ def _train(hashes: np.ndarray, words: list[list[int]], labels: np.ndarray, group
         second += 0.01 * (gradient ** 2 - second)
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         weights -= pace * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
-    return ToxicityModel(hashes, scale * weights[:-1], float(weights[-1]))
+    return ToxicityModel(hashes, scale * weights[:-1], float(weights[-1]), len(base))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
