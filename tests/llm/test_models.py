@@ -87,9 +87,9 @@ def test_languages_are_learned_and_edges_defined(spark):
     rng = random.Random(4)
     rows = [(i, sentence(rng, lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
     train = spark.createDataFrame(rows + [(900, None, "aa"), (901, "x y", None)], "doc_id long, text string, lang string")
-    model = language.fit_languages(train, docs_per_language=40, epochs=4)
+    model = language.fit_languages(train, docs_per_language=40, epochs=4, least_steps=30)
     assert model.languages == ["aa", "bb", "cc"]
-    again = language.fit_languages(train.repartition(3), docs_per_language=40, epochs=4)
+    again = language.fit_languages(train.repartition(3), docs_per_language=40, epochs=4, least_steps=30)
     assert all(np.array_equal(a, b) for a, b in zip(model.weights(), again.weights(), strict=True))
     fresh = [(lang, sentence(rng, lang, 200)) for lang in ["aa", "bb", "cc"] * 10]
     texts = [t for _, t in fresh] + EDGES + [sentence(rng, "aa", 10) + " " + sentence(rng, "bb", 3000)]
@@ -103,6 +103,32 @@ def test_languages_are_learned_and_edges_defined(spark):
     assert language.predict_languages(frame_of(spark, ["a"]).limit(0), model).count() == 0
 
 
+def test_copies_do_not_crowd_out_other_texts(spark):
+    rng = random.Random(6)
+    copy = sentence(rng, "aa")
+    rows = [(copy, "aa")] * 400 + [(sentence(rng, lang), lang) for lang in ["aa", "bb"] * 30]
+    given, train = [], language.train
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "train", lambda x, y, names, **options: given.append(y) or train(x, y, names, **options))
+        model = language.fit_languages(frame, docs_per_language=25, least_steps=40)
+    assert Counter(given[0].tolist()) == {0: 50, 1: 50}  # two windows of each text
+    # Repeated rows are predicted alike, and equally likely languages go to the first.
+    found = language.predict_languages(frame, model).select("text", "lang_pred", "score").distinct()
+    assert found.count() == 61
+    even = language.LanguageModel(["a", "b"], *(np.zeros_like(w) for w in model.weights()))
+    assert language.predict_languages(frame.limit(3), even).select("lang_pred").distinct().collect()[0][0] == "a"
+
+
+def test_few_rows_are_trained_as_long_as_many():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 100, (40, 16)).astype(np.uint8)
+    rows[20:] += 10
+    model = language.train(rows, np.repeat([0, 1], 20), ["a", "b"], least_steps=60)
+    chances = language.document_probabilities(model, rows.reshape(-1), np.arange(0, 641, 16))
+    assert (chances.argmax(axis=1) == np.repeat([0, 1], 20)).all() and chances.max(axis=1).mean() > 0.9
+
+
 # -- toxicity --------------------------------------------------------------
 
 def test_every_label_is_learned(spark, monkeypatch):
@@ -110,7 +136,7 @@ def test_every_label_is_learned(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "text string, lang string")
     given, train = [], language.train
     monkeypatch.setattr(language, "train", lambda x, y, names, **options: given.append(y) or train(x, y, names, **options))
-    model = language.fit_languages(frame, epochs=1)
+    model = language.fit_languages(frame, epochs=1, least_steps=1)
     assert model.languages == [f"l{name:03d}" for name in range(300)]
     assert Counter(given[0].tolist()) == {name: 1 + name % 3 for name in range(300)}
     assert language.predict_languages(frame, model).where("lang_pred = 'und'").count() == 0
@@ -136,6 +162,7 @@ def test_identity_terms_lose_their_pull(spark):
     frame = spark.createDataFrame(rows + [(9000, None, 0), (9001, "x", None)], "doc_id long, text string, label int")
     probes = pa.array([f"word1 word2 {g} word3" for g in ("muslim", "christian", "hindu")], pa.large_string())
     free, fair = (toxicity.fit_toxicity(frame, fairness=f) for f in (0.0, 50.0))
+    assert 200 < fair.pairs == free.pairs
     spread = [np.ptp(toxicity.score_texts(probes, m)) for m in (free, fair)]
     assert spread[1] < 0.35 * spread[0]
     fresh = toxic_rows(random.Random(7), 300)
@@ -150,6 +177,40 @@ def test_toxicity_without_both_labels(spark):
     one = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, label int")
     assert toxicity.score_toxicity(frame_of(spark, ["a"]), toxicity.fit_toxicity(one)).first()["predicted"] == 0
     assert toxicity.score_toxicity(frame_of(spark, ["a"]), toxicity.fit_toxicity(one.limit(0))).first()["score"] == 0.5
+    assert toxicity.score_toxicity(frame_of(spark, ["a"]).limit(0), toxicity.fit_toxicity(one)).count() == 0
+
+
+def test_terms_of_other_languages_and_repeated_rows(spark):
+    rng = random.Random(11)
+    rows = [(i, t.replace("muslim", "juif").replace("MUSLIM", "JUIF").replace("christian", "chrétien").replace("hindu", "hindou"), y)
+            for i, t, y in toxic_rows(rng, 500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    probes = pa.array([f"word1 word2 {g} word3" for g in ("juif", "chrétien", "hindou", "musulman")], pa.large_string())
+    free, fair = (toxicity.fit_toxicity(frame, fairness=f) for f in (0.0, 50.0))
+    assert fair.pairs > 150 and np.ptp(toxicity.score_texts(probes, fair)) < 0.35 * np.ptp(toxicity.score_texts(probes, free))
+    none = toxicity.fit_toxicity(frame, identity_terms={})
+    assert none.pairs == 0
+    # A group of copies is learned once, so it does not outweigh the others.
+    copies = frame.unionByName(spark.createDataFrame([(9999, rows[0][1], rows[0][2])] * 400, frame.schema))
+    again = toxicity.fit_toxicity(copies, fairness=50.0)
+    assert again.pairs == fair.pairs
+    scored = toxicity.score_toxicity(copies.withColumn("score", F.lit("x")), again).where("doc_id = 9999")
+    assert scored.select("score", "predicted").distinct().count() == 1 and scored.count() == 400
+
+
+def test_toxicity_query_learns_and_spares_neutral_mentions(spark, tmp_path):
+    """The registered query on a table with terms: quality on held-out rows, neutral mentions stay clean."""
+    from tidemark.llm import queries
+    rows = toxic_rows(random.Random(12), 900)
+    neutral = [(5000 + i, f"word{i % 40} word{i % 7} muslim word{i % 11} word{i % 13}") for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + neutral, "doc_id long, text string")
+    docs.withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = {r["doc_id"]: r for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) + 40
+    held = [(found[i]["predicted"], y) for i, _, y in rows if found[i]["held_out"]]
+    assert len(held) > 200 and np.mean([p == y for p, y in held]) > 0.95
+    assert sum(p for p, y in held if not y) <= 0.02 * len(held) and all(found[5000 + i]["predicted"] == 0 for i in range(40))
 
 
 # -- near-copies -----------------------------------------------------------

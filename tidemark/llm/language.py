@@ -7,8 +7,10 @@ document's probabilities are the means over its letter bytes.
 
 The gates use the piecewise linear sigmoid and the candidate state x / (1 + |x|), which cost a few
 nanoseconds a byte where exp and tanh would take most of the run time. Training is plain
-backpropagation through time in NumPy on a bounded sample: at most ``docs_per_language`` documents of
+backpropagation through time in NumPy on a bounded sample: at most ``docs_per_language`` different texts of
 each language, ``SAMPLE_DOCS`` in all, and ``windows_per_doc`` windows of each, spread evenly over the whole text.
+However few rows there are, at least ``least_steps`` steps are made. Of equally likely languages the first in
+code point order is predicted.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import as_bytes, text_blocks
@@ -132,8 +134,13 @@ def document_probabilities(model: LanguageModel, data: np.ndarray, offsets: np.n
 
 
 def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 256,
-          rate: float = 0.02, hidden: int = HIDDEN, seed: int = 7) -> LanguageModel:
-    """Fit by backpropagation through time with Adam; every letter byte carries its document's label."""
+          rate: float = 0.02, hidden: int = HIDDEN, seed: int = 7, least_steps: int = 250) -> LanguageModel:
+    """Fit by backpropagation through time with Adam; every letter byte carries its document's label.
+
+    Few rows make small batches and more epochs, so that the number of steps does not fall below ``least_steps``.
+    """
+    batch = max(1, min(batch, max(32, len(rows) // 8)))
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(rows) // batch)))) if len(rows) else 0
     rng = np.random.default_rng(seed)
     def small(*shape):
         return (rng.normal(size=shape) / np.sqrt(hidden)).astype(np.float32)
@@ -198,13 +205,14 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", docs_
                   windows_per_doc: int = 2, **options) -> LanguageModel:
     """Learn from the given rows; rows with a null text or label are passed over.
 
-    The sample is at most ``docs_per_language`` documents of each language, picked by a hash of the text
+    The sample is at most ``docs_per_language`` different texts of each language, picked by a hash of the text
     so that reruns agree, with ``windows_per_doc`` windows spread over each text. Every label is learned; with
     more than ``SAMPLE_DOCS / docs_per_language`` of them each gets fewer documents. No labelled row gives a
     model without languages, under which every text is unknown.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # Copies of a text are learned once, so they do not count here either.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
     per = min(docs_per_language, max(1, SAMPLE_DOCS // len(counts)))
@@ -216,19 +224,21 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", docs_
     starts = F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.lit(windows_per_doc - 1)),
         lambda i: F.floor(i * F.greatest(size - WINDOW, F.lit(0)) / F.lit(max(1, windows_per_doc - 1))).cast("int")))
-    sample = (labelled.where(chance < F.try_element_at(share, F.col("lang")))
-              .select("lang", chance.alias("chance"), F.encode("text", "UTF-8").alias("bytes"), starts.alias("starts"))
-              .select("lang", "chance", F.transform("starts", lambda s: F.substring("bytes", s + 1, F.lit(WINDOW))).alias("parts"))
-              .orderBy("chance", "parts").limit(max(2 * per, 48) * len(counts)).collect())
-    languages, seen = sorted(counts), dict.fromkeys(counts, 0)
+    picked = (labelled.where(chance < F.try_element_at(share, F.col("lang")))
+              .select("lang", F.xxhash64("text").alias("same"), chance.alias("chance"), F.encode("text", "UTF-8").alias("bytes"),
+                      starts.alias("starts"))
+              .select("lang", "same", "chance", F.transform("starts", lambda s: F.substring("bytes", s + 1, F.lit(WINDOW))).alias("parts"))
+              .groupBy("lang", "same").agg(F.first("chance").alias("chance"), F.first("parts").alias("parts")))
+    best = Window.partitionBy("lang").orderBy("chance", "same")
+    sample = (picked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per)
+              .orderBy("chance", "lang", "same").select("lang", "parts").collect())
+    languages = sorted(counts)
     place = {name: i for i, name in enumerate(languages)}
     rows, labels = [], []
     for r in sample:
-        seen[r["lang"]] += 1
-        if seen[r["lang"]] <= per:
-            for part in r["parts"]:
-                rows.append(np.frombuffer(bytes(part).ljust(WINDOW, b"\0"), np.uint8))
-                labels.append(place[r["lang"]])
+        for part in r["parts"]:
+            rows.append(np.frombuffer(bytes(part).ljust(WINDOW, b"\0"), np.uint8))
+            labels.append(place[r["lang"]])
     # Memory of a step is rows times languages.
     options.setdefault("batch", max(1, min(256, 256 * 256 // len(languages))))
     return train(np.array(rows), np.array(labels), languages, **options)
