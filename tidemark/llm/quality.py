@@ -1,19 +1,24 @@
 """Quality rules whose cutoffs are controlled for false rejection.
 
-Base counts describe each whole text. Every rule rejects texts whose ratio is above (or below) a cutoff. For
-each stratum, rule and candidate cutoff the labelled good documents that it would reject are counted; the
-cutoff is safe if the exact binomial test rejects "more than the allowed share of good documents is
-rejected" at a level that is split over all strata, rules and cutoffs (Bonferroni), which is the same as the
-Clopper-Pearson upper bound lying at or below that share. The strictest safe cutoff of each rule is used.
-The allowed share ``alpha`` is split over the rules, so with probability 1 - ``delta`` no stratum loses more
-than ``alpha`` of its good documents to all rules together. Without enough labels a rule rejects nothing.
+Base counts describe each whole text. Every rule rejects texts whose ratio is above (or below) a cutoff. The
+cutoffs of all rules together form a fixed path of levels from lenient to strict. Per stratum the path is
+walked as long as the labelled good documents prove each level safe: the exact binomial test must reject
+"the rules of this level together reject more than the share ``alpha`` of the good documents", which is the
+same as the Clopper-Pearson upper bound lying at or below that share. A fixed path that stops at its first
+failure needs no correction among its levels; the error ``delta`` is split over the strata
+(Bonferroni). So with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to
+all rules together. Where not even the first level is safe, for want of labels (at ``alpha`` 0.05 and
+``delta`` 0.05 in four strata it takes 86 good documents) or because of rejections, the rules reject nothing.
 
 Words are runs of anything but space and \\x09-\\x0D. Null and empty texts have no words. A null stratum is
-one of its own.
+one of its own. Documents with the same id are judged one by one and are labelled alike; a document
+without an id is never labelled. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +29,16 @@ from tidemark.llm.text import WORD
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
-# Rule: ratio, whether high values are bad, and the candidate cutoffs from strict to lenient.
+# Rule: ratio, whether high values are bad, and the cutoffs of the levels from lenient to strict.
 RULES = {
-    "symbols": ("n_symbols / n_words", True, [0.1, 0.2, 0.4, 0.8, 1.2, 2.0]),
-    "marks": ("n_marks / n_words", True, [0.1, 0.2, 0.4, 0.8, 1.2]),
-    "dup_lines": ("n_dup_lines / n_lines", True, [0.2, 0.3, 0.4, 0.5, 0.7]),
-    "repeats": ("n_repeat_words / n_words", True, [0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
-    "long_words": ("word_chars / n_words", True, [8.0, 9.0, 10.0, 12.0, 16.0]),
-    "short_words": ("word_chars / n_words", False, [3.5, 3.0, 2.5, 2.0, 1.5]),
+    "symbols": ("n_symbols / n_words", True, [2.0, 1.2, 0.8, 0.4, 0.2, 0.1]),
+    "marks": ("n_marks / n_words", True, [1.2, 0.8, 0.4, 0.2, 0.1, 0.05]),
+    "dup_lines": ("n_dup_lines / n_lines", True, [0.7, 0.5, 0.4, 0.35, 0.3, 0.25]),
+    "repeats": ("n_repeat_words / n_words", True, [0.48, 0.45, 0.4, 0.35, 0.3, 0.25]),
+    "long_words": ("word_chars / n_words", True, [16.0, 12.0, 10.0, 9.0, 8.5, 8.0]),
+    "short_words": ("word_chars / n_words", False, [1.5, 2.0, 2.5, 3.0, 3.2, 3.5]),
 }
+ALPHA, DELTA = 0.05, 0.05
 
 
 def _chars_of(text: Column, chars: str) -> Column:
@@ -91,33 +97,35 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, add, lambda a: a["s"])
 
 
-def safe_cutoffs(counts: DataFrame, good: DataFrame, rules: dict, alpha: float, delta: float) -> DataFrame:
-    """(stratum, rule, cutoff) of the strictest safe cutoff; no row where none is safe.
+def _breaks(rules: dict, name: str, level: int) -> Column:
+    _, high, cutoffs = rules[name]
+    return (F.col(name) > cutoffs[level]) if high else (F.col(name) < cutoffs[level])
+
+
+def safe_levels(counts: DataFrame, good: DataFrame, rules: dict, alpha: float, delta: float) -> DataFrame:
+    """(stratum, level) of the strictest level on the safe part of the path; no row where the first is not safe.
 
     ``counts`` has a row per document with ``stratum`` and the ratios by rule name; ``good`` marks the
     documents (doc) labelled as good.
     """
+    levels = len(next(iter(rules.values()))[2])
+    if any(len(cutoffs) != levels for _, _, cutoffs in rules.values()):
+        raise ValueError("every rule needs a cutoff for each level")
     labelled = counts.join(good, "doc", "left_semi")
-    cells = []
-    for name, (_, high, cutoffs) in rules.items():
-        for place, cutoff in enumerate(cutoffs):
-            beyond = F.col(name) > cutoff if high else F.col(name) < cutoff
-            cells.append(F.sum(beyond.cast("long")).alias(f"{name}:{place}"))
-    per = labelled.groupBy("stratum").agg(F.count("*").alias("n"), *cells)
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(place).alias("place"), F.lit(float(cutoff)).alias("cutoff"),
-                              F.coalesce(F.col(f"`{name}:{place}`"), F.lit(0).cast("long")).alias("k"))
-                     for name, (_, _, cutoffs) in rules.items() for place, cutoff in enumerate(cutoffs)])
-    tests = per.select("stratum", "n", F.explode(rows).alias("c")).select("stratum", "n", "c.*")
-    share = alpha / len(rules)
-    total = sum(len(c) for _, _, c in rules.values()) * max(1, per.count())
+    rejected = [reduce(lambda a, b: a | b, [_breaks(rules, name, level) for name in rules]) for level in range(levels)]
+    per = labelled.groupBy("stratum").agg(
+        F.count("*").alias("n"), *[F.count(F.when(r, 1)).alias(f"k{level}") for level, r in enumerate(rejected)])
+    level_error = delta / max(1, per.count())
     # The sum is only worked out where the observed share is below the allowed one.
-    risk = F.when(F.col("k") < share * F.col("n"), binomial_tail(F.col("k"), F.col("n"), share)).otherwise(F.lit(1.0))
-    return (tests.where(risk <= delta / total).groupBy("stratum", "rule")
-            .agg(F.min_by("cutoff", "place").alias("cutoff")))
+    risk = [F.when(F.col(f"k{level}") < alpha * F.col("n"), binomial_tail(F.col(f"k{level}"), F.col("n"), alpha)).otherwise(F.lit(1.0))
+            for level in range(levels)]
+    first_unsafe = F.array_position(F.array(*[r > level_error for r in risk]), True)
+    level = F.when(first_unsafe == 0, levels).otherwise(first_unsafe - 1).cast("int") - 1
+    return per.select("stratum", level.alias("level")).where("level >= 0")
 
 
 def judge(docs: DataFrame, good: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text",
-          rules: dict | None = None, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+          rules: dict | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: doc, the base counts, base_failed, rejected_by (rule names) and kept.
 
     ``good`` has the column doc: ids of documents labelled as good.
@@ -130,11 +138,10 @@ def judge(docs: DataFrame, good: DataFrame, stratum: str = "lang", doc_id: str =
     ratios = {name: F.coalesce(F.try_divide(*[F.col(x.strip()) for x in formula.split("/")]), F.lit(0.0))
               for name, (formula, _, _) in rules.items()}
     counts = counts.withColumns(ratios)
-    cutoffs = safe_cutoffs(counts, good, rules, alpha, delta)
-    wide = scratch.save(cutoffs.groupBy(F.col("stratum").alias("_s")).agg(*[
-        F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in rules]), "cutoffs")
-    joined = attach(counts, wide, F.col("stratum").eqNullSafe(F.col("_s")), "left")
-    broken = [F.when((F.col(name) > F.col(f"cut_{name}")) if high else (F.col(name) < F.col(f"cut_{name}")), F.lit(name))
+    levels = scratch.save(safe_levels(counts, good, rules, alpha, delta).withColumnRenamed("stratum", "_s"), "levels")
+    joined = attach(counts, levels, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    cutoff = lambda name: F.get(F.array(*[F.lit(float(c)) for c in rules[name][2]]), F.col("level"))
+    broken = [F.when((F.col(name) > cutoff(name)) if high else (F.col(name) < cutoff(name)), F.lit(name))
               for name, (_, high, _) in rules.items()]
     return joined.select(
         "doc", "stratum", "n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words",

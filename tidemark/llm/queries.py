@@ -98,7 +98,8 @@ first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(prefix), depth::INT) END AS shard,
   depth, shard_bytes::BIGINT AS shard_bytes, shard_docs FROM first WHERE r = 1""")
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.assign_shards(documents(spark, folder), SHARD_BYTES, keep=["doc_id"])
+    """The texts are written into shards; all columns but doc_id are read off what was written."""
+    return sharding.deliver_shards(documents(spark, folder), SHARD_BYTES, keep=["doc_id", "text"]).drop("text")
 
 
 @query(r"""
@@ -148,13 +149,13 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                             x["edits"].cast("string"))), ",").alias("spans"))
 
 
-def _quality_sql(alpha: float = 0.03, delta: float = 0.05) -> str:
+def _quality_sql(alpha: float = quality.ALPHA, delta: float = quality.DELTA) -> str:
     rules = quality.RULES
-    share, tests = alpha / len(rules), sum(len(c) for _, _, c in rules.values())
+    levels = len(next(iter(rules.values()))[2])
     ratio = {name: f"coalesce({a}::DOUBLE / nullif({b}, 0), 0.0)" for name, (formula, _, _) in rules.items()
              for a, b in [formula.split(" / ")]}
-    cells = ",\n".join(f"('{name}', {i}, {cut}::DOUBLE, {high})" for name, (_, high, cuts) in rules.items() for i, cut in enumerate(cuts))
-    value = "CASE rule " + " ".join(f"WHEN '{name}' THEN \"{name}\"" for name in rules) + " END"
+    cells = ", ".join(f"({level}, {', '.join(repr(cuts[level]) + '::DOUBLE' for _, _, cuts in rules.values())})" for level in range(levels))
+    broken = " OR ".join(f'"{name}" {">" if high else "<"} cut_{name}' for name, (_, high, _) in rules.items())
     return f"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS words FROM documents),
 g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win
@@ -167,20 +168,17 @@ f AS (SELECT w.doc_id, lang AS stratum, len(words) AS n_words, length(array_to_s
   FROM w LEFT JOIN cov USING (doc_id)),
 c AS (SELECT * EXCLUDE (ls), len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM f),
 r AS (SELECT *, {', '.join(f'{sql} AS "{name}"' for name, sql in ratio.items())} FROM c),
-cells(rule, place, cutoff, high) AS (VALUES {cells}),
-good AS (SELECT r.* FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-hit AS (SELECT stratum, rule, place, cutoff, count(*) AS n,
-  count(*) FILTER (CASE WHEN high THEN {value} > cutoff ELSE {value} < cutoff END) AS k
-  FROM good CROSS JOIN cells GROUP BY ALL),
-risk AS (SELECT *, CASE WHEN k < {share!r} * n THEN list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) ELSE 1 END AS p FROM hit),
-safe AS (SELECT stratum, rule, arg_min(cutoff, place) AS cutoff FROM risk
-  WHERE p <= {delta!r} / ({tests} * (SELECT greatest(1, count(DISTINCT coalesce(stratum, ''))) FROM good)) GROUP BY ALL),
-bad AS (SELECT doc_id, string_agg(rule, ',') AS rules FROM r JOIN safe ON r.stratum IS NOT DISTINCT FROM safe.stratum
-  WHERE CASE WHEN rule = 'short_words' THEN {value} < cutoff ELSE {value} > cutoff END GROUP BY doc_id),
-o AS (SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, rules FROM r LEFT JOIN bad USING (doc_id))
+path(level, {', '.join(f'cut_{name}' for name in rules)}) AS (VALUES {cells}),
+hit AS (SELECT stratum, level, count(*) AS n, count(*) FILTER ({broken}) AS k
+  FROM r CROSS JOIN path WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+risk AS (SELECT stratum, level, CASE WHEN k < {alpha!r} * n THEN list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) ELSE 1 END AS p FROM hit),
+safe AS (SELECT stratum, coalesce(min(level) FILTER (p > {delta!r} / (SELECT count(DISTINCT coalesce(stratum, '')) FROM risk)), {levels}) - 1 AS level
+  FROM risk GROUP BY stratum),
+o AS (SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce({broken}, false) AS broken
+  FROM r LEFT JOIN safe ON r.stratum IS NOT DISTINCT FROM safe.stratum LEFT JOIN path USING (level))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept FROM o"""
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM o"""
 
 
 @query(_quality_sql())

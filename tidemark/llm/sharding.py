@@ -10,17 +10,20 @@ The bits come from the hash of the document id, so a document keeps its place wh
 Rows that agree in all these bits and together exceed the limit are split on the hash of their row
 number. A single document above the limit is a shard of its own. A null text counts as empty, a null id is
 an id like any other, and every document counts one byte for its end, so a shard's rows are bounded too.
+Repeated rows are documents of their own. :func:`deliver_shards` writes the texts, a folder per shard.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.small import attach
+from tidemark.session import scratch_path
 
 BITS = 60
 FINER = 6
@@ -115,6 +118,30 @@ def _placed(rows: DataFrame, buckets: DataFrame, group: Column, key: Column, beg
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder of Parquet files per shard, each shard written by one task."""
-    (assigned.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").sortWithinPartitions("shard")
+    """One folder of Parquet files per shard, each shard written by one task; columns about the shard are left out."""
+    rows = assigned.drop("n_bytes", "depth", "shard_bytes", "shard_docs")
+    (rows.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").sortWithinPartitions("shard")
      .write.partitionBy("shard").parquet(path))
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, text: str = "text") -> DataFrame:
+    """The rows of written shards with n_bytes, shard, depth, shard_bytes and shard_docs, all taken from the files.
+
+    ``schema`` has the written columns without ``shard``. A shard is small enough for one task.
+    """
+    found = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
+    sized = found.withColumns({"n_bytes": document_bytes(text), "shard": F.substring("shard", 2, 2 * BITS)})
+    per = sized.groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return attach(sized, per, F.col("shard") == F.col("_shard")).drop("_shard").select(
+        *[f.name for f in schema.fields], "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
+
+
+def deliver_shards(docs: DataFrame, limit: int, keep: list[str] | None = None, doc_id: str = "doc_id",
+                   text: str = "text") -> DataFrame:
+    """Write the kept columns (all by default; ``text`` among them) into shards below the shared folder and read them back."""
+    spark = docs.sparkSession
+    assigned = assign_shards(docs, limit, keep, doc_id, text)
+    path = scratch_path(spark, "delivered")
+    write_shards(assigned, path)
+    kept = [f for f in assigned.schema.fields if f.name not in ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs")]
+    return read_shards(spark, path, T.StructType(kept), text)
