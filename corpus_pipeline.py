@@ -18,11 +18,17 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known go on; texts that are null, have no letter or fit no language go."""
+    """Documents whose language is known go on, with the predicted one in ``lang``.
+
+    Texts that are null, have no letter or fit no language go. Without a single labelled document there is
+    nothing to learn; then all texts with a letter go on as they are.
+    """
     model = language.fit_languages(docs.where(remainder(4) != 2))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     predicted = language.predict_languages(docs, model)
     known = predicted.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return known.select(*docs.columns)
+    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def make_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard."""
-    return sharding.assign_shards(docs, SHARD_BYTES, keep=["doc_id", "lang", "source"])
+    """Every row, with its text, as it was written into its shard."""
+    return sharding.deliver_shards(docs, SHARD_BYTES)
 
 
 STAGES = [
