@@ -272,6 +272,29 @@ def test_classes_equal_all_pairs(spark):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("share, rows", [(2000, 500), (5, 3)])
+def test_components_with_hot_nodes(spark, monkeypatch, share, rows):
+    """Two stars, one around its largest node, a long path and loose pairs, with and without dealing out."""
+    monkeypatch.setattr(nearcopies, "HOT_SHARE", share)
+    monkeypatch.setattr(nearcopies, "HOT_ROWS", rows)
+    from tidemark.llm.scratch import Scratch
+    edges = [(1, i) for i in range(2, 90)] + [(500, i) for i in range(300, 400)] + [(i, i + 1) for i in range(600, 640)]
+    edges += [(89, 300), (700, 701), (702, 702), (701, 700)]
+    name = lambda i: i.to_bytes(3, "big")
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "leader binary, node binary").repartition(4)
+    root = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {name(i): name(find(i)) for i in root if i != 702}
+    got = {bytes(r["node"]): bytes(r["label"]) for r in nearcopies.components(frame, Scratch(spark, "test")).collect()}
+    assert got == want
+
+
 def test_a_chain_of_copies_is_one_class(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[:i * 3] + [f"n{k}" for k in range(i * 3)] + words[i * 3:]) for i in range(8)]

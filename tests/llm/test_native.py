@@ -417,6 +417,50 @@ def test_mixing_of_nothing(spark):
     assert [r["size"] for r in mix.rows.collect()] == [0, 0, 0]
 
 
+INNER = ("row", "key", "bytes", "number", "group", "shard", "depth", "n_bytes", "kept", "doc", "line", "place", "batch", "size",
+         "copies", "target", "weight", "cut", "ids", "prefix", "keeper", "n_lines")
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    """Extra columns named like inner or added ones: added ones are replaced, the others come through."""
+    line = "a line that is long enough to count"
+    texts = [f"{line}\nown {i}" for i in range(6)] + [None, ""]
+    frame = docs(spark, texts).withColumns({c: F.concat(F.lit("x"), F.col("doc_id")) for c in INNER})
+    frame = frame.unionByName(frame.where("doc_id = 2"))  # a repeated row
+    want = sorted([*range(8), 2])
+    def others(out, added):
+        rows = out.collect()
+        assert sorted(r["doc_id"] for r in rows) == want
+        assert all(r[c] == f"x{r['doc_id']}" for r in rows for c in INNER if c not in added)
+        return rows
+    plain = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs(spark, texts), 90, keep=["doc_id"]).collect()}
+    added = ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    rows = others(sharding.assign_shards(frame, 90), added)
+    assert all(r["shard"].startswith(plain[r["doc_id"]]) or plain[r["doc_id"]].startswith(r["shard"]) for r in rows)
+    delivered = others(sharding.deliver_shards(frame, 90), added)
+    assert sorted((r["doc_id"], r["shard"], r["shard_bytes"], r["text"]) for r in rows if r["text"] is not None) == sorted(
+        (r["doc_id"], r["shard"], r["shard_bytes"], r["text"]) for r in delivered if r["text"] is not None)
+    kept = others(lines.dedup_lines(frame), ("n_lines", "n_dropped", "kept_text"))
+    assert {r["doc_id"]: r["n_dropped"] for r in kept} == {i: int(i < 5) for i in range(8)}
+    mix = mixing.plan_mix(frame, weigh)
+    taken = mixing.mix_documents(frame, mix)
+    assert taken.columns == frame.columns
+    rows = taken.collect()
+    assert all(r[c] == f"x{r['doc_id']}" for r in rows for c in INNER)
+    # Both rows that agree are taken alike.
+    assert Counter(r["doc_id"] for r in rows)[2] % 2 == 0
+
+
+def test_very_long_licence_texts(spark):
+    words = " ".join(f"w{i % 700}" for i in range(120_000))
+    rows = [("a/long.txt", words + "\nLicensed under the MIT License."), ("a/b/other.txt", words), ("a/LICENSE", "MIT License"), (None, words), ("c", None)]
+    frame = spark.createDataFrame([(p, t, "x", 1) for p, t in rows], "path string, text string, dir string, sure int")
+    found = {r["path"]: r for r in licences.scan_licences(frame).collect()}
+    assert len(found) == 5 and all(r["dir"] == "x" and r["sure"] == 1 for r in found.values())
+    assert found["a/LICENSE"]["own"] == ["MIT"] and found["a/b/other.txt"]["licences"] == ["MIT"]
+    assert found["a/b/other.txt"]["source_dir"] == "a" and found[None]["licences"] == [] and found["c"]["own"] == []
+
+
 def test_scratch_tables_go(spark):
     scratch = Scratch(spark, "test")
     table = scratch.save(spark.range(5).toDF("a"), "t")

@@ -32,6 +32,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 CHUNK = 64
+HOT_SHARE, HOT_ROWS = 2000, 500
 BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20  # of a bucket that one task holds
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,29 +170,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.select("leader", "role", "node", "text").mapInArrow(compare, "leader binary, node binary")
 
 
+def _hot(keys: DataFrame, column: str, total: int) -> DataFrame:
+    """(hot, parts): keys that hold more than a ``HOT_SHARE``-th of the rows, so at most ``HOT_SHARE`` of them, and into
+    how many parts they are cut."""
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    return (keys.groupBy(F.col(column).alias("hot")).count().where(F.col("count") > most)
+            .select("hot", F.ceil(F.col("count") / most).cast("int").alias("parts")))
+
+
 def components(edges: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (leader, node) is connected with.
 
     Labels spread along the edges and then jump to their own label, so the rounds grow with the
-    logarithm of a path's length. ``known`` are labels from earlier edges.
+    logarithm of a path's length. ``known`` are labels from earlier edges. The edges of a node with very many
+    are dealt out in parts, each of which meets its label; a label that very many nodes share jumps by a broadcast.
     """
     both = edges.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     if known is not None:
         both = both.unionByName(known.select(F.col("label").alias("a"), F.col("node").alias("b")))
     both = both.where("a != b").distinct()
     both = scratch.save(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    total = both.count()
+    busy = scratch.save(_hot(both, "a", total), "busy")
+    dealt = scratch.save(both.join(F.broadcast(busy), both.a == busy.hot, "left").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "dealt")
     labels = scratch.save(both.groupBy(F.col("b").alias("node")).agg(F.least(F.min("a"), F.col("b")).alias("label")), "labels")
+    scratch.drop(both)
     while True:
-        heard = (both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node"))
+        told = labels.join(F.broadcast(busy), labels.node == busy.hot, "left").select(
+            "node", "label", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        heard = (dealt.join(told, (dealt.a == told.node) & (dealt.part == told.part)).groupBy(F.col("b").alias("node"))
                  .agg(F.min("label").alias("heard")))
         spread = scratch.save(labels.join(heard, "node").select(
             "node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved")), "spread")
         if not spread.where("moved").take(1):
-            scratch.drop(both, spread)
+            scratch.drop(dealt, busy, spread)
             return labels
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = scratch.save(spread.join(jump, "label").select("node", F.least("label", "next").alias("label")), "labels")
-        scratch.drop(labels, spread)
+        common = scratch.save(_hot(spread, "label", total).select(F.col("hot").alias("label")).join(jump, "label"), "common")
+        marked = spread.join(F.broadcast(common), "label", "left")
+        rest = marked.where("next is null").drop("next").join(jump, "label")
+        jumped = scratch.save(marked.where("next is not null").unionByName(rest).select(
+            "node", F.least("label", "next").alias("label")), "labels")
+        scratch.drop(labels, spread, common)
         labels = jumped
 
 
