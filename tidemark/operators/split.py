@@ -346,7 +346,6 @@ def stratified_kfold(
         raise ValueError("stratified folds need exactly one valid target column")
     by = names[0]
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    n = df.count()
     # The surplus rows of a class go to the folds after those of the class before
     # it, so that the folds as a whole also differ by at most one row.
     classes = prefix_sum(df.groupBy(by).agg(F.count(F.lit(1)).alias("n")), [by], "n", "shift").withColumn(
@@ -360,7 +359,8 @@ def stratified_kfold(
         at = at + size
         starts.append(at.cast("long"))
     wanted = classes.select(by, F.array(*starts).alias("ranks"))
-    n_classes = classes.count()
+    n_classes, n = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n = n or 0
     slim = hashed.select(by, "_hash").withColumn(CHUNK, hash_chunk(n))
     found = select_ranks(slim, [by], ["_hash"], CHUNK, wanted, n_classes)
     passed = F.size(F.filter("ranks", lambda r: r <= F.col("rank")))
