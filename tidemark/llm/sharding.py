@@ -79,7 +79,8 @@ def assign_shards(docs: DataFrame, limit: int, keep: list[str] | None = None, do
                   text: str = "text") -> DataFrame:
     """The kept columns (all by default) with n_bytes, shard (its bits), depth, shard_bytes and shard_docs.
 
-    Columns of these names in the input are replaced. The kept columns are written once to the shared folder.
+    Columns of these names in the input are replaced. The input is read twice, so it should be a stored table;
+    only ids that by themselves exceed the limit make it necessary to write the kept columns to the shared folder.
     """
     added = ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
@@ -87,13 +88,16 @@ def assign_shards(docs: DataFrame, limit: int, keep: list[str] | None = None, do
     rows = docs.select(F.struct(*names).alias("row") if names else F.lit(0).alias("row"),
                        document_bytes(text).alias("bytes"), hash_bits(F.col(doc_id)).alias("key"),
                        F.monotonically_increasing_id().alias("number"))
-    rows = scratch.save(rows, "rows")
-    first = directory(rows.select(F.lit(0).cast("long").alias("group"), "key", "bytes"), limit, scratch)
+    slim = scratch.save(rows.select(F.lit(0).cast("long").alias("group"), "key", "bytes"), "keys")
+    first = directory(slim, limit, scratch)
     # Rows of one full key above the limit: the next bits are those of the row number.
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
     crowded = first.where(full).select(F.col("prefix").alias("key"))
+    some = crowded.take(1)
+    if some:  # row numbers must not change any more
+        rows = scratch.save(rows, "rows")
     parts = [_placed(rows, first.where(~full), F.lit(0).cast("long"), F.col("key"), F.lit(""))]
-    if crowded.take(1):
+    if some:
         spare = scratch.save(attach(rows, crowded, ["key"], "left_semi"), "crowded")
         second = directory(spare.select(F.col("key").alias("group"), hash_bits(F.col("number")).alias("key"), "bytes"),
                            limit, scratch)
