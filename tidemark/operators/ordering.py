@@ -256,8 +256,10 @@ def prefix_sum(df: DataFrame, order: Sequence[str], column: str, out: str) -> Da
     for number, total in totals:
         starts.append((number, at))
         at += total or 0
-    kind = "double" if isinstance(at, float) else "long"
-    offsets = df.sparkSession.createDataFrame(starts, f"_part long, _start {kind}")
+    whole = all(isinstance(start, int) for _, start in starts) and isinstance(at, int)
+    if not whole:
+        starts = [(number, float(start)) for number, start in starts]
+    offsets = df.sparkSession.createDataFrame(starts, f"_part long, _start {'long' if whole else 'double'}")
     before = Window.partitionBy("_part").orderBy("_spot").rowsBetween(Window.unboundedPreceding, -1)
     return (fixed.withColumn(out, F.coalesce(F.sum(column).over(before), F.lit(0)))
             .join(F.broadcast(offsets), "_part").withColumn(out, F.col(out) + F.col("_start"))
