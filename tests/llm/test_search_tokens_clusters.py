@@ -237,6 +237,14 @@ def test_few_or_no_vectors(spark):
     assert clustered(spark, equal, dims=2)[0] == Counter({(i, 0, 0): 1 for i in range(20)})
 
 
+def test_long_vectors_stay_exact_or_are_an_error(spark):
+    far = 2.0 ** 17  # 2**27 in scaled components
+    rows = [(i, [far * (i % 3 - 1), far * (i % 2), float(i)]) for i in range(12)]
+    assert clustered(spark, rows, clusters=4, rounds=3, dims=3) == naive_clusters(rows, 4, 3)
+    with pytest.raises(Exception, match="too long"):
+        clustered(spark, [(1, [1e30, 0.0, 0.0])], dims=3)
+
+
 def test_orchard_measures_fewer_centroids_and_breaks_ties_by_number():
     rng = np.random.default_rng(9)
     points = rng.integers(-50, 50, (300, 2)) * 20

@@ -18,7 +18,7 @@ shared folder; each round is one scan of that table.
 
 Vectors with the same id or the same components are vectors of their own; a null id counts as the empty text.
 With fewer vectors than clusters there is a centroid per vector, without any there are no rows. A vector whose
-squared length would not leave room for exact distances (2 to the power of 60, in scaled components) is
+squared length would not leave room for exact distances (2 to the power of 58, in scaled components) is
 an error.
 """
 
@@ -36,7 +36,7 @@ from tidemark.llm.scratch import Scratch
 
 SCALE = 1024
 BLOCK_CELLS = 1 << 20
-LONGEST = 1 << 60
+LONGEST = 1 << 58  # squared; four times a squared distance is still a 64-bit number
 
 
 class Orchard:
