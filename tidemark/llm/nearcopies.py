@@ -245,8 +245,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
 def _texts_of(rows: DataFrame, slim: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, text) of each text that shares a bucket; one document of each group of copies is read."""
-    chosen = (slim.join(members.select("node").distinct(), "node").groupBy("node")
-              .agg(F.min("doc_id").alias("first")))
+    # Copies are merged before they are shuffled, so a large group of them is one row of the join.
+    chosen = (slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+              .join(members.select("node").distinct(), "node", "left_semi"))
     chosen = scratch.save(chosen, "chosen").withColumnRenamed("node", "chosen_node")
     # The same plan at every size: texts are shuffled by their key.
     picked = rows.join(chosen.hint("merge"), (F.col("node") == F.col("chosen_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
