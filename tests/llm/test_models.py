@@ -322,6 +322,37 @@ def test_a_bucket_of_few_long_texts(spark, monkeypatch):
         assert len(found) == 3 and len({r["class_id"] for r in found}) == classes
 
 
+def test_texts_of_a_joined_class_are_not_compared_again(monkeypatch):
+    """Variants of two texts, each a class of its own at first: exact comparisons grow with the links, not with the pairs."""
+    rng = random.Random(4)
+    bases = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    texts = []
+    for i in range(120):
+        words = bases[i % 2] * (1 + i % 3)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    sets = nearcopies._sets(pa.array(texts, pa.large_string()))
+    labels = [i.to_bytes(2, "big") for i in range(len(texts))]
+    exact, calls = nearcopies.similarity, []
+    monkeypatch.setattr(nearcopies, "similarity", lambda a, b: calls.append(1) or exact(a, b))
+    block = nearcopies._Block([(label, i > 0, *own) for i, (label, own) in enumerate(zip(labels, sets, strict=True))])
+    found = [(a, b) for b, own in zip(labels[1:], sets[1:], strict=True) for a in block.links(b, own, 0.8)]
+
+    def classes(links):
+        of = {label: label for label in labels}
+        for a, b in links:
+            of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+        return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+    near = [(labels[i], labels[j]) for i in range(len(texts)) for j in range(i) if exact(sets[i], sets[j]) >= 0.8]
+    assert classes(found) == classes(near) and len(classes(near)) < 60
+    assert len(found) == len(texts) - len(classes(near)) and len(calls) < 2 * len(texts) < len(near)
+    for own in sets:  # no similar text is passed over
+        likely = set(block.likely(own, np.ones(len(texts), bool), 0.8))
+        assert {j for j, other in enumerate(sets) if exact(own, other) >= 0.8} <= likely
+
+
 def test_near_copies_of_nothing_and_of_equal_rows(spark):
     assert nearcopies.near_classes(frame_of(spark, ["a"]).limit(0)).count() == 0
     same = frame_of(spark, ["one two three four five six"] * 4 + [None, None]).withColumn("doc_id", F.lit(5).cast("long"))

@@ -258,9 +258,10 @@ def _texts_of(rows: DataFrame, slim: DataFrame, members: DataFrame, scratch: Scr
 def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links (leader, node) between the labels of classes whose texts share a bucket.
 
-    Texts outside a bucket's largest class are compared with all texts of the bucket. These are dealt out in
-    blocks of bounded size, each with its own task, which the texts outside pass through one by one; only
-    links come out.
+    Texts outside a bucket's largest class are compared with all texts of the bucket, two of them once. These
+    are dealt out in blocks of bounded size, each with its own task, which the texts outside pass through one by
+    one; only links come out. Classes that a block's links have joined are one class from then on, so texts of a
+    large group are not compared again and again.
     """
     sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
     per_class = sized.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -272,37 +273,33 @@ def _settle(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scr
         F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     still = members.join(scratch.save(open_buckets, "open"), "bucket")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    held = still.select("bucket", own.alias("block"), F.lit(0).alias("role"), "node", "label")
-    passing = still.where("label != largest").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label")
-    rows = (held.unionByName(passing).join(texts, "node").select("bucket", "block", "role", "node", "label", "text")
+    outside = F.col("label") != F.col("largest")
+    held = still.select("bucket", own.alias("block"), F.lit(0).alias("role"), "node", "label", outside.alias("outside"))
+    passing = still.where(outside).select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label",
+        F.lit(True).alias("outside"))
+    rows = (held.unionByName(passing).join(texts, "node").select("bucket", "block", "role", "label", "outside", "text")
             .repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, block, index = None, [], None
+        place, texts_held, block = None, [], None
         for batch in batches:
             for first, end, texts in text_blocks(batch, "text"):
                 part = batch.slice(first, end - first)
                 buckets, blocks, roles = (part.column(i).to_numpy() for i in range(3))
-                labels = part.column(4).to_pylist()
+                labels, outside = part.column(3).to_pylist(), part.column(4).to_pylist()
                 sets = _sets(texts)
                 found = []
                 for i, mine in enumerate(sets):
                     if (buckets[i], blocks[i]) != place:
-                        place, block, index = (buckets[i], blocks[i]), [], None
+                        place, texts_held, block = (buckets[i], blocks[i]), [], None
                     if roles[i] == 0:
-                        block.append((labels[i], mine[0].copy(), mine[1].copy()))
+                        texts_held.append((labels[i], outside[i], mine[0].copy(), mine[1].copy()))
                         continue
-                    if not block:  # few long texts: the hash may leave a block without any
+                    if not texts_held:  # few long texts: the hash may leave a block without any
                         continue
-                    index = _inverted(block) if index is None else index
-                    met = {labels[i]}
-                    for j in _likely(mine, index, len(block), threshold):
-                        label, *other = block[j]
-                        # One link to a class is enough; the class is the link's other end.
-                        if label not in met and similarity(tuple(other), mine) >= threshold:
-                            met.add(label)
-                            found.append((label, labels[i]))
+                    block = _Block(texts_held) if block is None else block
+                    found += [(label, labels[i]) for label in block.links(labels[i], mine, threshold)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)],
                                                  names=["leader", "node"])
 
@@ -318,25 +315,66 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(values[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _inverted(block: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle, text number and share of the text's weight, sorted by shingle."""
-    values = np.concatenate([b[1] for b in block])
-    owner = np.repeat(np.arange(len(block)), [len(b[1]) for b in block])
-    share = np.concatenate([b[2] / b[2].sum() for b in block])
-    order = np.argsort(values, kind="stable")
-    return values[order], owner[order], share[order]
-
-
-def _likely(mine: tuple[np.ndarray, np.ndarray], index: tuple, count: int, threshold: float) -> np.ndarray:
-    """Texts of the block that may be similar enough: the probability Jaccard is at most the share of either
-    text's weight that lies on common shingles."""
-    values, owner, share = index
-    low, high = np.searchsorted(values, mine[0], "left"), np.searchsorted(values, mine[0], "right")
-    hits = high - low
-    entry = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
-    theirs = np.bincount(owner[entry], share[entry], count)
-    ours = np.bincount(owner[entry], np.repeat(mine[1] / mine[1].sum(), hits), count)
-    return np.flatnonzero(np.minimum(theirs, ours) >= threshold - 1e-9)
+class _Block:
+    """Texts of a bucket, as (label, outside the largest class, shingles, counts), that others are compared with."""
+
+    def __init__(self, texts: list[tuple]):
+        self.texts = texts
+        self.labels = np.array([t[0] for t in texts], object)
+        self.outside = np.array([t[1] for t in texts])
+        self.numbers: dict[bytes, int] = {}  # of the labels
+        self.joined: list[int] = []  # the class that a number's class has been joined with, or itself
+        self.classes = np.array([self._class_of(t[0]) for t in texts])
+        # Shingle, text number and share of the text's weight, sorted by shingle.
+        values = np.concatenate([t[2] for t in texts])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.owner = np.repeat(np.arange(len(texts)), [len(t[2]) for t in texts])[order]
+        self.share = np.concatenate([t[3] / t[3].sum() for t in texts])[order]
+
+    def _class_of(self, label: bytes) -> int:
+        number = self.numbers.setdefault(label, len(self.joined))
+        if number == len(self.joined):
+            self.joined.append(number)
+        while self.joined[number] != number:
+            number = self.joined[number] = self.joined[self.joined[number]]
+        return number
+
+    def links(self, label: bytes, mine: tuple[np.ndarray, np.ndarray], threshold: float) -> list[bytes]:
+        """Labels of other classes that a text outside the largest class is linked with, one a class."""
+        own, found = self._class_of(label), []
+        # Two texts outside the largest class meet in the block of either.
+        among = (self.classes != own) & (~self.outside | (self.labels < label).astype(bool))
+        for j in self.likely(mine, among, threshold) if among.any() else ():
+            other, _, *theirs = self.texts[j]
+            # One link to a class is enough; the class is the link's other end.
+            if self.classes[j] != own and similarity(tuple(theirs), mine) >= threshold:
+                found.append(other)
+                self.joined[self.classes[j]] = own
+                self.classes[self.classes == self.classes[j]] = own
+        return found
+
+    def likely(self, mine: tuple[np.ndarray, np.ndarray], among: np.ndarray, threshold: float) -> np.ndarray:
+        """Texts among those marked that may be similar enough.
+
+        The probability Jaccard sums 1 / (sum over j of max(x_j / x_i, y_j / y_i)) over the common shingles i. It is at
+        most the share of either text's weight that lies on common shingles. The inner sum is x_j / x_i over the
+        shingles of one text only, y_j / y_i over those of the other, and over the common ones at least the larger of
+        the two; with that the bound is exact where the counts of common shingles agree.
+        """
+        low, high = np.searchsorted(self.values, mine[0], "left"), np.searchsorted(self.values, mine[0], "right")
+        hits = high - low
+        entry = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+        x = np.repeat(mine[1] / mine[1].sum(), hits)
+        marked = among[self.owner[entry]]
+        entry, x = entry[marked], x[marked]
+        owner, y = self.owner[entry], self.share[entry]
+        ours, theirs = np.bincount(owner, x, len(among)), np.bincount(owner, y, len(among))
+        near = (np.minimum(ours, theirs) >= threshold - 1e-9)[owner]
+        owner, x, y = owner[near], x[near], y[near]
+        on_x, on_y = ours[owner], theirs[owner]
+        inner = np.maximum(on_x / x, on_y / y) + (1 - on_x) / x + (1 - on_y) / y
+        return np.flatnonzero(np.bincount(owner, 1 / inner, len(among)) >= threshold - 1e-9)
 
 
 def _link(members: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
