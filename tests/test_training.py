@@ -166,6 +166,31 @@ def test_stages(waves):
     assert means[0] == pytest.approx(0, abs=1e-9) and means[1] == pytest.approx(0, abs=1e-9)
 
 
+@pytest.mark.parametrize("count", [1, 2, 7, 4000])
+def test_exact_medians_without_a_sketch_of_all_values(spark, monkeypatch, count):
+    """The same fills as Spark's imputer without error, though no column is summarised by one that keeps every value."""
+    rng = random.Random(count)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0]
+    rows = [(rng.gauss(0, 1), rng.choice([*odd, 1.0, 2.0]), rng.randrange(3)) for _ in range(count)] + [(None, float("nan"), None)]
+    df = spark.createDataFrame(rows + [(1.0, 2.0, 1)], "a double, b float, c int").repartition(3)
+    options = {"strategy": "median", "relativeError": 0.0}
+    names = {"inputCols": ["a", "b", "c"], "outputCols": ["x", "y", "z"]}
+    plain = training.Imputer(**names, **options).fit(df)
+    from pyspark.sql import DataFrameStatFunctions
+    from pyspark.ml.wrapper import JavaEstimator
+    fitted, given = JavaEstimator._fit, []
+    monkeypatch.setattr(JavaEstimator, "_fit", lambda self, data: given.append(data.count()) or fitted(self, data))
+    monkeypatch.setattr(DataFrameStatFunctions, "approxQuantile", None)
+    mine = training.stage("imputer", names["inputCols"], names["outputCols"], **options).fit(df).stages[0]
+    assert given == [1] and training.staged_model(["a"], "b").getStages()[0].plain.getRelativeError() == 0
+    assert mine.surrogateDF.first().asDict() == plain.surrogateDF.first().asDict()
+    read = lambda m: sorted(str(tuple(r)) for r in m.transform(df).collect())
+    assert read(mine) == read(plain) and mine.transform(df).dtypes == plain.transform(df).dtypes
+    gaps = df.withColumn("a", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="surrogate cannot be computed"):
+        training.stage("imputer", ["a"], ["x"], **options).fit(gaps)
+
+
 def test_failures_in_threads_are_raised(spark):
     with pytest.raises(ZeroDivisionError):
         training.in_threads(spark, [lambda: 1, lambda: 1 / 0])

@@ -27,6 +27,8 @@ DEFAULT_SEED = 42
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 # The summary of an order axis is off by at most one row in so many.
 ACCURACY = 100_000
+# A smaller summary is faster; where its bracket holds too many rows, it is bracketed again.
+MEDIAN_ACCURACY = 2_000
 # Rows that one chunk of the random order should hold.
 ROWS_PER_HASH_CHUNK = 250_000
 
@@ -129,7 +131,7 @@ def _narrowed(rows: DataFrame, intervals: list[tuple[float, float]], ranks: Sequ
 
 def _cuts_of(
     df: DataFrame, order: Sequence[str], ranks_of: Callable[[int], list[int]], guesses: Sequence[float],
-    number: Column | None = None, max_rows: int | None = None,
+    number: Column | None = None, max_rows: int | None = None, accuracy: int | None = None,
 ) -> tuple[list[int], dict[int, tuple[Column, ...]]]:
     """The wanted ranks, and the order values, as literals, of the rows at those ranks that exist.
 
@@ -137,7 +139,7 @@ def _cuts_of(
     be. ``number`` is a number that never decreases along the first order column, if that is text.
     The first column is resolved alone; where several rows share a wanted value the others decide.
     """
-    limit, accuracy = max_rows or MAX_ROWS_PER_TASK, ACCURACY
+    limit, accuracy = max_rows or MAX_ROWS_PER_TASK, accuracy or ACCURACY
     head, rest = order[0], list(order[1:])
     if number is None and not isinstance(df.schema[head].dataType, NUMBER_LIKE):
         # Text has no summary: number the rows over a distributed sort.
@@ -198,6 +200,13 @@ def _inside_brackets(df: DataFrame, rows: DataFrame, head: str, intervals: list[
     return _literals(df, picked, ["rank", "offset", "equal"], [head])
 
 
+def lower_median(df: DataFrame, column: str, max_rows: int | None = None) -> Column | None:
+    """The exact median of the values, as a literal; of two in the middle the smaller one, None without values."""
+    values = df.select(column).where(F.col(column).isNotNull())
+    (rank,), at = _cuts_of(values, [column], lambda n: [(n - 1) // 2], [0.5], None, max_rows, MEDIAN_ACCURACY)
+    return at[rank][0] if rank in at else None
+
+
 def _cut_tags(order: Sequence[str], cuts: list[tuple[tuple | None, str]], last: str) -> Column:
     tag = F.lit(last)
     for values, name in reversed(cuts):

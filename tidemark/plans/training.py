@@ -265,11 +265,39 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 2, strategy: str = "
     ]))
 
 
+class ExactImputer(Estimator):
+    """An imputer with exact medians, of two in the middle the smaller one.
+
+    Asked for no error, Spark's own estimator keeps and merges every value of a column, in the end on the driver.
+    Here the medians are found by their ranks, and its model comes from one row that holds them.
+    """
+
+    def __init__(self, plain: Imputer):
+        super().__init__()
+        self.plain = plain
+
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        missing, found = F.lit(self.plain.getMissingValue()), []
+        for c in self.plain.getInputCols():
+            value = F.col(c).cast("double")
+            rows = dataset.select(value.alias("_value")).where(~F.isnan("_value") & (F.col("_value") != missing))
+            middle = split.lower_median(rows, "_value")
+            found.append((F.lit(None).cast("double") if middle is None else middle).alias(c))
+        return self.plain.copy().setStrategy("mean").fit(dataset.sparkSession.range(1).select(*found))
+
+
+def imputer(columns: Sequence[str], out: Sequence[str], **params) -> Estimator:
+    """Spark's imputer; a median without error is found by its rank."""
+    plain = Imputer(inputCols=list(columns), outputCols=list(out), **params)
+    exact = plain.getStrategy() == "median" and plain.getRelativeError() == 0
+    return ExactImputer(plain) if exact else plain
+
+
 def stage(kind: str, columns: Sequence[str], out: str | Sequence[str], **params) -> Pipeline:
     """A feature stage by name, wired by column names: imputer, scaler, components or clusters."""
     vector = VectorAssembler(inputCols=list(columns), outputCol=f"_{kind}_in")
     if kind == "imputer":
-        return Pipeline(stages=[Imputer(inputCols=list(columns), outputCols=list(out), **params)])
+        return Pipeline(stages=[imputer(columns, out, **params)])
     if kind == "scaler":
         return Pipeline(stages=[vector, StandardScaler(inputCol="_scaler_in", outputCol=out, **params)])
     if kind == "pca":
@@ -286,7 +314,7 @@ def staged_model(
     """Imputed columns, their components and their cluster id feed one model."""
     imputed = [f"_i_{c}" for c in columns]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(columns), outputCols=imputed, relativeError=0.0),
+        imputer(columns, imputed, strategy="median", relativeError=0.0),
         VectorAssembler(inputCols=imputed, outputCol="_v"),
         StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=True),
         PCA(k=components, inputCol="_c", outputCol="pca"),
